@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from spanloom.llm import packing, quality, token_counts
+from spanloom.llm import chat, mixing, packing, quality, sharding, token_counts
 
 QUERIES = {
     "op4_packing": packing.op4_packing,
+    "op5_sharding": sharding.op5_sharding,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_source_mixing": mixing.op7_source_mixing,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_chat_format": chat.op10_chat_format,
 }
 ORACLE_SQL = {
+    "op7_source_mixing": mixing.OP7_SQL,
     "op9_quality_rules": quality.OP9_SQL,
+    "op10_chat_format": chat.OP10_SQL,
 }
