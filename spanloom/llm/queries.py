@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat, mixing, packing, quality, sharding, token_counts
+from spanloom.llm import chat, html_text, mixing, packing, quality, sharding, substrings, token_counts
 
 QUERIES = {
+    "op2_html_extract": html_text.op2_html_extract,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_packing": packing.op4_packing,
     "op5_sharding": sharding.op5_sharding,
     "op6_token_counts": token_counts.op6_token_counts,
