@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat, html_text, mixing, packing, quality, sharding, substrings, token_counts
+from spanloom.llm import chat, html_text, mixing, near_dedup, packing, quality, sharding, substrings, token_counts
 
 QUERIES = {
     "op2_html_extract": html_text.op2_html_extract,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_chat_format": chat.op10_chat_format,
 }
