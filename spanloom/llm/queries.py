@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat, html_text, mixing, near_dedup, packing, quality, sharding, substrings, token_counts
+from spanloom.llm import chat, html_text, mixing, near_dedup, packing, quality, search, sharding, substrings, token_counts
 
 QUERIES = {
+    "op1_topk_search": search.op1_topk_search,
     "op2_html_extract": html_text.op2_html_extract,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_packing": packing.op4_packing,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_chat_format": chat.op10_chat_format,
 }
 ORACLE_SQL = {
+    "op1_topk_search": search.OP1_SQL,
     "op7_source_mixing": mixing.OP7_SQL,
     "op9_quality_rules": quality.OP9_SQL,
     "op10_chat_format": chat.OP10_SQL,

@@ -55,9 +55,9 @@ def span_hash(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: np.uint64) ->
 class Words:
     """starts, ends: byte bounds of each word; first: index of each text's first word, with the total at the end."""
 
-    def __init__(self, body: np.ndarray, off: np.ndarray):
+    def __init__(self, body: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE):
         self.body, self.off = body, off
-        word = ~SPACE[body]
+        word = ~space[body]
         start, end = word.copy(), word.copy()
         start[1:] &= ~word[:-1]
         end[:-1] &= ~word[1:]
