@@ -56,16 +56,20 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The mix itself: the rows of `docs` as often as they are taken, the last of a source cut after the words taken from it."""
-    whole = docs.columns
-    row = "__row"
-    plain = docs.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in whole]))
-    taken = mix(plain, key, text, carry=[row], **options)
-    full = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0)).cast("int")
-    rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).cast("int")
-    out = taken.withColumn("part", F.concat(F.array_repeat(F.lit(-1), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
-    out = out.withColumn("part", F.explode("part"))
-    return out.select(*[F.when(F.col("part") > 0, F.array_join(F.slice(F.regexp_extract_all(F.col(row)[c], F.lit(f"({WORD})"), F.lit(1)), 1, F.col("part")), " ")).otherwise(F.col(row)[c]).alias(c) if c == text else F.col(row)[c].alias(c) for c in whole])
+    """The mix itself: the rows of `docs` as often as they are taken, the last of a source cut after the words taken from it.
+
+    Texts are joined to what is taken of them once; rows that are equal in key and text are taken together.
+    """
+    row = F.xxhash64(key, text)
+    taken = mix(docs.withColumn("row", row), key, text, carry=["row"], **options)
+    parts = taken.groupBy("row").agg(F.sum("taken").alias("taken"), F.first("size").alias("size")).where("taken > 0")
+    parts = parts.withColumn("full", F.expr("taken div size").cast("int")).withColumn("rest", (F.col("taken") % F.col("size")).cast("int"))
+    whole = F.array_repeat(F.lit(-1), F.col("full"))
+    parts = parts.select("row", F.when(F.col("rest") > 0, F.array_append(whole, F.col("rest"))).otherwise(whole).alias("parts"))
+    joined = docs.withColumn("row", row).join(parts, "row")
+    joined = joined.withColumn("copy", F.row_number().over(W.partitionBy("row").orderBy("row"))).where("copy = 1").withColumn("part", F.explode("parts"))
+    cut_text = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest("part", F.lit(0))), " ")
+    return joined.select(*[F.when(F.col("part") > 0, cut_text).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,8 +132,8 @@ def repeated_spans(keyed: DataFrame, length: int = 50, k: int = 8) -> DataFrame:
     return later.unionByName(edges)
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, k: int = 8, carry: list[str] | None = None) -> DataFrame:
-    """(key, n_words, n_removed, kept, carried columns) of each row; kept: the words that are left, joined by one space."""
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, k: int = 8, carry: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """(key, n_words, n_removed, kept, carried columns) of each row; kept: the words that are left, joined by one space (whole: the text itself if it loses nothing)."""
     more = carry or []
     keyed = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = repeated_spans(keyed, length, k)
@@ -154,6 +154,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                 removed = np.bincount(w.doc()[gone], minlength=part.num_rows)
                 kept = []
                 for i, t in enumerate(strings(part, "text")):
+                    if whole and not removed[i]:
+                        kept.append(t.as_py().encode())
+                        continue
                     parts = t.as_py().encode().split()
                     if removed[i]:
                         parts = compress(parts, ~gone[w.first[i] : w.first[i + 1]])
