@@ -108,7 +108,8 @@ def repeated_spans(keyed: DataFrame, length: int = 50, k: int = 8) -> DataFrame:
     """(row, a, n): n windows of a text, from its word a on, that an earlier document holds. keyed: doc_id, row, text."""
     every = run_table(keyed, length, k)
     often = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("content") < F.max("content")).alias("several")).where("lo < hi").select("anchor", "several")
-    found = cut(every.join(often, "anchor"))
+    # as a table of its own, so that both sides of the join are plain exchanges and Spark can split a hot anchor
+    found = cut(every.join(cut(often), "anchor"))
     nodes = found.groupBy("content", "anchor").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("times"), F.min(F.struct("doc_id", "row", "a")).alias("first"),
         F.first("n").alias("n"), F.min("after").alias("after"), F.max("after").alias("after2"), F.first("several").alias("several"),
