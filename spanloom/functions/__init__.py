@@ -1,0 +1 @@
+"""Scalar functions as column expressions, and probability tails as pandas functions."""
