@@ -15,6 +15,7 @@ from spanloom.functions import sequence as seqf
 from spanloom.operators import breaks, chaining, contacts, graph, intervals, layout, stats
 from spanloom.plans import adapters as ad
 from spanloom.session import table
+from spanloom.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -360,8 +361,8 @@ def terminal_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def linkage_map(spark: SparkSession, d: str) -> DataFrame:
-    few = ad.alns(spark, d).where("line = 1 and mlen > 900").select("aread", "bread", "abpos", "aepos")
-    return contacts.linkages(_matrix(spark, d), ad.sequences(spark, d), few, 1000, 4, least=2, alpha=0.5).withColumns({c: F.round(c, 9) for c in ("size", "density", "p")})
+    few = ad.alns(spark, d).where("line = 1 and mlen > 995").select("aread", "bread", "abpos", "aepos")
+    return contacts.linkages(_matrix(spark, d), ad.sequences(spark, d), few, 1000, 4, least=1, alpha=0.9).withColumns({c: F.round(c, 9) for c in ("size", "density", "p")})
 
 
 @query(
@@ -825,3 +826,19 @@ def poisson_binomial_pvalues(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 40).alias("k"), (F.col("p_size") / 2.0).alias("mean"))
     k = F.col("k")
     return p.select("p_partkey", F.round(prob.poisson_upper_p(k, F.col("mean")), 9).alias("poisson_upper"), F.round(prob.poisson_lower_p(k, F.col("mean")), 9).alias("poisson_lower"), F.round(prob.binomial_upper_p(k, F.lit(60), F.lit(0.25)), 9).alias("binomial_upper"))
+
+
+# Streaming extension, over the table at rest
+
+
+@query("SELECT date_trunc('hour', ts) AS beg, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    return ev.windowed(table(spark, d, "events"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, min(ts) AS beg, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return ev.sessions(table(spark, d, "events"))
