@@ -31,8 +31,8 @@ def subsequence(seq: Column, beg: Column, end: Column) -> Column:
 
 
 def wrapped(seq: Column, width: int = 60) -> Column:
-    """Lines of `width`, each with its break."""
-    return F.concat(F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n"), F.lit("\n"))
+    """Lines of `width`, with breaks between them."""
+    return F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
 
 
 def mate_stem(name: Column) -> Column:

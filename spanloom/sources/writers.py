@@ -41,7 +41,7 @@ def links(rows: DataFrame, path: str, compression: str = "none") -> None:
 
 def fasta(rows: DataFrame, path: str, width: int = 60, compression: str = "none") -> None:
     """rows: name, seq."""
-    rows.select(F.concat(F.lit(">"), "name", F.lit("\n"), wrapped(F.col("seq"), width)).alias("value")).write.mode("overwrite").option("lineSep", "").option("compression", compression).text(path)
+    rows.select(F.concat(F.lit(">"), "name", F.lit("\n"), wrapped(F.col("seq"), width)).alias("value")).write.mode("overwrite").option("compression", compression).text(path)
 
 
 def groups(placed: DataFrame, path: str) -> None:
