@@ -60,16 +60,17 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -
 
     Texts are joined to what is taken of them once; rows that are equal in key and text are taken together.
     """
-    row = F.xxhash64(key, text)
-    taken = mix(docs.withColumn("row", row), key, text, carry=["row"], **options)
-    parts = taken.groupBy("row").agg(F.sum("taken").alias("taken"), F.first("size").alias("size")).where("taken > 0")
+    from spanloom.llm.near_dedup import distinct_rows
+
+    named = docs.select(F.col(key), F.col(text), F.col(options.get("source", "source")), F.xxhash64(key, text).alias("__row"))
+    taken = mix(named, key, text, carry=["__row"], **options)
+    parts = taken.groupBy("__row").agg(F.sum("taken").alias("taken"), F.first("size").alias("size")).where("taken > 0")
     parts = parts.withColumn("full", F.expr("taken div size").cast("int")).withColumn("rest", (F.col("taken") % F.col("size")).cast("int"))
     whole = F.array_repeat(F.lit(-1), F.col("full"))
-    parts = parts.select("row", F.when(F.col("rest") > 0, F.array_append(whole, F.col("rest"))).otherwise(whole).alias("parts"))
-    joined = docs.withColumn("row", row).join(parts, "row")
-    joined = joined.withColumn("copy", F.row_number().over(W.partitionBy("row").orderBy("row"))).where("copy = 1").withColumn("part", F.explode("parts"))
-    cut_text = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest("part", F.lit(0))), " ")
-    return joined.select(*[F.when(F.col("part") > 0, cut_text).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns])
+    parts = parts.select("__row", F.when(F.col("rest") > 0, F.array_append(whole, F.col("rest"))).otherwise(whole).alias("__parts"))
+    joined = distinct_rows(docs, key, text, parts).withColumn("__part", F.explode("__parts"))
+    cut_text = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest("__part", F.lit(0))), " ")
+    return joined.select(*[F.when(F.col("__part") > 0, cut_text).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
