@@ -29,27 +29,56 @@ def cut(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
     """(node, component): the least node that each is connected with. edges: a, b; nodes (node) without edges are their own.
 
-    Labels go to neighbours and take the shortcut to their own label in each round, so rounds grow with the logarithm of the longest path.
+    In each round every node goes over to the first of itself and its neighbours in the order of their hashes, and the edges are carried to
+    where their ends went. In that order a share of the nodes goes in every round whatever the graph's shape, long paths included.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    label = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    left = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    label = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("node"))
     for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        far = label.select(F.col("node").alias("hop"), F.col("label").alias("far"))
-        new = label.join(near.withColumnRenamed("a", "node"), "node").withColumn("hop", F.least("label", "near")).join(far, "hop", "left")
-        new = cut(new.select("node", F.least("hop", F.coalesce("far", "hop")).alias("next"), "label"))
-        still = not new.where("next < label").isEmpty()
-        label = new.select("node", F.col("next").alias("label"))
-        if not still:
+        both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = cut(both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select("a", F.least("m", ranked("a"))["node"].alias("to")))
+        label = cut(label.join(to, F.col("label") == F.col("a"), "left").select("node", F.coalesce("to", "label").alias("label")))
+        moved = left.join(to, "a").join(to.select(F.col("a").alias("b"), F.col("to").alias("to_b")), "b").where("to <> to_b")
+        left = cut(moved.select(F.least("to", "to_b").alias("a"), F.greatest("to", "to_b").alias("b")).distinct())
+        if left.isEmpty():
             break
-    label = label.withColumnRenamed("label", "component")
+    least = label.groupBy("label").agg(F.min("node").alias("component"))
+    label = label.join(least, "label").select("node", "component")
     if nodes is None:
-        nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+        return label
     return nodes.select("node").distinct().join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def spanning_forest(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(a, b, w): a maximum spanning forest. In each round every component takes its heaviest outgoing edge, and the components are joined along them."""
+def spanning_forest(edges: DataFrame, one_task: int = 200_000) -> DataFrame:
+    """(a, b, w): a maximum spanning forest; of equal edges the lesser ones. Components of up to `one_task` edges are a task each, larger ones go by joins."""
+    e = cut(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").alias("w")))
+    of = components(e.select("a", "b"))
+    e = cut(e.join(of.withColumnRenamed("node", "a"), "a"))
+    large = cut(e.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > one_task).select("component"))
+
+    def heaviest(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["w", "a", "b"], ascending=[False, True, True])
+        up: dict[int, int] = {}
+        keep = []
+        for a, b in zip(g["a"], g["b"], strict=True):
+            while (x := up.get(a, a)) != a:
+                up[a] = up.get(x, x)
+                a = x
+            while (x := up.get(b, b)) != b:
+                up[b] = up.get(x, x)
+                b = x
+            keep.append(a != b)
+            up[a] = b
+        return g.loc[keep, ["a", "b", "w"]]
+
+    kinds = ", ".join(f"{c} {e.schema[c].dataType.simpleString()}" for c in ("a", "b", "w"))
+    small = e.join(large, "component", "left_anti").groupBy("component").applyInPandas(heaviest, kinds)
+    return small if large.isEmpty() else small.unionByName(forest_by_joins(e.join(large, "component", "left_semi").select("a", "b", "w")))
+
+
+def forest_by_joins(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """A maximum spanning forest: in each round every component takes its heaviest outgoing edge, and the components are joined along them."""
     e = cut(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").alias("w")))
     label = cut(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
     forest = None
