@@ -12,11 +12,13 @@ from math import log10
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.overlap import EXTENDS, FIRST_INSIDE, INTERNAL, OVERHANG_SHARE, OVERHANG_SIZE, SECOND_INSIDE
 from spanloom.functions.scale import CHAIN_FRAGMENT, CHAIN_SIZE
+from spanloom.operators.groups import map_groups
 
 
 @dataclass(frozen=True)
@@ -247,32 +249,50 @@ OVERLAP = "arev boolean, brev boolean, abpos long, aepos long, bbpos long, bepos
 
 
 def overlaps(alns: DataFrame, sequences: DataFrame, options: Options = Options()) -> DataFrame:
-    """One overlap for each pair of sequences whose alignments make one. alns: aread, bread, abpos, aepos, bbpos, bepos, rev, mlen, with aread < bread."""
+    """One overlap for each pair of sequences whose alignments make one. alns: aread, bread, abpos, aepos, bbpos, bepos, rev, mlen, with aread < bread.
+
+    Pairs whose alignments together don't reach a chain's least score are passed over in whole batches.
+    """
     a, b = (sequences.select(F.col("seq").alias(x), F.col("len").alias(f"__{x}")) for x in ("aread", "bread"))
     both = alns.join(a, "aread").join(b, "bread")
     kind = alns.schema["aread"].dataType.simpleString()
+    names = ["aread", "bread", *[c.split()[0] for c in OVERLAP.split(", ")[:12]], "frags"]
+    frag = pa.list_(pa.struct([("abpos", pa.int64()), ("aepos", pa.int64()), ("bbpos", pa.int64()), ("bepos", pa.int64()), ("rev", pa.bool_())]))
+    types = {"arev": pa.bool_(), "brev": pa.bool_(), "type": pa.int32(), "neff": pa.float64(), "qual": pa.float64(), "score": pa.float64(), "frags": frag}
 
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        out = overlap_of(g, int(g["__aread"].iloc[0]), int(g["__bread"].iloc[0]), options)
-        names = ["aread", "bread", *[c.split()[0] for c in OVERLAP.split(", ")]]
-        return pd.DataFrame([{"aread": key[0], "bread": key[1], **out}] if out else [], columns=names)
+    def found(t: pa.Table, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        col = lambda c: t.column(c).to_numpy()
+        size = np.concatenate([[0], np.cumsum(col("aepos") - col("abpos") + col("bepos") - col("bbpos"))])
+        out = []
+        for i, j in zip(lo, hi, strict=True):
+            if size[j] - size[i] >= options.min_score:
+                g = t.slice(i, j - i).to_pandas()
+                o = overlap_of(g, int(g["__aread"].iloc[0]), int(g["__bread"].iloc[0]), options)
+                if o:
+                    out.append({"aread": g["aread"].iloc[0], "bread": g["bread"].iloc[0], **o})
+        return pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], types.get(n, t.schema.field("aread").type if n in ("aread", "bread") else pa.int64())) for n in names], names=names)
 
-    return both.groupBy("aread", "bread").applyInPandas(one, f"aread {kind}, bread {kind}, {OVERLAP}")
+    return map_groups(both, ["aread", "bread"], ["abpos"], found, f"aread {kind}, bread {kind}, {OVERLAP}")
 
 
 def chain_table(alns: DataFrame, gap_cost: float = 0.25) -> DataFrame:
-    """(aread, bread, rev, chains, best, members) by group: the number of chains, the size of the largest, and its number of alignments. Boxes are taken as they are."""
+    """(aread, bread, rev, chains, best, members, score) by group: the number of chains, the size of the largest, its number of alignments, and the best score. Boxes are taken as they are."""
 
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["abpos", "aepos", "bbpos", "bepos"], ignore_index=True)
-        a0, a1, b0, b1 = (g[c].to_numpy(np.int64) for c in ("abpos", "aepos", "bbpos", "bepos"))
-        y0, y1 = (-b1, -b0) if key[2] else (b0, b1)
+    def made(t: pa.Table, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        a0, a1, b0, b1, rev = (t.column(c).to_numpy() for c in ("abpos", "aepos", "bbpos", "bepos", "rev"))
         size = (a1 - a0 + b1 - b0).astype(float)
-        score, before = chain(a0, a1, y0, y1, size, gap_cost)
-        c = chains(score, before, size)
-        return pd.DataFrame([(key[0], key[1], key[2], len(c), c[0][0], len(c[0][1]), score.max())], columns=["aread", "bread", "rev", "chains", "best", "members", "score"])
-
-    return alns.groupBy("aread", "bread", "rev").applyInPandas(one, "aread long, bread long, rev boolean, chains long, best double, members long, score double")
+        # groups of one are done at once
+        count, best, members, score = np.ones(len(lo), np.int64), size[lo], np.ones(len(lo), np.int64), size[lo].copy()
+        for g in np.flatnonzero(hi - lo > 1):
+            at = slice(lo[g], hi[g])
+            y0, y1 = (-b1[at], -b0[at]) if rev[lo[g]] else (b0[at], b1[at])
+            s, before = chain(a0[at], a1[at], y0, y1, size[at], gap_cost)
+            c = chains(s, before, size[at])
+            count[g], best[g], members[g], score[g] = len(c), c[0][0], len(c[0][1]), s.max()
+        keys = [t.column(c).combine_chunks().take(pa.array(lo)) for c in ("aread", "bread", "rev")]
+        return pa.RecordBatch.from_arrays([*keys, *map(pa.array, (count, best, members, score))], names=["aread", "bread", "rev", "chains", "best", "members", "score"])
+
+    return map_groups(alns.select("aread", "bread", "rev", "abpos", "aepos", "bbpos", "bepos"), ["aread", "bread", "rev"], ["abpos", "aepos", "bbpos", "bepos"], made, "aread long, bread long, rev boolean, chains long, best double, members long, score double")
 
 
 def symmetric(ovls: DataFrame) -> DataFrame:
