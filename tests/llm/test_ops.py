@@ -291,6 +291,31 @@ def test_near_copies_are_found(spark):
     assert got == want
 
 
+def test_near_copies_against_all_pairs(spark, db, data):
+    """The query's classes over the supplied documents against those from aligning all pairs."""
+    words = {d: (t or "").split() for d, t in texts(db)}
+    ids: dict[str, int] = {}
+    coded = {d: np.array([ids.setdefault(x, len(ids)) for x in w], np.uint64) for d, w in words.items()}
+    want = {d: d for d in words}
+
+    def find(d):
+        while want[d] != d:
+            d = want[d]
+        return d
+
+    for a in sorted(words):
+        for b in sorted(words):
+            short, long = sorted((len(words[a]), len(words[b])))
+            if a < b and short and short >= 0.8 * long and near_dedup.alike(coded[a], coded[b], 0.8):
+                x, y = sorted((find(a), find(b)))
+                want[y] = x
+    got = {r.doc_id: r.class_id for r in QUERIES["op8_near_dedup"](spark, data).collect()}
+    assert len(got) == len(words)
+    linked = [d for d in words if find(d) != d]
+    assert all(find(d) == find(c) for d, c in got.items()), "no class joins documents that no chain of pairs joins"
+    assert sum(got[d] == find(d) for d in linked) >= 0.95 * len(linked)
+
+
 def test_a_very_large_bucket(spark):
     """More like documents than a bucket holds: still one class, and few pairs."""
     rng = random.Random(5)
