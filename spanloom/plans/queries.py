@@ -12,7 +12,7 @@ from spanloom.functions import overlap as geo
 from spanloom.functions import probability as prob
 from spanloom.functions import scale
 from spanloom.functions import sequence as seqf
-from spanloom.operators import breaks, chaining, contacts, graph, intervals, layout, stats
+from spanloom.operators import breaks, chaining, contacts, graph, intervals, layout, scaffold, stats
 from spanloom.plans import adapters as ad
 from spanloom.session import table
 from spanloom.streaming import events as ev
@@ -828,6 +828,62 @@ def poisson_binomial_pvalues(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.round(prob.poisson_upper_p(k, F.col("mean")), 9).alias("poisson_upper"), F.round(prob.poisson_lower_p(k, F.col("mean")), 9).alias("poisson_lower"), F.round(prob.binomial_upper_p(k, F.lit(60), F.lit(0.25)), 9).alias("binomial_upper"))
 
 
+# Scaffold groups
+
+
+@query(
+    f"""WITH {ad.STEPS}, l AS (SELECT seq, coalesce(sum("end" - beg) FILTER (cov < 9), 0)::BIGINT AS low FROM steps GROUP BY seq)
+SELECT seq, low, low < (0.7 + greatest(0.0, least(1.0, (log10(20000.0::DOUBLE) - 4.7) / (6.0 - 4.7))) * (0.3 - 0.7)) * 20000 AS repeat FROM l"""
+)
+def repeat_marks(spark: SparkSession, d: str) -> DataFrame:
+    return scaffold.repeats(_steps(spark, d), ad.sequences(spark, d), 8)
+
+
+@query(
+    f"""WITH {ad.ALNS}, m AS (SELECT s_suppkey AS seq, s_suppkey % 2 AS grp, s_suppkey % 3 = 0 AS rev FROM supplier WHERE s_suppkey < 6),
+o AS (SELECT aread, grp, abpos, aepos, alns.rev <> m.rev AS way FROM alns JOIN m ON bread = seq WHERE aread >= 6),
+e AS (SELECT aread, grp, pos, sum(x) AS x FROM (SELECT aread, grp, abpos AS pos, 1 AS x FROM o UNION ALL SELECT aread, grp, aepos, -1 FROM o) GROUP BY ALL),
+s AS (SELECT aread, grp, lead(pos) OVER w - pos AS size, sum(x) OVER w AS x FROM e WINDOW w AS (PARTITION BY aread, grp ORDER BY pos)),
+c AS (SELECT aread, grp, sum(size) FILTER (x > 0)::BIGINT AS size FROM s GROUP BY ALL),
+v AS (SELECT aread, grp, coalesce(sum(aepos - abpos) FILTER (way), 0) > coalesce(sum(aepos - abpos) FILTER (NOT way), 0) AS rev FROM o GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY aread ORDER BY size DESC, grp) AS i FROM c JOIN v USING (aread, grp) WHERE size >= 0.5 * 20000)
+SELECT aread AS seq, grp, size, rev FROM k WHERE i = 1"""
+)
+def recruited_sequences(spark: SparkSession, d: str) -> DataFrame:
+    m = ad.sequences(spark, d).where("seq < 6").select((F.col("seq") % 2).alias("grp"), "seq", (F.col("seq") % 3 == 0).alias("rev"))
+    return scaffold.recruited(ad.alns(spark, d).select("aread", "bread", "abpos", "aepos", "rev"), m, ad.sequences(spark, d), 0.5)
+
+
+@query()
+def backbone_lines(spark: SparkSession, d: str) -> DataFrame:
+    a = ad.alns(spark, d).where("aread < bread and line = 1 and mlen > 900").withColumns({"type": F.lit(geo.EXTENDS), "score": F.col("mlen").cast("double")})
+    return scaffold.backbones(a, ad.sequences(spark, d), 500)
+
+
+@query()
+def merged_groups(spark: SparkSession, d: str) -> DataFrame:
+    p = ad.edges(spark, d).where("(a * 31 + b * 17) % 41 = 0").select("a", "b", F.col("w").alias("shared"))
+    return scaffold.merged_groups(p, ad.sequences(spark, d).select(F.col("seq").alias("grp"), F.col("len").alias("size")))
+
+
+@query()
+def variant_candidates(spark: SparkSession, d: str) -> DataFrame:
+    o = ad.alns(spark, d).where("line = 2 and mlen > 500").withColumn("type", F.lit(geo.INTERNAL))
+    low = ad.sequences(spark, d).select("seq", F.col("len").alias("low"))
+    return scaffold.variant_candidates(o, low, ad.sequences(spark, d), least=400, share=0.01, near=300)
+
+
+@query(
+    f"""WITH {ad.EDGES}, x AS (SELECT a, b, w / 1000.0::DOUBLE AS s FROM edges UNION ALL SELECT b, a, w / 1000.0::DOUBLE FROM edges), e AS (SELECT *, exp((s - max(s) OVER g) / 0.2) AS e, count(*) OVER g AS n FROM x WINDOW g AS (PARTITION BY a)),
+p AS (SELECT *, e / sum(e) OVER (PARTITION BY a) AS p FROM e), c AS (SELECT a, b, s, p, CASE WHEN n > 1 THEN 1 - (-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) OVER (PARTITION BY a)) / ln(n) ELSE 1 END::DOUBLE AS conf FROM p)
+SELECT u.a, u.b, round(u.conf * v.conf * u.p * v.p * u.s, 6) AS w FROM c u JOIN c v ON u.a = v.b AND u.b = v.a"""
+)
+def mutual_attention(spark: SparkSession, d: str) -> DataFrame:
+    e = ad.edges(spark, d).select("a", "b", (F.col("w") / 1000.0).alias("w"))
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    return scaffold.mutual_attention(both).withColumn("w", F.round("w", 6))
+
+
 # Streaming extension, over the table at rest
 
 

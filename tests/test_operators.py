@@ -202,3 +202,31 @@ def test_forest_positions(spark):
     f = table(spark, [(1, 2, 1), (2, 3, 1), (7, 8, 1)], "a long, b long, w long")
     s = table(spark, [(1, 2, 5), (2, 3, -9), (7, 8, 4)], "a long, b long, shift long")
     assert rows(graph.forest_positions(f, s)) == [(1, 1, 4), (2, 1, 9), (3, 1, 0), (7, 7, 0), (8, 7, 4)]
+
+
+def test_backbone_of_three(spark):
+    from spanloom.functions.overlap import EXTENDS
+    from spanloom.operators import scaffold
+
+    s = table(spark, [(1, 101), (2, 100), (3, 100), (9, 50)], "seq long, len long")
+    # 2 goes on from the end of 1, and 3, turned, from the end of 2
+    o = table(spark, [(1, 2, 81, 101, 0, 20, False, 5.0, EXTENDS), (2, 3, 80, 100, 80, 100, True, 5.0, EXTENDS)], "aread long, bread long, abpos long, aepos long, bbpos long, bepos long, rev boolean, score double, type int")
+    assert rows(scaffold.backbones(o, s, 10)) == [(1, 0, 1, False, 0), (1, 1, 2, False, 81), (1, 2, 3, True, 161), (9, 0, 9, False, 0)]
+
+
+def test_groups_merge_by_what_they_share(spark):
+    from spanloom.operators import scaffold
+
+    sizes = table(spark, [(1, 1000), (2, 1000), (3, 1000), (4, 1000)], "grp long, size long")
+    pairs = table(spark, [(1, 2, 900), (2, 3, 300), (1, 3, 300), (3, 4, 10)], "a long, b long, shared long")
+    assert rows(scaffold.merged_groups(pairs, sizes)) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_variants_that_nothing_spans(spark):
+    from spanloom.functions.overlap import INTERNAL
+    from spanloom.operators import scaffold
+
+    o = table(spark, [(1, 1000, 4000, INTERNAL), (1, 1050, 3900, INTERNAL), (1, 3000, 6000, 0)], "aread long, abpos long, aepos long, type int")
+    s = table(spark, [(1, 9000)], "seq long, len long")
+    low = table(spark, [(1, 9000)], "seq long, low long")
+    assert rows(scaffold.variant_candidates(o, low, s, least=500, share=0.1, near=200)) == [(1, 1000, 2)]
