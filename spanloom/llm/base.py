@@ -52,7 +52,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batch: pa.RecordBatch, name: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch, name: str, limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch whose texts hold about `limit` bytes (one longer text is a slice of its own), each with its bytes and offsets."""
     if not batch.num_rows:
         return
@@ -64,3 +64,4 @@ def chunks(batch: pa.RecordBatch, name: str, limit: int = 1 << 20) -> Iterator[t
         hi = min(hi, batch.num_rows)
         yield batch.slice(lo, hi - lo), body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took

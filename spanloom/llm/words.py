@@ -6,8 +6,6 @@ prefix sums of a polynomial modulo 2**64, so that the work is a fixed number of
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 SPACE = np.zeros(256, bool)
@@ -25,15 +23,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(maxsize=32)
-def _powers(p: int, size: int) -> np.ndarray:
-    out = np.full(size, p, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+#: The powers made so far, one array a base; a longer one takes its place.
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(p: np.uint64, n: int) -> np.ndarray:
-    return _powers(int(p), 1 << max(16, int(n).bit_length()))[:n]
+    have = _powers.get(int(p))
+    if have is None or len(have) < n:
+        have = np.full(1 << max(16, int(n - 1).bit_length()), p, np.uint64)
+        have[0] = 1
+        _powers[int(p)] = have = np.cumprod(have)
+    return have[:n]
 
 
 def inverse_powers(p: np.uint64, n: int) -> np.ndarray:
