@@ -5,8 +5,9 @@ key. A sketch samples the `size` least occurrence-labelled k-mers
 of words under one hash function and keeps them in text order, so it agrees for two texts as their k-mers and their order do. Each
 sketch is a bucket key of its own. A bucket of up to `full` documents is compared within itself; a larger one is divided by further
 sketches of its documents, until it is small enough or the sketches are used up: what is still together then agrees throughout. In a
-bucket, documents whose sketches agree in part are paired with the bucket's leaders, in key order, so a bucket of n like documents gives
-n - 1 pairs and not n * n; what is compared there is one byte of each sketch. Pairs are verified by banded alignment of their words (edit
+bucket, each document is paired with the bucket's leaders, in key order, so a bucket of n like documents gives n - 1 pairs and not n * n;
+one byte of each sketch says who leads. One shared bucket is enough for a pair; only those whose numbers of words are too far apart for the
+similarity, which no alignment could pass, are left out. Pairs are verified by banded alignment of their words (edit
 distance with a band that grows up to the limit), and verified pairs are closed into classes by contraction through joins. Words
 are aligned by 16 bits of their hash, which halves what is shuffled: one in 65536 unequal pairs of words counts as equal.
 
@@ -168,19 +169,24 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return edit_distance(a, b, limit) <= limit
 
 
-def led_pairs(ids: np.ndarray, sketch: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within a bucket, in id order: each document with the leaders that it agrees with in `least` sketches or more.
+def near_sizes(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts of so many words can be alike at all: a difference in words is as many edits."""
+    return np.abs(a - b) <= np.floor((1 - similarity) * np.maximum(a, b) + 1e-9)
+
+
+def led_pairs(ids: np.ndarray, sketch: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within a bucket, in id order: each document with the leaders whose number of words is near its own.
 
     One that agrees with no leader in half of the sketches becomes a leader.
     """
     order = np.argsort(ids, kind="stable")
-    ids, sketch = ids[order], sketch[order]
+    ids, sketch, size = ids[order], sketch[order], size[order]
     leaders, left, right = [0], [], []
     table_ = np.empty_like(sketch)
     table_[0] = sketch[0]
     for i in range(1, len(ids)):
         agree = (table_[: len(leaders)] == sketch[i]).sum(axis=1)
-        for j in np.flatnonzero(agree >= least):
+        for j in np.flatnonzero(near_sizes(size[leaders], size[i], similarity)):
             left.append(leaders[j])
             right.append(i)
         if agree.max() * 2 < sketch.shape[1]:
@@ -189,20 +195,20 @@ def led_pairs(ids: np.ndarray, sketch: np.ndarray, least: int) -> tuple[np.ndarr
     return ids[left], ids[right]
 
 
-def bucket_pairs(batches: Iterator[pa.RecordBatch], number: int, least: int) -> Iterator[pa.RecordBatch]:
-    """(u, v) of rows (bucket, id, sig) that come sorted by bucket; a bucket that reaches over batches is held until it ends."""
+def bucket_pairs(batches: Iterator[pa.RecordBatch], number: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(u, v) of rows (bucket, id, sig, size) that come sorted by bucket; a bucket that reaches over batches is held until it ends."""
     held: pa.Table | None = None
 
     def pairs(t: pa.Table, upto: int) -> pa.RecordBatch:
-        bucket, ids = (t.column(c).to_numpy()[:upto] for c in ("bucket", "id"))
+        bucket, ids, size = (t.column(c).to_numpy()[:upto] for c in ("bucket", "id", "size"))
         sig = np.frombuffer(b"".join(t.column("sig").slice(0, upto).to_pylist()), np.uint8).reshape(upto, number)
         starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if upto else np.zeros(0, int)
         sizes = np.diff(np.append(starts, upto))
         two = starts[sizes == 2]
-        two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= least]
+        two = two[near_sizes(size[two], size[two + 1], similarity)]
         u, v = [np.minimum(ids[two], ids[two + 1])], [np.maximum(ids[two], ids[two + 1])]
         for b, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            x, y = led_pairs(ids[b : b + n], sig[b : b + n], least)
+            x, y = led_pairs(ids[b : b + n], sig[b : b + n], size[b : b + n], similarity)
             u.append(x)
             v.append(y)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u), pa.int64()), pa.array(np.concatenate(v), pa.int64())], names=["u", "v"])
@@ -220,23 +226,25 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], number: int, least: int) ->
         yield pairs(held, held.num_rows)
 
 
-def candidates(drawn: DataFrame, number: int, full: int = 128, least: int = 2, depth: int = 6) -> DataFrame:
-    """(u, v), u < v, of documents to compare. drawn: id, keys array<long>, sig binary of a byte a sketch."""
-    level = drawn.select("id", "sig", F.posexplode("keys").alias("slot", "key")).select("id", "sig", "slot", F.xxhash64("slot", "key").alias("bucket"))
+def candidates(drawn: DataFrame, number: int, similarity: float = 0.8, full: int = 128, depth: int = 6) -> DataFrame:
+    """(u, v), u < v, of documents to compare. drawn: id, keys array<long>, sig binary of a byte a sketch, size (words)."""
+    level = drawn.select("id", F.posexplode("keys").alias("slot", "key")).select("id", "slot", F.xxhash64("slot", "key").alias("bucket"))
     small: DataFrame | None = None
     large: DataFrame | None = level
     for step in range(1, depth + 1):
         sizes = large.groupBy("bucket").agg(F.count("*").alias("n"))
         many = cut(sizes.where(F.col("n") > 1).select("bucket", (F.col("n") > full).alias("large")))
         joined = large.join(many, "bucket")
-        rows = joined.where("not large").select("bucket", "id", "sig")
+        if step == 1:  # only documents that share a bucket take their bytes along
+            joined = cut(joined.join(drawn.select("id", "sig", "size"), "id"))
+        rows = joined.where("not large").select("bucket", "id", "sig", "size")
         small = rows if small is None else small.unionByName(rows)
         if many.where("large").isEmpty():
             large = None
             break
         further = F.substring("sig", 1, 1) if number == 1 else F.call_function("substring", F.col("sig"), ((F.col("slot") + step * 7) % number + 1).cast("int"), F.lit(1))
-        large = cut(joined.where("large").select("id", "sig", "slot", F.xxhash64("bucket", further).alias("bucket")))
-    run = lambda batches: bucket_pairs(batches, number, least)
+        large = cut(joined.where("large").select("id", "sig", "size", "slot", F.xxhash64("bucket", further).alias("bucket")))
+    run = lambda batches: bucket_pairs(batches, number, similarity)
     pairs = small.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "u long, v long").distinct()
     if large is not None:
         # still together after `depth` sketches: a chain through the bucket, and a pair with its first document
@@ -268,7 +276,7 @@ def classes(links: DataFrame, rounds: int = 60) -> DataFrame:
     return label
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, size: int = 2, number: int = 20, similarity: float = 0.8) -> DataFrame:
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, size: int = 2, number: int = 40, similarity: float = 0.8) -> DataFrame:
     """(key, row, class_id, links, label) of each row: links is the number of verified pairs of the row's text; class_id the least key of its class; row and label the hashes of the row and of its class."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), whole.alias("text"))
@@ -284,15 +292,16 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(made.view(np.int64).ravel()))
                 raw, place = (made >> np.uint64(56)).astype(np.uint8).tobytes(), np.cumsum(words) - words
                 sig = pa.array([raw[p * number : (p + 1) * number] if w else b"" for p, w in zip(place.tolist(), words.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], lists, sig, pa.array(words)], names=["doc_id", "row", "same", "same2", "keys", "sig", "words"])
+                counts = pa.array(Words(body, off).counts, pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], lists, sig, counts, pa.array(words)], names=["doc_id", "row", "same", "same2", "keys", "sig", "size", "words"])
 
     twice = rows.select("doc_id", "row", F.xxhash64("text").alias("same"), F.xxhash64(F.lit("2"), "text").alias("same2"), "text")
-    drawn = cut(twice.mapInArrow(sketched, f"doc_id {kind}, row long, same long, same2 long, keys array<long>, sig binary, words boolean"))
+    drawn = cut(twice.mapInArrow(sketched, f"doc_id {kind}, row long, same long, same2 long, keys array<long>, sig binary, size long, words boolean"))
     members = drawn.select("doc_id", "row", "same", "same2", "words")
     # equal texts: the row of the least key stands for them
-    reps = drawn.groupBy("same", "same2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("words").alias("words"))
+    reps = drawn.groupBy("same", "same2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("size").alias("size"), F.first("words").alias("words"))
     texts = cut(reps)
-    pairs = cut(candidates(texts.where("words").select("id", "keys", "sig"), number))
+    pairs = cut(candidates(texts.where("words").select("id", "keys", "sig", "size"), number, similarity))
     # both texts of a pair, as word hashes
     used = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
 

@@ -316,6 +316,19 @@ def test_near_copies_against_all_pairs(spark, db, data):
     assert sum(got[d] == find(d) for d in linked) >= 0.95 * len(linked)
 
 
+def test_scattered_edits_are_found(spark):
+    """Pairs at edit similarity 0.82 to 0.88, whose edits leave few long runs of words."""
+    rng = random.Random(7)
+    rows, want = [], {}
+    for g in range(120):
+        base = [f"v{rng.randint(0, 5000)}" for _ in range(400)]
+        for words in (base, edited(rng, base, (0.12, 0.15, 0.18)[g % 3])):
+            want[len(rows)] = 2 * g
+            rows.append((len(rows), " ".join(words)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert sum(got[d] == c for d, c in want.items()) >= len(want) - 2, "one pair in 120 may be missed"
+
+
 def test_a_very_large_bucket(spark):
     """More like documents than a bucket holds: still one class, and few pairs."""
     rng = random.Random(5)
