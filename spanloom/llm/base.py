@@ -22,15 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a checkpoint in the folder that the cluster names.
 
-    Only where spark.checkpoint.dir is unset (tests) a temporary folder is used.
+    Only on a local master (tests) a temporary folder is used where spark.checkpoint.dir is unset.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
     return df.checkpoint()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with as many signs before it as it takes to clash with no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long, computed in the JVM; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

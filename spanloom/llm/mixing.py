@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.base import WORD, cut, table, word_count
+from spanloom.llm.base import WORD, cut, table, unused, word_count
 
 
 def random_key(key: Column, seed: str) -> Column:
@@ -55,22 +55,24 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return joined.withColumn("start", start).withColumn("epochs", epochs).select(F.col("id").alias(key), "source", "size", "source_size", "target", taken.alias("taken"), *(carry or []))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of `docs` as often as they are taken, the last of a source cut after the words taken from it.
 
-    Texts are joined to what is taken of them once; rows that are equal in key and text are taken together.
+    Texts are joined to what is taken of them once. Rows that are equal in key, text and source are taken together, with the other columns
+    of the one whose columns have the least hash. All columns are returned, whatever their names.
     """
     from spanloom.llm.near_dedup import distinct_rows
 
-    named = docs.select(F.col(key), F.col(text), F.col(options.get("source", "source")), F.xxhash64(key, text).alias("__row"))
-    taken = mix(named, key, text, carry=["__row"], **options)
-    parts = taken.groupBy("__row").agg(F.sum("taken").alias("taken"), F.first("size").alias("size")).where("taken > 0")
+    by, row = [key, text, source], unused(docs, "row")
+    named = docs.select(*by, F.xxhash64(*by).alias("row"))
+    taken = mix(named.withColumnsRenamed({key: "key", text: "text", source: "source"}), "key", carry=["row"], **options)
+    parts = taken.groupBy("row").agg(F.sum("taken").alias("taken"), F.first("size").alias("size")).where("taken > 0")
     parts = parts.withColumn("full", F.expr("taken div size").cast("int")).withColumn("rest", (F.col("taken") % F.col("size")).cast("int"))
-    whole = F.array_repeat(F.lit(-1), F.col("full"))
-    parts = parts.select("__row", F.when(F.col("rest") > 0, F.array_append(whole, F.col("rest"))).otherwise(whole).alias("__parts"))
-    joined = distinct_rows(docs, key, text, parts).withColumn("__part", F.explode("__parts"))
-    cut_text = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest("__part", F.lit(0))), " ")
-    return joined.select(*[F.when(F.col("__part") > 0, cut_text).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    whole, part = F.array_repeat(F.lit(-1), F.col("full")), unused(docs, "part")
+    parts = parts.select(F.col("row").alias(row), F.when(F.col("rest") > 0, F.array_append(whole, F.col("rest"))).otherwise(whole).alias(part))
+    joined = distinct_rows(docs, by, parts, row).withColumn(part, F.explode(part))
+    cut_text = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest(part, F.lit(0))), " ")
+    return joined.select(*[F.when(F.col(part) > 0, cut_text).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,27 @@
 """Near duplicates by Order MinHash (op8).
 
-Sketches are drawn in the scan, so texts are not shuffled for them. Equal texts are one document from there on, represented by the least
-key. A sketch samples the `size` least occurrence-labelled k-mers
-of words under one hash function and keeps them in text order, so it agrees for two texts as their k-mers and their order do. Each
-sketch is a bucket key of its own. A bucket of up to `full` documents is compared within itself; a larger one is divided by further
-sketches of its documents, until it is small enough or the sketches are used up: what is still together then agrees throughout. In a
-bucket, each document is paired with the bucket's leaders, in key order, so a bucket of n like documents gives n - 1 pairs and not n * n;
-one byte of each sketch says who leads. One shared bucket is enough for a pair; only those whose numbers of words are too far apart for the
-similarity, which no alignment could pass, are left out. Pairs are verified by banded alignment of their words (edit
-distance with a band that grows up to the limit), and verified pairs are closed into classes by contraction through joins. Words
-are aligned by 16 bits of their hash, which halves what is shuffled: one in 65536 unequal pairs of words counts as equal.
-
-Two texts are near duplicates if 1 - (edit distance in words) / (words of the longer one) is at least `similarity`. Texts without words
-are in a class of their own each. Null texts count as empty. Rows that share key and text are one document. The class is named by its
-least key; a null key never names a class with other keys.
+Two texts are near duplicates if 1 - (edit distance in words) / (words of the longer one) is at least `similarity`; classes are closed
+over such pairs.
+
+1. Sketches are drawn in the scan, so texts are not shuffled for them. Equal texts are one document from there on, represented by the
+   least row hash of the least key. A sketch samples the `size` least occurrence-labelled k-mers of words under one hash function and keeps
+   them in text order, so it agrees for two texts as their k-mers and their order do. Each of the `number` sketches is a bucket key of
+   its own, and one shared bucket makes a pair a candidate, however large the bucket is.
+2. Each document takes along how many of its words fall into each of 64 bins, in 4 bits a bin. The bins bound the edit distance from
+   below, so a candidate that they rule out is surely none; this is what keeps a bucket of texts that share one passage cheap.
+3. A bucket is dealt out in parts of about `part` documents. In each part a document is paired with the first ones that the bins allow, in
+   id order, so a bucket of n like documents gives some n pairs. The pairs are verified on their words by alignment with a growing band,
+   and closed into classes by contraction through joins.
+4. Buckets that have pairs left come again, with their parts crossed: only pairs of different classes are taken, and each document may have 16
+   times as many as before, until nothing is left. So every candidate is verified, or is in one class by others that are.
+
+The work on a bucket is linear in its documents where they are near duplicates of each other; for those that are not, it is a
+comparison of bins for each pair, in blocks of `part` by `part`, spread over all tasks.
+
+Null texts count as empty. Texts without words are in a class of their own each, whatever the key. Rows that share key and text are one
+document, in one class. The class is named by its least key; a null key never names a class with other keys. Texts of any length are
+read and aligned whole. An empty table gives no rows. Other columns are not read by `near_classes`; `keep_one` returns all columns of its
+input, whatever their names, and of rows that share key and text the one whose columns have the least hash.
 """
 
 from __future__ import annotations
@@ -22,12 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.base import chunks, cut, table
-from spanloom.llm.words import P1, P2, P3, Words, inverse_powers, mix, prefix, span_hash
+from spanloom.llm.base import chunks, cut, table, unused
+from spanloom.llm.words import P1, P2, P3, Words, mix, prefix, span_hash
+
+BINS = 64
 
 
 def labelled(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,9 +61,8 @@ def labelled(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return mer, mix(mer + number * P1), doc, first
 
 
-def sketches(body: np.ndarray, off: np.ndarray, k: int, size: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+def sketches(w: Words, k: int, size: int, number: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts that have words, and `number` sketches of each."""
-    w = Words(body, off)
     mer, label, doc, first = labelled(w, k)
     texts = np.flatnonzero(np.diff(first))
     heads = first[texts]
@@ -77,11 +86,23 @@ def sketches(body: np.ndarray, off: np.ndarray, k: int, size: int, number: int)
     return texts, out
 
 
+def binned(w: Words) -> np.ndarray:
+    """How many words of each text fall into each bin, 15 at most, two bins a byte."""
+    at = w.doc() * BINS + (w.hashes(P3) % np.uint64(BINS)).astype(np.int64)
+    n = np.minimum(np.bincount(at, minlength=BINS * (len(w.first) - 1)), 15).astype(np.uint8)
+    return (n[0::2] | (n[1::2] << 4)).reshape(-1, BINS // 2)
+
+
+def unbinned(packed: np.ndarray) -> np.ndarray:
+    out = np.empty((len(packed), BINS), np.uint8)
+    out[:, 0::2], out[:, 1::2] = packed & 15, packed >> 4
+    return out
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
-    """Edit distance of two word sequences, or limit + 1 if it is above the limit.
+    """Edit distance of two sequences of small numbers, or limit + 1 if it is above the limit.
 
-    The band grows by one diagonal to either side with each edit; on each diagonal the furthest place reached is kept, and equal words
-    are skipped by binary search over prefix hashes.
+    The band grows by one diagonal to either side with each edit; on each diagonal the furthest place reached is kept.
     """
     n, m = len(a), len(b)
     if abs(n - m) > limit:
@@ -99,42 +120,25 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     n, m = len(a), len(b)
     if not n or not m:
         return n + m if n + m <= limit else limit + 1
-    if max(n, m) - np.minimum(*_common(a, b)).sum() > limit:
+    most = int(max(a.max(), b.max())) + 1
+    if max(n, m) - np.minimum(np.bincount(a, minlength=most), np.bincount(b, minlength=most)).sum() > limit:
         return limit + 1
-    sa, sb = prefix(a, P2), prefix(b, P2)
-    back = inverse_powers(P2, max(len(sa), len(sb)))
-    steps = [1 << i for i in range(min(n, m).bit_length() - 1, -1, -1)]
+    pad = 1024
+    a, b = np.append(a, np.full(pad, -1)), np.append(b, np.full(pad, -2))
 
     def slide(i: np.ndarray, d: np.ndarray) -> np.ndarray:
         """i: places in a, on diagonals d = place in b - place in a; moved over equal words."""
-        j = i + d
-        at = np.flatnonzero((i < n) & (j < m))
-        at = at[a[i[at]] == b[j[at]]]
-        if len(at) > 8:
-            x, y = i[at], j[at]
-            for s in steps:
-                ok = np.flatnonzero((x + s <= n) & (y + s <= m))
-                u, v = x[ok], y[ok]
-                same = ok[(sa[u + s] - sa[u]) * back[u] == (sb[v + s] - sb[v]) * back[v]]
-                x[same] += s
-                y[same] += s
-            i[at] = x
-            return i
-        for t in at:
-            x, y, s = int(i[t]), int(j[t]), 32
-            while True:
-                u, v = a[x : x + s], b[y : y + s]
-                size = min(len(u), len(v))
-                differ = u[:size] != v[:size]
-                step = int(differ.argmax()) if size else 0
-                if size and differ[step]:
-                    x += step
-                    break
-                x, y = x + size, y + size
-                if size < s:
-                    break
-                s *= 4
-            i[t] = x
+        at = np.flatnonzero(a[i] == b[i + d])
+        i[at] += 1
+        width = 8
+        while len(at):
+            steps = np.arange(width)
+            x = i[at][:, None] + steps
+            same = a[x] == b[x + d[at][:, None]]
+            run = np.where(same.all(axis=1), width, same.argmin(axis=1))
+            i[at] += run
+            at = at[run == width]
+            width = min(4 * width, max(8, pad // max(len(at), 1)))
         return i
 
     reach = slide(np.zeros(1, np.int64), np.zeros(1, np.int64))
@@ -155,116 +159,126 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     return limit + 1
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often each word that is in both is in either."""
-    x, nx = np.unique(a, return_counts=True)
-    y, ny = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return nx[i], ny[j]
+def allowed(longer: np.ndarray, similarity: float) -> np.ndarray:
+    """The edits that texts may be apart, by the words of the longer one."""
+    return np.floor((1 - similarity) * longer + 1e-9)
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    longer = max(len(a), len(b))
-    limit = int(np.floor((1 - similarity) * longer + 1e-9))
-    return edit_distance(a, b, limit) <= limit
+def alike(a: list, b: list, similarity: float) -> bool:
+    """Whether two lists of words are near duplicates; the words themselves are compared."""
+    limit = int(allowed(max(len(a), len(b)), similarity))
+    if abs(len(a) - len(b)) > limit:
+        return False
+    known: dict = {}
+    x, y = (np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)) for words in (a, b))
+    return edit_distance(x, y, limit) <= limit
 
 
-def near_sizes(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether texts of so many words can be alike at all: a difference in words is as many edits."""
-    return np.abs(a - b) <= np.floor((1 - similarity) * np.maximum(a, b) + 1e-9)
+def possible(bins: np.ndarray, total: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the bins (total: their sums) and numbers of words of documents i and j leave room for the similarity.
+
+    Each word that a bin has more of in one text is an edit at least, and so is each word that a text is longer by.
+    """
+    common = np.minimum(bins[i], bins[j]).sum(axis=-1, dtype=np.int32)
+    least = np.maximum(np.maximum(total[i], total[j]) - common, np.abs(size[i] - size[j]))
+    return least <= allowed(np.maximum(size[i], size[j]), similarity)
 
 
-def led_pairs(ids: np.ndarray, sketch: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within a bucket, in id order: each document with the leaders whose number of words is near its own.
+def first_pairs(bins: np.ndarray, total: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray, starts: np.ndarray, n: int, allow: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of cells of n rows each: every row with the first `allow` rows before it in its cell that are possible, and the cells where a row has more.
 
-    One that agrees with no leader in half of the sketches becomes a leader.
+    Only rows of different labels and, in a cell of two sides, of different sides.
+    """
+    left, right, more = [], [], []
+    together = max(1, (1 << 14) // (n * n))  # cells at a time
+    for lo in range(0, len(starts), together):
+        first = starts[lo : lo + together]
+        for top in range(0, n, 64):  # rows at a time
+            j, i = (x.ravel() for x in np.meshgrid(np.arange(top, min(top + 64, n)), np.arange(min(top + 64, n)), indexing="ij"))
+            j, i = j[i < j], i[i < j]
+            u, v = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+            ok = label[u] != label[v]
+            crossed = side[first] != side[first + n - 1]
+            if crossed.any():
+                ok &= (side[u] != side[v]) | ~np.repeat(crossed, len(i))
+            u, v = u[ok], v[ok]
+            ok = possible(bins, total, size, u, v, similarity)
+            u, v = u[ok], v[ok]  # v comes in order
+            nth = np.arange(len(v)) - np.searchsorted(v, v)
+            left.append(u[nth < allow])
+            right.append(v[nth < allow])
+            more.append(v[nth >= allow])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(more)
+
+
+def bucket_pairs(batches: Iterator[pa.RecordBatch], allow: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(bucket, u, v) of rows (cell, bucket, id, label, side, size, bins) that come sorted by cell, side and id.
+
+    A row without u and v tells that its bucket has more pairs. A cell that reaches over batches is held until it ends.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, sketch, size = ids[order], sketch[order], size[order]
-    leaders, left, right = [0], [], []
-    table_ = np.empty_like(sketch)
-    table_[0] = sketch[0]
-    for i in range(1, len(ids)):
-        agree = (table_[: len(leaders)] == sketch[i]).sum(axis=1)
-        for j in np.flatnonzero(near_sizes(size[leaders], size[i], similarity)):
-            left.append(leaders[j])
-            right.append(i)
-        if agree.max() * 2 < sketch.shape[1]:
-            table_[len(leaders)] = sketch[i]
-            leaders.append(i)
-    return ids[left], ids[right]
-
-
-def bucket_pairs(batches: Iterator[pa.RecordBatch], number: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """(u, v) of rows (bucket, id, sig, size) that come sorted by bucket; a bucket that reaches over batches is held until it ends."""
     held: pa.Table | None = None
 
-    def pairs(t: pa.Table, upto: int) -> pa.RecordBatch:
-        bucket, ids, size = (t.column(c).to_numpy()[:upto] for c in ("bucket", "id", "size"))
-        sig = np.frombuffer(b"".join(t.column("sig").slice(0, upto).to_pylist()), np.uint8).reshape(upto, number)
-        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if upto else np.zeros(0, int)
-        sizes = np.diff(np.append(starts, upto))
-        two = starts[sizes == 2]
-        two = two[near_sizes(size[two], size[two + 1], similarity)]
-        u, v = [np.minimum(ids[two], ids[two + 1])], [np.maximum(ids[two], ids[two + 1])]
-        for b, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            x, y = led_pairs(ids[b : b + n], sig[b : b + n], size[b : b + n], similarity)
-            u.append(x)
-            v.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u), pa.int64()), pa.array(np.concatenate(v), pa.int64())], names=["u", "v"])
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        cell, bucket, ids, label, side, size = (t.column(c).to_numpy() for c in ("cell", "bucket", "id", "label", "side", "size"))
+        bins = unbinned(np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(len(ids), BINS // 2))
+        total = bins.sum(axis=1, dtype=np.int32)
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        sizes = np.diff(np.append(starts, len(cell)))
+        none = np.zeros(0, np.int64)
+        found = [(none, none, none), *(first_pairs(bins, total, size, label, side, starts[sizes == n], int(n), allow, similarity) for n in np.unique(sizes[sizes > 1]))]
+        i, j, more = (np.concatenate(x) for x in zip(*found, strict=True))
+        full = np.unique(bucket[more])
+        of = np.concatenate([bucket[i], full])
+        left, right = (pa.array(np.concatenate([x, full]), pa.int64(), mask=np.arange(len(of)) >= len(i)) for x in (np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
+        return pa.RecordBatch.from_arrays([pa.array(of), left, right], names=["bucket", "u", "v"])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = t if held is None else pa.concat_tables([held, t])
-        bucket = t.column("bucket").to_numpy()
-        same = np.flatnonzero(bucket != bucket[-1]) if len(bucket) else np.zeros(0, int)
+        cell = t.column("cell").to_numpy()
+        same = np.flatnonzero(cell != cell[-1]) if len(cell) else np.zeros(0, int)
         upto = int(same[-1]) + 1 if len(same) else 0
         if upto:
-            yield pairs(t, upto)
+            yield pairs(t.slice(0, upto))
         held = t.slice(upto)
     if held is not None and held.num_rows:
-        yield pairs(held, held.num_rows)
-
-
-def candidates(drawn: DataFrame, number: int, similarity: float = 0.8, full: int = 128, depth: int = 6) -> DataFrame:
-    """(u, v), u < v, of documents to compare. drawn: id, keys array<long>, sig binary of a byte a sketch, size (words)."""
-    level = drawn.select("id", F.posexplode("keys").alias("slot", "key")).select("id", "slot", F.xxhash64("slot", "key").alias("bucket"))
-    small: DataFrame | None = None
-    large: DataFrame | None = level
-    for step in range(1, depth + 1):
-        sizes = large.groupBy("bucket").agg(F.count("*").alias("n"))
-        many = cut(sizes.where(F.col("n") > 1).select("bucket", (F.col("n") > full).alias("large")))
-        joined = large.join(many, "bucket")
-        if step == 1:  # only documents that share a bucket take their bytes along
-            joined = cut(joined.join(drawn.select("id", "sig", "size"), "id"))
-        rows = joined.where("not large").select("bucket", "id", "sig", "size")
-        small = rows if small is None else small.unionByName(rows)
-        if many.where("large").isEmpty():
-            large = None
-            break
-        further = F.substring("sig", 1, 1) if number == 1 else F.call_function("substring", F.col("sig"), ((F.col("slot") + step * 7) % number + 1).cast("int"), F.lit(1))
-        large = cut(joined.where("large").select("id", "sig", "size", "slot", F.xxhash64("bucket", further).alias("bucket")))
-    run = lambda batches: bucket_pairs(batches, number, similarity)
-    pairs = small.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "u long, v long").distinct()
-    if large is not None:
-        # still together after `depth` sketches: a chain through the bucket, and a pair with its first document
-        order = W.partitionBy("bucket").orderBy("id")
-        chain = large.withColumn("before", F.lag("id").over(order)).withColumn("first", F.min("id").over(W.partitionBy("bucket"))).where("before is not null")
-        chain = chain.select(F.explode(F.array_distinct(F.array("before", "first"))).alias("u"), F.col("id").alias("v"))
-        pairs = pairs.unionByName(chain).distinct()
-    return pairs
-
-
-def classes(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, label) of every document with a link: one label for all that are connected.
+        yield pairs(held)
+
+
+def bucket_rows(drawn: DataFrame, part: int) -> DataFrame:
+    """(bucket, id, part, parts, size, bins) of the documents that share a bucket with others. drawn: id, keys array<long>, size, bins."""
+    level = drawn.select("id", F.posexplode("keys").alias("slot", "key")).select("id", F.xxhash64("slot", "key").alias("bucket"))
+    # a table of its own, so that both sides of the join are plain exchanges and Spark can split a hot bucket
+    many = cut(level.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    parts = F.ceil(F.col("n") / part).cast("int")
+    shared = level.join(many, "bucket").select("bucket", "id", F.pmod(F.xxhash64("id", "bucket"), parts).cast("int").alias("part"), parts.alias("parts"))
+    return cut(shared.join(drawn.select("id", "size", "bins"), "id"))
+
+
+def cell_pairs(cells: DataFrame, allow: int, similarity: float) -> DataFrame:
+    """`bucket_pairs` of cells, which are dealt out whole. cells: cell, bucket, id, label, side, size, bins."""
+    run = lambda batches: bucket_pairs(batches, allow, similarity)
+    dealt = cells.select("cell", "bucket", "id", "label", "side", "size", "bins").repartition("cell").sortWithinPartitions("cell", "side", "id")
+    return cut(dealt.mapInArrow(run, "bucket long, u long, v long"))
+
+
+def crossed(rows: DataFrame) -> DataFrame:
+    """Each part of a bucket with itself and each other part: rows of `bucket_rows` by cell and side."""
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    pair = rows.withColumn("other", other)
+    return pair.withColumns({"cell": F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")), "side": F.col("part")})
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(id, label) of every node with an edge (u, v): one label for all that are connected.
 
     In each round every node goes over to the least of itself and its neighbours, and the links are carried to where their ends went;
     links within one node and repeated ones go, so large classes shrink at once. Ids are hashes, in whose random order a share of the
-    nodes goes in every round, whatever the classes' shapes.
+    nodes goes in every round, whatever the classes' shapes. Every round takes the larger end of each link away, so the rounds end.
     """
-    edges = cut(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
+    edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
     label = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("label", F.col("id"))
-    for _ in range(rounds):
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         to = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")))
         label = cut(label.join(to, F.col("label") == F.col("u"), "left").select("id", F.coalesce("to", "label").alias("label")))
@@ -272,8 +286,50 @@ def classes(links: DataFrame, rounds: int = 60) -> DataFrame:
         moved = edges.join(to, "u").join(there, "v").where("to <> to_v")
         edges = cut(moved.select(F.least("to", "to_v").alias("u"), F.greatest("to", "to_v").alias("v")).distinct())
         if edges.isEmpty():
-            break
-    return label
+            return label
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose texts are near duplicates. texts: id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(i).cast(pa.binary()) for i in (2, 3))
+            ok = [alike(x.as_py().split(), y.as_py().split(), similarity) for x, y in zip(a, b, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    used = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    # a table of its own, so that both sides of the joins are plain exchanges and Spark can split a hot text
+    needed = cut(texts.join(used, "id", "left_semi").dropDuplicates(["id"]))
+    one, two = (needed.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("u", "a"), ("v", "b")))
+    return cut(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+
+
+def linked(drawn: DataFrame, texts: DataFrame, similarity: float, part: int = 2048, allow: int = 2) -> tuple[DataFrame, DataFrame | None]:
+    """The verified pairs (u, v), and (id, label) of all documents that they link. drawn: id, keys, size, bins; texts: id, text."""
+    rows = bucket_rows(drawn, part)
+    first = rows.withColumns({"cell": F.xxhash64("bucket", "part", "part"), "side": F.col("part"), "label": F.col("id")})
+    got = cell_pairs(first, allow, similarity)
+    tried = cut(got.where("u is not null").select("u", "v").distinct())
+    links = verified(tried, texts, similarity)
+    label = contracted(links)
+    open_ = got.where("u is null").select("bucket").unionByName(rows.where("parts > 1").select("bucket")).distinct()
+    while True:
+        allow *= 16
+        left = rows.join(open_, "bucket", "left_semi").join(label.withColumnRenamed("label", "to"), "id", "left").withColumn("label", F.coalesce("to", "id"))
+        left = cut(left.drop("to"))
+        mixed = cut(left.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("several")).where("several").select("bucket"))
+        if mixed.isEmpty():
+            return links, label
+        got = cell_pairs(crossed(left.join(mixed, "bucket")), allow, similarity)
+        new = cut(got.where("u is not null").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
+        more = verified(new, texts, similarity)
+        links, tried = links.unionByName(more), tried.unionByName(new)
+        named = more.join(label.select(F.col("id").alias("u"), F.col("label").alias("x")), "u", "left").join(label.select(F.col("id").alias("v"), F.col("label").alias("y")), "v", "left")
+        over = contracted(named.select(F.coalesce("x", "u").alias("u"), F.coalesce("y", "v").alias("v")))
+        every = label.unionByName(more.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(label, "id", "left_anti").withColumn("label", F.col("id")))
+        label = cut(every.join(over.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        open_ = got.where("u is null").select("bucket").distinct()
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, size: int = 2, number: int = 40, similarity: float = 0.8) -> DataFrame:
@@ -284,49 +340,25 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, body, off in chunks(b, "text"):
-                at, made = sketches(body, off, k, size, number)
-                words = np.zeros(part.num_rows, bool)
+            for given, body, off in chunks(b, "text"):
+                w = Words(body, off)
+                at, made = sketches(w, k, size, number)
+                words = np.zeros(given.num_rows, bool)
                 words[at] = True
                 ends = np.concatenate([[0], np.cumsum(words * number)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(made.view(np.int64).ravel()))
-                raw, place = (made >> np.uint64(56)).astype(np.uint8).tobytes(), np.cumsum(words) - words
-                sig = pa.array([raw[p * number : (p + 1) * number] if w else b"" for p, w in zip(place.tolist(), words.tolist(), strict=True)], pa.binary())
-                counts = pa.array(Words(body, off).counts, pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], lists, sig, counts, pa.array(words)], names=["doc_id", "row", "same", "same2", "keys", "sig", "size", "words"])
+                bins = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS // 2), given.num_rows, [None, pa.py_buffer(binned(w).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*given.columns[:4], lists, bins, pa.array(w.counts, pa.int64()), pa.array(words)], names=["doc_id", "row", "same", "same2", "keys", "bins", "size", "words"])
 
     twice = rows.select("doc_id", "row", F.xxhash64("text").alias("same"), F.xxhash64(F.lit("2"), "text").alias("same2"), "text")
-    drawn = cut(twice.mapInArrow(sketched, f"doc_id {kind}, row long, same long, same2 long, keys array<long>, sig binary, size long, words boolean"))
+    drawn = cut(twice.mapInArrow(sketched, f"doc_id {kind}, row long, same long, same2 long, keys array<long>, bins binary, size long, words boolean"))
     members = drawn.select("doc_id", "row", "same", "same2", "words")
     # equal texts: the row of the least key stands for them
-    reps = drawn.groupBy("same", "same2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("size").alias("size"), F.first("words").alias("words"))
+    reps = drawn.groupBy("same", "same2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("id"), F.first("keys").alias("keys"), F.first("bins").alias("bins"), F.first("size").alias("size"), F.first("words").alias("words"))
     texts = cut(reps)
-    pairs = cut(candidates(texts.where("words").select("id", "keys", "sig", "size"), number, similarity))
-    # both texts of a pair, as word hashes
-    used = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, body, off in chunks(b, "text"):
-                w = Words(body, off)
-                raw = pa.py_buffer((w.hashes() >> np.uint64(48)).astype(np.uint16).tobytes())
-                lists = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((2 * w.first).astype(np.int32).tobytes()), raw])
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "hashes"])
-
-    scanned = rows.select(F.col("row").alias("id"), "text").mapInArrow(hashed, "id long, hashes binary")
-    hashes = cut(scanned.join(used, "id", "left_semi"))
-    both = pairs.join(hashes.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(hashes.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = lambda x: np.frombuffer(x.as_buffer(), np.uint16).astype(np.uint64)
-        for batch in batches:
-            ok = [alike(words(a), words(b), similarity) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    links = cut(both.mapInArrow(verified, "u long, v long").distinct())
-    label = classes(links).withColumnRenamed("id", "rep")
+    links, label = linked(texts.where("words").select("id", "keys", "size", "bins"), rows.select(F.col("row").alias("id"), "text"), similarity)
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    found = members.join(texts.select("same", "same2", F.col("id").alias("rep")), ["same", "same2"]).join(label, "rep", "left").join(degree, "rep", "left")
+    found = members.join(texts.select("same", "same2", F.col("id").alias("rep")), ["same", "same2"]).join(label.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
     found = found.withColumn("label", F.coalesce("label", "rep")).select("doc_id", "row", "label", F.coalesce("links", F.lit(0)).alias("links"), (~F.col("words")).alias("none"))
     # a table of its own, so that both sides of the join are plain exchanges and Spark can split a hot class
     named = cut(found.where("not none").groupBy("label").agg(F.min("doc_id").alias("class_id")))
@@ -335,17 +367,23 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     return out.select(F.col("doc_id").alias(key), "row", class_id, "links", label)
 
 
-def distinct_rows(docs: DataFrame, key: str, text: str, chosen: DataFrame) -> DataFrame:
-    """The rows of `docs` whose hash is in `chosen` (__row, and what else it has), one of each that repeats."""
-    joined = docs.withColumn("__row", F.xxhash64(key, text)).join(chosen, "__row")
-    return joined.withColumn("__copy", F.row_number().over(W.partitionBy("__row").orderBy("__row"))).where("__copy = 1").drop("__row", "__copy")
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns that have one."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
+def distinct_rows(docs: DataFrame, by: list[str], chosen: DataFrame, name: str) -> DataFrame:
+    """The rows of `docs` for which the hash of the columns `by` is in `chosen` (column `name`, and what else it has), one of each that repeats."""
+    copy = unused(docs, "copy")
+    joined = docs.withColumn(name, F.xxhash64(*[F.col(f"`{c}`") for c in by])).withColumn(copy, row_hash(docs)).join(chosen, name)
+    return joined.withColumn(copy, F.row_number().over(W.partitionBy(name).orderBy(copy))).where(F.col(copy) == 1).drop(name, copy)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each class: that of the least key."""
-    found = near_classes(docs, key, text, **options)
-    least = found.groupBy("label").agg(F.min(F.struct(F.col(key).isNull(), key, "row"))["row"].alias("__row")).select("__row").distinct()
-    return distinct_rows(docs, key, text, least).select([F.col(f"`{c}`") for c in docs.columns])
+    found, name = near_classes(docs.select(key, text), key, text, **options), unused(docs, "row")
+    least = found.groupBy("label").agg(F.min(F.struct(F.col(key).isNull(), key, "row"))["row"].alias(name)).select(name).distinct()
+    return distinct_rows(docs, [key, text], least, name).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

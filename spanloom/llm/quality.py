@@ -78,7 +78,7 @@ class Texts:
         word = np.concatenate([[0], np.cumsum(~SPACE[self.body])])
         has = word[hi] > word[lo]
         lo, hi = lo[has], hi[has]
-        h = span_hash(prefix(self.body.astype(np.uint64) + np.uint64(1), P2), lo, hi, P2)
+        h = span_hash(prefix(self.body, P2), lo, hi, P2)
         return h, np.searchsorted(self.off, lo, "right") - 1
 
     def line_counts(self) -> tuple[np.ndarray, np.ndarray]:

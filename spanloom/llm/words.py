@@ -1,7 +1,8 @@
 """Words, lines and word windows of many texts at once, as numpy arrays.
 
 A batch of texts is one byte array with offsets. Word bounds come from byte classes, and every hash of a byte or word run from
-prefix sums of a polynomial modulo 2**64, so that the work is a fixed number of passes over the bytes whatever the texts hold.
+prefix sums of two polynomials modulo a prime, so that the work is a fixed number of passes over the bytes whatever the texts hold.
+(Modulo a power of two, regular sequences such as Thue and Morse's would collide whatever the base.)
 """
 
 from __future__ import annotations
@@ -23,33 +24,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-#: The powers made so far, one array a base; a longer one takes its place.
-_powers: dict[int, np.ndarray] = {}
+_M = np.uint64((1 << 31) - 1)  # a prime; remainders need shifts and sums alone
+_SHIFT = np.uint64(31)
+_STEP = 1 << 14
 
 
-def powers(p: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(int(p))
-    if have is None or len(have) < n:
-        have = np.full(1 << max(16, int(n - 1).bit_length()), p, np.uint64)
-        have[0] = 1
-        _powers[int(p)] = have = np.cumprod(have)
-    return have[:n]
+def fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, or a little above it: below 2**31 + 5, so that products of two fit 64 bits."""
+    x = (x & _M) + (x >> _SHIFT)
+    return (x & _M) + (x >> _SHIFT)
+
 
+def base(p: np.uint64, lane: int) -> int:
+    """One of a pair of bases for the constant p."""
+    return int(mix(np.array([p + np.uint64(lane)], np.uint64))[0]) % (int(_M) - 1000) + 500
 
-def inverse_powers(p: np.uint64, n: int) -> np.ndarray:
-    return powers(np.uint64(pow(int(p), -1, 1 << 64)), n)
+
+#: The powers made so far, one array a base; a longer one takes its place.
+_powers: dict[int, np.ndarray] = {}
 
 
-def prefix(x: np.ndarray, p: np.uint64) -> np.ndarray:
-    """Prefix sums of x[i] * p**i, with a leading 0."""
-    out = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x * powers(p, len(x)), out=out[1:])
-    return out
+def powers(b: int, n: int) -> np.ndarray:
+    have = _powers.get(b)
+    if have is None or len(have) < n:
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, fold(have * np.uint64(pow(b, len(have), int(_M))))])
+        _powers[b] = have
+    return have[:n]
 
 
-def span_hash(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: np.uint64) -> np.ndarray:
-    """Hashes of the spans [lo, hi) below `prefix` sums, independent of where a span lies."""
-    return mix((sums[hi] - sums[lo]) * inverse_powers(p, len(sums))[lo] + (hi - lo).astype(np.uint64))
+def prefix(x: np.ndarray, p: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """For each of two bases, prefix sums of x[i] * base**i modulo a prime, with a leading 0. x: bytes, or hashes of 64 bits."""
+    out = []
+    for lane in (0, 1):
+        pw, sums = powers(base(p, lane), len(x)), np.zeros(len(x) + 1, np.uint64)
+        for lo in range(0, len(x), _STEP):  # in steps that stay in the cache
+            y = x[lo : lo + _STEP].astype(np.uint64)
+            if x.dtype == np.uint8:
+                y += np.uint64(1)
+            else:
+                y = fold(y * P3 if lane else y)
+            sums[lo + 1 : lo + 1 + len(y)] = fold(y * pw[lo : lo + len(y)])
+        out.append(np.cumsum(sums, out=sums))
+    return out[0], out[1]
+
+
+def span_hash(sums: tuple[np.ndarray, np.ndarray], lo: np.ndarray, hi: np.ndarray, p: np.uint64) -> np.ndarray:
+    """Hashes of the spans [lo, hi) below `prefix` sums, independent of where a span lies; of 62 bits, and the length."""
+    lanes = []
+    for lane, s in enumerate(sums):
+        back = powers(pow(base(p, lane), -1, int(_M)), len(s))
+        h = fold(fold(s[hi] - s[lo]) * back[lo])
+        lanes.append(np.where(h >= _M, h - _M, h))
+    return mix(((lanes[0] << _SHIFT) | lanes[1]) + (hi - lo).astype(np.uint64) * P1)
 
 
 class Words:
@@ -80,7 +108,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self, p: np.uint64 = P1) -> np.ndarray:
-        return span_hash(prefix(self.body.astype(np.uint64) + np.uint64(1), p), self.starts, self.ends, p)
+        return span_hash(prefix(self.body, p), self.starts, self.ends, p)
 
 
 def windows(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -46,6 +46,27 @@ def test_words_are_split_as_bytes_are():
         assert all((h[i] == h[j]) == (got[i] == got[j]) for i in range(len(got)) for j in range(i))
 
 
+def thue_morse(n):
+    """n signs of two kinds, and the same with the kinds exchanged: equal under every polynomial modulo a power of two."""
+    signs = [0]
+    while len(signs) < n:
+        signs += [1 - x for x in signs]
+    return ["".join(x[i] for i in signs) for x in ("ab", "ba")]
+
+
+def test_regular_sequences_have_hashes_of_their_own():
+    one, two = thue_morse(4096)
+    body = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    assert len(set(Words(body, np.array([0, len(body)])).hashes().tolist())) == 2
+    t = quality.Texts(np.frombuffer(f"{one}\n{two}\n{one}".encode(), np.uint8), np.array([0, 3 * 4096 + 2]))
+    assert t.n_dup_lines().tolist() == [1]
+    rest = [f"w{i}" for i in range(49)]
+    lost = [(1, " ".join([one, *rest])), (2, " ".join([two, *rest]))]
+    body = np.frombuffer("".join(x for _, x in lost).encode(), np.uint8)
+    runs = substrings.runs(body, np.array([0, len(lost[0][1]), len(body)]), 50, 8)
+    assert len(set(runs[4].tolist())) == len(runs[4])
+
+
 # op1
 
 
@@ -249,6 +270,21 @@ def test_mixed_texts(spark, odd):
     assert sum(len((r.text or "").split()) for r in out.collect()) == want and out.columns == ["doc_id", "text", "source"]
 
 
+def test_mixed_keeps_sources_apart(spark):
+    """Rows equal in key and text but of different sources, and columns that clash with the operator's own."""
+    text = " ".join(f"w{i}" for i in range(44))
+    docs = spark.createDataFrame([(1, text, "A", "x", 1), (1, text, "B", "y", 2), (2, text, "A", "z", 3), (2, text, "A", "z", 3)], "doc_id long, text string, source string, row string, part int")
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.source] += r.taken
+    out = mixing.mixed(docs)
+    got = Counter()
+    for r in out.collect():
+        got[r.source] += len(r.text.split())
+        assert r.row == {"A": "xz", "B": "y"}[r.source] or r.row in {"A": "xz", "B": "y"}[r.source]
+    assert got == want and out.columns == docs.columns
+
+
 # op8
 
 
@@ -268,7 +304,7 @@ def test_distance_by_table():
         a = [rng.randint(1, 4 if t % 2 else 30) for _ in range(rng.randint(0, 25))]
         b = [x for x in a if rng.random() > 0.1] + [rng.randint(1, 4) for _ in range(rng.randint(0, 4))] if t % 5 else [rng.randint(1, 4) for _ in range(rng.randint(0, 25))]
         limit = rng.randint(0, 12)
-        assert near_dedup.edit_distance(np.array(a, np.uint64), np.array(b, np.uint64), limit) == min(plain_distance(a, b), limit + 1)
+        assert near_dedup.edit_distance(np.array(a, np.int64), np.array(b, np.int64), limit) == min(plain_distance(a, b), limit + 1)
 
 
 def edited(rng, words, share):
@@ -329,6 +365,76 @@ def test_scattered_edits_are_found(spark):
     assert sum(got[d] == c for d, c in want.items()) >= len(want) - 2, "one pair in 120 may be missed"
 
 
+def words_apart(rng, n, share):
+    """A text and one that differs by substitutions, insertions and deletions at scattered places."""
+    base = [f"v{rng.randint(0, 5000)}" for _ in range(n)]
+    out = []
+    edits = set(rng.sample(range(n), round(share * n)))
+    for i, w in enumerate(base):
+        kind = rng.choice("ssid") if i in edits else ""
+        out += {"s": [f"n{rng.randint(0, 10**6)}"], "i": [w, f"n{rng.randint(0, 10**6)}"], "d": []}.get(kind, [w])
+    return base, out
+
+
+@pytest.mark.parametrize("percent", [80, 82, 85, 88, 90, 94, 98])
+def test_recall_by_edit_similarity(percent):
+    """The share of pairs that share a sketch, which is all that can lose one, is 0.9 or more at every similarity."""
+    rng, found = random.Random(percent), 0
+    for _ in range(200):
+        pair = [" ".join(w).encode() for w in words_apart(rng, 200, 1 - percent / 100)]
+        made = near_dedup.sketches(Words(np.frombuffer(b"".join(pair), np.uint8), np.array([0, len(pair[0]), len(pair[0]) + len(pair[1])])), 3, 2, 40)[1]
+        found += bool((made[0] == made[1]).any())
+    assert found >= 180
+
+
+def test_bins_rule_out_no_pair():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = words_apart(rng, rng.randint(1, 300), rng.random() * 0.3)
+        raw = [" ".join(a).encode(), " ".join(b).encode()]
+        w = Words(np.frombuffer(b"".join(raw), np.uint8), np.array([0, len(raw[0]), len(raw[0]) + len(raw[1])]))
+        bins = near_dedup.unbinned(near_dedup.binned(w))
+        ok = near_dedup.possible(bins, bins.sum(axis=1, dtype=np.int32), w.counts, np.array([0]), np.array([1]), 0.8)[0]
+        assert ok or not near_dedup.alike(a, b, 0.8)
+
+
+@pytest.mark.parametrize("part", [3, 64])
+def test_parts_of_a_bucket_lose_no_class(spark, part):
+    """Two families and texts of their own that share a passage: classes as from all pairs, however buckets are dealt out."""
+    rng = random.Random(part)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [passage + [f"x{g}_{i}" for i in range(rng.randint(10, 40))] for g in range(40)]
+    for g in range(2):
+        base = passage + [f"f{g}_{i}" for i in range(60)]
+        rows += [edited(rng, base, 0.15) for _ in range(30)]
+    want = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if want[a] != want[b] and near_dedup.alike(rows[a], rows[b], 0.8):
+                old, new = max(want[a], want[b]), min(want[a], want[b])
+                want = [new if x == old else x for x in want]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "id long, text string").repartition(3)
+    ids = {r.id: r.row for r in docs.selectExpr("id", "xxhash64(id) AS row").collect()}
+    body = docs.selectExpr("xxhash64(id) AS id", "text")
+
+    def drawn(batches):
+        import pyarrow as pa
+
+        from spanloom.llm.base import chunks
+
+        for b in batches:
+            for some, body, off in chunks(b, "text"):
+                w = Words(body, off)
+                keys = near_dedup.sketches(w, 3, 2, 40)[1].view(np.int64)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(keys), pa.list_(pa.int64())), pa.array(w.counts), pa.array([x.tobytes() for x in near_dedup.binned(w)], pa.binary())], names=["id", "keys", "size", "bins"])
+
+    _, label = near_dedup.linked(body.mapInArrow(drawn, "id long, keys array<long>, size long, bins binary"), body, 0.8, part=part, allow=1)
+    got = {r.id: r.label for r in label.collect()}
+    for a in range(len(rows)):
+        for b in range(a):
+            assert (want[a] == want[b]) == (got.get(ids[a], a) == got.get(ids[b], b))
+
+
 def test_a_very_large_bucket(spark):
     """More like documents than a bucket holds: still one class, and few pairs."""
     rng = random.Random(5)
