@@ -1,16 +1,20 @@
 """Main text of web pages by tag-path ratios (op2).
 
-A page is read once into blocks: runs of text between block-level tags, each with its root-to-leaf tag path. Text length, punctuation
-and link text are summed per path; a block's value is its path's ratio, smoothed along the page with weights by path similarity; the
-smoothed length and punctuation ratios are fused, and paths whose fused value reaches a share of the best one are content. Then the
-element that holds nearly all content text gives the rest of the article: its headings, paragraphs, lists and quotes.
-
-Elements that cannot be article text (navigation, headers, footers, asides, forms, scripts, styles, and elements whose class, id or
-role names adverts, notices, comments and the like) are left out before the ratios are taken; a name that would leave the page without
-text is not believed.
-
-Null and empty pages, and pages without text, give an empty text. Unclosed and crossed tags are read as browsers do: a block tag ends an
-open paragraph, a list item ends the one before, an end tag without a start is ignored. A page of any length is read in linear time.
+A page is read once into blocks: runs of text between block-level tags, each with its root-to-leaf tag path (tags, with the first class,
+id or role where there is one; steps beyond `STEPS` count as the last). Text length, punctuation and link text are summed per path and
+divided by the path's blocks. These ratios are smoothed along the page with weights by path similarity, fused into one value, from
+which link text takes its share (and, where the page has an article or main element, being outside it takes `OUTSIDE`), and paths that
+reach a share of the best value are content. Where content paths part into several
+branches, one with less than a quarter (before the largest) or half (after it) of the largest one's text is another text (a notice, readers'
+comments, teasers), and not content. Then the least element that holds all content gives the rest of the article: its headings, paragraphs,
+lists and quotes; a first-level heading that stands before that element is the title, and comes first.
+
+Before the ratios are taken, what tags, ARIA roles or attributes tell to be no article text is left out: navigation, headers, footers,
+asides, forms, scripts, styles, hidden elements. Names of classes and ids have no meaning here, they only tell paths apart.
+
+Null and empty pages, and pages without text, give an empty text; an empty table gives no rows, repeated rows are read once each, and other
+columns are not read. Unclosed and crossed tags are read as browsers do: a block tag ends an open paragraph, a list item ends the one
+before (of up to `NEAR` open elements), an end tag without a start is ignored. A page of any length and depth is read in linear time and memory.
 """
 
 from __future__ import annotations
@@ -26,10 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.base import strings, table
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<[!?/][^>]*+>|<[a-zA-Z][^\s/>]*+[^>]*+>", re.S)
-_NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+STEPS, NEAR, OUTSIDE = 64, 256, 1 / 16
+
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</([a-zA-Z][^\s/<>]*+)[^<>]*+>|<[!?/][^<>]*+>|<[a-zA-Z][^<>]*+>", re.S)
+_NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
-_WORDS = re.compile(r"[a-z]+|\d+")
 _SPACES = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
@@ -38,159 +43,172 @@ _RAW = frozenset("script style noscript template textarea iframe noembed noframe
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody thead tr td th caption figure figcaption details summary".split())
 _NEVER = frozenset("nav footer aside form script style noscript template textarea iframe button select option datalist dialog menu head title object canvas svg math audio video".split())
-_NAMED = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup "
-    "promo promoted promotion related recommended search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets banner contentinfo complementary dialog alert replies reply respond".split()
-)
+_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status tablist toolbar tooltip".split())
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _ENDS_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "thead": ("thead", "tr", "td", "th")}
 _SCOPE = frozenset("ul ol dl table select article section div main body html td th".split())
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "out", "depth", "unsure")
+    """tag, the path's number, the parent's place in the page's elements, whether it is left out."""
+
+    __slots__ = ("tag", "path", "parent", "out")
 
-    def __init__(self, tag: str, path: str, parent: Element | None, out: bool, unsure: bool = False):
-        self.tag, self.path, self.parent, self.out, self.unsure = tag, path, parent, out, unsure
-        self.depth = parent.depth + 1 if parent else 0
+    def __init__(self, tag: str, path: int, parent: int, out: bool):
+        self.tag, self.path, self.parent, self.out = tag, path, parent, out
 
 
 class Block:
-    __slots__ = ("element", "text", "length", "punctuation", "links")
+    __slots__ = ("at", "path", "text", "length", "punctuation", "links")
 
-    def __init__(self, element: Element, text: str, links: int):
-        self.element, self.text, self.links = element, text, links
+    def __init__(self, at: int, path: int, text: str, links: int):
+        self.at, self.path, self.text, self.links = at, path, text, links
         self.length = len(text)
         self.punctuation = len(_PUNCTUATION.findall(text))
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order."""
-    stack = [Element("", "", None, False)]
-    block = stack[0]  # the innermost element that isn't inline
-    out: list[Block] = []
-    parts: list[str] = []
-    linked, links = 0, 0
-    at = 0
+class Paths:
+    """Tag paths by number; each is its parent's number and a step."""
+
+    def __init__(self):
+        self.number: dict[tuple[int, str], int] = {}
+        self.parent, self.depth = [0], [0]
+        self.inner = [False]  # whether a path goes through an article or main element
+
+    def below(self, path: int, tag: str, label: str) -> int:
+        if self.depth[path] == STEPS:
+            return path
+        n = self.number.setdefault((path, tag + label), len(self.parent))
+        if n == len(self.parent):
+            self.parent.append(path)
+            self.depth.append(self.depth[path] + 1)
+            self.inner.append(self.inner[path] or tag in ("article", "main"))
+        return n
+
+    def steps(self, path: int) -> list[int]:
+        """The path and all above it, from the root on."""
+        out = [path]
+        while out[-1]:
+            out.append(self.parent[out[-1]])
+        return out[::-1]
+
+    def similarity(self, a: int, b: int) -> float:
+        """Shared leading steps of two paths, as a share of the longer one."""
+        longer = max(self.depth[a], self.depth[b]) + 1
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+        return (self.depth[a] + 1) / longer
+
+
+class Page:
+    """A page's elements in order, and its text blocks."""
+
+    def __init__(self, page: str):
+        self.paths = Paths()
+        self.elements = [Element("", 0, 0, False)]
+        self.blocks: list[Block] = []
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        stack = [0]
+        around = [0]  # the innermost element that isn't inline, for each open element
+        articles = [False]
+        count: dict[str, int] = defaultdict(int)  # open elements by tag
+        parts: list[str] = []
+        links = at = 0
+        elements, below = self.elements, self.paths.below
+
+        def flush() -> None:
+            nonlocal links
+            if parts:
+                text = _SPACES.sub(" ", unescape("".join(parts))).strip()
+                if text:
+                    self.blocks.append(Block(around[-1], elements[around[-1]].path, text, links))
+                parts.clear()
+            links = 0
+
+        def pop_to(i: int) -> None:
+            if any(elements[e].tag not in _INLINE for e in stack[i:]):
+                flush()
+            for e in stack[i:]:
+                count[elements[e].tag] -= 1
+            del stack[i:], around[i:], articles[i:]
+
+        def up(tags: tuple[str, ...]) -> int:
+            """The outermost of the open elements with these tags, up to the next that holds them off; 0 if there is none."""
+            low = 0
+            for i in range(len(stack) - 1, max(0, len(stack) - NEAR), -1):
+                tag = elements[stack[i]].tag
+                if tag in tags:
+                    low = i
+                elif tag in _SCOPE:
+                    break
+            return low
 
-    def flush() -> None:
-        nonlocal links
-        if parts:
-            text = _SPACES.sub(" ", unescape("".join(parts))).strip()
+        find, n = _TAG.search, len(page)
+        while at < n:
+            m = find(page, at)
+            text = page[at : m.start() if m else n]
             if text:
-                out.append(Block(block, text, links))
-            parts.clear()
-        links = 0
-
-    def pop_to(i: int) -> None:
-        nonlocal block, linked
-        for e in stack[i:]:
-            linked -= e.tag == "a"
-        if any(e.tag not in _INLINE for e in stack[i:]):
-            flush()
-        del stack[i:]
-        block = next(e for e in reversed(stack) if e.tag not in _INLINE)
-
-    find, n = _TAG.search, len(page)
-    while at < n:
-        m = find(page, at)
-        text = page[at : m.start() if m else n]
-        if text:
-            parts.append(text)
-            if linked:
-                links += len(text)
-        if m is None:
-            break
-        at = m.end()
-        name = m[1]
-        if name:
-            tag, attributes = name.lower(), m[2]
-            if tag in _RAW:
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if not attributes.endswith("/") else m
-                at = close.end() if close else n
-                continue
-            if tag == "br":
-                parts.append(" ")
-                continue
-            if tag in _VOID:
-                if tag == "hr":
+                parts.append(text)
+                if count["a"]:
+                    links += len(text)
+            if m is None:
+                break
+            at = m.end()
+            if m[1]:
+                tag, attributes = m[1].lower(), m[2]
+                if tag in _RAW:
+                    close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if not attributes.endswith("/") else m
+                    at = close.end() if close else n
+                    continue
+                if tag == "br":
+                    parts.append(" ")
+                    continue
+                if tag in _VOID:
+                    if tag == "hr":
+                        flush()
+                    continue
+                if tag in _ENDS_P and count["p"] and (i := up(("p",))):
+                    pop_to(i)
+                if tag in _ENDS_LIKE and any(count[x] for x in _ENDS_LIKE[tag]) and (i := up(_ENDS_LIKE[tag])):
+                    pop_to(i)
+                inline = tag in _INLINE
+                if not inline:
                     flush()
-                continue
-            if tag in _ENDS_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        pop_to(i)
-                        break
-                    if stack[i].tag in _SCOPE:
-                        break
-            if tag in _ENDS_LIKE:
-                ends = _ENDS_LIKE[tag]
-                low = None
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in ends:
-                        low = i
-                    elif stack[i].tag in _SCOPE:
-                        break
-                if low:
-                    pop_to(low)
-            parent = stack[-1]
-            inline = tag in _INLINE
-            if not inline:
-                flush()
-            out_now, unsure = parent.out or tag in _NEVER or (tag == "header" and not _within(parent, "article")), parent.unsure
-            label = ""
-            if attributes and not attributes.isspace():
-                names = [x for g in _NAMES.findall(attributes) for x in g if x]
-                if names and not out_now and tag not in ("html", "body", "article", "main") and _NAMED.intersection(_WORDS.findall(" ".join(names).lower())):
-                    out_now = unsure = True
-                if not out_now and _HIDDEN.search(attributes):
-                    out_now = True
-                label = "." + names[0].split()[0].lower() if names and not inline and names[0].split() else ""
-            e = Element(tag, parent.path if inline else f"{block.path}/{tag}{label}", parent, out_now, unsure)
-            stack.append(e)
-            if tag == "a":
-                linked += 1
-            if not inline:
-                block = e
-        elif m[3]:
-            tag = m[3].lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
+                out = elements[stack[-1]].out or tag in _NEVER or (tag == "header" and not articles[-1])
+                label = ""
+                if attributes and not attributes.isspace():
+                    names = [(kind.lower(), x or y or z) for kind, x, y, z in _NAMES.findall(attributes) if x or y or z]
+                    out = out or any(kind == "role" and not _ROLES.isdisjoint(x.lower().split()) for kind, x in names) or bool(_HIDDEN.search(attributes))
+                    label = "." + names[0][1].split()[0].lower() if names and names[0][1].split() else ""
+                elements.append(Element(tag, elements[stack[-1]].path if inline else below(elements[around[-1]].path, tag, label), stack[-1], out))
+                stack.append(len(elements) - 1)
+                around.append(around[-1] if inline else stack[-1])
+                articles.append(articles[-1] or tag == "article")
+                count[tag] += 1
+            elif m[3]:
+                tag = m[3].lower()
+                if count[tag]:
+                    i = len(stack) - 1
+                    while elements[stack[i]].tag != tag:
+                        i -= 1
                     pop_to(i)
-                    break
-            else:
-                if tag in ("p", "br"):
-                    flush() if tag == "p" else parts.append(" ")
-    flush()
-    return out
-
-
-def _within(e: Element | None, tag: str) -> bool:
-    while e is not None:
-        if e.tag == tag:
-            return True
-        e = e.parent
-    return False
-
-
-def similarity(a: str, b: str) -> float:
-    """Shared leading steps of two paths, as a share of the longer one."""
-    if a == b:
-        return 1.0
-    x, y = a.split("/"), b.split("/")
-    same = 0
-    for i, j in zip(x, y, strict=False):
-        if i != j:
-            break
-        same += 1
-    return same / max(len(x), len(y))
-
-
-def content_paths(found: list[Block], share: float = 0.25, radius: int = 2, weight: float = 0.7) -> set[str]:
-    """The paths whose fused ratio is at least `share` of the best one. weight: of length against punctuation."""
-    total: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+                elif tag == "p":
+                    flush()
+                elif tag == "br":
+                    parts.append(" ")
+        flush()
+
+
+def content_paths(paths: Paths, found: list[Block], share: float = 0.25, radius: int = 2, weight: float = 0.7) -> set[int]:
+    """The paths whose fused ratio is at least `share` of the best one, without later branches of less text. weight: of length against punctuation."""
+    total: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for b in found:
-        t = total[b.element.path]
+        t = total[b.path]
         t[0] += 1
         t[1] += b.length
         t[2] += b.punctuation
@@ -198,73 +216,79 @@ def content_paths(found: list[Block], share: float = 0.25, radius: int = 2, weig
     length = {p: t[1] / t[0] for p, t in total.items()}
     punctuation = {p: t[2] / t[0] for p, t in total.items()}
     kernel = [exp(-((i / max(radius, 1)) ** 2)) for i in range(radius + 1)]
-    smooth: dict[str, list[float]] = {p: [0.0, 0.0] for p in total}
-    paths = [b.element.path for b in found]
-    alike: dict[tuple[str, str], float] = {}
-    for i, p in enumerate(paths):
+    smooth: dict[int, list[float]] = {p: [0.0, 0.0] for p in total}
+    along = [b.path for b in found]
+    near: dict[tuple[int, int], float] = {}
+    for i, p in enumerate(along):
         w, x, y = 1.0, length[p], punctuation[p]
-        for j in range(max(0, i - radius), min(len(paths), i + radius + 1)):
-            if j != i:
-                q = paths[j]
-                s = alike.get((p, q))
+        for j in range(max(0, i - radius), min(len(along), i + radius + 1)):
+            q = along[j]
+            if q != p:
+                s = near.get((p, q))
                 if s is None:
-                    s = alike[p, q] = similarity(p, q)
+                    s = near[p, q] = paths.similarity(p, q)
                 s *= kernel[abs(i - j)]
-                w, x, y = w + s, x + s * length[q], y + s * punctuation[q]
+            elif j != i:
+                s = kernel[abs(i - j)]
+            else:
+                continue
+            w, x, y = w + s, x + s * length[q], y + s * punctuation[q]
         smooth[p][0] += x / w / total[p][0]
         smooth[p][1] += y / w / total[p][0]
     top = [max((v[k] for v in smooth.values()), default=0) or 1 for k in (0, 1)]
     fused = {p: (weight * v[0] / top[0] + (1 - weight) * v[1] / top[1]) * (1 - min(1, total[p][3] / max(1, total[p][1]))) for p, v in smooth.items()}
+    # where a page marks its article, a path outside it counts for a part only, and so does its text
+    marked = any(paths.inner[p] for p in fused)
+    counts = {p: 1.0 if paths.inner[p] or not marked else OUTSIDE for p in fused}
+    fused = {p: v * counts[p] for p, v in fused.items()}
     best = max(fused.values(), default=0)
-    return {p for p, v in fused.items() if best and v >= share * best}
+    chosen = {p: paths.steps(p) for p, v in fused.items() if best and v >= share * best}
+    if not chosen:
+        return set()
+    # the branches into which the content paths part, in page order
+    shared = 0
+    while all(len(s) > shared + 1 for s in chosen.values()) and len({s[shared] for s in chosen.values()}) == 1:
+        shared += 1
+    size: dict[int, float] = defaultdict(float)
+    for p, s in chosen.items():
+        size[s[min(shared, len(s) - 1)]] += total[p][1] * counts[p]
+    order = list(size)  # paths come in the order of their first blocks
+    main = max(order, key=lambda k: size[k])
+    keep = {k for i, k in enumerate(order) if (4 if i < order.index(main) else 2) * size[k] >= size[main]}
+    return {p for p, s in chosen.items() if s[min(shared, len(s) - 1)] in keep}
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = blocks(page)
-    inside = [b for b in found if not b.element.out] or [b for b in found if b.element.unsure and not _never(b.element)]
+    read = Page(page)
+    elements = read.elements
+    inside = [b for b in read.blocks if not elements[b.at].out]
     if not inside:
         return ""
-    paths = content_paths(inside)
-    chosen = [b for b in inside if b.element.path in paths]
-    whole = sum(b.length for b in chosen)
-    held: dict[Element, int] = defaultdict(int)  # content text by the elements that hold it
-    for b in chosen:
-        e: Element | None = b.element
-        while e is not None:
-            held[e] += b.length
-            e = e.parent
-    near = [e for e, n in held.items() if n >= 0.9 * whole]
-    container = max(near, key=lambda e: e.depth) if near else inside[0].element
-    if container.tag in _TEXTUAL and container.parent is not None:
-        container = container.parent
-    texts = []
+    paths = content_paths(read.paths, inside)
+    held = [0] * len(elements)  # content blocks by the elements that hold them
     for b in inside:
-        e = b.element
-        if e.path not in paths:
-            if b.links > 0.6 * b.length:
-                continue
-            while e is not container and e is not None and e.tag in _TEXTUAL | _INLINE:
-                e = e.parent
-            if e is not container and (e is None or e not in held or not _inside(e, container)):
-                continue
-        texts.append(b.text)
-    return " ".join(texts)
-
-
-def _never(e: Element | None) -> bool:
-    while e is not None:
-        if e.tag in _NEVER:
-            return True
-        e = e.parent
-    return False
-
-
-def _inside(e: Element | None, container: Element) -> bool:
-    while e is not None and e is not container:
-        e = e.parent
-    return e is container
+        held[b.at] += b.path in paths
+    for e in range(len(elements) - 1, 0, -1):
+        held[elements[e].parent] += held[e]
+    container = max((e for e in range(len(elements)) if held[e] == held[0]), default=0)
+    if elements[container].tag in _TEXTUAL:
+        container = elements[container].parent
+    # by element: whether the blocks of its own are the article's, if links aren't most of them
+    rest = [False] * len(elements)
+    within = [False] * len(elements)
+    for e in range(container, len(elements)):
+        parent = elements[e].parent
+        within[e] = e == container or within[parent]
+        textual = elements[e].tag in _TEXTUAL or elements[e].tag in _INLINE
+        rest[e] = within[e] and (e == container or held[e] > 0 and not textual or (textual and rest[parent]))
+    chosen = [b.path in paths or (rest[b.at] and b.links <= 0.6 * b.length) for b in inside]
+    first = chosen.index(True) if True in chosen else 0
+    if not any(elements[b.at].tag == "h1" for b, c in zip(inside, chosen, strict=True) if c):
+        title = max((i for i in range(first) if elements[inside[i].at].tag == "h1" and inside[i].links <= 0.6 * inside[i].length), default=first)
+        chosen[title] = chosen[title] or title < first
+    return " ".join(b.text for b, c in zip(inside, chosen, strict=True) if c)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

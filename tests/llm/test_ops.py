@@ -102,6 +102,54 @@ def test_main_text():
     assert html_text.main_text("<" * 20_000) and html_text.main_text("<div>" * 20_000 + "deep") == "deep"
 
 
+PAGES = {
+    """<html><body><div class=top><a href=/>Home</a> <a href=/b>All recipes</a></div><div class=post><h1>Ginger cookies</h1><p>These cookies are crisp outside, soft inside, and ready in half an hour.</p>
+<div class="cookie-recipe share alert"><p>Mix the flour, the sugar and the ginger, then work in the butter.</p><p>Bake for twelve minutes, until the edges are brown.</p></div><h2>Notes</h2>
+<ul><li>Dark sugar works, too.</li><li>Keep them dry.</li></ul><p>They keep for two weeks, if nobody finds them, that is.</p></div><div class=more><a href=/c>Cake</a><a href=/d>Bread</a></div><div class=legal>Copyright, all of us.</div></body></html>""": "Ginger cookies These cookies are crisp outside, soft inside, and ready in half an hour. Mix the flour, the sugar and the ginger, then work in the butter. Bake for twelve minutes, until the edges are brown. Notes Dark sugar works, too. Keep them dry. They keep for two weeks, if nobody finds them, that is.",
+    """<body><div id=w><div class=m><a>One</a> <a>Two</a></div><div class=t>The harbour was quiet, as on every Sunday; only the ferry moved.<br><br>Nobody waited for it, and nobody came.</div>
+<div class=t>In the evening the fog rose, slowly, over the roofs and the masts.</div><div class=x>Buy boats.</div><div class=t>Then the light went on, and the night began, as nights do.</div></div></body>""": "The harbour was quiet, as on every Sunday; only the ferry moved. Nobody waited for it, and nobody came. In the evening the fog rose, slowly, over the roofs and the masts. Then the light went on, and the night began, as nights do.",
+    """<main><table><tr><td><h1>Related work</h1><p>Earlier work, on the same data, found no effect at all.</p><p>Later work, on more data, did find one, though a small one.</p></td><td role=navigation>Contents, figures, tables, and notes, for all.</td></tr></table></main>
+<div role="complementary"><p>Other readers also read this, and that, and then some more of it.</p></div><p hidden>Not shown, at all, to anybody.</p>""": "Related work Earlier work, on the same data, found no effect at all. Later work, on more data, did find one, though a small one.",
+    """<div class=page><h1>Title &amp; more</h1><div class=body><p>A text with one paragraph, which is long enough to stand for itself, and then some.</p></div><section id=answers><p>Nice text, thanks.</p><p>Agreed, yes.</p></section></div>""": "Title & more A text with one paragraph, which is long enough to stand for itself, and then some.",
+}
+
+
+def test_pages_without_help():
+    """Pages without an article element, with class names that mean nothing here, and with text in bare divs."""
+    for page, text in PAGES.items():
+        assert html_text.main_text(page) == text
+
+
+def test_pages_of_any_shape_in_little_time_and_memory():
+    import time
+    import tracemalloc
+
+    for page in ("<a " * 350_000, "<div>" * 200_000, "<div>x" * 170_000, "<!" * 500_000, '<a "' * 250_000, "<p><div>" + "<b>" * 100_000 + "<h1>" * 100_000, "<b>x</i>" * 120_000):
+        tracemalloc.start()
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 20 and tracemalloc.get_traced_memory()[1] < 300e6
+        tracemalloc.stop()
+
+
+def test_ratios_decide(db, monkeypatch):
+    """With every path taken for content, the advert that stands before each article comes along."""
+    pages = [h for (h,) in db.execute("SELECT html FROM pages WHERE html IS NOT NULL LIMIT 200").fetchall()]
+    with_ratios = [html_text.main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "content_paths", lambda paths, found, **_: {b.path for b in found})
+    assert sum(html_text.main_text(p) != t for p, t in zip(pages, with_ratios, strict=True)) > 0.9 * len(pages)
+
+
+def test_pages_odd(spark):
+    rows = [(1, "u", None), (2, None, ""), (3, "u", PAGE), (3, "u", PAGE), (None, "u", "<p>a&nbsp;b</p>" * 2)]
+    df = spark.createDataFrame([(*r, "mine", 5) for r in rows], "page_id long, url string, html string, text string, n_chars int").repartition(2)
+    got = html_text.extract(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    want = html_text.main_text(PAGE)
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got.collect()) == [(0, "a b a b", 7), (1, "", 0), (2, "", 0), (3, want, len(want)), (3, want, len(want))]
+    assert html_text.extract(df.where("false")).count() == 0
+
+
 def test_pages_against_their_articles(spark, db, data):
     """The supplied pages hold one article element each; a regular expression finds its blocks."""
     import re
