@@ -7,13 +7,15 @@ over such pairs.
    least row hash of the least key. A sketch samples the `size` least occurrence-labelled k-mers of words under one hash function and keeps
    them in text order, so it agrees for two texts as their k-mers and their order do. Each of the `number` sketches is a bucket key of
    its own, and one shared bucket makes a pair a candidate, however large the bucket is.
-2. Each document takes along how many of its words fall into each of 64 bins, in 4 bits a bin. The bins bound the edit distance from
-   below, so a candidate that they rule out is surely none; this is what keeps a bucket of texts that share one passage cheap.
-3. A bucket is dealt out in parts of about `part` documents. In each part a document is paired with the first ones that the bins allow, in
-   id order, so a bucket of n like documents gives some n pairs. The pairs are verified on their words by alignment with a growing band,
-   and closed into classes by contraction through joins.
-4. Buckets that have pairs left come again, with their parts crossed: only pairs of different classes are taken, and each document may have 16
-   times as many as before, until nothing is left. So every candidate is verified, or is in one class by others that are.
+2. Each document takes along how many of its words fall into each of 64 bins, in 4 bits a bin (and, for what is left after step 3, into
+   each of 512). The bins bound the edit distance from below, so a candidate that they rule out is surely none; this is what keeps a
+   bucket of texts that share one passage cheap.
+3. A bucket is dealt out in parts of about `part` documents. In each part a document is paired with the ones before it that the bins bring
+   nearest, so a bucket of n like documents gives some n pairs. The pairs are verified on their words by banded alignment, and closed into
+   classes by contraction through joins.
+4. Buckets that have pairs left come again, with their parts crossed: only pairs of different classes are taken, each in the first bucket
+   that its documents share, first some for each document and then all that are left. So every candidate is verified, or ruled out by its
+   bins, or its documents are in one class by others that are verified.
 
 The work on a bucket is linear in its documents where they are near duplicates of each other; for those that are not, it is a
 comparison of bins for each pair, in blocks of `part` by `part`, spread over all tasks.
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.base import chunks, cut, table, unused
 from spanloom.llm.words import P1, P2, P3, Words, mix, prefix, span_hash
 
-BINS = 64
+BINS, FINE = 64, 512  # bins in a bucket's rows, and for what is left of large buckets
 
 
 def labelled(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,79 +88,74 @@ def sketches(w: Words, k: int, size: int, number: int) -> tuple[np.ndarray, np.n
     return texts, out
 
 
-def binned(w: Words) -> np.ndarray:
+def binned(w: Words, bins: int) -> np.ndarray:
     """How many words of each text fall into each bin, 15 at most, two bins a byte."""
-    at = w.doc() * BINS + (w.hashes(P3) % np.uint64(BINS)).astype(np.int64)
-    n = np.minimum(np.bincount(at, minlength=BINS * (len(w.first) - 1)), 15).astype(np.uint8)
-    return (n[0::2] | (n[1::2] << 4)).reshape(-1, BINS // 2)
+    at = w.doc() * bins + (w.hashes(P3) % np.uint64(bins)).astype(np.int64)
+    n = np.minimum(np.bincount(at, minlength=bins * (len(w.first) - 1)), 15).astype(np.uint8)
+    return (n[0::2] | (n[1::2] << 4)).reshape(-1, bins // 2)
 
 
 def unbinned(packed: np.ndarray) -> np.ndarray:
-    out = np.empty((len(packed), BINS), np.uint8)
+    out = np.empty((len(packed), 2 * packed.shape[1]), np.uint8)
     out[:, 0::2], out[:, 1::2] = packed & 15, packed >> 4
     return out
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
-    """Edit distance of two sequences of small numbers, or limit + 1 if it is above the limit.
+def edit_distance(a: list, b: list, limit: int) -> int:
+    """Edit distance of two sequences, or limit + 1 if it is above the limit.
 
-    The band grows by one diagonal to either side with each edit; on each diagonal the furthest place reached is kept.
+    Only a band of the table around its diagonal is filled, a column at a time: the differences between neighbouring cells of a column
+    are the bits of two numbers. A narrow band is tried first where the limit is high.
     """
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
     n, m = len(a), len(b)
-    if abs(n - m) > limit:
+    if n - m > limit:
         return limit + 1
-    lead = min(n, m)
-    if lead:
-        differ = a[:lead] != b[:lead]
-        lead = int(np.argmax(differ)) if differ.any() else lead
-        a, b = a[lead:], b[lead:]
-        tail = min(len(a), len(b))
-        if tail:
-            differ = a[::-1][:tail] != b[::-1][:tail]
-            tail = int(np.argmax(differ)) if differ.any() else tail
-            a, b = a[: len(a) - tail], b[: len(b) - tail]
+    lead = next((i for i in range(m) if a[i] != b[i]), m)
+    tail = next((i for i in range(m - lead) if a[n - 1 - i] != b[m - 1 - i]), m - lead)
+    a, b = a[lead : n - tail], b[lead : m - tail]
     n, m = len(a), len(b)
-    if not n or not m:
-        return n + m if n + m <= limit else limit + 1
-    most = int(max(a.max(), b.max())) + 1
-    if max(n, m) - np.minimum(np.bincount(a, minlength=most), np.bincount(b, minlength=most)).sum() > limit:
+    left: dict = {}
+    for w in a:
+        left[w] = left.get(w, 0) + 1
+    least = n  # words that a has more of: an edit each
+    for w in b:
+        if left.get(w, 0):
+            left[w] -= 1
+            least -= 1
+    if least > limit:
         return limit + 1
-    pad = 1024
-    a, b = np.append(a, np.full(pad, -1)), np.append(b, np.full(pad, -2))
-
-    def slide(i: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """i: places in a, on diagonals d = place in b - place in a; moved over equal words."""
-        at = np.flatnonzero(a[i] == b[i + d])
-        i[at] += 1
-        width = 8
-        while len(at):
-            steps = np.arange(width)
-            x = i[at][:, None] + steps
-            same = a[x] == b[x + d[at][:, None]]
-            run = np.where(same.all(axis=1), width, same.argmin(axis=1))
-            i[at] += run
-            at = at[run == width]
-            width = min(4 * width, max(8, pad // max(len(at), 1)))
-        return i
-
-    reach = slide(np.zeros(1, np.int64), np.zeros(1, np.int64))
-    goal = m - n
-    for e in range(limit + 1):
-        if e:
-            d = np.arange(-e, e + 1)
-            wide = np.full(2 * e + 3, -1, np.int64)
-            wide[2:-2] = reach
-            reach = np.maximum(np.maximum(wide[1:-1] + 1, wide[2:] + 1), wide[:-2])
-            reach = np.minimum(np.minimum(reach, n), m - d)
-            # a diagonal is inside the table where its place in b isn't negative
-            reach = np.where(reach + d < 0, -1, reach)
-            inside = reach >= 0
-            reach[inside] = slide(reach[inside], d[inside])
-        if abs(goal) <= e and reach[goal + e] >= n:
-            return e
+    if not m:
+        return n
+    places: dict = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | (1 << i)
+    for band in sorted({max(least, n - m, limit // 8), limit} if limit > 256 else {limit}):
+        found = _banded(places, n, b, band)
+        if found <= band:
+            return found
     return limit + 1
 
 
+def _banded(places: dict, n: int, b: list, k: int) -> int:
+    """Edit distance of b and the sequence of n words whose places are bits, if it is at most k; else more than k."""
+    mask = (1 << (2 * k + 1)) - 1  # bit t of a column j is row j - k + t
+    up, down = mask >> k << k, 0
+    distance = n - len(b)
+    last = k + distance  # of the diagonal that ends in the last cell
+    for j, w in enumerate(b):
+        same = (places.get(w, 0) << k >> j) & mask
+        zero = (((same & up) + up) ^ up) | same | down
+        if not zero >> last & 1:
+            distance += 1
+            if distance > k:
+                break
+        right, less = down | (mask ^ ((zero | up) & mask)), zero & up
+        zero = (zero & mask) >> 1
+        up, down = (less | (mask ^ ((zero | right) & mask))) & mask, zero & right
+    return distance
+
+
 def allowed(longer: np.ndarray, similarity: float) -> np.ndarray:
     """The edits that texts may be apart, by the words of the longer one."""
     return np.floor((1 - similarity) * longer + 1e-9)
@@ -167,69 +164,94 @@ def allowed(longer: np.ndarray, similarity: float) -> np.ndarray:
 def alike(a: list, b: list, similarity: float) -> bool:
     """Whether two lists of words are near duplicates; the words themselves are compared."""
     limit = int(allowed(max(len(a), len(b)), similarity))
-    if abs(len(a) - len(b)) > limit:
-        return False
-    known: dict = {}
-    x, y = (np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)) for words in (a, b))
-    return edit_distance(x, y, limit) <= limit
+    return edit_distance(a, b, limit) <= limit
 
 
-def possible(bins: np.ndarray, total: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the bins (total: their sums) and numbers of words of documents i and j leave room for the similarity.
+def least_edits(bins: np.ndarray, total: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance of documents i and j, by their bins (total: their sums) and numbers of words.
 
     Each word that a bin has more of in one text is an edit at least, and so is each word that a text is longer by.
     """
     common = np.minimum(bins[i], bins[j]).sum(axis=-1, dtype=np.int32)
-    least = np.maximum(np.maximum(total[i], total[j]) - common, np.abs(size[i] - size[j]))
-    return least <= allowed(np.maximum(size[i], size[j]), similarity)
-
-
-def first_pairs(bins: np.ndarray, total: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray, starts: np.ndarray, n: int, allow: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of cells of n rows each: every row with the first `allow` rows before it in its cell that are possible, and the cells where a row has more.
-
-    Only rows of different labels and, in a cell of two sides, of different sides.
-    """
-    left, right, more = [], [], []
-    together = max(1, (1 << 14) // (n * n))  # cells at a time
-    for lo in range(0, len(starts), together):
-        first = starts[lo : lo + together]
-        for top in range(0, n, 64):  # rows at a time
-            j, i = (x.ravel() for x in np.meshgrid(np.arange(top, min(top + 64, n)), np.arange(min(top + 64, n)), indexing="ij"))
+    return np.maximum(np.maximum(total[i], total[j]) - common, np.abs(size[i] - size[j]))
+
+
+class Cells:
+    """The rows of some cells, sorted by cell, side and id. keys: of all sketches, where a pair is to be taken in its first shared bucket only; slot: the sketch of the row's bucket."""
+
+    def __init__(self, t: pa.Table):
+        self.cell, self.bucket, self.ids, self.label, self.side, self.size, self.slot = (t.column(c).to_numpy() for c in ("cell", "bucket", "id", "label", "side", "size", "slot"))
+        self.bins = unbinned(np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(len(self.ids), -1))
+        self.keys = np.concatenate([x.flatten().to_numpy() for x in t.column("keys").chunks]).reshape(len(self.ids), -1)
+        self.total = self.bins.sum(axis=1, dtype=np.int32)
+        self.starts = np.flatnonzero(np.append(True, self.cell[1:] != self.cell[:-1]))
+        self.sizes = np.diff(np.append(self.starts, len(self.cell)))
+
+    def possible(self, first: np.ndarray, n: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of cells of n rows that begin at `first`, the pairs of rows that the bins leave room for, and the least edits of each.
+
+        Only rows of different labels and, in a cell of two sides, of different sides.
+        """
+        out = []
+        step = max(8, (1 << 17) // n)  # rows at a time
+        crossed = self.side[first] != self.side[first + n - 1]
+        for top in range(0, n, step):
+            j, i = (x.ravel() for x in np.meshgrid(np.arange(top, min(top + step, n)), np.arange(min(top + step, n)), indexing="ij"))
             j, i = j[i < j], i[i < j]
             u, v = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-            ok = label[u] != label[v]
-            crossed = side[first] != side[first + n - 1]
+            ok = self.label[u] != self.label[v]
+            ok &= np.abs(self.size[u] - self.size[v]) <= allowed(np.maximum(self.size[u], self.size[v]), similarity)
             if crossed.any():
-                ok &= (side[u] != side[v]) | ~np.repeat(crossed, len(i))
+                ok &= (self.side[u] != self.side[v]) | ~np.repeat(crossed, len(i))
             u, v = u[ok], v[ok]
-            ok = possible(bins, total, size, u, v, similarity)
-            u, v = u[ok], v[ok]  # v comes in order
-            nth = np.arange(len(v)) - np.searchsorted(v, v)
-            left.append(u[nth < allow])
-            right.append(v[nth < allow])
-            more.append(v[nth >= allow])
-    return np.concatenate(left), np.concatenate(right), np.concatenate(more)
-
-
-def bucket_pairs(batches: Iterator[pa.RecordBatch], allow: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """(bucket, u, v) of rows (cell, bucket, id, label, side, size, bins) that come sorted by cell, side and id.
+            least = least_edits(self.bins, self.total, self.size, u, v)
+            ok = least <= allowed(np.maximum(self.size[u], self.size[v]), similarity)
+            u, v, least = u[ok], v[ok], least[ok]
+            if self.keys.shape[1]:
+                ok = (self.keys[u] == self.keys[v]).argmax(axis=1) == self.slot[u]
+                u, v, least = u[ok], v[ok], least[ok]
+            out.append((u, v, least))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def chosen(self, n: int, allow: int | None, similarity: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of all cells of n rows: pairs of rows, and the rows that have more. A pair belongs to its row of the rarer label, the later one among equals; each row takes the `allow` pairs of the least edits."""
+        starts, out = self.starts[self.sizes == n], []
+        together = max(1, (1 << 14) // (n * n))  # cells at a time
+        for lo in range(0, len(starts), together):
+            first = starts[lo : lo + together]
+            u, v, least = self.possible(first, n, similarity)
+            more = u[:0]
+            if allow is not None and n > allow + 1:
+                rows = (first[:, None] + np.arange(n)).ravel()
+                order = np.lexsort((self.label[rows], self.cell[rows]))
+                x = np.stack([self.cell[rows][order], self.label[rows][order]])
+                new = np.flatnonzero(np.append(True, (x[:, 1:] != x[:, :-1]).any(axis=0)))
+                often = np.zeros(len(self.ids), np.int64)
+                often[rows[order]] = np.repeat(np.diff(np.append(new, len(order))), np.diff(np.append(new, len(order))))
+                own = np.where(often[v] <= often[u], v, u)
+                order = np.lexsort((u + v - own, least, own))
+                u, v, own = u[order], v[order], own[order]
+                nth = np.arange(len(own)) - np.searchsorted(own, own)
+                u, v, more = u[nth < allow], v[nth < allow], own[nth >= allow]
+            out.append((u, v, more))
+        return out
+
+
+def bucket_pairs(batches: Iterator[pa.RecordBatch], allow: int | None, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(bucket, u, v) of the pairs to verify, from the rows of `Cells`.
 
     A row without u and v tells that its bucket has more pairs. A cell that reaches over batches is held until it ends.
     """
     held: pa.Table | None = None
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
-        cell, bucket, ids, label, side, size = (t.column(c).to_numpy() for c in ("cell", "bucket", "id", "label", "side", "size"))
-        bins = unbinned(np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(len(ids), BINS // 2))
-        total = bins.sum(axis=1, dtype=np.int32)
-        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        sizes = np.diff(np.append(starts, len(cell)))
+        c = Cells(t)
         none = np.zeros(0, np.int64)
-        found = [(none, none, none), *(first_pairs(bins, total, size, label, side, starts[sizes == n], int(n), allow, similarity) for n in np.unique(sizes[sizes > 1]))]
+        found = [(none, none, none), *(x for n in np.unique(c.sizes[c.sizes > 1]) for x in c.chosen(int(n), allow, similarity))]
         i, j, more = (np.concatenate(x) for x in zip(*found, strict=True))
-        full = np.unique(bucket[more])
-        of = np.concatenate([bucket[i], full])
-        left, right = (pa.array(np.concatenate([x, full]), pa.int64(), mask=np.arange(len(of)) >= len(i)) for x in (np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
+        full = np.unique(c.bucket[more])
+        of = np.concatenate([c.bucket[i], full])
+        left, right = (pa.array(np.concatenate([x, full]), pa.int64(), mask=np.arange(len(of)) >= len(i)) for x in (np.minimum(c.ids[i], c.ids[j]), np.maximum(c.ids[i], c.ids[j])))
         return pa.RecordBatch.from_arrays([pa.array(of), left, right], names=["bucket", "u", "v"])
 
     for batch in batches:
@@ -247,18 +269,19 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], allow: int, similarity: floa
 
 def bucket_rows(drawn: DataFrame, part: int) -> DataFrame:
     """(bucket, id, part, parts, size, bins) of the documents that share a bucket with others. drawn: id, keys array<long>, size, bins."""
-    level = drawn.select("id", F.posexplode("keys").alias("slot", "key")).select("id", F.xxhash64("slot", "key").alias("bucket"))
+    level = drawn.select("id", F.posexplode("keys").alias("slot", "key")).select("id", "slot", F.xxhash64("slot", "key").alias("bucket"))
     # a table of its own, so that both sides of the join are plain exchanges and Spark can split a hot bucket
     many = cut(level.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / part).cast("int")
-    shared = level.join(many, "bucket").select("bucket", "id", F.pmod(F.xxhash64("id", "bucket"), parts).cast("int").alias("part"), parts.alias("parts"))
-    return cut(shared.join(drawn.select("id", "size", "bins"), "id"))
+    shared = level.join(many, "bucket").select("bucket", "id", "slot", F.pmod(F.xxhash64("id", "bucket"), parts).cast("int").alias("part"), parts.alias("parts"))
+    coarse = F.substring("bins", 1, BINS // 2)
+    return cut(shared.join(drawn.select("id", "size", coarse.alias("bins")), "id"))
 
 
-def cell_pairs(cells: DataFrame, allow: int, similarity: float) -> DataFrame:
-    """`bucket_pairs` of cells, which are dealt out whole. cells: cell, bucket, id, label, side, size, bins."""
+def cell_pairs(cells: DataFrame, allow: int | None, similarity: float) -> DataFrame:
+    """`bucket_pairs` of cells, which are dealt out whole."""
     run = lambda batches: bucket_pairs(batches, allow, similarity)
-    dealt = cells.select("cell", "bucket", "id", "label", "side", "size", "bins").repartition("cell").sortWithinPartitions("cell", "side", "id")
+    dealt = cells.select("cell", "bucket", "id", "label", "side", "size", "slot", "bins", "keys").repartition("cell").sortWithinPartitions("cell", "side", "id")
     return cut(dealt.mapInArrow(run, "bucket long, u long, v long"))
 
 
@@ -307,21 +330,20 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 def linked(drawn: DataFrame, texts: DataFrame, similarity: float, part: int = 2048, allow: int = 2) -> tuple[DataFrame, DataFrame | None]:
     """The verified pairs (u, v), and (id, label) of all documents that they link. drawn: id, keys, size, bins; texts: id, text."""
-    rows = bucket_rows(drawn, part)
-    first = rows.withColumns({"cell": F.xxhash64("bucket", "part", "part"), "side": F.col("part"), "label": F.col("id")})
+    rows, fine = bucket_rows(drawn, part), drawn.select("id", F.substring("bins", BINS // 2 + 1, FINE // 2).alias("bins"), "keys")
+    first = rows.withColumns({"cell": F.xxhash64("bucket", "part", "part"), "side": F.col("part"), "label": F.col("id"), "keys": F.array().cast("array<long>")})
     got = cell_pairs(first, allow, similarity)
     tried = cut(got.where("u is not null").select("u", "v").distinct())
     links = verified(tried, texts, similarity)
     label = contracted(links)
     open_ = got.where("u is null").select("bucket").unionByName(rows.where("parts > 1").select("bucket")).distinct()
-    while True:
-        allow *= 16
+    for allow in (16 * allow, None):
         left = rows.join(open_, "bucket", "left_semi").join(label.withColumnRenamed("label", "to"), "id", "left").withColumn("label", F.coalesce("to", "id"))
-        left = cut(left.drop("to"))
+        left = cut(left.select("bucket", "id", "slot", "part", "parts", "size", "label"))
         mixed = cut(left.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("several")).where("several").select("bucket"))
         if mixed.isEmpty():
             return links, label
-        got = cell_pairs(crossed(left.join(mixed, "bucket")), allow, similarity)
+        got = cell_pairs(crossed(left.join(mixed, "bucket").join(fine, "id")), allow, similarity)
         new = cut(got.where("u is not null").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
         more = verified(new, texts, similarity)
         links, tried = links.unionByName(more), tried.unionByName(new)
@@ -330,6 +352,7 @@ def linked(drawn: DataFrame, texts: DataFrame, similarity: float, part: int = 20
         every = label.unionByName(more.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(label, "id", "left_anti").withColumn("label", F.col("id")))
         label = cut(every.join(over.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
         open_ = got.where("u is null").select("bucket").distinct()
+    return links, label
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, size: int = 2, number: int = 40, similarity: float = 0.8) -> DataFrame:
@@ -347,7 +370,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
                 words[at] = True
                 ends = np.concatenate([[0], np.cumsum(words * number)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(made.view(np.int64).ravel()))
-                bins = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS // 2), given.num_rows, [None, pa.py_buffer(binned(w).tobytes())]).cast(pa.binary())
+                both = np.hstack([binned(w, BINS), binned(w, FINE)])
+                bins = pa.FixedSizeBinaryArray.from_buffers(pa.binary(both.shape[1]), given.num_rows, [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([*given.columns[:4], lists, bins, pa.array(w.counts, pa.int64()), pa.array(words)], names=["doc_id", "row", "same", "same2", "keys", "bins", "size", "words"])
 
     twice = rows.select("doc_id", "row", F.xxhash64("text").alias("same"), F.xxhash64(F.lit("2"), "text").alias("same2"), "text")
