@@ -8,7 +8,7 @@ over such pairs.
    them in text order, so it agrees for two texts as their k-mers and their order do. Each of the `number` sketches is a bucket key of
    its own, and one shared bucket makes a pair a candidate, however large the bucket is.
 2. Each document takes along how many of its words fall into each of 64 bins, in 4 bits a bin (and, for what is left after step 3, into
-   each of 512). The bins bound the edit distance from below, so a candidate that they rule out is surely none; this is what keeps a
+   each of 256). The bins bound the edit distance from below, so a candidate that they rule out is surely none; this is what keeps a
    bucket of texts that share one passage cheap.
 3. A bucket is dealt out in parts of about `part` documents. In each part a document is paired with the ones before it that the bins bring
    nearest, so a bucket of n like documents gives some n pairs. The pairs are verified on their words by banded alignment, and closed into
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.base import chunks, cut, table, unused
 from spanloom.llm.words import P1, P2, P3, Words, mix, prefix, span_hash
 
-BINS, FINE = 64, 512  # bins in a bucket's rows, and for what is left of large buckets
+BINS, FINE = 64, 256  # bins in a bucket's rows, and for what is left of large buckets
 
 
 def labelled(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +91,9 @@ def sketches(w: Words, k: int, size: int, number: int) -> tuple[np.ndarray, np.n
 def binned(w: Words, bins: int) -> np.ndarray:
     """How many words of each text fall into each bin, 15 at most, two bins a byte."""
     at = w.doc() * bins + (w.hashes(P3) % np.uint64(bins)).astype(np.int64)
-    n = np.minimum(np.bincount(at, minlength=bins * (len(w.first) - 1)), 15).astype(np.uint8)
+    at, count = np.unique(at, return_counts=True)
+    n = np.zeros(bins * (len(w.first) - 1), np.uint8)
+    n[at] = np.minimum(count, 15)
     return (n[0::2] | (n[1::2] << 4)).reshape(-1, bins // 2)
 
 
@@ -375,14 +377,14 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
                 yield pa.RecordBatch.from_arrays([*given.columns[:4], lists, bins, pa.array(w.counts, pa.int64()), pa.array(words)], names=["doc_id", "row", "same", "same2", "keys", "bins", "size", "words"])
 
     twice = rows.select("doc_id", "row", F.xxhash64("text").alias("same"), F.xxhash64(F.lit("2"), "text").alias("same2"), "text")
-    drawn = cut(twice.mapInArrow(sketched, f"doc_id {kind}, row long, same long, same2 long, keys array<long>, bins binary, size long, words boolean"))
+    drawn = cut(twice.mapInArrow(sketched, f"doc_id {kind}, row long, same long, same2 long, keys array<long>, bins binary, size long, words boolean").withColumn("place", F.monotonically_increasing_id()))
     members = drawn.select("doc_id", "row", "same", "same2", "words")
-    # equal texts: the row of the least key stands for them
-    reps = drawn.groupBy("same", "same2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("id"), F.first("keys").alias("keys"), F.first("bins").alias("bins"), F.first("size").alias("size"), F.first("words").alias("words"))
-    texts = cut(reps)
-    links, label = linked(texts.where("words").select("id", "keys", "size", "bins"), rows.select(F.col("row").alias("id"), "text"), similarity)
+    # equal texts: a row of the least key stands for them
+    reps = cut(drawn.groupBy("same", "same2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "place")).alias("m")).select("same", "same2", F.col("m.row").alias("id"), "m.place"))
+    texts = cut(drawn.where("words").select("place", "keys", "size", "bins").join(reps.select("place", "id"), "place").drop("place"))
+    links, label = linked(texts, rows.select(F.col("row").alias("id"), "text"), similarity)
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    found = members.join(texts.select("same", "same2", F.col("id").alias("rep")), ["same", "same2"]).join(label.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
+    found = members.join(reps.select("same", "same2", F.col("id").alias("rep")), ["same", "same2"]).join(label.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
     found = found.withColumn("label", F.coalesce("label", "rep")).select("doc_id", "row", "label", F.coalesce("links", F.lit(0)).alias("links"), (~F.col("words")).alias("none"))
     # a table of its own, so that both sides of the join are plain exchanges and Spark can split a hot class
     named = cut(found.where("not none").groupBy("label").agg(F.min("doc_id").alias("class_id")))
