@@ -1,17 +1,21 @@
-"""Exact top-k search by BM25 (op1): inverted index with block-max pruning per shard, merged with global statistics.
+"""Exact top-k search by BM25 (op1): inverted index with block-max WAND per shard, merged with global statistics.
 
 Terms are runs of ASCII letters and digits and of signs beyond ASCII, with ASCII capitals lowered. A shard is up to `shard_rows`
-documents of one partition, indexed as arrays: sorted terms and their postings (document and frequency). Documents, their lengths and
-the terms' document frequencies are summed over all shards; a query takes them along, in blocks of queries. In a shard, the largest
-frequency and the least length of each of the query's terms in each block of 128 documents bound what a document of the block can score.
-Blocks are visited in the order of their bounds, summed over the terms, until the bound falls below the k-th score found; documents of the
-blocks that are left are never scored, and cannot enter. So the shard's top k is exact, and the merge of the shards' lists is the exact
-top k.
+documents of one partition, indexed as arrays: sorted terms, their postings (document and frequency), and for each term and block of 128
+documents where its postings begin, their largest frequency and the least length of their documents. Documents, their lengths and the
+terms' document frequencies are summed over all shards; a query takes them along, in blocks of queries.
+
+A query reads the block maxima of its terms, which bound what a document of a block can score. Blocks whose bounds are below the k-th score
+found so far (in this shard or the ones before it in the task) are skipped, and their postings are not read. In the blocks that are
+visited, in the order of their bounds, the terms are ordered by their maxima; those before the pivot, whose maxima together stay below the
+k-th score, cannot bring a document in by themselves: documents come from the postings of the other terms, and only where one of them
+may still reach the k-th score are the postings before the pivot read. So the shard's top k is exact, and the merge of the shards'
+lists is the exact top k.
 
 Scores are sums of whole millionths, so they don't depend on the order of addition; ties go to the least document id, null last.
 
-A query is a whole text: its `max_terms` terms of the highest tf * idf, as in more-like-this search (ties by the term). Null and empty
-texts have no terms; such a query has no results. Rows that share an id are ranked one by one.
+A query is a whole text: all its distinct terms. Null and empty texts have no terms; such a query has no results, and neither has any on
+an empty table. Rows that share an id are ranked one by one; texts of any length are read whole; columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -60,7 +64,7 @@ def postings(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return h[at], doc[at], np.diff(np.append(at, len(h))), order[at]
 
 
-INDEX = "shard long, docs array<long>, lengths array<int>, terms array<long>, term_at array<int>, posting_doc array<int>, posting_tf array<int>"
+INDEX = "shard long, docs array<long>, lengths array<int>, terms array<long>, block_at array<int>, block array<int>, posting_at array<int>, most array<int>, least array<int>, posting_doc array<int>, posting_tf array<int>"
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_rows: int = 8192) -> DataFrame:
@@ -82,11 +86,13 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_
             order = np.argsort(h, kind="stable")  # documents come in order
             h, doc, tf = h[order], doc[order], tf[order]
             del order
-            new = np.ones(len(h), bool)
+            new, apart = np.ones(len(h), bool), np.ones(len(h), bool)
             new[1:] = h[1:] != h[:-1]
-            at = np.flatnonzero(new)
+            apart[1:] = new[1:] | (doc[1:] >> BLOCK != doc[:-1] >> BLOCK)
+            at, of = np.flatnonzero(new), np.flatnonzero(apart)  # each term's first posting, and each block's
+            most, least = (np.maximum.reduceat(tf, of), np.minimum.reduceat(dl[doc], of)) if len(of) else (tf, tf)
             keys = pa.concat_arrays(ids)
-            cols = lists(dl, h[at], np.append(at, len(h)).astype(np.int32), doc, tf)
+            cols = lists(dl, h[at], np.append(np.searchsorted(of, at), len(of)).astype(np.int32), (doc[of] >> BLOCK).astype(np.int32), np.append(of, len(h)).astype(np.int32), most.astype(np.int32), least.astype(np.int32), doc, tf)
             out = pa.RecordBatch.from_arrays([pa.array([shard]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), *cols], names=[x.split()[0] for x in INDEX.split(", ")])
             ids.clear()
             shard, rows = shard + 1, 0
@@ -109,112 +115,135 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_
 
 
 def query_terms(queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, term, word, tf) of each query."""
+    """(query_id, term) of each query, and how often it has the term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, body, off in chunks(b, text):
-                low = LOWER[body]
-                w = Words(low, off, BETWEEN)
-                h, doc, tf, at = postings(w)
-                raw = low.tobytes()
-                words = [raw[i:j].decode() for i, j in zip(w.starts[at], w.ends[at], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(h), pa.array(words, pa.string()), pa.array(tf)], names=["query_id", "term", "word", "tf"])
+                h, doc, tf, _ = postings(Words(LOWER[body], off, BETWEEN))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(h), pa.array(tf)], names=["query_id", "term", "tf"])
 
-    return queries.select(key, text).mapInArrow(run, "query_id long, term long, word string, tf long")
+    return queries.select(key, text).mapInArrow(run, "query_id long, term long, tf long")
 
 
-class Shard:
-    """One shard's index, with the bounds of its blocks."""
+def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All places of the ranges [lo, hi), one after the other."""
+    n = hi - lo
+    return np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
 
-    def __init__(self, docs: pa.Array, lengths, terms, term_at, posting_doc, posting_tf, mean: float):
-        self.docs, self.mean, self.lengths, self.terms, self.at = docs, mean, lengths, terms, term_at
-        self.doc, self.tf = posting_doc, posting_tf
-        self.blocks = (len(lengths) >> BLOCK) + 1
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best documents. order: rank of each document by id, for ties."""
+class Shard:
+    """One shard's index for queries of some terms. weights: the terms (sorted) and their idf. read: how many postings queries have read."""
+
+    def __init__(self, docs: pa.Array, arrays: dict[str, np.ndarray], mean: float, terms: np.ndarray, weights: np.ndarray):
+        self.docs, self.terms, self.block_at, self.block, self.posting_at = docs, arrays["terms"], arrays["block_at"], arrays["block"], arrays["posting_at"]
+        self.doc, self.blocks, self.read = arrays["posting_doc"], (len(arrays["lengths"]) >> BLOCK) + 1, 0
+        place = np.searchsorted(terms, self.terms)
+        place[place == len(terms)] = 0
+        idf_ = np.where(terms[place] == self.terms, weights[place], 0.0) if len(terms) else np.zeros(len(self.terms))
+        of_block = np.repeat(idf_, np.diff(self.block_at))
+        self.bound = millionths(of_block * saturated(arrays["most"], arrays["least"], mean)) + 1
+        self.points = millionths(np.repeat(of_block, np.diff(self.posting_at)) * saturated(arrays["posting_tf"], arrays["lengths"][self.doc], mean))
+
+    def top(self, terms: np.ndarray, k: int, order: np.ndarray, worst: float = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best documents, without those below `worst`. order: rank of each document by id, for ties."""
+        best_doc, best = np.zeros(0, np.int64), np.zeros(0)
         place = np.searchsorted(self.terms, terms)
-        found = place < len(self.terms)
-        found[found] = self.terms[place[found]] == terms[found]
-        place, weights = place[found], weights[found]
+        place = place[place < len(self.terms)]
+        place = np.unique(place[np.isin(self.terms[place], terms)])
         if not len(place):
-            return place, weights
-        lo, hi = self.at[place], self.at[place + 1]
-        n = hi - lo
-        term = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(term)) - np.repeat(np.cumsum(n) - n, n) + lo[term]
-        doc = self.doc[at]
-        block = doc >> BLOCK
-        # segments: one term's postings in one block
-        new = np.ones(len(doc), bool)
-        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        seg = np.flatnonzero(new)
-        tf, dl = self.tf[at], self.lengths[doc]
-        bound = millionths(weights[term[seg]] * saturated(np.maximum.reduceat(tf, seg), np.minimum.reduceat(dl, seg), self.mean)) + 1
-        bounds = np.bincount(block[seg], bound, self.blocks)
-        visit = np.flatnonzero(bounds)
+            return best_doc, best
+        lo, hi = self.block_at[place], self.block_at[place + 1]
+        at = ranges(lo, hi)  # a term's postings in a block each
+        term, bound, block = np.repeat(np.arange(len(place)), hi - lo), self.bound[at], self.block[at]
+        bounds = np.bincount(block, bound, self.blocks)
+        maxima = np.maximum.reduceat(bound, np.cumsum(hi - lo) - (hi - lo))
+        rank = np.argsort(maxima)
+        upto = np.cumsum(maxima[rank])
+        visit = np.flatnonzero(bounds >= max(worst, 1))
         visit = visit[np.argsort(-bounds[visit], kind="stable")]
-        best_doc, best = np.zeros(0, np.int64), np.zeros(0)
-        step, done = 4, 0
-        while done < len(visit) and (len(best) < k or bounds[visit[done]] >= best[-1]):
-            now = np.zeros(self.blocks, bool)
-            now[visit[done : done + step]] = True
+        slot = np.full(self.blocks, -1)
+        done, step = 0, 4
+        while done < len(visit) and bounds[visit[done]] >= worst:
+            now = visit[done : done + step]
+            now = now[bounds[now] >= worst]
             done, step = done + step, step * 2
-            of = np.flatnonzero(now[block])
-            score = millionths(weights[term[of]] * saturated(tf[of], dl[of], self.mean))
-            docs, back = np.unique(doc[of], return_inverse=True)
-            best_doc, best = np.concatenate([best_doc, docs]), np.concatenate([best, np.bincount(back, score)])
+            slot[:] = -1
+            slot[now] = np.arange(len(now))
+            before = np.zeros(len(place), bool)  # the pivot
+            before[rank[: np.searchsorted(upto, worst)]] = True
+            here = np.flatnonzero(slot[block] >= 0)
+            early = before[term[here]]
+            score = self._sum(at[here[~early]], slot, len(now))
+            rest = np.bincount(slot[block[here[early]]], bound[here[early]], len(now))
+            may = (score > 0) & (score + np.repeat(rest, 1 << BLOCK) >= worst)
+            if early.any() and may.any():
+                left = may.reshape(len(now), -1).any(axis=1)
+                score += self._sum(at[here[early & left[slot[block[here]]]]], slot, len(now))
+            found = np.flatnonzero(may & (score >= worst))
+            best_doc, best = np.concatenate([best_doc, (now[found >> BLOCK] << BLOCK) + (found & ((1 << BLOCK) - 1))]), np.concatenate([best, score[found]])
             keep = np.lexsort((order[best_doc], -best))[:k]
             best_doc, best = best_doc[keep], best[keep]
+            if len(best) == k:
+                worst = max(worst, best[-1])
         return best_doc, best
 
+    def _sum(self, at: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
+        """Points by document of the visited blocks, from the postings of some terms and blocks."""
+        places = ranges(self.posting_at[at], self.posting_at[at + 1])
+        self.read += len(places)
+        doc = self.doc[places]
+        return np.bincount((slot[doc >> BLOCK] << BLOCK) + (doc & ((1 << BLOCK) - 1)), self.points[places], n << BLOCK)
+
 
 def frequencies(index: DataFrame) -> DataFrame:
     """(term, df) of each shard's terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for terms, at in zip(b.column(0), b.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([terms.values, pa.array(np.diff(at.values.to_numpy()).astype(np.int64))], names=["term", "df"])
+            for terms, at, of in zip(*b.columns, strict=True):
+                first = of.values.to_numpy()[at.values.to_numpy()]  # each term's first posting, and the end
+                yield pa.RecordBatch.from_arrays([terms.values, pa.array(np.diff(first).astype(np.int64))], names=["term", "df"])
 
-    return index.select("terms", "term_at").mapInArrow(run, "term long, df long")
+    return index.select("terms", "block_at", "posting_at").mapInArrow(run, "term long, df long")
 
 
-def search(index: DataFrame, terms: DataFrame, k: int = 10, max_terms: int = 16, block: int = 2048, together: int = 2) -> DataFrame:
+def search(index: DataFrame, terms: DataFrame, k: int = 10, block: int = 1 << 19, together: int = 2) -> DataFrame:
     """(query_id, rank, doc_id, score) of the k best documents of each query. index: a checkpointed `build_index`; terms: `query_terms`.
 
-    A task takes `together` shards, one after the other, and gives the best of them all.
+    Queries go in blocks of about `block` terms. A task takes `together` shards, one after the other, and gives the best of them all.
     """
     stats = index.agg(F.count("*").alias("shards"), F.sum(F.size("docs")).alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words")).first()
     n, mean = stats.n or 0, (stats.words or 0) / max(stats.n or 0, 1) or 1.0
     terms = cut(terms)
     df = frequencies(index).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-    weighed = terms.join(df, "term").withColumn("idf", idf(F.lit(float(n)), F.col("df")))
-    best = W.partitionBy("query_id").orderBy(F.floor(F.col("tf") * F.col("idf") * 1e6 + 0.5).desc(), "word")
-    chosen = weighed.withColumn("i", F.row_number().over(best)).where(F.col("i") <= max_terms)
-    asked = cut(chosen.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms")))
-    blocks = max(1, -(-asked.count() // block))
-    packed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", F.col("terms").alias("asked"))).alias("queries"))
-    packed = cut(packed.repartition(blocks, "block"))
+    weighed = terms.join(df, "term").select("query_id", F.struct("term", idf(F.lit(float(n)), F.col("df")).alias("idf")).alias("term"))
+    asked = cut(weighed.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms")))
+    blocks = max(1, -(-(asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // block))
+    packed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("part")).agg(F.collect_list(F.struct("query_id", F.col("terms").alias("asked"))).alias("queries"))
+    packed = cut(packed.repartition(blocks, "part"))
+    names = [x.split()[0] for x in INDEX.split(", ")][2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}  # by query: minus the points, whether the id is null, the id
         for b in batches:
             for r in range(b.num_rows):
-                docs, *arrays = (b.column(b.schema.get_field_index(c))[r].values for c in ("docs", "lengths", "terms", "term_at", "posting_doc", "posting_tf"))
-                shard = Shard(docs, *[a.to_numpy() for a in arrays], mean)
+                cell = lambda c: b.column(b.schema.get_field_index(c))[r].values  # noqa: B023, E731
+                docs, queries = cell("docs"), cell("queries")
+                lists = queries.field(1)
+                off, flat = lists.offsets.to_numpy(), lists.values
+                term, weight = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+                every, first = np.unique(term, return_index=True)
+                shard = Shard(docs, {c: cell(c).to_numpy() for c in names}, mean, every, weight[first])
                 nulls = docs.is_null().to_numpy(zero_copy_only=False)
                 ids = docs.fill_null(0).to_numpy()
                 order = np.empty(len(ids), np.int64)
                 order[np.lexsort((ids, nulls))] = np.arange(len(ids))
-                queries = b.column(b.schema.get_field_index("queries"))[r].values
-                lists = queries.field(1)
-                off, flat = lists.offsets.to_numpy(), lists.values
-                term, weight = flat.field(0).to_numpy(), flat.field(1).to_numpy()
                 for q, query in enumerate(queries.field(0).to_pylist()):
-                    d, s = shard.top(term[off[q] : off[q + 1]], weight[off[q] : off[q + 1]], k, order)
-                    held[query] = sorted([*held.get(query, []), *zip((-s).tolist(), nulls[d].tolist(), ids[d].tolist(), strict=True)])[:k]
+                    have = held.get(query, [])
+                    d, s = shard.top(term[off[q] : off[q + 1]], k, order, -have[-1][0] if len(have) == k else 0)
+                    if len(d):
+                        held[query] = sorted([*have, *zip((-s).tolist(), nulls[d].tolist(), ids[d].tolist(), strict=True)])[:k]
         rows = [(q, None if null else i, int(-s)) for q, found in held.items() for s, null, i in found]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["query_id", "doc_id", "points"])
@@ -236,7 +265,7 @@ WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 s AS (SELECT count(*)::DOUBLE AS n, sum(len(ws)) / count(*)::DOUBLE AS mean FROM d),
 p AS (SELECT doc_id, word, count(*)::DOUBLE AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(ws) AS word, len(ws) AS dl FROM d) GROUP BY doc_id, word),
 f AS (SELECT word, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, s GROUP BY word, n),
-q AS (SELECT * FROM (SELECT doc_id AS query_id, word, idf, row_number() OVER (PARTITION BY doc_id ORDER BY floor(tf * idf * 1e6 + 0.5) DESC, word) AS i FROM p JOIN f USING (word) WHERE doc_id % 50 = 0) WHERE i <= 16),
+q AS (SELECT doc_id AS query_id, word, idf FROM p JOIN f USING (word) WHERE doc_id % 50 = 0),
 m AS (SELECT query_id, doc_id, sum(floor(idf * (tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / mean))) * 1e6 + 0.5))::BIGINT AS points FROM q JOIN p USING (word), s GROUP BY query_id, doc_id)
 SELECT query_id, rank, doc_id, points / 1e6::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, doc_id) AS rank FROM m) WHERE rank <= 10
 """

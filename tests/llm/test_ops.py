@@ -87,6 +87,35 @@ def test_search_nothing(spark, odd):
     assert search.search(cut(search.build_index(none)), search.query_terms(none)).count() == 0
 
 
+def test_pruning_reads_fewer_postings_and_loses_nothing(spark):
+    """Queries of rare and frequent terms: the same results as from scoring all, from fewer postings than the terms have."""
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    weight = [1 / (i + 1) for i in range(3000)]
+    docs = [" ".join(rng.choices([f"t{i}" for i in range(3000)], weight, k=rng.randint(5, 60))) for _ in range(4000)]
+    index = search.build_index(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1), shard_rows=4000).toPandas().iloc[0]
+    arrays = {c.split()[0]: np.asarray(index[c.split()[0]]) for c in search.INDEX.split(", ")[2:]}
+    n, mean = len(docs), float(np.mean(arrays["lengths"]))
+    df = np.diff(arrays["posting_at"][arrays["block_at"]])
+    weights = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    shard = search.Shard(pa.array(index["docs"]), arrays, mean, arrays["terms"], weights)
+    held = 0
+    for _ in range(60):
+        text = " ".join([f"t{rng.randint(0, 9)}", f"t{rng.randint(300, 2999)}", f"t{rng.randint(300, 2999)}"]).encode()
+        terms = np.unique(Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), search.BETWEEN).hashes().view(np.int64))
+        place = [int(p) for p in np.searchsorted(arrays["terms"], terms) if p < len(df) and arrays["terms"][p] in terms]
+        score = np.zeros(n)
+        for p in place:
+            at = slice(*arrays["posting_at"][arrays["block_at"][[p, p + 1]]])
+            score[arrays["posting_doc"][at]] += shard.points[at]
+            held += int(df[p])
+        want = [d for d in np.lexsort((np.arange(n), -score))[:10] if score[d] > 0]
+        got, points = shard.top(terms, 10, np.arange(n))
+        assert got.tolist() == want and points.tolist() == score[want].tolist()
+    assert shard.read < 0.7 * held
+
+
 # op2
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Site</a> Welcome, all.</header><nav><ul><li><a>x</a></ul></nav>
