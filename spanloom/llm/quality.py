@@ -5,7 +5,8 @@ order of rejections per second, each on the rows that the ones before it have ke
 as the first to reject, never the verdict.
 
 Words are runs of `[^\\x20\\x09-\\x0D]`. Null and empty texts have no words and fail the base rules. Repeated rows get one verdict each;
-other columns pass through untouched.
+texts of any length are judged whole; an empty table gives no rows. Other columns pass through untouched; one whose name `judge` needs for
+a column of its own comes back with `_` before its name.
 """
 
 from __future__ import annotations
@@ -136,8 +137,8 @@ RULES: dict[str, Rule] = {
 }
 
 
-def measured(docs: DataFrame, rules: dict[str, Rule], key: str = "doc_id", text: str = "text", sample_rows: int = 2000) -> list[str]:
-    """The rules' names by rejections per second on about `sample_rows` rows; the texts stay with the executors."""
+def measured(docs: DataFrame, rules: dict[str, Rule], base: dict[str, Rule], key: str = "doc_id", text: str = "text", sample_rows: int = 2000) -> list[str]:
+    """The rules' names by rejections per second on those of about `sample_rows` rows that the base rules keep; the texts stay with the executors."""
     n = docs.count()
     if not n:
         return list(rules)
@@ -147,9 +148,11 @@ def measured(docs: DataFrame, rules: dict[str, Rule], key: str = "doc_id", text:
         got = {name: [0.0, 0] for name in rules}
         for b in batches:
             for _, body, off in chunks(b, text):
+                t = Texts(body, off)
+                met = t.only(np.flatnonzero(cascade(t, base, list(base), np.ones(len(t), bool)) < 0))  # what the base rules leave
                 for name, rule in rules.items():
                     began = time.perf_counter()
-                    got[name][1] += int(rule(Texts(body, off)).sum())
+                    got[name][1] += int(rule(Texts(met.body, met.off)).sum())
                     got[name][0] += time.perf_counter() - began
         yield pa.RecordBatch.from_arrays([pa.array(list(got)), pa.array([x[0] for x in got.values()]), pa.array([x[1] for x in got.values()], pa.int64())], names=["rule", "s", "hits"])
 
@@ -175,34 +178,53 @@ def cascade(t: Texts, rules: dict[str, Rule], order: list[str], alive: np.ndarra
     return first
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def verdicts(body: np.ndarray, off: np.ndarray, rules: dict[str, Rule], base: dict[str, Rule], order: list[str]) -> tuple[Texts, np.ndarray, np.ndarray]:
+    """The texts, and for each the place of the base rule and of the other rule that rejects it, or -1."""
+    t = Texts(body, off)
+    first = cascade(t, base, list(base), np.ones(len(t), bool))
+    return t, first, cascade(t, rules, order, first < 0)
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: dict[str, Rule] | None = None, base: dict[str, Rule] | None = None, sample_rows: int = 2000, stats: bool = True) -> DataFrame:
     """All columns of `docs` with base_failed, kept and rejected_by, and the base counts if asked for."""
     rules, base = RULES if rules is None else rules, BASE if base is None else base
-    order = measured(docs, rules, key, text, sample_rows)
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"] * stats
+    order = measured(docs, rules, base, key, text, sample_rows)
+    counts = COUNTS * stats
     added = [*counts, "base_failed", "kept", "rejected_by"]
-    rest = [c for c in docs.columns if c not in added]
+    names: list[str] = []
+    for c in docs.columns:
+        while c.lower() in {x.lower() for x in [*added, *names]}:
+            c = f"_{c}"
+        names.append(c)
+    at = names[docs.columns.index(text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, body, off in chunks(b, text):
-                t = Texts(body, off)
-                if stats:
-                    made = {c: getattr(t, c)() for c in counts}
-                    failed = (made["n_words"] < 10) | (100 * made["n_repeat_words"] > 20 * made["n_words"])
-                    first = np.where(failed, 0, -1)
-                    named = ["base"]
-                else:
-                    named = list(base)
-                    made, first = {}, cascade(t, base, named, np.ones(len(t), bool))
-                    failed = first >= 0
-                by = cascade(t, rules, order, ~failed)
-                why = [named[i] if i >= 0 else order[j] if j >= 0 else None for i, j in zip(first, by, strict=True)]
-                made |= {"base_failed": failed, "kept": ~failed & (by < 0)}
+            for part, body, off in chunks(b, at):
+                t, first, by = verdicts(body, off, rules, base, order)
+                why = [list(base)[i] if i >= 0 else order[j] if j >= 0 else None for i, j in zip(first, by, strict=True)]
+                made = {c: getattr(t, c)() for c in counts} | {"base_failed": first >= 0, "kept": (first < 0) & (by < 0)}
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x) for x in made.values()], pa.array(why, pa.string())], names=[*part.schema.names, *added])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in rest]
-    return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, ", ".join([*kinds, *[f"{c} long" for c in counts], "base_failed boolean, kept boolean, rejected_by string"]))
+    kinds = [f"`{c}` {f.dataType.simpleString()}" for c, f in zip(names, docs.schema.fields, strict=True)]
+    return docs.toDF(*names).mapInArrow(run, ", ".join([*kinds, *[f"{c} long" for c in counts], "base_failed boolean, kept boolean, rejected_by string"]))
+
+
+def passing(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: dict[str, Rule] | None = None, base: dict[str, Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
+    """The rows of `docs` that no rule rejects, with all their columns, whatever their names."""
+    rules, base = RULES if rules is None else rules, BASE if base is None else base
+    order = measured(docs, rules, base, key, text, sample_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, body, off in chunks(b, text):
+                _, first, by = verdicts(body, off, rules, base, order)
+                yield part.filter(pa.array((first < 0) & (by < 0)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,13 @@
 The key is one long: the text's hash above the row's hash, so equal texts lie side by side and a large group of them can still be cut.
 Keys are drawn with a chance in proportion to their rows' sizes, the draws' quantiles bound key ranges, and every range is summed;
 ranges that turn out overfull are divided by draws of their own until none is. Consecutive ranges make up a shard. The driver holds
-the draws and a sum per range: `ranges` times `draws` longs at most, whatever the input's size.
+the draws and a sum per range: `ranges` times `draws` longs at most, whatever the input's size. A range of rows that are all equal in key
+and text cannot be divided by keys; its rows have one size and are divided by number.
 
-Sizes are the text's UTF-8 bytes plus 1 (null: 1). Rows that are equal in key and text are told apart by their place in the scan, so
-they can be divided too. Rows are numbered within a shard without gaps: an offset by range, and a row number in the range.
+Sizes are the text's UTF-8 bytes plus 1 (null: 1). Rows are numbered within a shard without gaps: an offset by range, and a row number in
+the range, by key. Shards and slots depend on the rows alone, not on how the scan was split; rows that are equal in key and text are
+interchangeable. Texts of any length are one row; an empty table gives no
+rows; other columns are carried along as asked for.
 """
 
 from __future__ import annotations
@@ -25,11 +28,9 @@ from spanloom.llm.base import cut, table
 
 
 def range_key(text: Column, key: Column) -> Column:
-    """36 bits of the text's hash, 18 of the key's, 10 of the row's place."""
+    """36 bits of the text's hash, 28 of the key's."""
     high = F.shiftrightunsigned(F.xxhash64(text), 28)
-    middle = F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 46)
-    low = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 54)
-    return F.shiftleft(high, 28).bitwiseOR(F.shiftleft(middle, 10)).bitwiseOR(low)
+    return F.shiftleft(high, 28).bitwiseOR(F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 36))
 
 
 def drawn(keyed: DataFrame, bounds: np.ndarray, want: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
@@ -67,8 +68,8 @@ def ranged(keyed: DataFrame, bounds: np.ndarray) -> DataFrame:
     return keyed.withColumn("range_id", at("range_key"))
 
 
-def splitters(keyed: DataFrame, ranges: int = 1024, draws: int = 16, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds of ranges that hold at most twice their share of the bytes (or one key), with the ranges' bytes and rows."""
+def splitters(keyed: DataFrame, ranges: int = 1024, draws: int = 16, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of ranges that hold at most twice their share of the bytes (or one key), with the ranges' bytes and rows, and whether they have several keys."""
     bounds = np.zeros(0, np.int64)
     size, n, several = sums(keyed, bounds)
     share = max(1, int(size.sum()) // ranges)
@@ -80,10 +81,31 @@ def splitters(keyed: DataFrame, ranges: int = 1024, draws: int = 16, rounds: int
         new = [bounds]
         for r, keys in drawn(keyed, bounds, want).items():
             parts = want[r][0] // draws
-            new.append(keys[(np.arange(1, parts) * len(keys) // parts)])
+            chosen = keys[np.arange(1, parts) * len(keys) // parts]
+            new += [chosen, chosen[1:][chosen[1:] == chosen[:-1]] + 1]  # a key that is drawn for several bounds gets a range of its own
         bounds = np.unique(np.concatenate(new))
         size, n, several = sums(keyed, bounds)
-    return bounds, size, n
+    return bounds, size, n, several
+
+
+def pieces(size: np.ndarray, n: np.ndarray, several: np.ndarray, n_shards: int, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first row (counted over all ranges) and the shard of each piece of the order: a whole range, or what one shard gets of a large range of equal rows."""
+    before, rows, total = np.cumsum(size) - size, np.cumsum(n) - n, max(1, int(size.sum()))
+    start, shard = [0], [0]
+    for r in np.flatnonzero(n):
+        if size[r] <= 2 * share or several[r]:
+            start.append(int(rows[r]))
+            shard.append(min(int(before[r] + size[r] // 2) * n_shards // total, n_shards - 1))
+            continue
+        each = int(size[r] // n[r])
+        for s in range(n_shards):
+            i = max(0, -(-(-(-s * total // n_shards) - int(before[r]) - each // 2) // each))
+            if i < n[r]:
+                start.append(int(rows[r]) + i)
+                shard.append(s)
+    start, shard = np.array(start), np.array(shard)
+    last = np.append(start[1:] != start[:-1], True)  # of pieces that begin at one row
+    return start[last], shard[last]
 
 
 def shards(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, ranges: int = 1024) -> DataFrame:
@@ -94,22 +116,28 @@ def shards(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str =
         return pd.Series([zlib.crc32(x.encode()) for x in t], dtype="int64")
 
     whole = F.coalesce(F.col(text), F.lit(""))
-    keyed = cut(docs.select(F.col(key), (F.octet_length(whole) + F.lit(1)).cast("long").alias("size"), crc(whole).alias("text_crc32"), range_key(whole, F.col(key)).alias("range_key"), *(carry or [])))
-    bounds, size, n = splitters(keyed, ranges)
-    before = np.cumsum(size) - size
-    shard = np.minimum((before + size // 2) * n_shards // max(1, int(size.sum())), n_shards - 1)
-    rows = np.cumsum(n) - n
-    first = rows - np.array([rows[shard == s].min() if (shard == s).any() else 0 for s in range(n_shards)], np.int64)[shard]
-
-    @F.pandas_udf("shard int, base long")
-    def placed(r: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"shard": shard[r].astype(np.int32), "base": first[r]})
-
-    order = W.partitionBy("range_id").orderBy("range_key", key)
-    return (
-        ranged(keyed, bounds).withColumn("row", F.row_number().over(order).cast("long")).withColumn("at", placed("range_id"))
-        .select(key, "size", "text_crc32", F.col("at.shard").alias("shard"), (F.col("row") - 1 + F.col("at.base")).alias("slot"), *(carry or []))
-    )
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(64)).cast("int")
+    keyed = cut(docs.select(F.col(key), (F.octet_length(whole) + F.lit(1)).cast("long").alias("size"), crc(whole).alias("text_crc32"), range_key(whole, F.col(key)).alias("range_key"), salt.alias("salt"), *(carry or [])))
+    bounds, size, n, several = splitters(keyed, ranges)
+    rows, total = np.cumsum(n) - n, max(1, int(size.sum()))
+    start, shard = pieces(size, n, several, n_shards, max(1, total // ranges))
+    first = np.array([start[shard == s].min() if (shard == s).any() else 0 for s in range(n_shards)], np.int64)
+    # ranges of equal rows are numbered in 64 parts, so that none is one task's work: parts of a range come one after the other
+    large = np.flatnonzero((size > 2 * max(1, total // ranges)) & ~several)
+    counts = ranged(keyed.select("range_key", "salt"), bounds).where(F.col("range_id").isin(large.tolist())).groupBy("range_id", "salt").agg(F.count("*").alias("n")).toPandas()
+    part = np.zeros((len(n), 64), np.int64)
+    part[counts["range_id"], counts["salt"]] = counts["n"]
+    ahead = np.cumsum(part, axis=1) - part
+
+    @F.pandas_udf("shard int, slot long")
+    def placed(r: pd.Series, salt: pd.Series, row: pd.Series) -> pd.DataFrame:
+        at = rows[r] + ahead[r, salt] + row.to_numpy()
+        to = shard[np.searchsorted(start, at, "right") - 1]
+        return pd.DataFrame({"shard": to.astype(np.int32), "slot": at - first[to]})
+
+    numbered = ranged(keyed, bounds).withColumn("salt", F.when(F.col("range_id").isin(large.tolist()), F.col("salt")).otherwise(0))
+    numbered = numbered.withColumn("row", F.row_number().over(W.partitionBy("range_id", "salt").orderBy("range_key", key)).cast("long") - 1)
+    return numbered.withColumn("at", placed("range_id", "salt", "row")).select(key, "size", "text_crc32", "at.shard", "at.slot", *(carry or []))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

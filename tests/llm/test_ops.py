@@ -304,6 +304,27 @@ def test_shards_of_one_text(spark, odd):
     assert sharding.shards(odd, 2, carry=["lang"]).count() == 14 and sharding.shards(odd.where("false")).count() == 0
 
 
+def test_shards_do_not_depend_on_the_scan(spark):
+    """Every row's shard and slot from another split of the same rows, and against numbering all rows in key order."""
+    rng = random.Random(12)
+    rows = [(rng.randint(0, 30), " ".join(rng.choice("abc") for _ in range(rng.randint(0, 6)))) for _ in range(400)] + [(5, "the same")] * 800
+    made = []
+    for n in (1, 7):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        made.append(sorted(tuple(r) for r in sharding.shards(df, 4, ranges=64).collect()))
+    assert made[0] == made[1]
+    keyed = spark.createDataFrame(rows, "doc_id long, text string").withColumn("range_key", sharding.range_key(__import__("pyspark").sql.functions.col("text"), __import__("pyspark").sql.functions.col("doc_id"))).collect()
+    order = sorted((r.range_key, r.doc_id, len(r.text) + 1) for r in keyed)
+    got = sorted((shard, slot, d, size) for d, size, _, shard, slot in made[0])
+    assert [x[2:] for x in got] == [x[1:] for x in order], "shards follow one another in key order"
+    total = sum(x[2] for x in order)
+    held = Counter()
+    for shard, _, _, size in got:
+        held[shard] += size
+    assert all(abs(held[s] - total / 4) <= 2 * total / 64 + 20 for s in range(4))
+
+
 # op6
 
 
