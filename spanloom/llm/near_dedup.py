@@ -323,10 +323,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             ok = [alike(x.as_py().split(), y.as_py().split(), similarity) for x, y in zip(a, b, strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    used = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    # a table of its own, so that both sides of the joins are plain exchanges and Spark can split a hot text
-    needed = cut(texts.join(used, "id", "left_semi").dropDuplicates(["id"]))
-    one, two = (needed.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("u", "a"), ("v", "b")))
+    one, two = (texts.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("u", "a"), ("v", "b")))
     return cut(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
 
 
@@ -335,6 +332,8 @@ def linked(drawn: DataFrame, texts: DataFrame, similarity: float, part: int = 20
     rows, fine = bucket_rows(drawn, part), drawn.select("id", F.substring("bins", BINS // 2 + 1, FINE // 2).alias("bins"), "keys")
     first = rows.withColumns({"cell": F.xxhash64("bucket", "part", "part"), "side": F.col("part"), "label": F.col("id"), "keys": F.array().cast("array<long>")})
     got = cell_pairs(first, allow, similarity)
+    # a table of its own, so that texts are shuffled once, and both sides of later joins are plain exchanges that Spark can split
+    texts = cut(texts.join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
     tried = cut(got.where("u is not null").select("u", "v").distinct())
     links = verified(tried, texts, similarity)
     label = contracted(links)
