@@ -2,8 +2,9 @@
 
 Each document's tokens, with a separator, are cut into full windows and a remainder. A remainder goes whole to the fill level at which
 the sum of the squared numbers of partly filled windows grows least; these numbers are an array by level, and a window is found by its
-level. At the end of a partition (or when `max_open` windows are open, which bounds memory) the open windows are closed: the least
-filled are cut to fill the others exactly, and the one that is left is cut into lengths that are powers of two, which need no padding.
+level. At the end of a partition the open windows are closed: the least filled are cut to fill the others exactly, and the one that is left
+is cut into lengths that are powers of two, which need no padding. The rule keeps few windows open: about 19 times the square root of
+the documents placed, if their lengths are evenly spread (413, 1804, 5980 and 10197 of 1000, 10000, 100000 and 300000).
 
 Windows are packed within a partition of the scan, so nothing is shuffled, a lost task repeats its own work with the same result, and
 padding does not grow with the number of partitions. Null texts count as empty: a document of the separator alone. Repeated rows are
@@ -59,7 +60,7 @@ class Encoder:
 class LevelPacker:
     """Packs remainders online; `close` empties what is open. A closed window is a list of pieces."""
 
-    def __init__(self, size: int, max_open: int = 4096):
+    def __init__(self, size: int, max_open: int | None = None):
         self.size, self.max_open = size, max_open
         self.count = np.zeros(2 * size + 1, np.int64)  # windows open at each level; none at 0 and from `size` on
         self.windows: list[list[list[Piece]]] = [[] for _ in range(size)]
@@ -92,7 +93,7 @@ class LevelPacker:
         else:
             self.windows[h + n].append(window)
             self.count[h + n] += 1
-        if self.open > self.max_open:
+        if self.max_open and self.open > self.max_open:
             yield from self.close()
 
     def close(self) -> Iterator[list[Piece]]:

@@ -71,6 +71,8 @@ class Texts:
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash and text of every line that has a word."""
+        if not len(self.body):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         cuts = np.flatnonzero(self.body == 10)
         inner = np.union1d(self.off[:-1], cuts + 1)
         lo = inner[inner < len(self.body)] if len(inner) else inner

@@ -67,7 +67,7 @@ def postings(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 INDEX = "shard long, docs array<long>, lengths array<int>, terms array<long>, block_at array<int>, block array<int>, posting_at array<int>, most array<int>, least array<int>, posting_doc array<int>, posting_tf array<int>"
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_rows: int = 8192) -> DataFrame:
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_rows: int = 4096) -> DataFrame:
     """A row a shard; the scan's partitions are put together, without a shuffle, to one a shard."""
 
     def lists(*arrays: np.ndarray) -> list[pa.Array]:
@@ -105,7 +105,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_
                 held.append((h, (doc + rows).astype(np.int32), tf.astype(np.int32), w.counts.astype(np.int32)))
                 ids.append(part.column(0).cast(pa.int64()))
                 rows += part.num_rows
-                if rows >= 2 * shard_rows:
+                if rows >= shard_rows:
                     yield flush()
         if held:
             yield flush()

@@ -4,16 +4,19 @@ The graph's edges are the passages' windows of `length` words. A window's anchor
 anchors, and neighbouring windows of one anchor are one run: the scan emits runs, some 4% as many as windows. Then:
 
 1. Anchors found in one document only are dropped by a join; what is left, the repeated part of the graph, is checkpointed.
-2. Equal runs are one node, with its least document, its number and its first place in the source. A node whose every occurrence is
-   followed by the same node, which occurs as often, is joined to it: such nonbranching paths become one long span, in the source
-   coordinates of the first occurrence.
+2. Equal runs are one node, with its least document, its number and its first place in the source. A join finds the nodes whose every
+   occurrence follows the same node, which occurs as often: such nonbranching paths become one long span, in the source coordinates of the
+   first occurrence, where a window over the first document numbers them. Runs are equal if 62 bits of a hash of their words modulo a prime
+   and their anchors are.
 3. Where one anchor has several runs, the runs' windows are read at their source coordinates and compared one by one, by 128 bits: this
    finds windows that runs with different edges share.
 4. Every occurrence of a span in a later document marks its words there; the marks are joined to the texts, which are cut.
 
 Joins are by anchor, run or text, whose hot keys Spark splits; sums by hot keys are formed before the shuffle. No list grows with
 anything but one document. Windows are judged on the input. Rows that share doc_id are one document: they never remove each other's
-words. A null doc_id is neither earlier nor later. Null and empty texts, and texts below `length` words, lose nothing.
+words. A null doc_id is neither earlier nor later. Null and empty texts, and texts below `length` words, lose nothing. Texts of any length are
+read whole, in slices of many texts or one long one. An empty table gives no rows. `dedup` gives the key, its counts and the carried columns;
+`cut_repeats` gives all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -115,12 +118,12 @@ def repeated_spans(keyed: DataFrame, length: int = 50, k: int = 8) -> DataFrame:
         F.first("n").alias("n"), F.min("after").alias("after"), F.max("after").alias("after2"), F.first("several").alias("several"),
     )
     nodes = cut(nodes.select("content", "anchor", "least", "most", "times", "n", "several", F.col("first.row").alias("row"), F.col("first.a").alias("a"), F.when(F.col("after") == F.col("after2"), F.col("after")).alias("after")))
-    # nonbranching paths, in the source coordinates of their first occurrence
+    # nonbranching paths, in the source coordinates of their first occurrence: a join brings each run the one that it always follows
     shared = nodes.where("least < most")
-    order = W.partitionBy("row").orderBy("a", "content")
-    lag = lambda c: F.lag(c).over(order)
-    goes_on = (lag("after") == F.col("content")) & (lag("times") == F.col("times")) & (lag(F.col("a") + F.col("n")) == F.col("a")) & (lag("least") == F.col("least"))
-    paths = shared.withColumn("head", F.when(goes_on, 0).otherwise(1)).withColumn("path", F.sum("head").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    before = shared.where("after is not null").select(F.col("after").alias("content"), "row", "times", "least", (F.col("a") + F.col("n")).alias("a"), F.lit(0).alias("goes_on"))
+    joined = shared.join(before.distinct(), ["content", "row", "times", "least", "a"], "left").withColumn("head", F.coalesce("goes_on", F.lit(1)))
+    order = W.partitionBy("row").orderBy("a", "content").rowsBetween(W.unboundedPreceding, W.currentRow)
+    paths = joined.withColumn("path", F.sum("head").over(order))
     spans = paths.groupBy("row", "path").agg(F.min(F.struct("a", "content", "anchor", "least")).alias("h"), F.sum("n").cast("int").alias("total"))
     spans = spans.select("h.content", "h.anchor", "h.least", "total")
     later = found.join(spans, ["content", "anchor"]).where("doc_id > least").select("row", "a", F.col("total").alias("n"))
@@ -138,7 +141,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     more = carry or []
     keyed = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = repeated_spans(keyed, length, k)
-    marks = spans.groupBy("row").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
+    marks = spans.distinct().groupBy("row").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
     if more:
         keyed = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
     out = ["doc_id", "n_words", "n_removed", "kept", *more]
@@ -170,6 +173,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     return joined.mapInArrow(emit, ", ".join(kinds)).withColumnRenamed("doc_id", key)
 
 
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, k: int = 8) -> DataFrame:
+    """The rows of `docs` with all their columns, and texts without what an earlier document holds; a text that loses nothing stays as it is."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (key, text)], F.lit(0).alias("_"))
+    out = dedup(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), rest.alias("rest")), "key", "text", length, k, carry=["rest"], whole=True)
+    return out.select(*[F.col("key").alias(c) if c == key else F.col("kept").alias(c) if c == text else F.col(f"rest.`{c}`") for c in docs.columns])
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -564,6 +564,15 @@ def test_order_does_not_change_the_verdict(spark, odd):
     assert quality.judge(odd.where("false")).count() == 0 and set(odd.columns) <= set(quality.judge(odd).columns)
 
 
+def test_clashing_names_come_back(spark):
+    rows = [(1, "some words that are no repeats of one another at all", "mine", 7, "why"), (2, None, "mine", 7, "why")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words int, rejected_by string")
+    out = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert [(out[i].kept, out[i].n_words, out[i]._kept, out[i]._n_words, out[i]._rejected_by) for i in (1, 2)] == [(True, 11, "mine", 7, "why"), (False, 0, "mine", 7, "why")]
+    assert [tuple(r) for r in quality.passing(df).collect()] == rows[:1]
+    assert substrings.cut_repeats(df).columns == df.columns and sorted(map(str, substrings.cut_repeats(df).collect())) == sorted(map(str, [spark.createDataFrame([r if r[1] else (2, "", *r[2:])], df.schema).first() for r in rows]))
+
+
 # op10
 
 

@@ -12,7 +12,7 @@ def test_stages(spark, data, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         kept.append(docs)
         if i < len(cp.STAGES) - 1:
-            assert docs.columns == cp.COLUMNS
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     ids = lambda d: sorted(r.doc_id for r in d.select("doc_id").collect())
     verdict = quality.judge(table(spark, data, "documents").select("doc_id", "text"))
     assert ids(kept[0]) == ids(verdict.where("kept"))
@@ -33,3 +33,14 @@ def test_no_documents(spark, data):
 
 def test_run(spark, data):
     assert cp.run(spark, data).count() > 0
+
+
+def test_odd_rows(spark, data, odd):
+    """Nulls, repeated rows, long texts, and columns whose names clash with the operators' own, through all stages."""
+    docs = odd.withColumnsRenamed({"size": "kept_sha256", "row": "rejected_by"})
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        assert {r.rejected_by for r in docs.collect()} <= {"s"} and {r.kept for r in docs.collect()} <= {True}
+    assert sorted({r.doc_id for r in docs.collect()}) and cp.packing(spark, docs, data).count() > 0
