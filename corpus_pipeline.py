@@ -1,7 +1,8 @@
 """A corpus from documents to packed sequences, in five stages; part of the subpackage llm.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return the columns of
-documents; null texts count as empty, and other columns pass through.
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return the columns of their
+input, whatever their names. In every stage null texts count as empty, texts of any length are read whole, an empty table gives no rows,
+and rows that share id and text are one document where the stage compares documents.
 """
 
 from __future__ import annotations
@@ -13,36 +14,32 @@ from spanloom.llm.base import cut, table
 from spanloom.llm.mixing import mixed
 from spanloom.llm.near_dedup import keep_one
 from spanloom.llm.packing import pack
-from spanloom.llm.quality import judge
-from spanloom.llm.substrings import dedup
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from spanloom.llm.quality import passing
+from spanloom.llm.substrings import cut_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return judge(docs.select(COLUMNS), stats=False).where("kept").select(COLUMNS)
+    """Documents that the rules reject go; null and empty texts are rejected, repeated rows are judged one by one."""
+    return passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays."""
-    return keep_one(docs.select(COLUMNS))
+    """Of each class of near duplicates one row with the least id stays (null ids last); texts without words are classes of their own."""
+    return keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut out; a text that loses nothing stays as it is."""
-    out = dedup(docs.select(COLUMNS), carry=["lang", "source"], whole=True)
-    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+    """Passages that a document with a lesser id holds are cut out; a text that loses nothing stays as it is, one that loses all becomes empty."""
+    return cut_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at a source's budget is cut there."""
-    out = mixed(docs.select(COLUMNS))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    """Documents as often as the mix takes them (those without words: never); the one at a source's budget is cut there."""
+    return mixed(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with their token identifiers."""
+    """The pieces of the packed sequences, with their token identifiers; an empty text is its separator, repeated rows are packed once each."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
