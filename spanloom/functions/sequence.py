@@ -19,8 +19,8 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def masked(seq: Column) -> Column:
-    """Upper case, with N for all but A, C, G and T."""
-    return F.regexp_replace(F.upper(seq), "[^ACGT]", "N")
+    """Upper case, with N for every sign but A, C, G and T in either case."""
+    return F.regexp_replace(F.translate(seq, "acgt", "ACGT"), "[^ACGT]", "N")
 
 
 def subsequence(seq: Column, beg: Column, end: Column) -> Column:

@@ -49,6 +49,13 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy(F.least("aread", "bread").alias("a"), F.greatest("aread", "bread").alias("b")).agg(F.sum("mlen").alias("w"))
 
 
+def line_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of each line number by itself: nodes are sequence * 8 + line number, so there are seven graphs, and every alignment is used."""
+    a = alns(spark, d).where("aread <> bread")
+    node = lambda f: (f("aread", "bread") * 8 + F.col("line")).alias("a" if f is F.least else "b")
+    return a.groupBy(node(F.least), node(F.greatest)).agg(F.sum("mlen").alias("w"))
+
+
 def calls(spark: SparkSession, d: str) -> DataFrame:
     k = F.expr("o_orderkey % 1000 + 1")
     return table(spark, d, "orders").select(F.col("o_custkey").alias("seq"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long").alias("pos"), (k * k * k).alias("pn"), F.col("o_orderkey").alias("key"))

@@ -42,11 +42,11 @@ def _steps(spark: SparkSession, d: str) -> DataFrame:
     return intervals.coverage(_ivals(spark, d), ad.sequences(spark, d))
 
 
-def _short(spark: SparkSession, d: str, where: str = "line <= 1 and mlen < 100") -> DataFrame:
+def _short(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
     return ad.alns(spark, d).where(where).select(F.col("aread").alias("seq"), F.col("abpos").alias("beg"), F.col("aepos").alias("end"))
 
 
-_SHORT = ad.ALNS + ",\nshort AS (SELECT aread AS seq, abpos AS beg, aepos AS \"end\" FROM alns WHERE line <= 1 AND mlen < 100)"
+_SHORT = ad.ALNS + ",\nshort AS (SELECT aread AS seq, abpos AS beg, aepos AS \"end\" FROM alns)"
 _MERGED = """,
 m1 AS (SELECT *, CASE WHEN beg <= max("end") OVER (PARTITION BY seq ORDER BY beg, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {slack} THEN 0 ELSE 1 END AS new FROM {of}),
 m2 AS (SELECT *, sum(new) OVER (PARTITION BY seq ORDER BY beg, "end" ROWS UNBOUNDED PRECEDING) AS run FROM m1),
@@ -114,10 +114,10 @@ def range_multi_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return _short(spark, d, "rev and line <= 2"), _short(spark, d, "not rev and line <= 1 and mlen < 200")
+    return _short(spark, d, "rev"), _short(spark, d, "not rev")
 
 
-_TWO = ad.ALNS + ",\none AS (SELECT aread AS seq, abpos AS beg, aepos AS \"end\" FROM alns WHERE rev AND line <= 2),\ntwo AS (SELECT aread AS seq, abpos AS beg, aepos AS \"end\" FROM alns WHERE NOT rev AND line <= 1 AND mlen < 200)"
+_TWO = ad.ALNS + ",\none AS (SELECT aread AS seq, abpos AS beg, aepos AS \"end\" FROM alns WHERE rev),\ntwo AS (SELECT aread AS seq, abpos AS beg, aepos AS \"end\" FROM alns WHERE NOT rev)"
 
 
 @query(
@@ -219,19 +219,19 @@ def alignment_filter(spark: SparkSession, d: str) -> DataFrame:
     return a.where(valid("abpos", "aepos") & valid("bbpos", "bepos") & (F.col("aread") != F.col("bread")) & first & ~overhang)
 
 
-@query(f"WITH {ad.ALNS}, f AS (SELECT * FROM alns WHERE line = 1) SELECT aread, bread, rev, abpos, aepos, bbpos, bepos FROM f UNION ALL SELECT bread, aread, rev, bbpos, bepos, abpos, aepos FROM f")
+@query(f"WITH {ad.ALNS}, f AS (SELECT * FROM alns) SELECT aread, bread, rev, abpos, aepos, bbpos, bepos FROM f UNION ALL SELECT bread, aread, rev, bbpos, bepos, abpos, aepos FROM f")
 def dual_alignments(spark: SparkSession, d: str) -> DataFrame:
-    a = ad.alns(spark, d).where("line = 1").select("aread", "bread", "rev", "abpos", "aepos", "bbpos", "bepos")
+    a = ad.alns(spark, d).select("aread", "bread", "rev", "abpos", "aepos", "bbpos", "bepos")
     return a.unionByName(a.select(F.col("bread").alias("aread"), F.col("aread").alias("bread"), "rev", F.col("bbpos").alias("abpos"), F.col("bepos").alias("aepos"), F.col("abpos").alias("bbpos"), F.col("aepos").alias("bepos")))
 
 
 @query(
-    f"""WITH {ad.ALNS}, o AS (SELECT aread, bread, false AS arev, rev AS brev, abpos, aepos, bbpos, bepos, [1, 16, 34, 68][(line % 4 + 1)::INT]::INT AS type FROM alns WHERE line = 1)
+    f"""WITH {ad.ALNS}, o AS (SELECT aread, bread, false AS arev, rev AS brev, abpos, aepos, bbpos, bepos, [1, 16, 34, 68][(line % 4 + 1)::INT]::INT AS type FROM alns)
 SELECT * FROM o UNION ALL SELECT bread, aread, NOT brev, NOT arev, bbpos, bepos, abpos, aepos, (((type << 4) | (type >> 4)) & 119)::INT FROM o"""
 )
 def dual_overlaps(spark: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit(1), F.lit(16), F.lit(34), F.lit(68)), (F.col("line") % 4 + 1).cast("int"))
-    o = ad.alns(spark, d).where("line = 1").select("aread", "bread", F.lit(False).alias("arev"), F.col("rev").alias("brev"), "abpos", "aepos", "bbpos", "bepos", kind.alias("type"))
+    o = ad.alns(spark, d).select("aread", "bread", F.lit(False).alias("arev"), F.col("rev").alias("brev"), "abpos", "aepos", "bbpos", "bepos", kind.alias("type"))
     return chaining.symmetric(o)
 
 
@@ -361,8 +361,8 @@ def terminal_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def linkage_map(spark: SparkSession, d: str) -> DataFrame:
-    few = ad.alns(spark, d).where("line = 1 and mlen > 995").select("aread", "bread", "abpos", "aepos")
-    return contacts.linkages(_matrix(spark, d), ad.sequences(spark, d), few, 1000, 4, least=1, alpha=0.9).withColumns({c: F.round(c, 9) for c in ("size", "density", "p")})
+    long = ad.alns(spark, d).groupBy("aread", "bread").agg(F.min("abpos").alias("abpos"), F.max("aepos").alias("aepos"), F.sum("mlen").alias("w")).where("w > 4500")
+    return contacts.linkages(_matrix(spark, d), ad.sequences(spark, d), long, 1000, 4, least=1, alpha=0.9).withColumns({c: F.round(c, 9) for c in ("size", "density", "p")})
 
 
 @query(
@@ -476,7 +476,7 @@ def break_slices(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_SLICES}, {ad.ALNS}, a AS (SELECT row_number() OVER (ORDER BY aread, bread, rev, abpos, aepos, bbpos, bepos, mlen) AS id, * FROM (SELECT DISTINCT aread, bread, rev, abpos, aepos, bbpos, bepos, mlen FROM alns WHERE line <= 2)),
+    f"""WITH {_SLICES}, {ad.ALNS}, a AS (SELECT row_number() OVER (ORDER BY aread, bread, rev, abpos, aepos, bbpos, bepos, mlen) AS id, * FROM (SELECT DISTINCT aread, bread, rev, abpos, aepos, bbpos, bepos, mlen FROM alns)),
 cutat AS (SELECT id, p.beg AS pt FROM a JOIN pieces p ON p.seq = aread AND p.beg > abpos AND p.beg < aepos UNION SELECT id, abpos + (CASE WHEN rev THEN bepos - p.beg ELSE p.beg - bbpos END) * (aepos - abpos) // (bepos - bbpos) FROM a JOIN pieces p ON p.seq = bread AND p.beg > bbpos AND p.beg < bepos UNION SELECT id, abpos FROM a),
 f AS (SELECT a.*, pt, coalesce(lead(pt) OVER (PARTITION BY id ORDER BY pt), aepos) AS "to" FROM cutat JOIN a USING (id)),
 g AS (SELECT *, (pt - abpos) * (bepos - bbpos) // (aepos - abpos) AS lo, ("to" - abpos) * (bepos - bbpos) // (aepos - abpos) AS hi FROM f WHERE "to" > pt),
@@ -485,7 +485,7 @@ SELECT aread, abpos, bbpos, bread, rev, x.name AS apiece, least(greatest(pt, x.b
 FROM h JOIN pieces x ON x.seq = aread AND (pt + "to") // 2 >= x.beg AND (pt + "to") // 2 < x."end" JOIN pieces y ON y.seq = bread AND (b0 + b1) // 2 >= y.beg AND (b0 + b1) // 2 < y."end" """
 )
 def split_at_breaks(spark: SparkSession, d: str) -> DataFrame:
-    a = ad.alns(spark, d).where("line <= 2").drop("line").distinct()
+    a = ad.alns(spark, d).drop("line").distinct()
     key = F.struct("aread", "bread", "rev", "abpos", "aepos", "bbpos", "bepos", "mlen")
     a = a.withColumn("id", key)
     out = layout.split_pairs(a, _slices(spark, d))
@@ -672,18 +672,16 @@ def consecutive_runs(spark: SparkSession, d: str) -> DataFrame:
 # Sequence text
 
 
-@query("SELECT doc_id, reverse(translate(left(text, 200), 'ABCDGHKMRTUVYabcdghkmrtuvy', 'TVGHCDMKYAABRtvghcdmkyaabr')) AS rc, regexp_replace(upper(left(text, 40)), '[^ACGT]', 'N', 'g') AS masked FROM documents WHERE regexp_full_match(left(text, 200), '[\\x00-\\x7F]*')")
-def revcomp_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Of texts whose first 200 signs are ASCII, as sequences are."""
-    t = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(200)).alias("s")).where(F.col("s").rlike(r"(?s)\A[\x00-\x7F]*\z"))
-    return t.select("doc_id", seqf.reverse_complement(F.col("s")).alias("rc"), seqf.masked(F.left("s", F.lit(40))).alias("masked"))
+@query("SELECT doc_id, reverse(translate(text, 'ACBDGHKMRTUVYacbdghkmrtuvy', 'TGVHCDMKYAABRtgvhcdmkyaabr')) AS rc, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') AS masked FROM documents")
+def reverse_complements(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", seqf.reverse_complement(F.col("text")).alias("rc"), seqf.masked(F.col("text")).alias("masked"))
 
 
-@query("SELECT doc_id, doc_id || ':' || greatest(doc_id % 50 - 10, 0) || '-' || least(doc_id % 50 + 60, n_chars) AS name, substring(text, greatest(doc_id % 50 - 10, 0) + 1, greatest(least(doc_id % 50 + 60, n_chars) - greatest(doc_id % 50 - 10, 0), 0)) AS sub FROM documents")
+@query("SELECT doc_id, doc_id || ':' || greatest(doc_id % 50 - 10, 0) || '-' || least(n_chars - doc_id % 7 + 3, n_chars) AS name, substring(text, greatest(doc_id % 50 - 10, 0) + 1, greatest(least(n_chars - doc_id % 7 + 3, n_chars) - greatest(doc_id % 50 - 10, 0), 0)) AS sub FROM documents")
 def subseq_regions(spark: SparkSession, d: str) -> DataFrame:
     """A slice of each text, clipped at both ends, under the name of its region."""
     t = table(spark, d, "documents")
-    beg, end = F.col("doc_id") % 50 - 10, F.col("doc_id") % 50 + 60
+    beg, end = F.col("doc_id") % 50 - 10, F.col("n_chars") - F.col("doc_id") % 7 + 3
     name = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.greatest(beg, F.lit(0)).cast("string"), F.lit("-"), F.least(end, F.col("n_chars")).cast("string"))
     return t.select("doc_id", name.alias("name"), seqf.subsequence(F.col("text"), beg, end).alias("sub"))
 
@@ -709,15 +707,15 @@ def unknown_names(spark: SparkSession, d: str) -> DataFrame:
     return ad.alns(spark, d).join(known, "bread", "left_anti").groupBy(F.col("bread").alias("unknown")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {ad.ALNS}, {ad.SEQS} SELECT seq, name, len FROM seqs WHERE seq NOT IN (SELECT aread FROM alns WHERE mlen > 990)")
+@query(f"WITH {ad.SEQS} SELECT seq, name, len FROM seqs WHERE seq NOT IN (SELECT o_custkey FROM orders)")
 def unplaced(spark: SparkSession, d: str) -> DataFrame:
-    return ad.sequences(spark, d).join(ad.alns(spark, d).where("mlen > 990").select(F.col("aread").alias("seq")), "seq", "left_anti").select("seq", "name", "len")
+    """Sequences that no object of the layout has the name of."""
+    return ad.sequences(spark, d).join(ad.layout(spark, d).select(F.col("object").alias("seq")), "seq", "left_anti").select("seq", "name", "len")
 
 
-@query(f"WITH {ad.ALNS} SELECT aread AS seq, 'both' AS side FROM (SELECT aread FROM alns WHERE mlen > 900 INTERSECT SELECT bread FROM alns WHERE mlen > 950) UNION ALL SELECT aread, 'first' FROM (SELECT aread FROM alns WHERE mlen > 900 EXCEPT SELECT bread FROM alns WHERE mlen > 950)")
+@query(f"WITH {ad.ALNS} SELECT aread AS seq, 'both' AS side FROM (SELECT aread FROM alns INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT aread, 'first' FROM (SELECT aread FROM alns EXCEPT SELECT o_custkey FROM orders)")
 def shared_sequences(spark: SparkSession, d: str) -> DataFrame:
-    a = ad.alns(spark, d)
-    x, y = a.where("mlen > 900").select(F.col("aread").alias("seq")), a.where("mlen > 950").select(F.col("bread").alias("seq"))
+    x, y = ad.alns(spark, d).select(F.col("aread").alias("seq")), ad.layout(spark, d).select(F.col("object").alias("seq"))
     return x.intersect(y).withColumn("side", F.lit("both")).unionByName(x.subtract(y).withColumn("side", F.lit("first")))
 
 
@@ -725,11 +723,12 @@ def shared_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {ad.EDGES}, strong AS (SELECT a, b FROM edges WHERE (a * 31 + b * 17) % 89 = 0), dual AS (SELECT a, b FROM strong UNION SELECT b, a FROM strong),
-r(node, low) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT b, low FROM r JOIN dual ON node = a) SELECT node, min(low) AS component FROM r GROUP BY node"""
+    f"""WITH RECURSIVE {ad.EDGES}, strong AS (SELECT least(aread, bread) * 8 + line AS a, greatest(aread, bread) * 8 + line AS b FROM alns WHERE aread <> bread), dual AS (SELECT a, b FROM strong UNION SELECT b, a FROM strong),
+r(node, low) AS (SELECT s_suppkey * 8 + k, s_suppkey * 8 + k FROM supplier, range(1, 8) n(k) UNION SELECT b, low FROM r JOIN dual ON node = a) SELECT node, min(low) AS component FROM r GROUP BY node"""
 )
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.components(ad.edges(spark, d).where("(a * 31 + b * 17) % 89 = 0"), ad.sequences(spark, d).select(F.col("seq").alias("node")))
+    nodes = ad.sequences(spark, d).select(F.explode(F.sequence(F.lit(1), F.lit(7))).alias("line"), "seq")
+    return graph.components(ad.line_edges(spark, d), nodes.select((F.col("seq") * 8 + F.col("line")).alias("node")))
 
 
 @query()
@@ -744,10 +743,11 @@ def forest_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Sparse signed edges, so that there are several components."""
-    e = ad.edges(spark, d).where("(a * 31 + b * 17) % 41 = 0")
+    """Signed edges by line number, each of which is a graph of its own."""
+    e = ad.line_edges(spark, d)
     e = e.select("a", "b", F.when(F.expr("(a + b) % 3 <> 0"), F.col("w")).otherwise(0).alias("overlap"), F.when(F.expr("(a + b) % 3 = 0"), F.col("w")).otherwise(0).alias("contact"))
-    return e, ad.sequences(spark, d).select(F.col("seq").alias("node"), (F.col("len") + F.col("seq") * 7 % 100).alias("len"))
+    s = ad.sequences(spark, d).select(F.explode(F.sequence(F.lit(1), F.lit(7))).alias("line"), "seq", "len")
+    return e, s.select((F.col("seq") * 8 + F.col("line")).alias("node"), (F.col("len") + F.col("seq") * 7 % 100).alias("len"))
 
 
 @query()
@@ -774,17 +774,17 @@ def label_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    return graph.communities(ad.edges(spark, d).where("(a * 31 + b * 17) % 23 = 0").withColumn("w", F.col("w").cast("double")))
+    return graph.communities(ad.line_edges(spark, d).withColumn("w", F.col("w").cast("double")))
 
 
 @query()
 def refined_communities(spark: SparkSession, d: str) -> DataFrame:
-    return graph.communities(ad.edges(spark, d).where("(a * 31 + b * 17) % 23 = 0").withColumn("w", F.col("w").cast("double")), refine=True)
+    return graph.communities(ad.line_edges(spark, d).withColumn("w", F.col("w").cast("double")), refine=True)
 
 
 @query()
 def line_order(spark: SparkSession, d: str) -> DataFrame:
-    return graph.line_order(ad.edges(spark, d).where("(a * 31 + b * 17) % 41 = 0").withColumn("w", F.col("w").cast("double")))
+    return graph.line_order(ad.line_edges(spark, d).withColumn("w", F.col("w").cast("double")))
 
 
 # Chaining, palindromes, breaks, probabilities
@@ -856,21 +856,26 @@ def recruited_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def backbone_lines(spark: SparkSession, d: str) -> DataFrame:
-    a = ad.alns(spark, d).where("aread < bread and line = 1 and mlen > 900").withColumns({"type": F.lit(geo.EXTENDS), "score": F.col("mlen").cast("double")})
+    a = ad.alns(spark, d).where("aread < bread").withColumns({"type": F.lit(geo.EXTENDS), "score": F.col("mlen").cast("double")})
     return scaffold.backbones(a, ad.sequences(spark, d), 500)
 
 
 @query()
 def merged_groups(spark: SparkSession, d: str) -> DataFrame:
-    p = ad.edges(spark, d).where("(a * 31 + b * 17) % 41 = 0").select("a", "b", F.col("w").alias("shared"))
+    p = ad.edges(spark, d).select("a", "b", F.col("w").alias("shared"))
     return scaffold.merged_groups(p, ad.sequences(spark, d).select(F.col("seq").alias("grp"), F.col("len").alias("size")))
 
 
-@query()
+@query(
+    f"""WITH {ad.ALNS}, e AS (SELECT aread AS seq, unnest([abpos, aepos]) AS pos FROM alns WHERE aepos - abpos >= 400), i AS (SELECT * FROM e WHERE pos > 450 AND pos < 20000 - 450),
+r AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY seq ORDER BY pos) <= 450 THEN 0 ELSE 1 END AS new FROM i), g AS (SELECT seq, pos, sum(new) OVER (PARTITION BY seq ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY seq, run ORDER BY pos) AS i, count(*) OVER (PARTITION BY seq, run) AS n FROM g)
+SELECT seq, pos, n AS support FROM n WHERE i = (n + 1) // 2 AND NOT EXISTS (SELECT 1 FROM alns WHERE aread = seq AND abpos + 450 <= pos AND aepos - 450 >= pos AND abpos + 450 < aepos - 450)"""
+)
 def variant_candidates(spark: SparkSession, d: str) -> DataFrame:
-    o = ad.alns(spark, d).where("line = 2 and mlen > 500").withColumn("type", F.lit(geo.INTERNAL))
+    o = ad.alns(spark, d).withColumn("type", F.lit(geo.INTERNAL))
     low = ad.sequences(spark, d).select("seq", F.col("len").alias("low"))
-    return scaffold.variant_candidates(o, low, ad.sequences(spark, d), least=400, share=0.01, near=300)
+    return scaffold.variant_candidates(o, low, ad.sequences(spark, d), least=400, share=0.01, near=450)
 
 
 @query(
