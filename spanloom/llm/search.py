@@ -142,8 +142,12 @@ class Shard:
         place[place == len(terms)] = 0
         idf_ = np.where(terms[place] == self.terms, weights[place], 0.0) if len(terms) else np.zeros(len(self.terms))
         of_block = np.repeat(idf_, np.diff(self.block_at))
-        self.bound = millionths(of_block * saturated(arrays["most"], arrays["least"], mean)) + 1
-        self.points = millionths(np.repeat(of_block, np.diff(self.posting_at)) * saturated(arrays["posting_tf"], arrays["lengths"][self.doc], mean))
+        self.bound = (millionths(of_block * saturated(arrays["most"], arrays["least"], mean)) + 1).astype(np.int32)
+        self.points = np.zeros(len(self.doc), np.int32)
+        for lo in range(0, len(self.block), 1 << 16):  # some blocks at a time, for memory
+            at = self.posting_at[lo : lo + (1 << 16) + 1]
+            part = slice(at[0], at[-1])
+            self.points[part] = millionths(np.repeat(of_block[lo : lo + len(at) - 1], np.diff(at)) * saturated(arrays["posting_tf"][part], arrays["lengths"][self.doc[part]], mean))
 
     def top(self, terms: np.ndarray, k: int, order: np.ndarray, worst: float = 0) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the k best documents, without those below `worst`. order: rank of each document by id, for ties."""
@@ -208,7 +212,7 @@ def frequencies(index: DataFrame) -> DataFrame:
     return index.select("terms", "block_at", "posting_at").mapInArrow(run, "term long, df long")
 
 
-def search(index: DataFrame, terms: DataFrame, k: int = 10, block: int = 1 << 19, together: int = 2) -> DataFrame:
+def search(index: DataFrame, terms: DataFrame, k: int = 10, block: int = 1 << 18, together: int = 1) -> DataFrame:
     """(query_id, rank, doc_id, score) of the k best documents of each query. index: a checkpointed `build_index`; terms: `query_terms`.
 
     Queries go in blocks of about `block` terms. A task takes `together` shards, one after the other, and gives the best of them all.
