@@ -49,11 +49,16 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy(F.least("aread", "bread").alias("a"), F.greatest("aread", "bread").alias("b")).agg(F.sum("mlen").alias("w"))
 
 
-def line_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The edges of each line number by itself: nodes are sequence * 8 + line number, so there are seven graphs, and every alignment is used."""
-    a = alns(spark, d).where("aread <> bread")
+def line_edges(spark: SparkSession, d: str, groups: int | None = None) -> DataFrame:
+    """The edges of each line number by itself: nodes are sequence * 8 + line number, so there are seven graphs, and every alignment is used.
+
+    groups: sequences are put together into so many before.
+    """
+    a = alns(spark, d)
+    if groups:
+        a = a.withColumns({c: F.col(c) % groups for c in ("aread", "bread")})
     node = lambda f: (f("aread", "bread") * 8 + F.col("line")).alias("a" if f is F.least else "b")
-    return a.groupBy(node(F.least), node(F.greatest)).agg(F.sum("mlen").alias("w"))
+    return a.where("aread <> bread").groupBy(node(F.least), node(F.greatest)).agg(F.sum("mlen").alias("w"))
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:

@@ -361,7 +361,7 @@ def terminal_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def linkage_map(spark: SparkSession, d: str) -> DataFrame:
-    long = ad.alns(spark, d).groupBy("aread", "bread").agg(F.min("abpos").alias("abpos"), F.max("aepos").alias("aepos"), F.sum("mlen").alias("w")).where("w > 4500")
+    long = ad.alns(spark, d).groupBy("aread", "bread").agg(F.min("abpos").alias("abpos"), F.max("aepos").alias("aepos"), F.sum("mlen").alias("w")).where("w > 7000")
     return contacts.linkages(_matrix(spark, d), ad.sequences(spark, d), long, 1000, 4, least=1, alpha=0.9).withColumns({c: F.round(c, 9) for c in ("size", "density", "p")})
 
 
@@ -707,15 +707,15 @@ def unknown_names(spark: SparkSession, d: str) -> DataFrame:
     return ad.alns(spark, d).join(known, "bread", "left_anti").groupBy(F.col("bread").alias("unknown")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {ad.SEQS} SELECT seq, name, len FROM seqs WHERE seq NOT IN (SELECT o_custkey FROM orders)")
+@query(f"WITH {ad.SEQS} SELECT seq, name, len FROM seqs WHERE seq NOT IN (SELECT c_nationkey FROM customer)")
 def unplaced(spark: SparkSession, d: str) -> DataFrame:
-    """Sequences that no object of the layout has the name of."""
-    return ad.sequences(spark, d).join(ad.layout(spark, d).select(F.col("object").alias("seq")), "seq", "left_anti").select("seq", "name", "len")
+    """Sequences whose number no group of members has."""
+    return ad.sequences(spark, d).join(_members(spark, d).select(F.col("grp").alias("seq")), "seq", "left_anti").select("seq", "name", "len")
 
 
-@query(f"WITH {ad.ALNS} SELECT aread AS seq, 'both' AS side FROM (SELECT aread FROM alns INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT aread, 'first' FROM (SELECT aread FROM alns EXCEPT SELECT o_custkey FROM orders)")
+@query(f"WITH {ad.ALNS} SELECT aread AS seq, 'both' AS side FROM (SELECT aread FROM alns INTERSECT SELECT c_nationkey FROM customer) UNION ALL SELECT aread, 'first' FROM (SELECT aread FROM alns EXCEPT SELECT c_nationkey FROM customer)")
 def shared_sequences(spark: SparkSession, d: str) -> DataFrame:
-    x, y = ad.alns(spark, d).select(F.col("aread").alias("seq")), ad.layout(spark, d).select(F.col("object").alias("seq"))
+    x, y = ad.alns(spark, d).select(F.col("aread").alias("seq")), _members(spark, d).select(F.col("grp").alias("seq"))
     return x.intersect(y).withColumn("side", F.lit("both")).unionByName(x.subtract(y).withColumn("side", F.lit("first")))
 
 
@@ -744,9 +744,9 @@ def forest_positions(spark: SparkSession, d: str) -> DataFrame:
 
 def _signed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Signed edges by line number, each of which is a graph of its own."""
-    e = ad.line_edges(spark, d)
+    e = ad.line_edges(spark, d, 12)
     e = e.select("a", "b", F.when(F.expr("(a + b) % 3 <> 0"), F.col("w")).otherwise(0).alias("overlap"), F.when(F.expr("(a + b) % 3 = 0"), F.col("w")).otherwise(0).alias("contact"))
-    s = ad.sequences(spark, d).select(F.explode(F.sequence(F.lit(1), F.lit(7))).alias("line"), "seq", "len")
+    s = ad.sequences(spark, d).groupBy((F.col("seq") % 12).alias("seq")).agg(F.sum("len").alias("len")).select(F.explode(F.sequence(F.lit(1), F.lit(7))).alias("line"), "seq", "len")
     return e, s.select((F.col("seq") * 8 + F.col("line")).alias("node"), (F.col("len") + F.col("seq") * 7 % 100).alias("len"))
 
 
@@ -774,17 +774,17 @@ def label_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    return graph.communities(ad.line_edges(spark, d).withColumn("w", F.col("w").cast("double")))
+    return graph.communities(ad.line_edges(spark, d, 12).withColumn("w", F.col("w").cast("double")))
 
 
 @query()
 def refined_communities(spark: SparkSession, d: str) -> DataFrame:
-    return graph.communities(ad.line_edges(spark, d).withColumn("w", F.col("w").cast("double")), refine=True)
+    return graph.communities(ad.line_edges(spark, d, 12).withColumn("w", F.col("w").cast("double")), refine=True)
 
 
 @query()
 def line_order(spark: SparkSession, d: str) -> DataFrame:
-    return graph.line_order(ad.line_edges(spark, d).withColumn("w", F.col("w").cast("double")))
+    return graph.line_order(ad.line_edges(spark, d, 12).withColumn("w", F.col("w").cast("double")))
 
 
 # Chaining, palindromes, breaks, probabilities
