@@ -17,25 +17,29 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` checkpointed in the folder that the session names (a temporary one if it names none)."""
+    """`df` checkpointed in the folder that the session names (only on a local master, a temporary one if it names none)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
     return df.checkpoint()
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the least node that each is connected with. edges: a, b; nodes (node) without edges are their own.
 
     In each round every node goes over to the first of itself and its neighbours in the order of their hashes, and the edges are carried to
-    where their ends went. In that order a share of the nodes goes in every round whatever the graph's shape, long paths included.
+    where their ends went. In that order a share of the nodes goes in every round whatever the graph's shape, long paths included; the rounds
+    end when no edge is left.
     """
     left = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     label = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("node"))
-    for _ in range(rounds):
+    while True:
         both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = cut(both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select("a", F.least("m", ranked("a"))["node"].alias("to")))
         label = cut(label.join(to, F.col("label") == F.col("a"), "left").select("node", F.coalesce("to", "label").alias("label")))
@@ -77,12 +81,12 @@ def spanning_forest(edges: DataFrame, one_task: int = 200_000) -> DataFrame:
     return small if large.isEmpty() else small.unionByName(forest_by_joins(e.join(large, "component", "left_semi").select("a", "b", "w")))
 
 
-def forest_by_joins(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def forest_by_joins(edges: DataFrame) -> DataFrame:
     """A maximum spanning forest: in each round every component takes its heaviest outgoing edge, and the components are joined along them."""
     e = cut(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").alias("w")))
     label = cut(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
     forest = None
-    for _ in range(rounds):
+    while True:
         x = e.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").where("ca <> cb")
         # ties go to the lesser edge, which keeps the choice acyclic
         best = x.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("w", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"), "ca", "cb").alias("s")).groupBy("c").agg(F.max("s").alias("s"))

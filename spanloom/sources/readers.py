@@ -54,8 +54,8 @@ def index(spark: SparkSession, path: str, min_len: int = 0) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str, min_len: int = 0, with_text: bool = True) -> DataFrame:
-    """(name, len, seq[, text]) of FASTA records."""
-    t = spark.read.option("lineSep", ">").text(path).withColumn("place", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    """(name, len, seq[, text]) of FASTA records; a record begins at a line that begins with >."""
+    t = spark.read.option("lineSep", "\n>").text(path).withColumn("place", F.monotonically_increasing_id()).withColumn("value", F.regexp_replace("value", "^>", "")).where(F.trim("value") != "")
     head = F.regexp_extract("value", r"^([^\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     t = t.select(F.regexp_extract(head, r"^\s*(\S*)", 1).alias("name"), body.alias("text"), "place").withColumn("len", F.length("text").cast("long")).where(F.col("len") >= min_len)

@@ -25,6 +25,8 @@ def test_index_and_fasta(spark, tmp_path):
     assert rows(i.select("name", "len", "seq")) == [("c1", 100, 0), ("c3", 50, 1)]
     f = readers.fasta(spark, put(tmp_path, "a.fa", ">c1 note\nACG\r\nTT\n>c2\nA\n"))
     assert rows(f.select("name", "len", "seq", "text")) == [("c1", 5, 0, "ACGTT"), ("c2", 1, 1, "A")]
+    f = readers.fasta(spark, put(tmp_path, "b.fa", ">s1 from a>b note\r\nAC\r\nG\r\n>s2\n\n>s3>x y\nTT"))
+    assert rows(f.select("name", "len", "text")) == [("s1", 3, "ACG"), ("s2", 0, ""), ("s3>x", 2, "TT")]
     q = readers.fastq(spark, put(tmp_path, "a.fq", "@r1 x\nACGT\n+\nIIII\n@r2\nA\n+\nI\n"))
     assert rows(q.select("name", "text", "quality")) == [("r1", "ACGT", "IIII"), ("r2", "A", "I")]
     g = readers.gfa(spark, put(tmp_path, "a.gfa", "H\tx\nS\ts1\t*\tLN:i:40\nS\ts2\tACG\n"))
