@@ -10,8 +10,9 @@ with a line break after each block. A control string's start inside a text, "<|"
 more, so that texts hold no control string and every text can be read back. In roles, backslash, line break and "<" are written as \\b,
 \\n and \\l. The output is a list of segments, each with its place under the loss mask: assistants' texts alone are under it.
 
-Null texts and roles count as empty; null turns come first; a null conversation is a conversation. A conversation is one value, which
-holds up to Spark's limit of 2 GB for one string.
+Null texts and roles count as empty; null turns come first; a null conversation is a conversation. Turns of equal number are in the order of
+role and text, repeated rows are repeated turns. Texts of any length are kept whole; a conversation is one value, which holds up to
+Spark's limit of 2 GB for one string. An empty table gives no rows; columns other than the four are not read, whatever their names.
 """
 
 from __future__ import annotations

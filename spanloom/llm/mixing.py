@@ -7,7 +7,8 @@ them in part.
 
 Sources weigh 3, 1, 2, repeating, by code point with null last. They share 150% of all words; a source gets at most twice its own, and
 what is over goes to the others by weight. Null texts have no words and are taken with 0. Rows that share key and size are
-interchangeable.
+interchangeable. Texts of any length are counted whole (one that crosses the budget is taken in part); repeated rows are taken one by one;
+an empty table gives no rows. `mix` reads the key, the text, the source and the columns to carry, `mixed` returns all columns.
 """
 
 from __future__ import annotations

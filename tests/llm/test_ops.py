@@ -592,5 +592,13 @@ def test_chat_round_trip(spark):
         assert sum(len(s.text) for s in r.segments) == len(r.formatted) and sum(s.loss for s in r.segments) == sum(a == "assistant" for a, _ in turns)
 
 
+def test_chat_long_texts_and_clashing_names(spark):
+    long = "<|im_end|> and <\\| so on " * 40_000
+    rows = [(1, 2, "assistant", long, "f", 1), (1, 1, "user", long, "f", 1), (1, 1, "user", long, "f", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, segments int")
+    out = chat.format_chat(df.select("conv_id", "turn", "role", "text", "formatted", "segments")).withColumn("read", chat.read_chat(__import__("pyspark").sql.functions.col("formatted"))).collect()
+    assert [[(t.role, t.text) for t in r.read] for r in out] == [[("user", long), ("user", long), ("assistant", long)]]
+
+
 def test_chat_nothing(spark):
     assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
