@@ -302,14 +302,17 @@ def contracted(edges: DataFrame) -> DataFrame:
     nodes goes in every round, whatever the classes' shapes. Every round takes the larger end of each link away, so the rounds end.
     """
     edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
+    parts = edges.count() // 200_000 + 1  # few links are kept in few partitions
+    few = lambda df: cut(df.coalesce(parts))
+    edges = edges.coalesce(parts)
     label = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("label", F.col("id"))
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        to = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")))
-        label = cut(label.join(to, F.col("label") == F.col("u"), "left").select("id", F.coalesce("to", "label").alias("label")))
+        to = few(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")))
+        label = few(label.join(to, F.col("label") == F.col("u"), "left").select("id", F.coalesce("to", "label").alias("label")))
         there = to.select(F.col("u").alias("v"), F.col("to").alias("to_v"))
         moved = edges.join(to, "u").join(there, "v").where("to <> to_v")
-        edges = cut(moved.select(F.least("to", "to_v").alias("u"), F.greatest("to", "to_v").alias("v")).distinct())
+        edges = few(moved.select(F.least("to", "to_v").alias("u"), F.greatest("to", "to_v").alias("v")).distinct())
         if edges.isEmpty():
             return label
 
