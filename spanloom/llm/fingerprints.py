@@ -49,8 +49,8 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
 _BYTE = (mixed(np.arange(256, dtype=np.uint64), 1) >> np.uint64(32)).astype(np.uint32)
 
 
-def ends(body: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """Where the paragraphs of a UTF-8 text end."""
+def ends(body: np.ndarray, at: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Where the paragraphs of UTF-8 texts end; at: where each text begins, and the last one's end. Begins are line breaks or 16 bytes from the text's at least."""
     found = []
     for lo in range(0, len(body), block):
         before = min(lo, 15)
@@ -65,28 +65,32 @@ def ends(body: np.ndarray, block: int = 1 << 20) -> np.ndarray:
         hit[: len(follow)] &= (follow & 0xC0) != 0x80
         found.append(np.flatnonzero(hit[before:]) + lo + 1)
     out = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return out if not len(body) or (len(out) and out[-1] == len(body)) else np.append(out, len(body))
-
-
-def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of a text's paragraphs, by occurrence, and their code points."""
-    raw = text.encode()
-    body = np.frombuffer(raw, np.uint8)
-    end = ends(body)
-    if not len(end):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.append(0, end[:-1])
+    early = out - at[np.searchsorted(at, out, "left") - 1] < 16
+    out = np.sort(np.concatenate([out[~early | (body[out - 1] == 10)], at[1:]]))
+    return out[np.append(True, out[1:] != out[:-1]) & (out > 0)] if len(out) else out
+
+
+def paragraphs(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Digests of each text's paragraphs, by occurrence, and their code points."""
+    raw = [t.encode() for t in texts]
+    at = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
+    whole = b"".join(raw)
+    body = np.frombuffer(whole, np.uint8)
+    end = ends(body, at)
+    begin = np.append(0, end[:-1])[: len(end)]
     of = xxhash.xxh3_64_intdigest
-    digest = np.array([of(raw[a:b]) for a, b in zip(at.tolist(), end.tolist(), strict=True)], np.uint64)
-    size = end - at if len(text) == len(raw) else np.add.reduceat((body & 0xC0) != 0x80, at, dtype=np.int64)
-    order = np.argsort(digest, kind="stable")
-    same = digest[order][1:] == digest[order][:-1]
+    digest = np.array([of(whole[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.uint64)
+    size = np.add.reduceat((body & 0xC0) != 0x80, begin, dtype=np.int64) if len(end) else begin
+    text = np.searchsorted(at[1:], begin, "right")
+    order = np.lexsort((digest, text))
+    same = (digest[order][1:] == digest[order][:-1]) & (text[order][1:] == text[order][:-1])
     if same.any():
         first = np.flatnonzero(np.append(True, ~same))
         nth = np.empty(len(digest), np.uint64)
         nth[order] = (np.arange(len(digest)) - np.repeat(first, np.diff(np.append(first, len(digest))))).astype(np.uint64)
         digest = np.where(nth > 0, mixed(digest + nth, 2), digest)
-    return digest, size
+    bound = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+    return [(digest[a:b], size[a:b]) for a, b in zip(bound[:-1], bound[1:], strict=True)]
 
 
 def check_sum(digest: np.ndarray) -> np.ndarray:
@@ -213,7 +217,7 @@ def share(changed: int, both: int) -> float:
     return 1 - changed / both if both else 1.0
 
 
-def grouped(texts: list[str], limit: int = 1 << 18) -> Iterator[slice]:
+def grouped(texts: list[str], limit: int = 1 << 20) -> Iterator[slice]:
     """Slices of rows whose texts have about `limit` signs."""
     lo = held = 0
     for i, t in enumerate(texts):
@@ -242,24 +246,15 @@ def compared(rows: DataFrame, text: str, others: dict[str, str], cells: int = CE
     kinds = pa.list_(pa.struct([("digest", pa.string()), ("side", pa.int32()), ("n_chars", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, tuple] = "", paragraphs("")  # the next document's text comes again as its own
-
-        def cut(t: str) -> tuple:
-            nonlocal last
-            if t != last[0]:
-                last = t, paragraphs(t)
-            return last[1]
-
         for b in batches:
             own = b.column(b.schema.get_field_index(first)).to_pylist()
             rest = {n: b.column(b.schema.get_field_index(c)).to_pylist() for n, c in zip(others, names.values(), strict=True)}
             for part in grouped(own):
-                mine: list = []
-                theirs: dict[str, list] = {n: [] for n in rest}
-                for i in range(part.start, part.stop):
-                    mine.append(cut(own[i]))
-                    for n, texts in rest.items():
-                        theirs[n].append(cut(texts[i]))
+                place: dict[str, int] = {}  # the next document's text comes again as its own
+                own_at = [place.setdefault(own[i], len(place)) for i in range(part.start, part.stop)]
+                rest_at = {n: [place.setdefault(x[i], len(place)) for i in range(part.start, part.stop)] for n, x in rest.items()}
+                every = paragraphs(list(place))
+                mine, theirs = [every[i] for i in own_at], {n: [every[i] for i in x] for n, x in rest_at.items()}
                 sketch = Sketches.of(mine, cells)
                 cols: list = [[sketch.text(i) for i in range(len(mine))], [int(s.sum()) for _, s in mine]]
                 for n in rest:

@@ -2,7 +2,7 @@
 
 Vectors become integers (`floor(scale * x)`), so scores are exact. Candidates are dealt by label and nearest of `pivots` drawn rows, so that
 like ones lie together, and cut into shards; the anchors likewise into blocks. In a shard or block each label has a ball tree: nodes with a
-centre and a radius, halved along their widest component down to leaves of 32. Two nodes with centres c, d and radii r, s have inner products within
+centre and a radius, halved along their widest component down to leaves of 32 candidates or 8 anchors. Two nodes with centres c, d and radii r, s have inner products within
 c.d -+ (|c|s + |d|r + rs). A search goes down both trees at once, level by level; a pair of nodes is dropped, for all anchors below, if its
 interval lies outside what any of them still looks for: above the scores they hold and inside their windows. Pairs of leaves are scored
 exactly, best bounds first, so what is held rises soon.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.base import cut, table
 
-LEAF = 32
+LEAF, ANCHOR_LEAF = 32, 8
 MOST = 1 << 62
 
 
@@ -48,7 +48,7 @@ def dense(col: pa.Array, width: int) -> np.ndarray:
     flat = col.flatten().to_numpy(zero_copy_only=False)
     size = np.diff(at)
     if len(size) and (size == width).all():
-        return flat.reshape(-1, width)
+        return flat.reshape(len(size), width)
     out = np.zeros((len(size), width))
     out[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(at[:-1], size)] = flat
     return out
@@ -67,10 +67,10 @@ class Tree:
     radius: np.ndarray
 
     @classmethod
-    def of(cls, rows: np.ndarray, label: np.ndarray, key: np.ndarray, null: np.ndarray) -> Tree:
+    def of(cls, rows: np.ndarray, label: np.ndarray, key: np.ndarray, null: np.ndarray, leaf: int = LEAF) -> Tree:
         order = np.lexsort((key, label))
         nodes, roots, todo = [], [], []
-        edge = np.flatnonzero(np.append(True, np.diff(label[order]) != 0)) if len(order) else order
+        edge = np.flatnonzero(np.append(True, np.diff(label[order]) != 0))
         for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist(), strict=True):
             roots.append(len(nodes))
             nodes.append([int(label[order[lo]]), lo, hi, -1, -1])
@@ -78,7 +78,7 @@ class Tree:
         while todo:
             node = nodes[todo.pop()]
             of, lo, hi = node[:3]
-            if hi - lo <= LEAF:
+            if hi - lo <= leaf:
                 continue
             part = rows[order[lo:hi]]
             widest = int(np.argmax(part.max(axis=0) - part.min(axis=0))) if part.shape[1] else 0
@@ -162,20 +162,22 @@ def search(anchors: Tree, candidates: Tree, windows: Windows, same: bool) -> int
             np.concatenate([anchors.nodes[q[split_q], 3], anchors.nodes[q[split_q], 4], q[split_r], q[split_r]]),
             np.concatenate([r[split_q], r[split_q], candidates.nodes[r[split_r], 3], candidates.nodes[r[split_r], 4]]),
         )
-    if not leaf_q:
+    if not sum(map(len, leaf_q)):
         return 0
     q, r, hi = (np.concatenate(x) for x in (leaf_q, leaf_r, leaf_hi))
     order = np.lexsort((-hi, q))
     q, r, hi = q[order], r[order], hi[order]
-    edge = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else q
+    edge = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
     for lo, upto in zip(edge.tolist(), np.append(edge[1:], len(q)).tolist(), strict=True):
         node = q[lo]
         a, b, (first, end) = w_from[node], w_to[node], anchors.nodes[node, 1:3]
         owner = windows.anchor[a:b] - first
-        for at in range(lo, upto, 16):
+        at, step = lo, 2
+        while at < upto:
             if hi[at] < windows.least[a:b].min(initial=MOST):
                 break
-            rows = np.concatenate([np.arange(*candidates.nodes[x, 1:3]) for x in r[at : min(at + 16, upto)]])
+            rows = np.concatenate([np.arange(*candidates.nodes[x, 1:3]) for x in r[at : min(at + step, upto)]])
+            at, step = at + step, min(step * 2, 32)
             score = products(anchors.rows[first:end], candidates.rows[rows])
             scored += score.size
             each = score[owner]
@@ -193,7 +195,8 @@ PACK = "pack long, label array<long>, key array<long>, null array<boolean>, cell
 
 def packs(rows: DataFrame, width: int, pack_rows: int, pivots: int) -> DataFrame:
     """Rows by label and nearest pivot, at most `pack_rows` in a row of the result, as flat arrays."""
-    drawn = np.array([[*(x or []), *[0.0] * (width - len(x or []))] for (x,) in rows.select("vector").orderBy(F.xxhash64("key", "vector"), "key").limit(pivots).collect()]).reshape(-1, width)
+    some = [x for (x,) in rows.select("vector").orderBy(F.xxhash64("key", "vector"), "key").limit(pivots).collect()]
+    drawn = np.array([[*x, *[0.0] * (width - len(x))] for x in some]).reshape(len(some), width)
     half = (drawn**2).sum(axis=1) / 2
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +239,7 @@ def packs(rows: DataFrame, width: int, pack_rows: int, pivots: int) -> DataFrame
 
 def unpacked(b: pa.RecordBatch, i: int, width: int, prefix: str = "") -> Tree:
     label, key, null, cells = (b.column(b.schema.get_field_index(prefix + c))[i].values.to_numpy(zero_copy_only=False) for c in ("label", "key", "null", "cells"))
-    return Tree.of(cells.reshape(len(label), width), label, key, null)
+    return Tree.of(cells.reshape(len(label), width), label, key, null, ANCHOR_LEAF if prefix else LEAF)
 
 
 def met(shards: DataFrame, blocks: DataFrame, width: int, k: int, same: bool, together: int) -> DataFrame:

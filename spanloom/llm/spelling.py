@@ -188,12 +188,12 @@ class HalfAutomaton:
                 hit = np.where(one == other, begin + end == one - 1, begin + end >= np.minimum(one, other)) & ((s == 0) | (begin < self.half[b]))
                 pairs.append((a[hit], b[hit]))
             lo = hi
-        if not pairs:
+        if not sum(len(i) for i, _ in pairs):
             return
         i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
         order = np.lexsort((-self.n[j], i))
         i, j = i[order], j[order]
-        starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else i
+        starts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
         for lo, hi in zip(starts.tolist(), np.append(starts[1:], len(i)).tolist(), strict=True):
             most = self.n[j[lo]]
             ties = j[lo : lo + int(np.searchsorted(-self.n[j[lo:hi]], -most, "right"))]

@@ -12,7 +12,7 @@ def data():
 @pytest.fixture(scope="session")
 def db():
     con = duckdb.connect()
-    for t in "documents pages conversations labels benchmark".split():
+    for t in "documents pages conversations labels benchmark embeddings".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
 
