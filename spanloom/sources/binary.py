@@ -1,4 +1,4 @@
-"""Binary and typed-line formats as Spark data sources: contact records, BAM, and typed-line alignment and mapping files.
+"""Binary and typed-line formats as Spark data sources: contact records, BAM (in `bam`), and typed-line alignment and mapping files.
 
 Files are opened through pyarrow's file systems, so a URI of any store that pyarrow knows works on every executor. Register them with
 `register(spark)`; then `spark.read.format("contact_records").load(path)` and so on.
@@ -7,7 +7,6 @@ Files are opened through pyarrow's file systems, so a URI of any store that pyar
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,19 +14,12 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from spanloom.sources.bam import BamRecords, opened
+
 # Magic numbers of raw (25-byte) and compact (17-byte) contact files.
 RAW, COMPACT = 0x414C4E4842494E56 | 0x1, 0x5941485342494E56 | 0x2
 RAW_TYPE = np.dtype([("aseq", "<u4"), ("abeg", "<u4"), ("aend", "<u4"), ("bseq", "<u4"), ("bbeg", "<u4"), ("bend", "<u4"), ("q", "u1")])
 COMPACT_TYPE = np.dtype([("aseq", "<u4"), ("apos", "<u4"), ("bseq", "<u4"), ("bpos", "<u4"), ("q", "u1")])
-# Fixed value: flags of records that are not paired for contacts (unmapped, mate unmapped, secondary, failed, duplicate, supplementary).
-SKIPPED_FLAGS = 0xF04
-
-
-def opened(path: str):
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return system.open_input_file(inner)
 
 
 class Span(InputPartition):
@@ -89,77 +81,6 @@ class ContactReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r["aseq"].astype(np.int64), mid("a"), r["bseq"].astype(np.int64), mid("b"), r["q"].astype(np.int32))], names=["aseq", "apos", "bseq", "bpos", "q"])
 
 
-class BamRecords(DataSource):
-    """Records of a BAM file in file order: rank, name, flag, seq, beg, end, q; a file a partition, as its order pairs the mates."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bam_records"
-
-    def schema(self) -> str:
-        return "rank long, name string, flag int, seq long, beg long, end long, q int"
-
-    def reader(self, schema):
-        return BamReader(self.options)
-
-
-def inflated(f) -> Iterator[bytes]:
-    """The blocks of a block-compressed file."""
-    data = b""
-    while True:
-        more = f.read(1 << 20)
-        data += more
-        while data:
-            d = zlib.decompressobj(31)
-            try:
-                out = d.decompress(data)
-            except zlib.error:
-                raise
-            if not d.eof:
-                break
-            data = d.unused_data
-            yield out
-        if not more:
-            return
-
-
-class BamReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
-
-    def partitions(self):
-        return [Span(self.path, 0, 0)]
-
-    def read(self, part: Span) -> Iterator[tuple]:
-        with opened(part.path) as f:
-            blocks, held = inflated(f), bytearray()
-
-            def take(n: int) -> bytes | None:
-                while len(held) < n:
-                    b = next(blocks, None)
-                    if b is None:
-                        return None
-                    held.extend(b)
-                out = bytes(held[:n])
-                del held[:n]
-                return out
-
-            if take(4) != b"BAM\1":
-                raise ValueError("not a BAM file")
-            take(struct.unpack("<i", take(4))[0])
-            for _ in range(struct.unpack("<i", take(4))[0]):
-                take(struct.unpack("<i", take(4))[0] + 4)
-            rank = 0
-            while (size := take(4)) is not None:
-                r = take(struct.unpack("<i", size)[0])
-                ref, pos, name_len, q, _, n_ops, flag = struct.unpack("<iiBBHHH", r[:16])
-                name = r[32 : 32 + name_len - 1].decode()
-                ops = struct.unpack(f"<{n_ops}I", r[32 + name_len : 32 + name_len + 4 * n_ops])
-                span = sum(o >> 4 for o in ops if o & 15 in (0, 2, 3, 7, 8))
-                yield rank, name, flag, ref if ref >= 0 else None, pos, pos + span, q
-                rank += 1
-
-
 class TypedAlignments(DataSource):
     """Alignments of a typed-line text file: aread, abpos, aepos, bread, bbpos, bepos, rev, alen, blen, diffs, mlen.
 
