@@ -25,8 +25,8 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -217,27 +217,28 @@ def share(changed: int, both: int) -> float:
     return 1 - changed / both if both else 1.0
 
 
-def grouped(texts: list[str], limit: int = 1 << 20) -> Iterator[slice]:
-    """Slices of rows whose texts have about `limit` signs."""
+def grouped(sizes: list[int], limit: int = 1 << 20) -> Iterator[slice]:
+    """Slices of rows whose texts have about `limit` bytes."""
     lo = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > limit:
+    for i, n in enumerate(sizes):
+        if held and held + n > limit:
             yield slice(lo, i)
             lo, held = i, 0
-        held += len(t)
-    if texts:
-        yield slice(lo, len(texts))
+        held += n
+    if sizes:
+        yield slice(lo, len(sizes))
 
 
-def compared(rows: DataFrame, text: str, others: dict[str, str], cells: int = CELLS) -> DataFrame:
-    """`rows` with `fingerprint` and `n_chars` of `text`; and by `others` (name: column), `fingerprint_<name>`, `near_<name>` and
-    `changed_<name>`: the likeness to that column's text, and the paragraphs that differ (digest as hex, side 1 if in `text` only, else -1, n_chars).
+def compared(rows: DataFrame, text: str, others: dict[str, str], cells: int = CELLS, changes: bool = False) -> DataFrame:
+    """`rows` with `fingerprint` and `n_chars` of `text`; and by `others` (name: column), `fingerprint_<name>`, `near_<name>` (the likeness to
+    that column's text) and, if asked for, `changed_<name>`: the paragraphs that differ (digest as hex, side 1 if in `text` only, else -1, n_chars).
 
     A column that was there under one of these names is replaced.
     """
     made = {"fingerprint": "string", "n_chars": "long"}
     for name in others:
-        made |= {f"fingerprint_{name}": "string", f"near_{name}": "double", f"changed_{name}": "array<struct<digest:string,side:int,n_chars:long>>"}
+        made |= {f"fingerprint_{name}": "string", f"near_{name}": "double"}
+        made |= {f"changed_{name}": "array<struct<digest:string,side:int,n_chars:long>>"} if changes else {}
     keep = [c for c in rows.columns if c.lower() not in made or c in (text, *others.values())]
     apart = [c for c in keep if c.lower() not in made]
     first = unused(rows, "text_0")
@@ -247,12 +248,12 @@ def compared(rows: DataFrame, text: str, others: dict[str, str], cells: int = CE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = b.column(b.schema.get_field_index(first)).to_pylist()
-            rest = {n: b.column(b.schema.get_field_index(c)).to_pylist() for n, c in zip(others, names.values(), strict=True)}
-            for part in grouped(own):
+            own = b.column(b.schema.get_field_index(first))
+            rest = {n: b.column(b.schema.get_field_index(c)) for n, c in zip(others, names.values(), strict=True)}
+            for part in grouped(pc.binary_length(own).to_pylist()):
                 place: dict[str, int] = {}  # the next document's text comes again as its own
-                own_at = [place.setdefault(own[i], len(place)) for i in range(part.start, part.stop)]
-                rest_at = {n: [place.setdefault(x[i], len(place)) for i in range(part.start, part.stop)] for n, x in rest.items()}
+                placed = lambda x: [place.setdefault(t, len(place)) for t in x[part].to_pylist()]  # noqa: B023, E731
+                own_at, rest_at = placed(own), {n: placed(x) for n, x in rest.items()}
                 every = paragraphs(list(place))
                 mine, theirs = [every[i] for i in own_at], {n: [every[i] for i in x] for n, x in rest_at.items()}
                 sketch = Sketches.of(mine, cells)
@@ -262,10 +263,14 @@ def compared(rows: DataFrame, text: str, others: dict[str, str], cells: int = CE
                     found = differing(mine, theirs[n], cells)
                     cols.append([sketch.text(i) for i in range(len(mine))])
                     cols.append([share(int(f[1].sum()), int(a[1].sum() + o[1].sum())) for f, a, o in zip(found, mine, theirs[n], strict=True)])
+                    if not changes:
+                        continue
                     flat = pa.StructArray.from_arrays([pa.array([f"{d:016x}" for f in found for d in f[0].tolist()], pa.string()), pa.array(np.concatenate([f[2] for f in found]).astype(np.int32)), pa.array(np.concatenate([f[1] for f in found]))], fields=list(kinds.value_type))
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(f[0]) for f in found])).astype(np.int32)), flat))
                 kept = b.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in range(len(apart))), *(c if isinstance(c, pa.Array) else pa.array(c) for c in cols)], names=[*apart, *made])
+                del place, every, mine, theirs
+            pa.default_memory_pool().release_unused()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*apart).schema), *(f"`{c}` {t}" for c, t in made.items())])
     return asked.mapInArrow(run, schema)
@@ -284,9 +289,9 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", name: st
     drawn = sorted(map(null_last, drawn))
     bounds = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
 
-    @F.pandas_udf("int")
-    def at(k0: pd.Series, k1: pd.Series, k2: pd.Series) -> pd.Series:
-        return pd.Series([bisect_right(bounds, null_last(x)) for x in zip(k0.tolist(), k1.tolist(), k2.tolist(), strict=True)], dtype="int32")
+    @F.arrow_udf("int")
+    def at(k0: pa.Array, k1: pa.Array, k2: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(bounds, null_last(x)) for x in zip(k0.to_pylist(), k1.to_pylist(), k2.to_pylist(), strict=True)], pa.int32())
 
     ranged = named.withColumn("at", at(*order))
     heads = ranged.groupBy("at").agg(F.min(F.struct(*order)).alias("head")).orderBy("at")  # a row a range

@@ -208,7 +208,7 @@ def test_changes_of_odd_documents(spark, odd):
     rows = fingerprints.with_next(odd, range_bytes=1 << 14)
     assert rows.count() == odd.count() and fingerprints.with_next(odd.limit(0)).count() == 0
     order = sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in odd.collect())
-    got = fingerprints.compared(rows.withColumn("near_next", fingerprints.F.lit("x")), "text", {"next": "next"}).collect()
+    got = fingerprints.compared(rows.withColumn("near_next", fingerprints.F.lit("x")), "text", {"next": "next"}, changes=True).collect()
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in got) == order
     by = {}
     for r in got:
