@@ -103,12 +103,13 @@ def call_breaks(spans: DataFrame, width: int, min_size: int, drop: float = 0.3,
 
     Steps' median and deviation are over all sequences; the search is one sequence's bins at a time, a bound that a sequence's length sets.
     """
+    from spanloom.operators.ranges import median, running
     from spanloom.operators.stats import significant
 
     least = max(1, -(-min_size // width))
-    steps = spans.withColumn("step", (F.lead("span").over(W.partitionBy("seq").orderBy("bin")) - F.col("span")).cast("double")).where("step is not null")
-    med = steps.agg(F.percentile("step", F.lit(0.5)).alias("rise"))
-    mad = steps.crossJoin(F.broadcast(med)).agg(F.percentile(F.abs(F.col("step") - F.col("rise")), F.lit(0.5)).alias("mad"))
+    steps = running(spans.select("seq", "bin", "span"), ["seq"], "bin", last={"was": "span"}).select((F.col("span") - F.col("was")).cast("double").alias("step")).where("step is not null")
+    med = median(steps, "step", "rise")
+    mad = median(steps.crossJoin(F.broadcast(med)).select(F.abs(F.col("step") - F.col("rise")).alias("off")), "off", "mad")
     both = spans.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(mad))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:

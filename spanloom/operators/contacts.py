@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.probability import binomial_upper_p, poisson_upper_p
 from spanloom.functions.scale import harmonic, link_density, midpoint, zero
+from spanloom.operators.ranges import running
 
 #: (aseq, apos) and (bseq, bpos) of a pair
 ENDS = ("aseq", "apos", "bseq", "bpos")
@@ -169,7 +170,7 @@ def link_spans(matrix: DataFrame, sequences: DataFrame, width: int, limit: int)
     e = m.select(F.col("aseq").alias("seq"), F.explode(F.array(F.struct((F.col("abin") + 1).alias("bin"), F.col("n").alias("d")), F.struct((F.col("bbin") - 1).alias("bin"), (-F.col("n")).alias("d")))).alias("e")).select("seq", "e.*")
     grid = sequences.select("seq", F.explode(F.sequence(zero(), F.expr(f"(len - 1) div {width}"))).alias("bin"), zero().alias("d"))
     d = e.unionByName(grid).groupBy("seq", "bin").agg(F.sum("d").alias("d"))
-    return d.select("seq", "bin", F.sum("d").over(W.partitionBy("seq").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)).alias("span"))
+    return running(d, ["seq"], "bin", upto={"span": "d"}).select("seq", "bin", "span")
 
 
 def pixels(sequences: DataFrame, width: int, merge_below: int = 0) -> DataFrame:

@@ -1,7 +1,8 @@
 """Interval algebra: coverage, unions, measures and overlap joins of half-open intervals [beg, end).
 
 Everything is an event table: +1 where an interval begins, -1 where it ends. Events are summed by position before they are put in order,
-so a sequence with very many intervals costs its number of distinct positions, and every window shares one shuffle by sequence.
+so a sequence with very many intervals costs its number of distinct positions. The order is that of ranges of positions (`ranges.running`):
+no task has to take a whole sequence.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.scale import zero
+from spanloom.operators.ranges import running
 
 
 def events(ivals: DataFrame, seq: str = "seq", beg: str = "beg", end: str = "end", weight: Column | None = None) -> DataFrame:
@@ -26,9 +28,8 @@ def coverage(ivals: DataFrame, sequences: DataFrame | None = None, weight: Colum
     if sequences is not None:
         ends = sequences.select("seq", F.explode(F.array(zero(), F.col("len"))).alias("pos"), zero().alias("delta"))
         e = e.unionByName(ends).groupBy("seq", "pos").agg(F.sum("delta").alias("delta"))
-    order = W.partitionBy("seq").orderBy("pos")
-    steps = e.select("seq", F.col("pos").alias("beg"), F.lead("pos").over(order).alias("end"), F.sum("delta").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("cov"))
-    return steps.where(F.col("end").isNotNull())
+    steps = running(e, ["seq"], "pos", upto={"cov": "delta"}, following="end")
+    return steps.select("seq", F.col("pos").alias("beg"), "end", "cov").where(F.col("end").isNotNull())
 
 
 def compressed_events(ivals: DataFrame) -> DataFrame:
@@ -38,10 +39,10 @@ def compressed_events(ivals: DataFrame) -> DataFrame:
 
 def coalesced(steps: DataFrame) -> DataFrame:
     """Neighbouring steps of equal coverage as one."""
-    order = W.partitionBy("seq").orderBy("beg")
-    new = F.when((F.lag("cov").over(order) == F.col("cov")) & (F.lag("end").over(order) == F.col("beg")), 0).otherwise(1)
-    runs = steps.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy("seq", "run").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.first("cov").alias("cov")).drop("run")
+    s = running(steps, ["seq"], "beg", last={"was": "cov", "upto": "end"})
+    s = s.withColumn("new", F.when((F.col("was") == F.col("cov")) & (F.col("upto") == F.col("beg")), F.lit(None)).otherwise(F.col("beg")))
+    runs = running(s, ["seq"], "beg", top_upto={"run": "new"})
+    return runs.groupBy("seq", "run").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.max("cov").alias("cov")).drop("run")
 
 
 def step_sum(a: DataFrame, b: DataFrame, shift: Column | None = None, mirror: Column | None = None) -> DataFrame:
@@ -60,19 +61,16 @@ def coverage_change(before: DataFrame, added: DataFrame, cap: int) -> DataFrame:
     both = before.select("seq", "beg", "end", F.lit(1).cast("long").alias("x"), zero().alias("y")).unionByName(added.select("seq", "beg", "end", zero().alias("x"), F.lit(1).cast("long").alias("y")))
     e = both.select("seq", F.explode(F.array(F.struct(F.col("beg").alias("pos"), "x", "y"), F.struct(F.col("end").alias("pos"), (-F.col("x")).alias("x"), (-F.col("y")).alias("y")))).alias("e"))
     e = e.select("seq", "e.*").groupBy("seq", "pos").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    order = W.partitionBy("seq").orderBy("pos")
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    s = e.select((F.lead("pos").over(order) - F.col("pos")).alias("size"), F.sum("x").over(upto).alias("a"), F.sum("y").over(upto).alias("b")).where("size is not null and b > 0")
+    s = running(e, ["seq"], "pos", upto={"a": "x", "b": "y"}, following="to").select((F.col("to") - F.col("pos")).alias("size"), "a", "b").where("size is not null and b > 0")
     return s.groupBy(F.least("a", F.lit(cap)).alias("old"), F.least(F.col("a") + F.col("b"), F.lit(cap)).alias("new")).agg(F.sum("size").alias("size"))
 
 
 def merge_ranges(ivals: DataFrame, slack: int = 0) -> DataFrame:
     """(seq, beg, end): the union of intervals; those that touch, or lie within `slack`, become one."""
     e = ivals.select("seq", "beg", "end").groupBy("seq", "beg").agg(F.max("end").alias("end"))
-    order = W.partitionBy("seq").orderBy("beg")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(F.col("beg") <= reach + slack, 0).otherwise(1)
-    runs = e.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    reached = running(e, ["seq"], "beg", top={"reach": "end"})
+    new = F.when(F.col("beg") <= F.col("reach") + slack, F.lit(None)).otherwise(F.col("beg"))
+    runs = running(reached.withColumn("new", new), ["seq"], "beg", top_upto={"run": "new"})
     return runs.groupBy("seq", "run").agg(F.min("beg").alias("beg"), F.max("end").alias("end")).drop("run")
 
 

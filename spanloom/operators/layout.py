@@ -7,13 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.scale import zero
+from spanloom.operators.ranges import running
 
 
 def offsets(parts: DataFrame) -> DataFrame:
     """parts: object, part, kind ('W', or a gap kind), comp, x, y (slice start and length), rev, gap. Adds a and b: where a slice begins in its object without and with gaps; gaps go."""
-    order = W.partitionBy("object").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     slices, gaps = F.when(F.col("kind") == "W", F.col("y")).otherwise(zero()), F.when(F.col("kind") == "W", zero()).otherwise(F.col("gap"))
-    both = parts.withColumn("a", F.coalesce(F.sum(slices).over(order), zero())).withColumn("b", F.coalesce(F.sum(slices + gaps).over(order), zero()))
+    both = running(parts.withColumns({"__slice": slices, "__both": slices + gaps}), ["object"], "part", before={"a": "__slice", "b": "__both"})
     return both.where("kind = 'W'").select("object", "part", "comp", "x", "y", "rev", "a", "b")
 
 
@@ -85,9 +85,8 @@ def split_pairs(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def agp(segments: DataFrame, gap: int = 100, gap_kind: str = "scaffold", evidence: str = "proximity_ligation") -> DataFrame:
     """Rows of an AGP table: 1-based closed positions, with a gap row between consecutive slices. segments: object, part, comp, x, y, rev."""
-    order = W.partitionBy("object").orderBy("part")
-    s = segments.withColumn("n", F.row_number().over(order).cast("long"))
-    s = s.withColumn("beg", F.coalesce(F.sum("y").over(order.rowsBetween(W.unboundedPreceding, -1)), zero()) + (F.col("n") - 1) * gap)
+    s = running(segments.withColumn("__one", F.lit(1).cast("long")), ["object"], "part", upto={"n": "__one"}, before={"beg": "y"})
+    s = s.withColumn("beg", F.col("beg") + (F.col("n") - 1) * gap)
     w = s.select("object", (F.col("beg") + 1).alias("obj_beg"), (F.col("beg") + F.col("y")).alias("obj_end"), (2 * F.col("n") - 1).alias("part"), F.lit("W").alias("kind"), F.col("comp").cast("string").alias("c1"), (F.col("x") + 1).cast("string").alias("c2"), (F.col("x") + F.col("y")).cast("string").alias("c3"), F.when(F.col("rev"), "-").otherwise("+").alias("c4"))
     g = s.where("n > 1").select("object", (F.col("beg") - gap + 1).alias("obj_beg"), F.col("beg").alias("obj_end"), (2 * F.col("n") - 2).alias("part"), F.lit("N").alias("kind"), F.lit(str(gap)).alias("c1"), F.lit(gap_kind).alias("c2"), F.lit("yes").alias("c3"), F.lit(evidence).alias("c4"))
     return w.unionByName(g) if gap else w

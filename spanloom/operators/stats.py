@@ -1,4 +1,4 @@
-"""Statistics over lengths, coverage and p-values."""
+"""Statistics over lengths, coverage and p-values. Ranks and percentiles come from `ranges`: no window or buffer takes all values."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.scale import zero
+from spanloom.operators.ranges import counted, median, ranks
 
 
 def nl_stats(lengths: DataFrame, length: str = "len") -> DataFrame:
@@ -14,12 +15,10 @@ def nl_stats(lengths: DataFrame, length: str = "len") -> DataFrame:
 
     Lengths are counted first, so the running sum is over distinct lengths.
     """
-    c = lengths.groupBy(F.col(length).alias("len")).agg(F.count("*").alias("n"))
-    total = c.agg(F.sum(F.col("len") * F.col("n")).alias("total"))
-    order = W.orderBy(F.col("len").desc()).rowsBetween(W.unboundedPreceding, 0)
-    run = c.select("len", "n", F.sum(F.col("len") * F.col("n")).over(order).alias("upto"), F.sum("n").over(order).alias("rows"))
+    c = lengths.groupBy((-F.col(length)).alias("less")).agg(F.count("*").alias("rows"), F.sum(F.col(length).cast("long")).alias("sum"))
+    run = ranks(c, "less", ["rows", "sum"]).select((-F.col("less")).cast("long").alias("len"), F.col("rows").alias("n"), F.col("upto_sum").alias("upto"), F.col("upto_rows").alias("rows"), F.col("all_sum").alias("total"))
     tens = F.explode(F.sequence(F.lit(1), F.lit(10))).alias("i")
-    need = run.crossJoin(F.broadcast(total)).select("*", tens).withColumn("need", F.col("total") * F.col("i"))
+    need = run.select("*", tens).withColumn("need", F.col("total") * F.col("i"))
     hit = need.where(F.col("upto") * 10 >= F.col("need"))
     best = hit.groupBy("i").agg(F.max(F.struct("len", "upto", "n", "rows", "need")).alias("m"))
     # of the rows of this length, those beyond the need don't count
@@ -48,10 +47,8 @@ def copy_number(hist: DataFrame, cap: int = 16) -> DataFrame:
 
 def mad_outliers(df: DataFrame, value: str, limit: float = 3.5) -> DataFrame:
     """`df` with the median, the median absolute deviation, and whether 0.6745 |x - median| exceeds `limit` deviations."""
-    m = df.agg(F.percentile(value, F.lit(0.5)).alias("med"))
-    d = df.crossJoin(F.broadcast(m)).withColumn("dev", F.abs(F.col(value) - F.col("med")))
-    mad = d.agg(F.percentile("dev", F.lit(0.5)).alias("mad"))
-    return d.crossJoin(F.broadcast(mad)).withColumn("outlier", 0.6745 * F.col("dev") > limit * F.col("mad")).drop("dev")
+    d = df.crossJoin(F.broadcast(median(df, value, "med"))).withColumn("dev", F.abs(F.col(value) - F.col("med")))
+    return d.crossJoin(F.broadcast(median(d, "dev", "mad"))).withColumn("outlier", 0.6745 * F.col("dev") > limit * F.col("mad")).drop("dev")
 
 
 def significant(df: DataFrame, p: str, alpha: Column) -> DataFrame:
@@ -59,17 +56,15 @@ def significant(df: DataFrame, p: str, alpha: Column) -> DataFrame:
 
     Ranks come from counts by distinct p, so equal p-values share the highest rank among them, which decides alike.
     """
-    c = df.groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
-    ranked = c.select("__p", F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, 0)).alias("__i"), F.sum("__n").over(W.partitionBy()).alias("__all"))
-    cut = ranked.where(F.col("__p") * F.col("__all") <= F.col("__i") * alpha).agg(F.max("__p").alias("__cut"))
+    ranked = counted(df.select(F.col(p).alias("p")), "p")
+    cut = ranked.where(F.col("v") * F.col("all_n") <= F.col("upto_n") * alpha).agg(F.max("v").alias("__cut"))
     return df.crossJoin(F.broadcast(cut)).where(F.col(p) <= F.col("__cut")).drop("__cut")
 
 
 def element_at_share(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """One row with q0, q1, ...: the element at floor(n * share) of the sorted values (0-based), from counts by value."""
-    c = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    r = c.select("v", F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(W.partitionBy()).alias("all"))
-    return r.agg(*[F.min(F.when(F.col("upto") > F.least(F.floor(F.col("all") * s), F.col("all") - 1), F.col("v"))).alias(f"q{i}") for i, s in enumerate(shares)])
+    at = lambda share: F.least(F.floor(F.col("all_n") * share), F.col("all_n") - 1)
+    return counted(df, value).agg(*[F.min(F.when(F.col("upto_n") > at(s), F.col("v"))).alias(f"q{i}") for i, s in enumerate(shares)])
 
 
 def spread_scaled(df: DataFrame, value: str, out: str = "scaled") -> DataFrame:
@@ -81,8 +76,7 @@ def spread_scaled(df: DataFrame, value: str, out: str = "scaled") -> DataFrame:
 
 def trimmed_mean(hist: DataFrame, share: float = 0.1) -> DataFrame:
     """(bases, weighted, mean) of a coverage histogram (copies, bases) without `share` of the bases at either end."""
-    order = W.orderBy("copies").rowsBetween(W.unboundedPreceding, 0)
-    c = hist.select("copies", "bases", F.sum("bases").over(order).alias("upto"), F.sum("bases").over(W.partitionBy()).alias("total"))
+    c = ranks(hist, "copies", ["bases"]).select("copies", "bases", F.col("upto_bases").alias("upto"), F.col("all_bases").alias("total"))
     cut = F.floor(F.col("total") * share)
     kept = F.greatest(zero(), F.least("upto", F.col("total") - cut) - F.greatest(F.col("upto") - F.col("bases"), cut))
     return c.select("copies", kept.alias("kept")).agg(F.sum("kept").alias("bases"), F.sum(F.col("kept") * F.col("copies")).alias("weighted")).withColumn("mean", F.col("weighted") / F.col("bases"))
@@ -105,7 +99,7 @@ def softmax_confidence(df: DataFrame, group: str, score: str, temperature: float
 
 def matrix_scaled(df: DataFrame, value: str, how: str = "log1p", clip: float = 0.98) -> DataFrame:
     """Values clipped at a percentile of those that aren't 0, put through sqrt or log1p, and divided by the largest."""
-    top = df.where(F.col(value) > 0).agg(F.percentile(value, F.lit(clip)).alias("__clip"))
+    top = median(df.where(F.col(value) > 0), value, "__clip", clip)
     f = {"log1p": F.log1p, "sqrt": F.sqrt, "none": lambda x: x}[how]
     x = df.crossJoin(F.broadcast(top)).withColumn("scaled", f(F.least(F.col(value).cast("double"), F.col("__clip"))))
     return x.withColumn("scaled", F.col("scaled") / f(F.col("__clip"))).drop("__clip")
