@@ -234,7 +234,7 @@ def packs(rows: DataFrame, width: int, pack_rows: int, pivots: int) -> DataFrame
     placed = rows.mapInArrow(near, "key long, label long, vector array<double>, pivot long")
     parts = max(1, -(-rows.count() // pack_rows))
     spread = placed.repartitionByRange(parts, "label", "pivot", F.xxhash64("key", "vector")).sortWithinPartitions("label", "pivot")
-    return cut(spread.select("key", "label", "vector").mapInArrow(pack, PACK))
+    return cut(spread.select("key", "label", "vector").coalesce(parts).mapInArrow(pack, PACK))  # full packs, however many partitions a session asks for
 
 
 def unpacked(b: pa.RecordBatch, i: int, width: int, prefix: str = "") -> Tree:
@@ -247,8 +247,11 @@ def met(shards: DataFrame, blocks: DataFrame, width: int, k: int, same: bool, to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[int, tuple[Tree, Windows, np.ndarray]] = {}
+        shard, candidates = None, None  # a shard's rows follow one another
         for b in batches:
             for i in range(b.num_rows):
+                if (own := b.column(b.schema.get_field_index("pack"))[i].as_py()) != shard:
+                    shard, candidates = own, unpacked(b, i, width)
                 pack = b.column(b.schema.get_field_index("a_pack"))[i].as_py()
                 if pack not in state:
                     tree = unpacked(b, i, width, "a_")
@@ -258,7 +261,7 @@ def met(shards: DataFrame, blocks: DataFrame, width: int, k: int, same: bool, to
                     else:
                         anchor, window, low, high = (b.column(b.schema.get_field_index(c))[i].values.to_numpy() for c in ("w_place", "w_window", "w_low", "w_high"))
                     state[pack] = tree, Windows(anchor, low.copy(), high, k), window
-                search(state[pack][0], unpacked(b, i, width), state[pack][1], same)
+                search(state[pack][0], candidates, state[pack][1], same)
         for pack, (tree, w, window) in state.items():
             place = w.anchor[w.of]
             cols = [np.full(len(w.of), pack), place, window[w.of], tree.key[place], pa.array(w.key, mask=w.null), w.score]
