@@ -276,7 +276,7 @@ def compared(rows: DataFrame, text: str, others: dict[str, str], cells: int = CE
     return asked.mapInArrow(run, schema)
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "next", range_bytes: int = 1 << 24, draws: int = 16) -> DataFrame:
+def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "next", range_bytes: int = 1 << 22, draws: int = 16) -> DataFrame:
     """(key, text, next): each document with the text of the one after it in the order of keys; the last with the first's."""
     named = docs.select(F.col(key).isNull().alias("k0"), F.col(key).alias("k1"), F.xxhash64(text).alias("k2"), F.col(text).alias("t"))
     order = ["k0", "k1", "k2"]
