@@ -90,17 +90,44 @@ def overlap_size(a: DataFrame, b: DataFrame) -> DataFrame:
     return coverage(one.unionByName(two), weight=F.col("w")).where("cov = 2").groupBy("seq").agg(F.sum(F.col("end") - F.col("beg")).alias("size"))
 
 
-def band_join(a: DataFrame, b: DataFrame, bin_size: int | None = None) -> DataFrame:
-    """Rows of a and b, as a_* and b_*, whose intervals overlap on a sequence.
+#: Bits between two levels of interval sizes.
+LEVEL = 6
+
+
+def level_of(size: Column) -> Column:
+    """The level of an interval's size, in bits: an interval of level k is about 2^k positions or less."""
+    return F.least(F.ceil(F.log2(F.greatest(size, F.lit(1).cast("long")).cast("double")) / LEVEL) * LEVEL, F.lit(60).cast("long")).cast("int")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, a_on: tuple[str, str, str] = ("a_seq", "a_beg", "a_end"), b_on: tuple[str, str, str] = ("b_seq", "b_beg", "b_end")) -> DataFrame:
+    """Rows of a and b (without common names) whose intervals overlap on a sequence. a_on, b_on: the columns of sequence, begin and end.
 
-    The join is by sequence; with a bin size it is by sequence and bin, each pair found in the bin where its overlap begins, so a long
-    sequence is not one task's work.
+    The join is by sequence and bin, so a sequence with most of the rows is spread over its bins. Bins are as wide as the longer of two
+    intervals' levels: short and long intervals meet in bins of the long one's size, short ones among themselves in small bins, and neither
+    lies in more than two or three. Each row is dealt once for each level that the other side has (a table of ten levels at most, which is
+    broadcast). A pair is found in the one bin where its overlap begins.
     """
+    sides = []
+    levels = [x.select(level_of(F.col(on[2]) - F.col(on[1])).alias(name)).distinct() for x, on, name in ((a, a_on, "__of_a"), (b, b_on, "__of_b"))]
+    for x, (_, beg, end), own, other, met in ((a, a_on, "__of_a", "__of_b", levels[1]), (b, b_on, "__of_b", "__of_a", levels[0])):
+        dealt = x.where(F.col(beg) < F.col(end)).withColumn(own, level_of(F.col(end) - F.col(beg))).crossJoin(F.broadcast(met))
+        wide = F.greatest(own, other)
+        bins = F.sequence(F.call_function("shiftright", F.col(beg), wide), F.call_function("shiftright", F.col(end) - 1, wide))
+        side = "a" if own == "__of_a" else "b"
+        sides.append(dealt.withColumn(f"__bin_{side}", F.explode(bins)).withColumnsRenamed({"__of_a": f"__a_{side}", "__of_b": f"__b_{side}"}))
+    on = (F.col(a_on[0]) == F.col(b_on[0])) & (F.col("__a_a") == F.col("__a_b")) & (F.col("__b_a") == F.col("__b_b")) & (F.col("__bin_a") == F.col("__bin_b"))
+    meet = (F.col(a_on[1]) < F.col(b_on[2])) & (F.col(b_on[1]) < F.col(a_on[2]))
+    first = F.call_function("shiftright", F.greatest(F.col(a_on[1]), F.col(b_on[1])), F.greatest("__a_a", "__b_a")) == F.col("__bin_a")
+    return sides[0].join(sides[1], on & meet & first).drop(*(f"__{c}_{s}" for c in ("a", "b", "bin") for s in "ab"))
+
+
+def band_join(a: DataFrame, b: DataFrame, bin_size: int | None = None) -> DataFrame:
+    """Rows of a and b, as a_* and b_*, whose intervals overlap on a sequence; in bins of one size if it is given, else by `overlap_join`."""
     x = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns])
     y = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
-    on = (F.col("a_seq") == F.col("b_seq")) & (F.col("a_beg") < F.col("b_end")) & (F.col("b_beg") < F.col("a_end"))
     if bin_size is None:
-        return x.join(y, on)
+        return overlap_join(x, y)
+    on = (F.col("a_seq") == F.col("b_seq")) & (F.col("a_beg") < F.col("b_end")) & (F.col("b_beg") < F.col("a_end"))
     last = lambda s: F.expr(f"greatest({s}_beg, {s}_end - 1) div {bin_size}")
     x = x.withColumn("a_bin", F.explode(F.sequence(F.expr(f"a_beg div {bin_size}"), last("a"))))
     y = y.withColumn("b_bin", F.explode(F.sequence(F.expr(f"b_beg div {bin_size}"), last("b"))))

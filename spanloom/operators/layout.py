@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.scale import zero
+from spanloom.operators.intervals import overlap_join
 from spanloom.operators.ranges import running
 
 
@@ -22,28 +23,78 @@ def identity(sequences: DataFrame) -> DataFrame:
     return sequences.select(F.col("seq").alias("object"), F.lit(1).cast("long").alias("part"), F.col("seq").alias("comp"), zero().alias("x"), F.col("len").alias("y"), F.lit(False).alias("rev"), zero().alias("a"), zero().alias("b"))
 
 
+def _in_slices(points: DataFrame, segments: DataFrame, seq: str, pos: str, within: str, start: str) -> DataFrame:
+    """points with the slice that holds each, found by `overlap_join`; within: the segments' column that names the sequence, start: where a slice begins on it."""
+    at = points.withColumns({"__seq": F.col(seq), "__p": F.col(pos), "__q": F.col(pos) + 1})
+    s = segments.select(F.col(within).alias("__of"), F.col(start).alias("__lo"), (F.col(start) + F.col("y")).alias("__hi"), *(F.col(c).alias(f"__{c}") for c in ("object", "comp", "x", "y", "rev", "a", "b") if c in segments.columns))
+    return overlap_join(at, s, ("__seq", "__p", "__q"), ("__of", "__lo", "__hi")).drop("__seq", "__p", "__q", "__of", "__lo", "__hi")
+
+
+_SLICE = ("__object", "__comp", "__x", "__y", "__rev", "__a", "__b")
+
+
 def lifted(points: DataFrame, segments: DataFrame, seq: str = "seq", pos: str = "pos", start: str = "b", prefix: str = "") -> DataFrame:
     """points with object and object position: the slice of the component that holds the point, mirrored where it is reversed. Points in no slice go."""
-    s = segments.select(F.col("comp").alias("__comp"), F.col("object").alias(f"{prefix}object"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("rev").alias("__rev"), F.col(start).alias("__b"))
-    j = points.join(s, (F.col(seq) == F.col("__comp")) & (F.col(pos) >= F.col("__x")) & (F.col(pos) < F.col("__x") + F.col("__y")))
-    at = F.when(F.col("__rev"), F.col("__b") + F.col("__x") + F.col("__y") - 1 - F.col(pos)).otherwise(F.col("__b") + F.col(pos) - F.col("__x"))
-    return j.withColumn(f"{prefix}object_pos", at).drop("__comp", "__x", "__y", "__rev", "__b")
+    j = _in_slices(points, segments, seq, pos, "comp", "x")
+    at = F.when(F.col("__rev"), F.col(f"__{start}") + F.col("__x") + F.col("__y") - 1 - F.col(pos)).otherwise(F.col(f"__{start}") + F.col(pos) - F.col("__x"))
+    return j.withColumns({f"{prefix}object": F.col("__object"), f"{prefix}object_pos": at}).drop(*_SLICE)
 
 
 def lowered(points: DataFrame, segments: DataFrame, object_: str = "object", pos: str = "object_pos", start: str = "b") -> DataFrame:
     """The inverse: points on objects with comp and comp_pos; points in gaps go."""
-    s = segments.select(F.col("object").alias("__object"), "comp", F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("rev").alias("__rev"), F.col(start).alias("__b"))
-    j = points.join(s, (F.col(object_) == F.col("__object")) & (F.col(pos) >= F.col("__b")) & (F.col(pos) < F.col("__b") + F.col("__y")))
-    at = F.when(F.col("__rev"), F.col("__x") + F.col("__y") - 1 - (F.col(pos) - F.col("__b"))).otherwise(F.col("__x") + F.col(pos) - F.col("__b"))
-    return j.withColumn("comp_pos", at).drop("__object", "__x", "__y", "__rev", "__b")
+    j = _in_slices(points, segments, object_, pos, "object", start)
+    into = F.col(pos) - F.col(f"__{start}")
+    at = F.when(F.col("__rev"), F.col("__x") + F.col("__y") - 1 - into).otherwise(F.col("__x") + into)
+    return j.withColumns({"comp": F.col("__comp"), "comp_pos": at}).drop(*_SLICE)
+
+
+def interval_lifted(ivals: DataFrame, segments: DataFrame, seq: str = "seq", beg: str = "beg", end: str = "end", prefix: str = "") -> DataFrame:
+    """Intervals that lie in one slice whole, with object, obj_beg, obj_end; those that cross slices go. An interval of no length is its begin."""
+    j = _in_slices(ivals, segments, seq, beg, "comp", "x").where(F.col(end) <= F.col("__x") + F.col("__y"))
+    stop, into = F.col("__b") + F.col("__x") + F.col("__y"), F.col("__b") - F.col("__x")
+    size = F.greatest(F.col(end) - F.col(beg), zero())
+    lo = F.when(~F.col("__rev"), into + F.col(beg)).when(size == 0, stop - F.col(beg) - 1).otherwise(stop - F.col(beg) - size)
+    return j.withColumns({f"{prefix}object": F.col("__object"), f"{prefix}obj_beg": lo, f"{prefix}obj_end": lo + size}).drop(*_SLICE)
+
 
+def pairs_lifted(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """Pairs (aseq, abeg, aend, bseq, bbeg, bend, and others) carried to the objects of `segments`; a pair goes if either interval crosses slices or lies in none."""
+    one = interval_lifted(pairs, segments, "aseq", "abeg", "aend", "__a_")
+    both = interval_lifted(one, segments, "bseq", "bbeg", "bend", "__b_")
+    moved = {f"{s}{new}": F.col(f"__{s}_{old}") for s in "ab" for new, old in (("seq", "object"), ("beg", "obj_beg"), ("end", "obj_end"))}
+    return both.withColumns(moved).drop(*(f"__{s}_{c}" for s in "ab" for c in ("object", "obj_beg", "obj_end")))
 
-def interval_lifted(ivals: DataFrame, segments: DataFrame) -> DataFrame:
-    """Intervals (seq, beg, end, ...) that lie in one slice whole, with object, obj_beg, obj_end; those that cross slices go."""
-    s = segments.select(F.col("comp").alias("__comp"), "object", F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("rev").alias("__rev"), F.col("b").alias("__b"))
-    j = ivals.join(s, (F.col("seq") == F.col("__comp")) & (F.col("beg") >= F.col("__x")) & (F.col("end") <= F.col("__x") + F.col("__y")))
-    end = F.col("__b") + F.col("__x") + F.col("__y")
-    return j.withColumn("obj_beg", F.when(F.col("__rev"), end - F.col("end")).otherwise(F.col("__b") + F.col("beg") - F.col("__x"))).withColumn("obj_end", F.when(F.col("__rev"), end - F.col("beg")).otherwise(F.col("__b") + F.col("end") - F.col("__x"))).drop("__comp", "__x", "__y", "__rev", "__b")
+
+def next_mark(points: DataFrame, marks: DataFrame, seq: str = "seq", pos: str = "pos") -> DataFrame:
+    """(seq, pos, end): for each different point (columns seq and pos) the first of the marks (seq, end) on its sequence that lies beyond it; points without one go.
+
+    An as-of join by a union: points and marks are put in order together, from the back, and each point takes the last mark met before it.
+    """
+    p = points.select(F.col(seq).alias("seq"), (-F.col(pos)).alias("at"), F.lit(None).cast("long").alias("mark"), F.lit(True).alias("point"))
+    m = marks.select("seq", (-F.col("end")).alias("at"), (-F.col("end")).alias("mark"), F.lit(False).alias("point"))
+    both = p.unionByName(m).groupBy("seq", "at").agg(F.max("mark").alias("mark"), F.max("point").alias("point"))
+    found = running(both, ["seq"], "at", top={"met": "mark"}).where("point and met is not null")
+    return found.select("seq", (-F.col("at")).alias("pos"), (-F.col("met")).alias("end"))
+
+
+def on_backbone(pairs: DataFrame, sequences: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (aseq, abeg, aend, bseq, bbeg, bend, and others) carried to backbones; both ends have to arrive.
+
+    sequences: seq, len, rev (whether positions count from the end). marks: seq, end, target, size: up to `end` (from the mark before) a sequence lies on
+    backbone `target`, whose last position is there. An interval goes if it reaches over the next mark, or lies before its backbone's begin.
+    """
+    out = pairs
+    for s in "ab":
+        own = sequences.select(F.col("seq").alias("__seq"), F.col("len").alias("__len"), F.col("rev").alias("__rev"))
+        out = out.join(own, F.col(f"{s}seq") == F.col("__seq")).drop("__seq")
+        lo = F.when(F.col("__rev"), F.col("__len") - F.col(f"{s}end")).otherwise(F.col(f"{s}beg"))
+        hi = F.when(F.col("__rev"), F.col("__len") - F.col(f"{s}beg")).otherwise(F.col(f"{s}end"))
+        out = out.withColumns({"__lo": lo, "__hi": hi}).drop("__len", "__rev")
+        near = next_mark(out, marks, f"{s}seq", "__lo").join(marks, ["seq", "end"]).select(F.col("seq").alias("__seq"), F.col("pos").alias("__pos"), F.col("end").alias("__mark"), F.col("target").alias("__target"), F.col("size").alias("__size"))
+        out = out.join(near, (F.col(f"{s}seq") == F.col("__seq")) & (F.col("__lo") == F.col("__pos"))).where("__mark >= __hi and __size >= __mark - __lo")
+        at = lambda x: F.col("__size") - (F.col("__mark") - F.col(x))
+        out = out.withColumns({f"{s}seq": F.col("__target"), f"{s}beg": at("__lo"), f"{s}end": at("__hi")}).drop("__seq", "__pos", "__mark", "__target", "__size", "__lo", "__hi")
+    return out
 
 
 def slices(breaks: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -65,10 +116,12 @@ def split_pairs(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
     a = pieces.select(F.col("seq").alias("aread"), F.col("beg").alias("__cut")).where("__cut > 0")
     b = pieces.select(F.col("seq").alias("bread"), F.col("beg").alias("__cut")).where("__cut > 0")
     alen, blen = F.col("aepos") - F.col("abpos"), F.col("bepos") - F.col("bbpos")
-    by_a = pairs.join(a, "aread").where("__cut > abpos and __cut < aepos").select("id", F.col("__cut").alias("at"))
+    cuts = lambda c: c.withColumns({"__from": F.col("__cut"), "__to": F.col("__cut") + 1}).withColumnRenamed(c.columns[0], "__on")
+    near = lambda c, s: overlap_join(pairs, cuts(c), (f"{s}read", f"{s}bpos", f"{s}epos"), ("__on", "__from", "__to")).drop("__on", "__from", "__to")
+    by_a = near(a, "a").where("__cut > abpos and __cut < aepos").select("id", F.col("__cut").alias("at"))
     along = F.when(F.col("rev"), F.col("bepos") - F.col("__cut")).otherwise(F.col("__cut") - F.col("bbpos"))
     carried = F.col("abpos") + F.floor((along * alen) / F.greatest(blen, F.lit(1))).cast("long")
-    by_b = pairs.join(b, "bread").where("__cut > bbpos and __cut < bepos").select("id", carried.alias("at"))
+    by_b = near(b, "b").where("__cut > bbpos and __cut < bepos").select("id", carried.alias("at"))
     bounds = by_a.unionByName(by_b).unionByName(pairs.select("id", F.col("abpos").alias("at"))).distinct()
     order = W.partitionBy("id").orderBy("at")
     f = bounds.withColumn("to", F.lead("at").over(order)).join(pairs, "id").withColumn("to", F.coalesce("to", "aepos")).where("to > at")
@@ -78,7 +131,9 @@ def split_pairs(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
     f = f.withColumn("amid", F.floor((F.col("at") + F.col("to")) / 2).cast("long")).withColumn("bmid", F.floor((F.col("bbeg") + F.col("bend")) / 2).cast("long"))
     pa = pieces.select(F.col("seq").alias("aread"), F.col("name").alias("apiece"), F.col("beg").alias("__a0"), F.col("end").alias("__a1"))
     pb = pieces.select(F.col("seq").alias("bread"), F.col("name").alias("bpiece"), F.col("beg").alias("__b0"), F.col("end").alias("__b1"))
-    f = f.join(pa, "aread").where("amid >= __a0 and amid < __a1").join(pb, "bread").where("bmid >= __b0 and bmid < __b1")
+    for side, p in (("a", pa), ("b", pb)):
+        held = f.withColumns({"__from": F.col(f"{side}mid"), "__to": F.col(f"{side}mid") + 1})
+        f = overlap_join(held, p.withColumnRenamed(f"{side}read", "__on"), (f"{side}read", "__from", "__to"), ("__on", f"__{side}0", f"__{side}1")).drop("__on", "__from", "__to")
     clip = lambda x, lo_, hi_: F.least(F.greatest(x, F.col(lo_)), F.col(hi_))
     return f.select("id", "apiece", clip(F.col("at"), "__a0", "__a1").alias("abeg"), clip(F.col("to"), "__a0", "__a1").alias("aend"), "bpiece", clip(F.col("bbeg"), "__b0", "__b1").alias("bbeg"), clip(F.col("bend"), "__b0", "__b1").alias("bend"), "rev")
 

@@ -14,6 +14,8 @@ from spanloom.functions.overlap import EXTENDS, INTERNAL
 from spanloom.functions.scale import COVERAGE_GAIN, LOW_COPY, log_linear, zero
 from spanloom.operators import graph, intervals
 from spanloom.operators.chaining import factor
+from spanloom.operators.intervals import overlap_join
+from spanloom.operators.ranges import running
 
 
 def repeats(steps: DataFrame, sequences: DataFrame, ploidy: int) -> DataFrame:
@@ -169,13 +171,14 @@ def variant_candidates(ovls: DataFrame, low: DataFrame, sequences: DataFrame, le
     o = ovls.where(F.col("type").bitwiseAND(F.lit(INTERNAL)) == INTERNAL).join(sequences.select(F.col("seq").alias("aread"), "len"), "aread").join(low.select(F.col("seq").alias("aread"), "low"), "aread")
     o = o.where((size >= least) & (size >= share * F.col("len")) & (F.col("low") >= low_share * F.col("len")))
     ends = o.select(F.col("aread").alias("seq"), "len", F.explode(F.array("abpos", "aepos")).alias("pos")).where((F.col("pos") > near) & (F.col("pos") < F.col("len") - near))
-    order = W.partitionBy("seq").orderBy("pos")
-    new = F.when(F.col("pos") - F.lag("pos").over(order) <= near, 0).otherwise(1)
-    runs = ends.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    runs = runs.withColumn("i", F.row_number().over(W.partitionBy("seq", "run").orderBy("pos"))).withColumn("n", F.count("*").over(W.partitionBy("seq", "run")))
-    c = runs.where(F.col("i") == F.expr("(n + 1) div 2")).select("seq", "pos", F.col("n").alias("support"))
-    span = ovls.select(F.col("aread").alias("seq"), (F.col("abpos") + near).alias("__lo"), (F.col("aepos") - near).alias("__hi")).where("__lo < __hi")
-    crossed = c.join(span, "seq").where("pos >= __lo and pos <= __hi").select("seq", "pos").distinct()
+    at = running(ends.groupBy("seq", "pos").agg(F.count("*").alias("n")), ["seq"], "pos", before={"ahead": "n"}, last={"was": "pos"})
+    at = at.withColumn("new", F.when(F.col("pos") - F.col("was") <= near, F.lit(None)).otherwise(F.col("pos")))
+    at = running(at, ["seq"], "pos", top_upto={"run": "new"})
+    runs = at.groupBy("seq", "run").agg(F.sum("n").alias("support"), F.min("ahead").alias("first"))
+    middle = F.expr("first + (support + 1) div 2")
+    c = at.join(runs, ["seq", "run"]).where((F.col("ahead") < middle) & (middle <= F.col("ahead") + F.col("n"))).select("seq", "pos", "support")
+    span = ovls.select(F.col("aread").alias("__on"), (F.col("abpos") + near).alias("__lo"), (F.col("aepos") - near).alias("__hi")).where("__lo < __hi")
+    crossed = overlap_join(c.withColumn("__to", F.col("pos") + 1), span.withColumn("__end", F.col("__hi") + 1), ("seq", "pos", "__to"), ("__on", "__lo", "__end")).select("seq", "pos").distinct()
     return c.join(crossed, ["seq", "pos"], "left_anti")
 
 

@@ -903,3 +903,6 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SE
 )
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return ev.sessions(table(spark, d, "events"))
+
+
+from spanloom.plans import reads as _reads  # noqa: E402, F401 - registers the queries over reads and files

@@ -41,10 +41,17 @@ def pairable(flag: Column) -> Column:
     return usable(flag) & (flag != 0)
 
 
-def opened(path: str):
+def located(path: str):
+    """The file system of a path or URI, and the path within it."""
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = f"file://{path[5:]}"
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
+def opened(path: str):
+    system, inner = located(path)
     return system.open_input_file(inner)
 
 
@@ -52,7 +59,7 @@ def files(path: str) -> list[str]:
     """A file itself, or the files of a folder by name."""
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    system, inner = located(path)
     if system.get_file_info(inner).type != fs.FileType.Directory:
         return [path]
     root = path.rstrip("/")

@@ -196,3 +196,64 @@ def mismatches(found: DataFrame, wanted: DataFrame) -> DataFrame:
 def union_all(tables: list[DataFrame]) -> DataFrame:
     """Several inputs as one bag."""
     return reduce(DataFrame.unionByName, tables)
+
+
+def is_typed_lines(spark: SparkSession, path: str, kind: str = "aln") -> bool:
+    """Whether a file's first line says that it is a typed-line file of a kind: a 1, the kind's length and its name."""
+    first = spark.read.text(path).limit(1).first()
+    return first is not None and (first["value"] or "").split()[:3] == ["1", str(len(kind)), kind]
+
+
+def alignments(spark: SparkSession, path: str, sequences: DataFrame | None = None) -> DataFrame:
+    """Alignments of a PAF or a typed-line file, told by its first line, as (aread, bread, rev, abpos, aepos, bbpos, bepos, mlen); typed lines bring their own numbers."""
+    columns = ("aread", "bread", "rev", "abpos", "aepos", "bbpos", "bepos", "mlen")
+    if is_typed_lines(spark, path):
+        from spanloom.sources import binary
+
+        binary.register(spark)
+        return spark.read.format("typed_alignments").load(path).where("0 <= abpos and abpos < aepos and 0 <= bbpos and bbpos < bepos").select(*columns)
+    if sequences is None:
+        raise ValueError("alignments by names need sequences (name, len, seq)")
+    return paf(spark, path, sequences).select(*columns)
+
+
+#: What a contact input's name ends in, by kind.
+CONTACT_KINDS = {".bam": "bam", ".bin": "bin", "1map": "map", ".bed": "bed", ".bed.gz": "bed", ".pa5": "pa5", ".pa5.gz": "pa5"}
+
+
+def contact_kind(path: str) -> str:
+    """The kind of a contact input by its name."""
+    name = path.rstrip("/").lower()
+    for end, kind in CONTACT_KINDS.items():
+        if name.endswith(end):
+            return kind
+    raise ValueError(f"{path}: the name has to end in one of {', '.join(CONTACT_KINDS)}, or the kind has to be given")
+
+
+def contacts(spark: SparkSession, path: str, sequences: DataFrame, kind: str | None = None, read_len: int = 150) -> DataFrame:
+    """Pairs (aseq, apos, bseq, bpos, q) of a contact input of any kind, told by its name if not given. Mapped reads without qualities have 255."""
+    from spanloom.operators.contacts import pair_adjacent
+    from spanloom.sources import bam, binary
+
+    binary.register(spark)
+    kind = kind or contact_kind(path)
+    columns = ("aseq", "apos", "bseq", "bpos", "q")
+    if kind == "bam":
+        return bam.contact_pairs(spark, path, sequences)
+    if kind == "bin":
+        return spark.read.format("contact_records").load(path).select(*columns)
+    if kind == "bed":
+        return pair_adjacent(bed_reads(spark, path, sequences)).where("aseq is not null and bseq is not null").select(*columns)
+    if kind == "pa5":
+        return pa5(spark, path, sequences, read_len).select(*columns)
+    if kind == "map":
+        return mapped_pairs(spark.read.format("typed_mappings").load(path)).select(*columns)
+    raise ValueError(f"{kind}: not a kind of contact input")
+
+
+def mapped_pairs(mapped: DataFrame) -> DataFrame:
+    """Pairs of unique mappings (read, len, seq, pos): mates are an odd read and the next one; the middles of both."""
+    from spanloom.functions.scale import midpoint
+
+    side = lambda s, odd: mapped.where(F.col("read") % 2 == odd).select((F.col("read") - (1 - odd)).alias("mate"), F.col("seq").alias(f"{s}seq"), midpoint(F.col("pos"), F.col("pos") + F.col("len")).alias(f"{s}pos"))
+    return side("a", 1).join(side("b", 0), "mate").select("aseq", "apos", "bseq", "bpos", F.lit(255).alias("q"))

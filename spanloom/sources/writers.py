@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.scale import midpoint
 from spanloom.functions.sequence import wrapped
 
 
@@ -58,3 +62,42 @@ def ploidy(table: DataFrame, path: str) -> None:
 def haplotypes(segments: DataFrame, path: str) -> None:
     """One folder a haplotype."""
     segments.write.mode("overwrite").partitionBy("hap").parquet(path)
+
+
+def contact_file(libraries: list[DataFrame], sequences: DataFrame, path: str, parts: int | None = None, records_per_file: int = 4_000_000) -> None:
+    """Pairs of one or several libraries as one folder of contact files, in order of their ends; raw if they have abeg, aend, bbeg, bend, else compact.
+
+    sequences: name, len, seq (from 0, without gaps). The dictionary is in each file's header, so it has to fit one task's memory; the pairs
+    are dealt by ranges of their first end and never meet in one place. The lesser sequence's end comes first; q is held to 0 to 255.
+    """
+    from spanloom.sources import binary
+
+    binary.register(sequences.sparkSession)
+    known = sequences.orderBy("seq").select("name", "len").collect()
+    both = reduce(DataFrame.unionByName, libraries)
+    own = [c for c in ("seq", "beg", "end", "pos") if f"a{c}" in both.columns]
+    swap = F.col("aseq") > F.col("bseq")
+    ends = [F.when(swap, F.col(f"{o}{c}")).otherwise(F.col(f"{s}{c}")).alias(f"{s}{c}") for s, o in ("ab", "ba") for c in own]
+    rows = both.select(*ends, F.greatest(F.lit(0), F.least(F.col("q"), F.lit(255))).cast("int").alias("q"))
+    first = "abeg" if "abeg" in rows.columns else "apos"
+    rows = rows.repartitionByRange(*([parts] if parts else []), "aseq", first, F.xxhash64(*rows.columns)).sortWithinPartitions("aseq", first, "bseq")
+    dictionary = json.dumps({"names": [r["name"] for r in known], "lengths": [r["len"] for r in known]})
+    rows.write.format("contact_records").option("dictionary", dictionary).option("recordsPerFile", records_per_file).mode("overwrite").save(path)
+
+
+def backbone_contacts(pairs: DataFrame, marks: DataFrame, sequences: DataFrame, backbones: DataFrame, path: str, width: int = 1000) -> None:
+    """Pairs on backbones as a compact contact file, in `path`/contacts, and their windows' norms (seq, win, norm) in `path`/norms.
+
+    sequences: seq, len, rev; backbones: name, len, seq. Both come from the same pairs (`layout.on_backbone`), which are checkpointed once.
+    """
+    from spanloom.operators import intervals, layout, stats
+    from spanloom.operators.graph import cut
+
+    moved = cut(layout.on_backbone(pairs, sequences, marks))
+    middle = {f"{s}pos": midpoint(F.col(f"{s}beg"), F.col(f"{s}end")) for s in "ab"}
+    contact_file([moved.withColumns(middle).select("aseq", "apos", "bseq", "bpos", F.lit(255).alias("q"))], backbones, f"{path}/contacts")
+    reach = moved.select(F.explode(F.array(*(F.struct(*(F.col(f"{s}{c}").alias(c) for c in ("seq", "beg", "end"))) for s in "ab"))).alias("e")).select("e.*")
+    steps = intervals.coverage(reach.where("beg < end"), backbones)
+    hist = stats.coverage_histogram(steps, 1 << 30).where("copies > 0")
+    mean = stats.trimmed_mean(hist).first()["mean"]
+    intervals.window_norms(steps, width, F.lit(float(mean or 1.0))).write.mode("overwrite").parquet(f"{path}/norms")
