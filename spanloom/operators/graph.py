@@ -7,6 +7,7 @@ one task a component as a pandas frame; components are the unit because nothing
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 from itertools import permutations, product
 
@@ -16,17 +17,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` checkpointed in the folder that the session names (only on a local master, a temporary one if it names none)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the session names (only on a local master, a temporary one if it names none)."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         import tempfile
 
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again. Unlike a checkpoint, that forgets the planner's guess of its size too, whose digits double with each round of joins."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -54,35 +62,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return nodes.select("node").distinct().join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def spanning_forest(edges: DataFrame, one_task: int = 200_000) -> DataFrame:
-    """(a, b, w): a maximum spanning forest; of equal edges the lesser ones. Components of up to `one_task` edges are a task each, larger ones go by joins."""
-    e = cut(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").alias("w")))
-    of = components(e.select("a", "b"))
-    e = cut(e.join(of.withColumnRenamed("node", "a"), "a"))
-    large = cut(e.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > one_task).select("component"))
-
-    def heaviest(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["w", "a", "b"], ascending=[False, True, True])
-        up: dict[int, int] = {}
-        keep = []
-        for a, b in zip(g["a"], g["b"], strict=True):
-            while (x := up.get(a, a)) != a:
-                up[a] = up.get(x, x)
-                a = x
-            while (x := up.get(b, b)) != b:
-                up[b] = up.get(x, x)
-                b = x
-            keep.append(a != b)
-            up[a] = b
-        return g.loc[keep, ["a", "b", "w"]]
-
-    kinds = ", ".join(f"{c} {e.schema[c].dataType.simpleString()}" for c in ("a", "b", "w"))
-    small = e.join(large, "component", "left_anti").groupBy("component").applyInPandas(heaviest, kinds)
-    return small if large.isEmpty() else small.unionByName(forest_by_joins(e.join(large, "component", "left_semi").select("a", "b", "w")))
-
-
-def forest_by_joins(edges: DataFrame) -> DataFrame:
-    """A maximum spanning forest: in each round every component takes its heaviest outgoing edge, and the components are joined along them."""
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(a, b, w): a maximum spanning forest; of equal edges the lesser ones. In each round every component takes its heaviest outgoing edge, and the components are joined along them."""
     e = cut(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").alias("w")))
     label = cut(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
     forest = None
@@ -99,28 +80,29 @@ def forest_by_joins(edges: DataFrame) -> DataFrame:
     return forest if forest is not None else e.limit(0)
 
 
-def forest_positions(forest: DataFrame, shifts: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(node, root, pos): positions along each tree, from 0, when b lies `shift` after a for each edge. One tree a task."""
-    comp = components(forest)
-    e = forest.join(shifts, ["a", "b"]).join(comp.withColumnRenamed("node", "a"), "a")
+def forest_positions(forest: DataFrame, shifts: DataFrame) -> DataFrame:
+    """(node, root, pos): positions along each tree, from 0, when b lies `shift` after a for each edge; root is the tree's least node.
 
-    def place(g: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for a, b, s in zip(g["a"], g["b"], g["shift"], strict=True):
-            near[a].append((b, s))
-            near[b].append((a, -s))
-        root = min(near)
-        pos, todo = {root: 0}, [root]
-        while todo:
-            u = todo.pop()
-            for v, s in near[u]:
-                if v not in pos:
-                    pos[v] = pos[u] + s
-                    todo.append(v)
-        low = min(pos.values())
-        return pd.DataFrame([(v, root, p - low) for v, p in pos.items()], columns=["node", "root", "pos"])
-
-    return e.groupBy("component").applyInPandas(place, "node long, root long, pos long")
+    In each round every node goes over to a neighbour, or stays, as in `components`, and takes along how far it is from there; the edges are
+    carried to where their ends went, with their shifts less what the ends moved. Distances add up over the jumps, so a path is done in rounds that
+    grow with the logarithm of its length.
+    """
+    left = cut(forest.select("a", "b").join(shifts.select("a", "b", F.col("shift").cast("long").alias("shift")), ["a", "b"]).where("a <> b"))
+    label = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label"), F.lit(0).cast("long").alias("off"))
+    ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("node"))
+    while not left.isEmpty():
+        both = left.select("a", "b", "shift").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("shift")).alias("shift")))
+        near = both.groupBy("a").agg(F.min(F.struct(ranked("b").alias("r"), "shift")).alias("m"))
+        stays = ranked("a") < F.col("m.r")
+        # by: how far the node that it goes over to lies after it
+        to = cut(near.select(F.col("a").alias("from"), F.when(stays, F.col("a")).otherwise(F.col("m.r.node")).alias("to"), F.when(stays, F.lit(0)).otherwise(F.col("m.shift")).alias("by")))
+        label = cut(label.join(to, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"), (F.col("off") + F.coalesce("by", F.lit(0))).alias("off")))
+        end = lambda c: to.select(F.col("from").alias(c), F.col("to").alias(f"to_{c}"), F.col("by").alias(f"by_{c}"))  # noqa: B023, E731
+        moved = left.join(end("a"), "a").join(end("b"), "b").where("to_a <> to_b")
+        left = cut(moved.select(F.col("to_a").alias("a"), F.col("to_b").alias("b"), (F.col("shift") + F.col("by_b") - F.col("by_a")).alias("shift")))
+    # off: how far the label lies after the node
+    trees = label.groupBy("label").agg(F.min("node").alias("root"), F.max("off").alias("most"))
+    return label.join(trees, "label").select("node", "root", (F.col("most") - F.col("off")).alias("pos"))
 
 
 class Conflicts:
@@ -357,74 +339,71 @@ def align_labels(evidence: DataFrame, k: int, rounds: int = 20) -> DataFrame:
     return summed.join(comp.withColumnRenamed("node", "a"), "a").groupBy("component").applyInPandas(place, "grp long, label long, to long")
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, refine: bool = False, seed: int = 42) -> DataFrame:
-    """(node, community): by modularity gain, level by level; with refine, communities are split where they are not connected before the next level. edges: a, b, w."""
-    comp = components(edges)
-    e = edges.join(comp.withColumnRenamed("node", "a"), "a")
+def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
+    """Of labels (node, community) on edges (a, b, w; each pair once, loops allowed): the share of weight inside communities less that expected by degrees."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("community").alias(f"of_{c}"))
+    x = edges.join(of("a"), "a").join(of("b"), "b")
+    inside = x.agg(F.sum(F.when(F.col("of_a") == F.col("of_b"), F.col("w"))).alias("inside"), F.sum("w").alias("whole")).first()
+    if not inside["whole"]:
+        return 0.0
+    ends = x.select(F.explode(F.array(F.struct(F.col("of_a").alias("c"), "w"), F.struct(F.col("of_b").alias("c"), "w"))).alias("e")).groupBy("e.c").agg(F.sum("e.w").alias("d"))
+    return (inside["inside"] or 0.0) / inside["whole"] - resolution * ends.agg(F.sum(F.col("d") * F.col("d"))).first()[0] / (2 * inside["whole"]) ** 2
+
+
+def _swept(e: DataFrame, resolution: float, seed: int, least: float, patience: int) -> DataFrame:
+    """(node, community) of one level. e: a, b, w, each pair once, loops allowed."""
+    both = cut(e.select("a", "b", "w").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))  # a loop counts twice
+    degree = cut(both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("deg")))
+    whole = degree.agg(F.sum("deg")).first()[0] or 0.0
+    labels = degree.select("node", F.col("node").alias("community"))
+    if not whole:
+        return labels
+    best, failed, turn = modularity(e, labels, resolution), 0, 0
+    between = both.where("a <> b")
+    while failed < patience:
+        chosen = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(turn // 2)), F.lit(2)) == turn % 2
+        turn += 1
+        held = degree.join(labels, "node").groupBy("community").agg(F.sum("deg").alias("held"))
+        own = degree.join(labels, "node").where(chosen).select("node", "deg", F.col("community").alias("was"))
+        links = between.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("link"))
+        at_home = own.select("node", F.col("was").alias("community"), F.lit(0.0).alias("link"))
+        offers = links.join(own.select("node"), "node", "left_semi").unionByName(at_home).groupBy("node", "community").agg(F.sum("link").alias("link"))
+        offers = offers.join(own, "node").join(held, "community")
+        rest = F.col("held") - F.when(F.col("community") == F.col("was"), F.col("deg")).otherwise(0.0)
+        gain = F.round(F.col("link") - resolution * F.col("deg") * rest / whole, 9)
+        top = offers.groupBy("node").agg(F.max(F.struct(gain.alias("g"), (F.col("community") == F.col("was")).alias("stays"), (-F.col("community")).alias("less"))).alias("m"))
+        new = cut(labels.join(top.select("node", (-F.col("m.less")).alias("to")), "node", "left").select("node", F.coalesce("to", "community").alias("community")))
+        now = modularity(e, new, resolution)
+        if now > best + least:
+            best, labels, failed = now, new, 0
+        else:
+            failed += 1
+    return labels
 
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(g["a"]) | set(g["b"]))
-        index = {v: i for i, v in enumerate(names)}
-        near: list[dict[int, float]] = [defaultdict(float) for _ in names]
-        for a, b, w in zip(g["a"], g["b"], g["w"], strict=True):
-            i, j = index[a], index[b]
-            near[i][j] += w
-            if i != j:
-                near[j][i] += w
-        member = list(range(len(names)))
-        rng = np.random.default_rng(seed)
-        while True:
-            n = len(near)
-            deg = np.array([sum(x.values()) + x.get(i, 0) for i, x in enumerate(near)])
-            whole = max(deg.sum(), 1e-300)
-            com, held = np.arange(n), deg.copy()
-            moved_any = moved = True
-            moved_any = False
-            while moved:
-                moved = False
-                for i in rng.permutation(n):
-                    link: dict[int, float] = defaultdict(float)
-                    for j, w in near[i].items():
-                        if j != i:
-                            link[com[j]] += w
-                    held[com[i]] -= deg[i]
-                    gain = lambda c: link.get(c, 0.0) - resolution * deg[i] * held[c] / whole  # noqa: B023, E731
-                    to = max([com[i], *sorted(link)], key=lambda c: (round(gain(c), 12), c == com[i]))
-                    held[to] += deg[i]
-                    if to != com[i]:
-                        com[i], moved, moved_any = to, True, True
-            if refine:
-                seen: dict[int, int] = {}
-                for i in range(n):
-                    if i in seen:
-                        continue
-                    todo, seen[i] = [i], i
-                    while todo:
-                        u = todo.pop()
-                        for v in near[u]:
-                            if v not in seen and com[v] == com[i]:
-                                seen[v] = i
-                                todo.append(v)
-                com = np.array([seen[i] for i in range(n)])
-            ids = {c: x for x, c in enumerate(sorted(set(com.tolist())))}
-            member = [ids[int(com[m])] for m in member]
-            if not moved_any or len(ids) == n:
-                break
-            up: list[dict[int, float]] = [defaultdict(float) for _ in ids]
-            for i, x in enumerate(near):
-                for j, w in x.items():
-                    if i <= j:
-                        a, b = ids[int(com[i])], ids[int(com[j])]
-                        up[a][b] += w
-                        if a != b:
-                            up[b][a] += w
-            near = up
-        low: dict[int, int] = {}
-        for v, m in zip(names, member, strict=True):
-            low.setdefault(m, v)
-        return pd.DataFrame({"node": names, "community": [low[m] for m in member]})
-
-    return e.groupBy("component").applyInPandas(solve, "node long, community long")
+
+def communities(edges: DataFrame, resolution: float = 1.0, refine: bool = False, seed: int = 42, least: float = 1e-4, patience: int = 2) -> DataFrame:
+    """(node, community): by modularity gain, level by level; a community is named by its least node. edges: a, b, w.
+
+    In a round one half of the nodes, chosen by hash, goes to the community of their neighbours that gains most; what a node gains is an
+    aggregate over its edges by community. As the half moves at once, a round counts only if modularity rises by `least`; a level ends after
+    `patience` rounds that don't. Then communities become nodes, their edges are summed, and the next level begins, until one joins no more.
+    With refine, communities are split where they are not connected before that.
+    """
+    e = cut(edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.col("w").cast("double")).alias("w")))
+    member = cut(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node")))
+    while True:
+        labels = _swept(e, resolution, seed, least, patience)
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("community").alias(f"of_{c}"))  # noqa: B023, E731
+        if refine:
+            inside = e.join(of("a"), "a").join(of("b"), "b").where("of_a = of_b and a <> b")
+            labels = cut(components(inside.select("a", "b"), labels.select("node")).withColumnRenamed("component", "community"))
+        count = labels.agg(F.count("*").alias("nodes"), F.count_distinct("community").alias("communities")).first()
+        if count["nodes"] == count["communities"]:
+            break
+        member = cut(member.join(labels.select(F.col("node").alias("community"), F.col("community").alias("to")), "community").select("node", F.col("to").alias("community")))
+        e = cut(e.join(of("a"), "a").join(of("b"), "b").groupBy(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).agg(F.sum("w").alias("w")))
+    least_node = member.groupBy("community").agg(F.min("node").alias("to"))
+    return member.join(least_node, "community").select("node", F.col("to").alias("community"))
 
 
 def line_order(edges: DataFrame, rounds: int = 500, exact_up_to: int = 6) -> DataFrame:

@@ -774,12 +774,12 @@ def label_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    return graph.communities(ad.line_edges(spark, d, 12).withColumn("w", F.col("w").cast("double")))
+    return graph.communities(ad.edges(spark, d))
 
 
 @query()
 def refined_communities(spark: SparkSession, d: str) -> DataFrame:
-    return graph.communities(ad.line_edges(spark, d, 12).withColumn("w", F.col("w").cast("double")), refine=True)
+    return graph.communities(ad.edges(spark, d), refine=True)
 
 
 @query()

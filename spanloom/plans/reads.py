@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import contacts, intervals, layout, stats
-from spanloom.operators.graph import cut
+from spanloom.operators.graph import shared_folder
 from spanloom.plans import adapters as ad
 from spanloom.plans.queries import _MERGED, _SLICES, _pairs, _slices, query
 from spanloom.session import table
@@ -17,8 +17,7 @@ from spanloom.sources import bam, readers, writers
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, which all executors share."""
-    cut(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 _FLAGGED = 'flagged AS (SELECT l_suppkey AS seq, (l_orderkey * 7 + l_linenumber * 13) % 19000 AS beg, (l_orderkey * 7 + l_linenumber * 13) % 19000 + l_quantity::BIGINT * 20 AS "end", (l_orderkey * 37 + l_partkey * 5) % 4096 AS flag FROM lineitem)'
