@@ -4,13 +4,16 @@ A page is read once into blocks: runs of text between block-level tags, each wit
 id or role where there is one; steps beyond `STEPS` count as the last). Text length, punctuation and link text are summed per path and
 divided by the path's blocks. These ratios are smoothed along the page with weights by path similarity, fused into one value, from
 which link text takes its share (and, where the page has an article or main element, being outside it takes `OUTSIDE`), and paths that
-reach a share of the best value are content. Where content paths part into several
-branches, one with less than a quarter (before the largest) or half (after it) of the largest one's text is another text (a notice, readers'
-comments, teasers), and not content. Then the least element that holds all content gives the rest of the article: its headings, paragraphs,
-lists and quotes; a first-level heading that stands before that element is the title, and comes first.
+reach a share of the best value are content. Where the page has a title (a first-level heading), the least element that holds it and content is
+looked at alone, from the title on; where articles are marked, the one with the title. No branch is dropped for its size. Then the least
+element that holds all content gives the rest of the article: its headings, paragraphs, lists and quotes; a first-level heading that
+stands before that element is the title, and comes first.
+
+Readers' comments are told by repetition (`records`), and by sections without a heading behind prose (`loose_sections`). What no structure
+tells apart stays: a plain list of comments, or boxes beside an article on a page with neither a title nor marks.
 
 Before the ratios are taken, what tags, ARIA roles or attributes tell to be no article text is left out: navigation, headers, footers,
-asides, forms, scripts, styles, hidden elements. Names of classes and ids have no meaning here, they only tell paths apart.
+asides, forms (but for one that frames the page), scripts, styles, hidden elements. Names of classes and ids have no meaning here, they only tell paths apart.
 
 Null and empty pages, and pages without text, give an empty text; an empty table gives no rows, repeated rows are read once each, and other
 columns are not read. Unclosed and crossed tags are read as browsers do: a block tag ends an open paragraph, a list item ends the one
@@ -36,13 +39,17 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _SPACES = re.compile(r"\s+")
+_SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*+(?:\s|$)")
+_DIGITS = re.compile(r"\d+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea iframe noembed noframes title xmp".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody thead tr td th caption figure figcaption details summary".split())
-_NEVER = frozenset("nav footer aside form script style noscript template textarea iframe button select option datalist dialog menu head title object canvas svg math audio video".split())
+_NEVER = frozenset("nav footer aside script style noscript template textarea iframe button select option datalist dialog menu head title object canvas svg math audio video".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_LANDMARKS = frozenset("article main nav header footer aside h1".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status tablist toolbar tooltip".split())
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _ENDS_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "thead": ("thead", "tr", "td", "th")}
@@ -204,8 +211,8 @@ class Page:
         flush()
 
 
-def content_paths(paths: Paths, found: list[Block], share: float = 0.25, radius: int = 2, weight: float = 0.7) -> set[int]:
-    """The paths whose fused ratio is at least `share` of the best one, without later branches of less text. weight: of length against punctuation."""
+def content_paths(paths: Paths, found: list[Block], boxes: frozenset[int] = frozenset(), share: float = 0.25, radius: int = 2, weight: float = 0.7) -> set[int]:
+    """The paths whose fused ratio is at least `share` of the best one. weight: of length against punctuation. boxes: paths that reach that without their neighbours' help too."""
     total: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for b in found:
         t = total[b.path]
@@ -221,7 +228,9 @@ def content_paths(paths: Paths, found: list[Block], share: float = 0.25, radius:
     near: dict[tuple[int, int], float] = {}
     for i, p in enumerate(along):
         w, x, y = 1.0, length[p], punctuation[p]
-        for j in range(max(0, i - radius), min(len(along), i + radius + 1)):
+        window = along[max(0, i - radius) : i + radius + 1]
+        alike = window.count(p) == len(window)  # then the mean is the path's own
+        for j in () if alike else range(max(0, i - radius), min(len(along), i + radius + 1)):
             q = along[j]
             if q != p:
                 s = near.get((p, q))
@@ -245,28 +254,189 @@ def content_paths(paths: Paths, found: list[Block], share: float = 0.25, radius:
     chosen = {p: paths.steps(p) for p, v in fused.items() if best and v >= share * best}
     if not chosen:
         return set()
-    # the branches into which the content paths part, in page order
-    shared = 0
-    while all(len(s) > shared + 1 for s in chosen.values()) and len({s[shared] for s in chosen.values()}) == 1:
-        shared += 1
-    size: dict[int, float] = defaultdict(float)
-    for p, s in chosen.items():
-        size[s[min(shared, len(s) - 1)]] += total[p][1] * counts[p]
-    order = list(size)  # paths come in the order of their first blocks
-    main = max(order, key=lambda k: size[k])
-    keep = {k for i, k in enumerate(order) if (4 if i < order.index(main) else 2) * size[k] >= size[main]}
-    return {p for p, s in chosen.items() if s[min(shared, len(s) - 1)] in keep}
+    longest, densest = max(length.values(), default=0) or 1, max(punctuation.values(), default=0) or 1
+    own = lambda p: weight * length[p] / longest + (1 - weight) * punctuation[p] / densest
+    return {p for p, v in fused.items() if best and v >= share * best and (p not in boxes or own(p) >= share)}
+
+
+def settle_forms(read: Page) -> None:
+    """Leaves forms out, but for those that are the page's frame: they hold its landmarks or title, or all of its text."""
+    elements = read.elements
+    if not any(e.tag == "form" for e in elements):
+        return
+    frame, in_form = [e.tag in _LANDMARKS for e in elements], [False] * len(elements)
+    for i in range(len(elements) - 1, 0, -1):
+        frame[elements[i].parent] |= frame[i]
+    for i in range(1, len(elements)):
+        in_form[i] = in_form[elements[i].parent] or elements[i].tag == "form"
+    alone = all(in_form[b.at] or elements[b.at].out for b in read.blocks)
+    for i in range(1, len(elements)):
+        e = elements[i]
+        e.out = e.out or elements[e.parent].out or (e.tag == "form" and not alone and not frame[i])
+
+
+def records(read: Page, inside: list[Block]) -> set[int]:
+    """The elements that hold readers' comments, told by repetition: siblings of one tag and label, without headings, each a byline and a text.
+
+    A byline is a first block without a sentence's end, or a `time` element; if bylines differ in their digits only, they are numbers of steps.
+    Three siblings or more that hold one text each, in an element of their own behind two paragraphs, are comments without bylines. Either
+    kind counts only behind other prose and with none after it, so a page of nothing but records, and repeated boxes amid an article, stay.
+    """
+    elements = read.elements
+    n = len(elements)
+    none = len(inside)
+    lo, hi = [none] * n, [-1] * n  # an element's first and last block
+    many, headed, timed = [0] * n, [False] * n, [e.tag == "time" for e in elements]
+    for i, b in enumerate(inside):
+        many[b.at] += 1
+        lo[b.at], hi[b.at] = min(lo[b.at], i), i
+        headed[b.at] |= elements[b.at].tag in _HEADINGS
+    for e in range(n - 1, 0, -1):
+        up = elements[e].parent
+        many[up] += many[e]
+        headed[up] |= headed[e]
+        timed[up] |= timed[e]
+        lo[up], hi[up] = min(lo[up], lo[e]), max(hi[up], hi[e])
+    first: dict[int, int] = {}  # the first of siblings of one path
+    groups: dict[int, list[int]] = {}
+    filled = [0] * n  # children with text
+    for e in range(1, n):
+        x = elements[e]
+        if many[e] and not x.out:
+            filled[x.parent] += x.tag not in _HEADINGS
+            if x.tag == "li" or x.tag not in _TEXTUAL and x.tag not in _INLINE:
+                key = x.parent * len(read.paths.parent) + x.path
+                like = first.setdefault(key, e)
+                if like != e:
+                    groups.setdefault(key, [like]).append(e)
+    if not groups:
+        return set()
+
+    prose = [bool(_SENTENCE.search(b.text)) and elements[b.at].tag not in _HEADINGS for b in inside]
+    found = []
+    for members in groups.values():
+        if any(headed[e] for e in members):
+            continue
+        parent, firsts = elements[members[0]].parent, [inside[lo[e]] for e in members]
+        bylined = all(many[e] > 1 and not _SENTENCE.search(b.text) for e, b in zip(members, firsts, strict=True))
+        bylined = bylined and any(c.isalpha() for b in firsts for c in b.text) and (len({_DIGITS.sub("", b.text) for b in firsts}) > 1 or len({b.text for b in firsts}) == 1)
+        bylined = bylined or all(timed[e] for e in members)
+        bare = len(members) > 2 and filled[parent] == len(members) and elements[members[0]].tag != "li" and all(many[e] == 1 and inside[lo[e]].at != e for e in members)
+        if bylined or bare:
+            found.append((lo[members[0]], hi[members[-1]], 1 if bylined else 2, members))
+    if not found:
+        return set()
+    found.sort(key=lambda x: (-x[1], x[0]))
+    out: set[int] = set()
+    before = [0]
+    for x in prose:
+        before.append(before[-1] + x)
+    last = len(inside)  # from here on all is records, or no prose
+    for begin, end, least, members in found:
+        if before[last] <= before[min(last, end + 1)] and before[begin] >= least:
+            out.update(members)
+            last = min(last, begin)
+    return out
+
+
+def lone_boxes(elements: list[Element], inside: list[Block]) -> frozenset[int]:
+    """Paths of text straight in boxes (neither paragraphs nor lists), but for labels: a box that begins one of several like elements."""
+    seen, several = set(), set()  # parents and paths of elements; those of more than one
+    width = max(e.path for e in elements) + 1
+    for e in elements:
+        key = e.parent * width + e.path
+        if key in seen:
+            several.add(key)
+        seen.add(key)
+    found, begun = set(), set()
+    for b in inside:
+        parent = elements[b.at].parent
+        label = parent not in begun and elements[parent].parent * width + elements[parent].path in several
+        if elements[b.at].tag not in _TEXTUAL and not label:
+            found.add(b.path)
+        begun.add(parent)
+    return frozenset(found)
+
+
+def loose_sections(elements: list[Element], inside: list[Block]) -> set[int]:
+    """Sections without a heading, behind prose of the element they stand in that is in no section: the text after an article, not a part of it."""
+    if not any(e.tag == "section" for e in elements):
+        return set()
+    n, none = len(elements), len(inside)
+    headed, begin, prose = [False] * n, [none] * n, [none] * n  # prose: its first block, outside sections below
+    for i, b in enumerate(inside):
+        begin[b.at] = min(begin[b.at], i)
+        if elements[b.at].tag in _HEADINGS:
+            headed[b.at] = True
+        elif _SENTENCE.search(b.text):
+            prose[b.at] = min(prose[b.at], i)
+    for e in range(n - 1, 0, -1):
+        up = elements[e].parent
+        headed[up] |= headed[e]
+        begin[up] = min(begin[up], begin[e])
+        if elements[e].tag != "section":
+            prose[up] = min(prose[up], prose[e])
+    return {e for e in range(1, n) if elements[e].tag == "section" and not headed[e] and prose[elements[e].parent] < begin[e]}
+
+
+def article_of(elements: list[Element], title: Block | None, content: list[Block], marked: bool) -> int:
+    """The element that the article is looked for in: 0 (the whole page) if no title tells it.
+
+    On a page that marks articles, the one that holds the title; on others the least element that holds the title and prose, above sections.
+    """
+    if title is None:
+        return 0
+    up = elements[title.at].parent
+    line = [up]
+    while line[-1]:
+        line.append(elements[line[-1]].parent)
+    if marked:
+        return next((e for e in line if elements[e].tag == "article"), 0)
+    of, least = {e: i for i, e in enumerate(line)}, len(line) - 1
+    last, meets = least, [least] * len(elements)  # where an element meets the title's line
+    for e in range(1, len(elements)):
+        meets[e] = of.get(e, meets[elements[e].parent])
+    for b in content:
+        if elements[b.at].tag not in _HEADINGS:
+            least = min(least, meets[b.at])
+    while least < last and (elements[line[least]].tag == "section" or elements[line[least]].tag in _TEXTUAL):
+        least += 1
+    return line[least]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     read = Page(page)
+    settle_forms(read)
     elements = read.elements
     inside = [b for b in read.blocks if not elements[b.at].out]
+    comments = records(read, inside) | loose_sections(elements, inside)
+    if comments:
+        for e in range(1, len(elements)):
+            elements[e].out = elements[e].out or elements[elements[e].parent].out or e in comments
+        inside = [b for b in inside if not elements[b.at].out]
     if not inside:
         return ""
-    paths = content_paths(read.paths, inside)
+    paths = content_paths(read.paths, inside, boxes=lone_boxes(elements, inside))
+    marked = any(read.paths.inner[p] for p in paths)
+    title = next((b for b in inside if elements[b.at].tag == "h1" and b.links <= 0.6 * b.length and (read.paths.inner[b.path] or not marked)), None)
+    article = article_of(elements, title, [b for b in inside if b.path in paths], marked)
+    if article:
+        above = {article}
+        up = article
+        while up:
+            up = elements[up].parent
+            above.add(up)
+        # on a page with marks, its other articles are no content; on others, what the title's element doesn't hold or what stands before the title
+        other, own = [False] * len(elements), [False] * len(elements)
+        for e in range(1, len(elements)):
+            other[e] = other[elements[e].parent] or (elements[e].tag == "article" and e not in above)
+            own[e] = own[elements[e].parent] or e == article
+        at = inside.index(title)
+        left = [b for i, b in enumerate(inside) if (not other[b.at] if marked else own[b.at] and i >= at)]
+        if any(own[b.at] and b.path in paths and elements[b.at].tag not in _HEADINGS for b in left):
+            inside = left
     held = [0] * len(elements)  # content blocks by the elements that hold them
     for b in inside:
         held[b.at] += b.path in paths

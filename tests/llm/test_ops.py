@@ -149,6 +149,50 @@ def test_pages_without_help():
         assert html_text.main_text(page) == text
 
 
+def _said(name, n):
+    return [f"Sentence {name}{i} of the text goes on for quite a while, as sentences of this kind will often do, ok." for i in range(n)]
+
+
+def _paragraphs(name, n):
+    return "".join(f"<p>{x}</p>" for x in _said(name, n))
+
+
+def test_articles_in_sections_come_out_whole():
+    a, b, c = _said("a", 1), _said("b", 8), _said("c", 2)
+    parts = [_paragraphs("a", 1), _paragraphs("b", 8), _paragraphs("c", 2)]
+    sections = "".join(f"<section class=s{i}>{x}</section>" for i, x in enumerate(parts))
+    boxes = "".join(f"<div id=s{i}>{x}</div>" for i, x in enumerate(parts))
+    assert html_text.main_text(f"<main>{sections}</main>") == html_text.main_text(f"<body>{boxes}</body>") == " ".join(a + b + c)
+    assert html_text.main_text(f"<div id=w><h1>Title</h1>{sections}</div>") == " ".join(["Title"] + a + b + c)
+    assert html_text.main_text(f"<article><h1>Title</h1><article>{parts[1]}</article></article>") == " ".join(["Title"] + b)
+    steps = "".join(f"<div class=step><div>Step {i}</div><p>{x}</p></div>" for i, x in enumerate(c))
+    assert html_text.main_text(f"<div><h1>Title</h1>{parts[1]}{steps}</div>") == " ".join(["Title", *b, "Step 0", c[0], "Step 1", c[1]])
+
+
+@pytest.mark.parametrize("n", [3, 10, 30])
+@pytest.mark.parametrize("title", ["<h1>Title</h1>", ""])
+def test_comments_stay_out_at_any_length(n, title):
+    article, want = title + _paragraphs("a", 10), " ".join(["Title"] * bool(title) + _said("a", 10))
+    texts = _said("q", n)
+    signed = [f"<b>Reader {chr(65 + i % 26)}{'x' * (i // 26)}</b><p>{x}</p>" for i, x in enumerate(texts)]
+    rows = {kind: "".join(f"<{tag} class=c>{x}</{tag}>" for x in inner) for kind, tag, inner in [("signed", "div", signed), ("bare", "div", [f"<p>{x}</p>" for x in texts]), ("items", "li", signed), ("articles", "article", signed)]}
+    assert html_text.main_text(f"<div class=post>{article}</div><div class=c>{rows['signed']}</div>") == want
+    assert html_text.main_text(f"<div class=post>{article}</div><div class=c>{rows['bare']}</div>") == want
+    assert html_text.main_text(f"<div class=post>{article}<ol class=c>{rows['items']}</ol></div>") == want
+    assert html_text.main_text(f"<article>{article}<section id=c>{rows['signed']}</section></article>") == want
+    assert html_text.main_text(f"<article>{article}{rows['articles']}</article>") == want
+    assert html_text.main_text(f"<div>{rows['signed']}</div>").count("Sentence") == n  # nothing else on the page
+
+
+def test_boxes_beside_a_titled_article_and_forms_around_it():
+    article, want = "<h1>Title</h1>" + _paragraphs("a", 10), " ".join(["Title", *_said("a", 10)])
+    for n in (3, 10, 30):
+        assert html_text.main_text(f"<div class=k>{_paragraphs('k', n)}</div><div class=post>{article}</div><div class=s>{_paragraphs('s', n)}</div>") == want
+    assert html_text.main_text(f"<form><div class=post>{article}</div><input type=hidden></form>") == want
+    assert html_text.main_text(f"<form>{_paragraphs('a', 10)}</form>") == want[6:]
+    assert html_text.main_text(f"<div class=post>{article}</div><form>{_paragraphs('f', 4)}</form>") == want
+
+
 def test_pages_of_any_shape_in_little_time_and_memory():
     import time
     import tracemalloc
