@@ -1,9 +1,11 @@
-"""Tails of the Poisson and binomial distributions, in logarithms, as pandas functions over Arrow batches."""
+"""Tails of the Poisson and binomial distributions, as pandas functions over Arrow batches."""
 
 from __future__ import annotations
 
-from math import exp, inf, lgamma, log, log1p, sqrt
+from itertools import count
+from math import exp, lgamma, log, sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,17 +44,33 @@ def poisson_lower(k: int, mean: float) -> float:
     return min(1.0, exp(_tail(k * log(mean) - mean - lgamma(k + 1.0), lambda i: (k - i) / mean if i < k else 0.0)))
 
 
-def binomial_upper(k: int, n: int, p: float) -> float:
-    """P(X >= k) of n trials; 1 where k doesn't exceed the mean, as no excess is tested for there."""
-    if k <= n * p or k <= 0:
-        return 1.0
-    if k > n or p <= 0:
-        return 0.0
-    if p >= 1:
-        return 1.0
-    first = lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) + k * log(p) + (n - k) * log1p(-p)
-    odds = p / (1 - p)
-    return min(1.0, exp(_tail(first, lambda i: (n - k - i) / (k + 1 + i) * odds if i < n - k else 0.0))) if first > -inf else 0.0
+def beta_share(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function of positive a and b and 0 < x < 1, element by element, by its continued fraction."""
+    turned = x > (a + 1) / (a + b + 2)  # there the fraction of the complement is the one that converges fast
+    a, b, x = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    log_gamma = np.frompyfunc(lgamma, 1, 1)
+    front = np.exp((log_gamma(a + b) - log_gamma(a) - log_gamma(b)).astype(float) + a * np.log(x) + b * np.log1p(-x)) / a
+    upper, lower = np.ones_like(x), 1 / (1 - (a + b) * x / (a + 1))
+    value = lower
+    for m in count(1):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for step in (even, odd):
+            lower, upper = 1 / (1 + step * lower), 1 + step / upper
+            value = value * lower * upper
+        if not np.any(np.abs(lower * upper - 1) > 1e-14):
+            break
+    return np.where(turned, 1 - front * value, front * value)
+
+
+def binomial_upper(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """P(X >= k) of n trials, over arrays."""
+    k, n, p = np.broadcast_arrays(*(np.asarray(x, float) for x in (k, n, p)))
+    out = np.where((k <= 0) | ((p >= 1) & (k <= n)), 1.0, 0.0)
+    inner = (k > 0) & (k <= n) & (p > 0) & (p < 1)
+    if inner.any():
+        out[inner] = np.clip(beta_share(k[inner], n[inner] - k[inner] + 1, p[inner]), 0.0, 1.0)
+    return out
 
 
 def poisson_upper_p(k: Column, mean: Column) -> Column:
@@ -74,6 +92,6 @@ def poisson_lower_p(k: Column, mean: Column) -> Column:
 def binomial_upper_p(k: Column, n: Column, p: Column) -> Column:
     @F.pandas_udf("double")
     def tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([binomial_upper(int(a), int(b), float(c)) for a, b, c in zip(k, n, p, strict=True)])
+        return pd.Series(binomial_upper(k, n, p))
 
     return tail(k, n, p)

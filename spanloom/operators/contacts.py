@@ -144,7 +144,9 @@ def linkages(matrix: DataFrame, sequences: DataFrame, overlaps: DataFrame, width
     best = best.join(trans.select("aseq", "aend", F.col("b").alias("bseq"), F.col("trans").alias("ta")), ["aseq", "aend", "bseq"], "left")
     best = best.join(trans.select(F.col("aseq").alias("bseq"), F.col("aend").alias("bend"), F.col("b").alias("aseq"), F.col("trans").alias("tb")), ["bseq", "bend", "aseq"], "left").crossJoin(F.broadcast(total))
     chance = poisson_upper_p(F.col("n"), F.col("la") * F.col("lb") / F.greatest("all_links", F.lit(1.0)))
-    against = lambda t: F.when(F.coalesce(F.col(t), zero()) > 0, binomial_upper_p(F.col("n"), F.col("n") + F.coalesce(F.col(t), zero()), F.lit(0.5))).otherwise(F.lit(0.0))
+    # where a pair has no more contacts than what stands against it, there is no excess to test for
+    excess = lambda t: F.when(F.col("n") > F.col(t), binomial_upper_p(F.col("n"), F.col("n") + F.coalesce(F.col(t), zero()), F.lit(0.5))).otherwise(F.lit(1.0))
+    against = lambda t: F.when(F.coalesce(F.col(t), zero()) > 0, excess(t)).otherwise(F.lit(0.0))
     tested = best.withColumn("p", F.greatest(chance, against("ta"), against("tb")))
     kept = significant(tested, "p", F.lit(alpha)).select(F.col("aseq").alias("a"), F.col("bseq").alias("b"), "size", "density", "p")
     return kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"), "size", "density", "p"))

@@ -67,10 +67,10 @@ def test_tails_against_sums():
         for k in range(0, 60, 3):
             assert prob.poisson_upper(k, mean) == pytest.approx(sum(term[k:]), abs=1e-12)
             assert prob.poisson_lower(k, mean) == pytest.approx(sum(term[: k + 1]), abs=1e-12)
-    for n, p in ((10, 0.3), (60, 0.05)):
-        for k in range(n + 1):
-            want = 1.0 if k <= n * p else sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
-            assert prob.binomial_upper(k, n, p) == pytest.approx(want, rel=1e-9, abs=1e-15)
+    for n, p in ((10, 0.3), (60, 0.05), (60, 0.5), (200, 0.93)):
+        want = [sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)) for k in range(n + 2)]
+        assert prob.binomial_upper(np.arange(n + 2), n, p) == pytest.approx(want, rel=1e-9, abs=1e-15)
+    assert prob.binomial_upper([0, 1, 5, 6], 5, [0.0, 0.0, 1.0, 1.0]).tolist() == [1.0, 0.0, 1.0, 0.0]
 
 
 def test_chain_scores_by_brute_force():
