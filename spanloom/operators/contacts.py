@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.probability import binomial_upper_p, poisson_upper_p
 from spanloom.functions.scale import harmonic, link_density, midpoint, zero
-from spanloom.operators.ranges import running
+from spanloom.operators.ranges import bin_of, running
 
 #: (aseq, apos) and (bseq, bpos) of a pair
 ENDS = ("aseq", "apos", "bseq", "bpos")
@@ -175,31 +177,87 @@ def link_spans(matrix: DataFrame, sequences: DataFrame, width: int, limit: int)
     return running(d, ["seq"], "bin", upto={"span": "d"}).select("seq", "bin", "span")
 
 
-def pixels(sequences: DataFrame, width: int, merge_below: int = 0) -> DataFrame:
+def _fresh(length: np.ndarray, width: int, merge_below: int) -> tuple[np.ndarray, np.ndarray]:
+    """By sequence of a range, and past the last: the pixels closed up to the range's end, and the length then held, if nothing is held before it."""
+    m = len(length)
+    upto = np.concatenate(([0], np.cumsum(length)))
+    long = np.append(length >= merge_below, True)
+    closed, held = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+    after = np.flatnonzero(long)
+    stop = after[np.searchsorted(after, np.arange(m + 1))]  # the next long one, or the end
+    full = np.searchsorted(upto, upto + merge_below)  # how many have to be taken until a pixel is full
+    for i in range(m - 1, -1, -1):
+        if long[i]:
+            closed[i], held[i] = max(1, -(-int(length[i]) // width)) + closed[i + 1], held[i + 1]
+        elif full[i] <= stop[i]:
+            closed[i], held[i] = 1 + closed[full[i]], held[full[i]]
+        elif stop[i] == m:
+            held[i] = upto[m] - upto[i]
+        else:
+            closed[i], held[i] = int(upto[stop[i]] > upto[i]) + closed[stop[i]], held[stop[i]]
+    return closed, held
+
+
+def _fold(length: np.ndarray, width: int, merge_below: int) -> list[tuple[int, int, int, int]]:
+    """What a range does to what is held before it, as pieces (from, add, closed, held): if `from` or more is held, and less than the next piece's, so many pixels are closed and `held` (with add: and what was held) is held after it."""
+    closed, held = _fresh(length, width, merge_below)
+    m = len(length)
+    upto = np.concatenate(([0], np.cumsum(length)))
+    stop = int(np.append(np.flatnonzero(length >= merge_below), m)[0])
+    # with nothing held it is _fresh; with more, the pixel is full after the first j sequences for which held + upto[j] is enough
+    out = [(0, 0, int(closed[0]), int(held[0]))]
+    short = merge_below - int(upto[stop])  # from so much on a pixel is full before the next long one
+    if short > 1:
+        out.append((1, 1, 0, int(upto[stop])) if stop == m else (1, 0, 1 + int(closed[stop]), int(held[stop])))
+    for j in range(stop, 0, -1):
+        low, high = max(1, merge_below - int(upto[j])), merge_below - int(upto[j - 1])
+        if low < high:
+            piece = (low, 0, 1 + int(closed[j]), int(held[j]))
+            if out[-1][1:] != piece[1:]:
+                out.append(piece)
+    return out
+
+
+def pixels(sequences: DataFrame, width: int, merge_below: int = 0, span: int = 1 << 16) -> DataFrame:
     """(seq, bin, pixel): bins of all sequences in order of `rank`; sequences shorter than merge_below share a pixel with their neighbours until that length is reached, and a long one closes it.
 
-    The shared pixels depend on the neighbours before them: one pass over the sequences' lengths, a row a sequence.
+    What is held open before a sequence depends on those before it. Ranges of `span` ranks are summed up each as a function of the length held before
+    it, these functions are applied in the order of the ranges, and each range is gone through with what it begins with. A function has as many pieces
+    as there are sequences in the first merge_below of a range's length at most, and fewer where they end alike. Ranks are distinct whole numbers.
     """
-    import pandas as pd
+    kind = sequences.schema["seq"].dataType.simpleString()
+    placed = sequences.select("seq", F.col("rank").cast("long").alias("rank"), F.col("len").cast("long").alias("len")).withColumn("range", bin_of("rank", span))
 
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pieces = _fold(pdf.sort_values("rank")["len"].to_numpy(np.int64), width, merge_below)
+        return pd.DataFrame([(pdf["range"].iloc[0], *x) for x in pieces], columns=["range", "least", "add", "closed", "held"])
+
+    def begun(pdf: pd.DataFrame) -> pd.DataFrame:
         out, pixel, held = [], 0, 0
+        for number, pieces in pdf.sort_values(["range", "least"]).groupby("range"):
+            out.append((number, pixel, held))
+            x = pieces.iloc[int(np.searchsorted(pieces["least"].to_numpy(), held, side="right")) - 1]
+            pixel, held = pixel + int(x["closed"]), int(x["held"]) + int(x["add"]) * held
+        return pd.DataFrame(out, columns=["range", "pixel", "open"])
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pixel, held = int(pdf["pixel"].iloc[0]), int(pdf["open"].iloc[0])
+        out = []
         for s in pdf.sort_values("rank").itertuples():
-            bins = max(1, -(-int(s.len) // width))
             if s.len < merge_below:
                 out.append((s.seq, pixel, 0))
                 held += int(s.len)
                 if held >= merge_below:
                     pixel, held = pixel + 1, 0
                 continue
-            if held:
-                pixel, held = pixel + 1, 0
+            pixel, held = pixel + (held > 0), 0
             out.append((s.seq, pixel, 1))
-            pixel += bins
+            pixel += max(1, -(-int(s.len) // width))
         return pd.DataFrame(out, columns=["seq", "first", "own"])
 
-    kind = sequences.schema["seq"].dataType.simpleString()
-    f = sequences.groupBy().applyInPandas(packed, f"seq {kind}, first long, own long").join(sequences.select("seq", "len"), "seq")
+    pieces = placed.groupBy("range").applyInPandas(summed, "range long, least long, add long, closed long, held long")
+    starts = pieces.groupBy().applyInPandas(begun, "range long, pixel long, open long")
+    f = placed.join(starts, "range").groupBy("range").applyInPandas(packed, f"seq {kind}, first long, own long").join(sequences.select("seq", "len"), "seq")
     bins = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("len") / width))
     return f.withColumn("bin", F.explode(F.sequence(zero(), bins - 1))).select("seq", "bin", (F.col("first") + F.col("own") * F.col("bin")).alias("pixel"))
 

@@ -1,19 +1,19 @@
 """Graphs of sequences: components, forests, communities, signed partitions into haplotypes, label alignment.
 
-Components and forests run on the whole edge table by joins. The searches inside a component (colouring, refinement, phasing) come to
+Components, forests, communities and partitions run on the whole edge table by rounds of joins. Label alignment and line order come to
 one task a component as a pandas frame; components are the unit because nothing outside one changes its solution.
 """
 
 from __future__ import annotations
 
-import heapq
 import uuid
 from collections import defaultdict
 from itertools import permutations, product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -105,155 +105,111 @@ def forest_positions(forest: DataFrame, shifts: DataFrame) -> DataFrame:
     return label.join(trees, "label").select("node", "root", (F.col("most") - F.col("off")).alias("pos"))
 
 
-class Conflicts:
-    """Signed edges within one component: overlaps repel, contacts attract. Costs are pairs (overlap inside labels, contacts between labels less)."""
-
-    def __init__(self, nodes: list, lengths: list[int], edges: list[tuple], k: int):
-        self.k, self.n = k, len(nodes)
-        index = {v: i for i, v in enumerate(nodes)}
-        self.near: list[list[tuple[int, float, float]]] = [[] for _ in nodes]
-        for a, b, overlap, contact in edges:
-            i, j = index[a], index[b]
-            if i != j:
-                self.near[i].append((j, overlap, contact))
-                self.near[j].append((i, overlap, contact))
-        self.lengths = np.array(lengths, float)
-        self.order = sorted(range(self.n), key=lambda i: (-lengths[i], nodes[i]))
-
-    def costs(self, i: int, label: np.ndarray) -> np.ndarray:
-        """By label: overlap with the label's members, and contacts, negated."""
-        out = np.zeros((self.k, 2))
-        for j, overlap, contact in self.near[i]:
-            if label[j] >= 0:
-                out[label[j]] += (overlap, -contact)
-        return out
-
-    def total(self, label: np.ndarray) -> tuple[float, float]:
-        o = c = 0.0
-        for i in range(self.n):
-            for j, overlap, contact in self.near[i]:
-                if i < j and label[i] == label[j]:
-                    o, c = o + overlap, c - contact
-        return o, c
-
-    def greedy(self) -> np.ndarray:
-        """The longest first, each to the label of least cost; a tie goes to a label with less length, if the sequence has copies enough."""
-        label = np.full(self.n, -1)
-        held = np.zeros(self.k)
-        for i in self.order:
-            cost = self.costs(i, label)
-            copies = sum(o for _, o, _ in self.near[i]) / max(self.lengths[i], 1)
-            best = 0
-            for p in range(1, self.k):
-                c, b = tuple(cost[p]), tuple(cost[best])
-                if c < b or c == b and held[best] > held[p] and copies > p:
-                    best = p
-            label[i] = best
-            held[best] += self.lengths[i]
-        return label
-
-    def refined(self, label: np.ndarray, passes: int = 50) -> np.ndarray:
-        """Passes of best moves with each sequence moved once; a pass keeps its best prefix, and the last one gains nothing."""
-        label = label.copy()
-        for _ in range(passes):
-            work, locked = label.copy(), np.zeros(self.n, bool)
-            gains: list[tuple[tuple[float, float], int, int]] = []
-            heap: list[tuple[tuple[float, float], float, int, int, int]] = []
-            version = np.zeros(self.n, int)
-
-            def offer(i: int) -> None:
-                cost = self.costs(i, work)
-                own = cost[work[i]]
-                to = min((p for p in range(self.k) if p != work[i]), key=lambda p: (tuple(cost[p]), p))
-                version[i] += 1
-                heapq.heappush(heap, (tuple(cost[to] - own), -self.lengths[i], i, to, version[i]))
-
-            if self.k < 2:
-                return label
-            for i in range(self.n):
-                offer(i)
-            while heap:
-                delta, _, i, to, v = heapq.heappop(heap)
-                if locked[i] or v != version[i]:
-                    continue
-                locked[i] = True
-                work[i] = to
-                gains.append((delta, i, to))
-                for j, _, _ in self.near[i]:
-                    if not locked[j]:
-                        offer(j)
-            run, best, upto = np.zeros(2), (0.0, 0.0), 0
-            for s, (delta, _, _) in enumerate(gains, 1):
-                run += delta
-                if tuple(np.round(run, 9)) < best:
-                    best, upto = tuple(np.round(run, 9)), s
-            if not upto:
-                break
-            for _, i, to in gains[:upto]:
-                label[i] = to
-        return label
-
-    def exact(self) -> np.ndarray:
-        """The best labels of a small component by branch and bound on the weighted cost."""
-        best, best_label = None, None
-        label = np.full(self.n, -1)
-
-        def search(at: int, cost: tuple[float, float], used: int) -> None:
-            nonlocal best, best_label
-            if at == self.n:
-                if best is None or cost < best:
-                    best, best_label = cost, label.copy()
-                return
-            if best is not None and cost[0] > best[0]:
-                return
-            i = self.order[at]
-            costs = self.costs(i, label)
-            for p in sorted(range(min(used + 1, self.k)), key=lambda p: tuple(costs[p])):
-                label[i] = p
-                search(at + 1, (cost[0] + costs[p][0], cost[1] + costs[p][1]), max(used, p + 1))
-            label[i] = -1
-
-        search(0, (0.0, 0.0), 0)
-        return best_label
-
-    def multi_start(self, starts: int = 8, shakes: int = 12, seed: int = 42) -> np.ndarray:
-        """The best of several refined starts, each shaken and refined again; the seed makes it repeatable."""
-        rng = np.random.default_rng(seed)
-        best = self.refined(self.greedy())
-        score = self.total(best)
-        for s in range(starts):
-            label = best.copy() if s == 0 else self.refined(rng.integers(0, self.k, self.n))
-            for _ in range(shakes):
-                if self.total(label) < score:
-                    best, score = label.copy(), self.total(label)
-                shaken = label.copy()
-                hit = rng.random(self.n) < 0.2
-                shaken[hit] = rng.integers(0, self.k, int(hit.sum()))
-                shaken = self.refined(shaken)
-                if self.total(shaken) <= self.total(label):
-                    label = shaken
-            if self.total(label) < score:
-                best, score = label.copy(), self.total(label)
-        return best
-
-
-def partition(edges: DataFrame, nodes: DataFrame, k: int, method: str = "greedy", exact_up_to: int = 10) -> DataFrame:
-    """(node, component, label) with labels 0 to k - 1. edges: a, b, overlap, contact; nodes: node, len.
-
-    method: greedy colouring; refine, that with best-prefix move passes; phase, exact for small components and many starts for others.
+def _first(n: DataFrame, near: DataFrame, k: int, wait: int | None) -> DataFrame:
+    """(node, label): labels given in rounds. n: node, component, len; near: node, other, overlap, contact, both ways."""
+    size = n.select("node", "len")
+    other = near.join(size, "node").join(size.select(F.col("node").alias("other"), F.col("len").alias("other_len")), "other")
+    waits = other.where("other_len > len or other_len = len and other < node")
+    if wait is not None:
+        rank = F.row_number().over(W.partitionBy("node").orderBy((F.col("overlap") + F.col("contact")).desc(), "other"))
+        waits = waits.withColumn("rank", rank).where(F.col("rank") <= wait)
+    waits = cut(waits.select("node", "other"))
+    copies = near.groupBy("node").agg(F.sum("overlap").alias("whole"))
+    left = cut(n.join(copies, "node", "left").select("node", "component", "len", (F.coalesce("whole", F.lit(0.0)) / F.greatest("len", F.lit(1))).alias("copies")))
+    label = left.select("node", "component", "len", F.lit(0).alias("label")).limit(0)
+    while not left.isEmpty():
+        free = left.join(waits.join(left.select(F.col("node").alias("other")), "other", "left_semi"), "node", "left_anti")
+        given = label.select(F.col("node").alias("other"), "label")
+        cost = near.join(given, "other").groupBy("node").agg(*_by_label(k))
+        held = label.groupBy("component").agg(*(F.sum(F.when(F.col("label") == p, F.col("len")).otherwise(0)).alias(f"held{p}") for p in range(k)))
+        x = free.join(cost, "node", "left").join(held, "component", "left").na.fill(0)
+        each = F.array(*(F.struct(F.col(f"o{p}").alias("o"), (-F.col(f"c{p}")).alias("c"), F.col(f"held{p}").alias("held"), F.lit(p).alias("p")) for p in range(k)))
+        cheapest = F.array_min(F.transform(each, lambda q: F.struct(q["o"], q["c"])))
+        ties = F.filter(each, lambda q: F.struct(q["o"], q["c"]) == cheapest)
+        # of equal labels the least, or one with less length of those that the sequence has copies for
+        open_to = F.filter(ties, lambda q: (q["p"] == ties[0]["p"]) | (F.col("copies") > q["p"]))
+        took = F.array_min(F.transform(open_to, lambda q: F.struct(q["held"], q["p"].alias("p"))))["p"]
+        new = cut(x.select("node", "component", "len", took.alias("label")))
+        label = cut(label.unionByName(new))
+        left = cut(left.join(new, "node", "left_anti"))
+    return label.select("node", "label")
+
+
+def _by_label(k: int) -> list[Column]:
+    """Sums of overlaps and of contacts by the label of the other end."""
+    part = lambda p, c: F.sum(F.when(F.col("label") == p, F.col(c)).otherwise(0.0))
+    return [part(p, "overlap").alias(f"o{p}") for p in range(k)] + [part(p, "contact").alias(f"c{p}") for p in range(k)]
+
+
+def _improved(n: DataFrame, near: DataFrame, labels: DataFrame, k: int, rounds: int, seed: int) -> DataFrame:
+    """(start, component, node, label, total): labels (start, node, label) moved until no node by itself gains, or for `rounds`; total: the component's cost."""
+
+    def priced(s: DataFrame) -> DataFrame:
+        """With the cost under the own label and the best other one, and the component's total."""
+        other = near.join(s.select("start", F.col("node").alias("other"), "label"), "other").groupBy("start", "node").agg(*_by_label(k))
+        x = s.join(other, ["start", "node"], "left").na.fill(0.0)
+        each = F.array(*(F.struct(F.col(f"o{p}").alias("o"), (-F.col(f"c{p}")).alias("c"), F.lit(p).alias("p")) for p in range(k)))
+        own, best = F.element_at(each, F.col("label") + 1), F.array_min(F.filter(each, lambda q: q["p"] != F.col("label")))
+        gain = F.struct((best["o"] - own["o"]).alias("o"), (best["c"] - own["c"]).alias("c"))
+        nothing = F.struct(F.lit(0.0).alias("o"), F.lit(0.0).alias("c"))
+        x = x.select("start", "component", "node", "label", "careful", own.alias("own"), F.when(gain < nothing, best["p"]).alias("to"), gain.alias("gain"))
+        x = cut(x)
+        total = x.groupBy("start", "component").agg(F.struct((F.sum("own.o") / 2).alias("o"), (F.sum("own.c") / 2).alias("c")).alias("total"))
+        return x.drop("own").join(total, ["start", "component"])
+
+    now = cut(priced(labels.join(n, "node").select("start", "component", "node", "label", F.lit(False).alias("careful"))))
+    for turn in range(rounds):
+        gaining = now.where(F.col("to").isNotNull())
+        if gaining.isEmpty():
+            break
+        # a half of those that gain; where that was no gain, those that gain more than all their neighbours, which always is one
+        half = F.pmod(F.xxhash64("node", "start", F.lit(seed), F.lit(turn)), F.lit(2)) == 0
+        rank = lambda c: F.struct("gain", F.xxhash64(c).alias("h"), F.col(c).alias("node"))
+        careful = gaining.where("careful")
+        least = near.join(careful.select("start", F.col("node").alias("other"), "gain"), "other").groupBy("start", "node").agg(F.min(rank("other")).alias("m"))
+        alone = careful.join(least, ["start", "node"], "left").where(F.col("m").isNull() | (rank("node") < F.col("m"))).select("start", "node", "to")
+        moves = gaining.where(~F.col("careful") & half).select("start", "node", "to").unionByName(alone)
+        tried = now.select("start", "component", "node", "label").join(moves, ["start", "node"], "left")
+        tried = cut(tried.select("start", "component", "node", F.coalesce("to", "label").alias("label"), F.lit(False).alias("careful")))
+        then = priced(tried)
+        both = now.select("start", "node", F.struct("component", "label", "to", "gain", "total").alias("was")).join(then.select("start", "node", F.struct("component", "label", "to", "gain", "total").alias("new")), ["start", "node"])
+        better = F.col("new.total") < F.col("was.total")
+        now = cut(both.select("start", "node", F.when(better, F.col("new")).otherwise(F.col("was")).alias("x"), (~better).alias("careful")).select("start", "x.component", "node", "x.label", "careful", "x.to", "x.gain", "x.total"))
+    return now.select("start", "component", "node", "label", "total")
+
+
+def partition(edges: DataFrame, nodes: DataFrame, k: int, method: str = "greedy", starts: int = 8, wait: int | None = 3, rounds: int = 60, seed: int = 42) -> DataFrame:
+    """(node, component, label) with labels 0 to k - 1: overlaps repel, contacts attract. edges: a, b, overlap, contact; nodes: node, len.
+
+    The cost of a labelling is the overlap between nodes of one label, and, of equal ones, their contacts less. Everything goes by rounds of joins and
+    aggregates over all components at once; a component may be the whole graph.
+
+    greedy: a node takes the label of least cost against its labelled neighbours once the `wait` strongest of its longer neighbours have theirs (None:
+    all of them, which is the order of length kept strictly; a dense graph takes as many rounds as it has nodes then). Of labels of equal cost it
+    takes the least, or one that holds less of the component's length if it has copies enough.
+    refine: that, and then moves to a better label. A half of the nodes that gain, by hash, moves at once; where a component's cost does not fall by that,
+    the nodes that gain more than all their neighbours move. It ends where no node gains by itself, or after `rounds`.
+    phase: the best of `starts` refined labellings for each component, the greedy one and others by hash; of equal ones the first.
+
+    Edges of a pair are summed, loops go, and so do edges with an end that is no node. Null weights count 0.
     """
-    comp = components(edges, nodes)
-    n = nodes.join(comp, "node").select("component", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.col("len").cast("double").alias("overlap"), F.lit(0.0).alias("contact"))
-    e = edges.join(comp.withColumnRenamed("node", "a"), "a").select("component", "a", "b", F.col("overlap").cast("double").alias("overlap"), F.col("contact").cast("double").alias("contact"))
-
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        own = g[g["b"].isna()].sort_values("a")
-        pairs = g[g["b"].notna()].groupby(["a", "b"], as_index=False)[["overlap", "contact"]].sum().sort_values(["a", "b"])
-        c = Conflicts(own["a"].tolist(), own["overlap"].astype(int).tolist(), [(int(r.a), int(r.b), r.overlap, r.contact) for r in pairs.itertuples()], k)
-        label = c.greedy() if method == "greedy" else c.refined(c.greedy()) if method == "refine" else c.exact() if c.n <= exact_up_to else c.multi_start()
-        return pd.DataFrame({"node": own["a"].to_numpy(), "component": g["component"].iloc[0], "label": label})
-
-    return n.unionByName(e).groupBy("component").applyInPandas(solve, "node long, component long, label long")
+    weight = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    named = nodes.select("node", F.coalesce(F.col("len").cast("double"), F.lit(0.0)).alias("len"))
+    e = edges.select("a", "b", weight("overlap"), weight("contact")).where("a <> b")
+    e = e.join(named.select(F.col("node").alias("a")), "a", "left_semi").join(named.select(F.col("node").alias("b")), "b", "left_semi")
+    e = cut(e.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("overlap").alias("overlap"), F.sum("contact").alias("contact")))
+    near = cut(e.select(F.col("a").alias("node"), F.col("b").alias("other"), "overlap", "contact").unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("other"), "overlap", "contact")))
+    n = cut(named.join(components(e, nodes), "node"))
+    labels = _first(n, near, k, wait)
+    if method == "greedy" or k < 2:
+        return n.join(labels, "node").select("node", "component", "label")
+    first = labels.select(F.lit(0).alias("start"), "node", "label")
+    if method == "phase":
+        others = n.select(F.explode(F.sequence(F.lit(1), F.lit(starts - 1))).alias("start"), "node") if starts > 1 else first.limit(0).drop("label")
+        first = first.unionByName(others.withColumn("label", F.pmod(F.xxhash64("node", "start", F.lit(seed)), F.lit(k)).cast("int")))
+    done = _improved(n.select("node", "component"), near, cut(first), k, rounds, seed)
+    best = done.groupBy("component").agg(F.min(F.struct("total", "start"))["start"].alias("start"))
+    return done.join(best, ["component", "start"]).select("node", "component", "label")
 
 
 def objective(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -385,7 +385,15 @@ def juicer_links(spark: SparkSession, d: str) -> DataFrame:
     return contacts.juicer_links(p, layout.offsets(ad.layout(spark, d)), shift=3, min_q=10)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {ad.MATRIX}, s AS (SELECT s_suppkey AS seq, CASE WHEN s_suppkey % 3 = 0 THEN 2500 ELSE 20000 END AS len, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier),
+f AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS seq, 0::BIGINT AS bins, 0::BIGINT AS first, 0::BIGINT AS next, 0::BIGINT AS held
+  UNION ALL SELECT s.i, s.seq, CASE WHEN s.len < 4000 THEN 0 ELSE (s.len + 999) // 1000 END, CASE WHEN s.len < 4000 OR f.held = 0 THEN f.next ELSE f.next + 1 END,
+  CASE WHEN s.len < 4000 THEN f.next + (f.held + s.len >= 4000)::BIGINT ELSE f.next + (f.held > 0)::BIGINT + (s.len + 999) // 1000 END, CASE WHEN s.len < 4000 AND f.held + s.len < 4000 THEN f.held + s.len ELSE 0 END
+  FROM f JOIN s ON s.i = f.i + 1),
+p AS (SELECT s.seq, k AS bin, f.first + least(k, f.bins) AS pixel FROM f JOIN s USING (i), unnest(range(0, greatest(1, (s.len + 999) // 1000))) AS t(k))
+SELECT a.pixel AS x, b.pixel AS y, sum(n)::BIGINT AS n FROM matrix JOIN p a ON aseq = a.seq AND abin = a.bin JOIN p b ON bseq = b.seq AND bbin = b.bin GROUP BY ALL"""
+)
 def pixel_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Contacts in pixels, every third sequence short and packed with its neighbours."""
     s = ad.sequences(spark, d).select("seq", F.when(F.col("seq") % 3 == 0, 2500).otherwise(F.col("len")).cast("long").alias("len"), F.col("seq").alias("rank"))
@@ -743,10 +751,10 @@ def forest_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Signed edges by line number, each of which is a graph of its own."""
-    e = ad.line_edges(spark, d, 12)
+    """Signed edges of all sequences by line number, each of which is a graph of its own."""
+    e = ad.line_edges(spark, d)
     e = e.select("a", "b", F.when(F.expr("(a + b) % 3 <> 0"), F.col("w")).otherwise(0).alias("overlap"), F.when(F.expr("(a + b) % 3 = 0"), F.col("w")).otherwise(0).alias("contact"))
-    s = ad.sequences(spark, d).groupBy((F.col("seq") % 12).alias("seq")).agg(F.sum("len").alias("len")).select(F.explode(F.sequence(F.lit(1), F.lit(7))).alias("line"), "seq", "len")
+    s = ad.sequences(spark, d).select(F.explode(F.sequence(F.lit(1), F.lit(7))).alias("line"), "seq", "len")
     return e, s.select((F.col("seq") * 8 + F.col("line")).alias("node"), (F.col("len") + F.col("seq") * 7 % 100).alias("len"))
 
 

@@ -1,7 +1,6 @@
 """Golden cases and brute force for single operators."""
 
 import random
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -154,20 +153,6 @@ def test_pixels(spark):
     assert {k: sorted(v) for k, v in got.items()} == {"a": [0], "b": [1, 2, 3], "c": [4], "d": [4], "e": [5, 6, 7]}
 
 
-def test_partition_objectives():
-    rng = random.Random(7)
-    for _ in range(12):
-        n = rng.randint(3, 7)
-        edges = [(i, j, rng.choice([0, 5, 9]), rng.choice([0, 3, 8])) for i in range(n) for j in range(i) if rng.random() < 0.7]
-        c = graph.Conflicts(list(range(n)), [rng.randint(1, 50) for _ in range(n)], edges, 2)
-        best = min(c.total(np.array(p)) for p in product(range(2), repeat=n))
-        assert c.total(c.exact()) == best
-        greedy = c.greedy()
-        refined = c.refined(greedy)
-        assert best <= c.total(refined) <= c.total(greedy)
-        assert c.total(c.multi_start()) == best
-
-
 def test_assignment_by_brute_force():
     from itertools import permutations
 
