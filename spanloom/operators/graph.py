@@ -115,13 +115,13 @@ def _first(n: DataFrame, near: DataFrame, k: int, wait: int | None) -> DataFrame
         waits = waits.withColumn("rank", rank).where(F.col("rank") <= wait)
     waits = cut(waits.select("node", "other"))
     copies = near.groupBy("node").agg(F.sum("overlap").alias("whole"))
-    left = cut(n.join(copies, "node", "left").select("node", "component", "len", (F.coalesce("whole", F.lit(0.0)) / F.greatest("len", F.lit(1))).alias("copies")))
-    label = left.select("node", "component", "len", F.lit(0).alias("label")).limit(0)
-    while not left.isEmpty():
-        free = left.join(waits.join(left.select(F.col("node").alias("other")), "other", "left_semi"), "node", "left_anti")
-        given = label.select(F.col("node").alias("other"), "label")
-        cost = near.join(given, "other").groupBy("node").agg(*_by_label(k))
-        held = label.groupBy("component").agg(*(F.sum(F.when(F.col("label") == p, F.col("len")).otherwise(0)).alias(f"held{p}") for p in range(k)))
+    share = F.coalesce("whole", F.lit(0.0)) / F.greatest("len", F.lit(1))
+    now = cut(n.join(copies, "node", "left").select("node", "component", "len", share.alias("copies"), F.lit(None).cast("int").alias("label")))
+    while not (left := now.where("label is null")).isEmpty():
+        free = left.drop("label").join(waits.join(left.select(F.col("node").alias("other")), "other", "left_semi"), "node", "left_anti")
+        given = now.where("label is not null")
+        cost = near.join(given.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(*_by_label(k))
+        held = given.groupBy("component").agg(*(F.sum(F.when(F.col("label") == p, F.col("len")).otherwise(0)).alias(f"held{p}") for p in range(k)))
         x = free.join(cost, "node", "left").join(held, "component", "left").na.fill(0)
         each = F.array(*(F.struct(F.col(f"o{p}").alias("o"), (-F.col(f"c{p}")).alias("c"), F.col(f"held{p}").alias("held"), F.lit(p).alias("p")) for p in range(k)))
         cheapest = F.array_min(F.transform(each, lambda q: F.struct(q["o"], q["c"])))
@@ -129,10 +129,9 @@ def _first(n: DataFrame, near: DataFrame, k: int, wait: int | None) -> DataFrame
         # of equal labels the least, or one with less length of those that the sequence has copies for
         open_to = F.filter(ties, lambda q: (q["p"] == ties[0]["p"]) | (F.col("copies") > q["p"]))
         took = F.array_min(F.transform(open_to, lambda q: F.struct(q["held"], q["p"].alias("p"))))["p"]
-        new = cut(x.select("node", "component", "len", took.alias("label")))
-        label = cut(label.unionByName(new))
-        left = cut(left.join(new, "node", "left_anti"))
-    return label.select("node", "label")
+        new = x.select("node", took.alias("took"))
+        now = cut(now.join(new, "node", "left").select("node", "component", "len", "copies", F.coalesce("label", "took").alias("label")))
+    return now.select("node", "label")
 
 
 def _by_label(k: int) -> list[Column]:
