@@ -12,23 +12,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.scale import zero
-from spanloom.operators.ranges import running
+from spanloom.operators.ranges import running, tasks_for
 
 
-def events(ivals: DataFrame, seq: str = "seq", beg: str = "beg", end: str = "end", weight: Column | None = None) -> DataFrame:
-    """(seq, pos, delta): each position once, with what the coverage changes by there."""
+def ends(ivals: DataFrame, seq: str = "seq", beg: str = "beg", end: str = "end", weight: Column | None = None) -> DataFrame:
+    """(seq, pos, delta): a row for each interval's begin and end."""
     w = F.lit(1).cast("long") if weight is None else weight
     both = ivals.select(F.col(seq).alias("seq"), F.explode(F.array(F.struct(F.col(beg).alias("pos"), w.alias("delta")), F.struct(F.col(end).alias("pos"), (-w).alias("delta")))).alias("e"))
-    return both.select("seq", "e.pos", "e.delta").groupBy("seq", "pos").agg(F.sum("delta").alias("delta"))
+    return both.select("seq", "e.pos", "e.delta")
+
+
+def events(ivals: DataFrame, seq: str = "seq", beg: str = "beg", end: str = "end", weight: Column | None = None) -> DataFrame:
+    """(seq, pos, delta): each position once, with what the coverage changes by there."""
+    return ends(ivals, seq, beg, end, weight).groupBy("seq", "pos").agg(F.sum("delta").alias("delta"))
 
 
-def coverage(ivals: DataFrame, sequences: DataFrame | None = None, weight: Column | None = None) -> DataFrame:
-    """(seq, beg, end, cov): the coverage step function. With sequences (seq, len), steps reach from 0 to len, covered or not."""
-    e = events(ivals, weight=weight)
+def coverage(ivals: DataFrame, sequences: DataFrame | None = None, weight: Column | None = None, tasks: int | None = None) -> DataFrame:
+    """(seq, beg, end, cov): the coverage step function. With sequences (seq, len), steps reach from 0 to len, covered or not.
+
+    tasks: how many tasks the sweep is dealt to; if it is not given, the intervals are counted.
+    """
+    e = ends(ivals, weight=weight)
     if sequences is not None:
-        ends = sequences.select("seq", F.explode(F.array(zero(), F.col("len"))).alias("pos"), zero().alias("delta"))
-        e = e.unionByName(ends).groupBy("seq", "pos").agg(F.sum("delta").alias("delta"))
-    steps = running(e, ["seq"], "pos", upto={"cov": "delta"}, following="end")
+        e = e.unionByName(sequences.select("seq", F.explode(F.array(zero(), F.col("len"))).alias("pos"), zero().alias("delta")))
+    steps = running(e, ["seq"], "pos", upto={"cov": "delta"}, following="end", tasks=tasks or tasks_for(ivals, 2), summed=["delta"])
     return steps.select("seq", F.col("pos").alias("beg"), "end", "cov").where(F.col("end").isNotNull())
 
 
@@ -45,15 +52,23 @@ def coalesced(steps: DataFrame) -> DataFrame:
     return runs.groupBy("seq", "run").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.max("cov").alias("cov")).drop("run")
 
 
-def step_sum(a: DataFrame, b: DataFrame, shift: Column | None = None, mirror: Column | None = None) -> DataFrame:
-    """The sum of two step functions; b is first mirrored at `mirror` and then shifted."""
+def step_sum(a: DataFrame, b: DataFrame, shift: Column | None = None, mirror: Column | None = None, tasks: int | None = None) -> DataFrame:
+    """The sum of two step functions; b is first mirrored at `mirror` and then shifted. tasks: as in `coverage`.
+
+    Positions where the sum does not change go before the sweep, but for each sequence's first and last, so that neighbouring steps differ.
+    """
     beg, end = F.col("beg"), F.col("end")
     if mirror is not None:
         beg, end = mirror - F.col("end"), mirror - F.col("beg")
     if shift is not None:
         beg, end = beg + shift, end + shift
     moved = b.select("seq", beg.alias("beg"), end.alias("end"), "cov")
-    return coalesced(coverage(a.select("seq", "beg", "end", "cov").unionByName(moved), weight=F.col("cov")))
+    both = a.select("seq", "beg", "end", "cov").unionByName(moved)
+    tasks = tasks or tasks_for(both, 2)
+    e = running(ends(both, weight=F.col("cov")), ["seq"], "pos", last={"was": "pos"}, following="to", tasks=tasks, summed=["delta"])
+    e = e.where("delta <> 0 or was is null or to is null").select("seq", "pos", "delta")
+    steps = running(e, ["seq"], "pos", upto={"cov": "delta"}, following="end", tasks=tasks)
+    return steps.select("seq", F.col("pos").alias("beg"), "end", "cov").where(F.col("end").isNotNull())
 
 
 def coverage_change(before: DataFrame, added: DataFrame, cap: int) -> DataFrame:

@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 
 #: Positions in a range.
 WIDTH = 1 << 18
+#: Rows that a task takes where tasks are told by the number of rows.
+TASK_ROWS = 1 << 19
+
+
+def tasks_for(rows: DataFrame, each: int = 1, task_rows: int | None = None) -> int:
+    """How many tasks `rows`, each of which gives `each`, are dealt to, so that a task's memory does not grow with their number. Counts them."""
+    return max(1, -(-rows.count() * each // (task_rows or TASK_ROWS)))
 
 
 def bin_of(pos: str, width: int) -> Column:
@@ -28,41 +35,48 @@ def bin_of(pos: str, width: int) -> Column:
 def running(
     rows: DataFrame, by: list[str], pos: str, upto: dict[str, str] | None = None, before: dict[str, str] | None = None, top: dict[str, str] | None = None,
     top_upto: dict[str, str] | None = None, last: dict[str, str] | None = None, following: str | None = None, width: int | None = None,
+    tasks: int | None = None, summed: list[str] | None = None,
 ) -> DataFrame:
     """`rows`, of distinct positions in each `by`, with new columns (new name: column) in the order of positions.
 
     upto: sums up to and with the row. before: sums of the rows before, 0 if there are none. top: maxima of the rows before; top_upto: with the row.
     last: the value in the row before. following: the name for the position of the next row. Those without a row to look at are null.
+    tasks: how many tasks the ranges are dealt to, if that is not Spark's to choose. summed: positions may repeat; these columns are summed by position
+    first, after the one shuffle by ranges, so that no task before it has to hold its positions.
     """
     width = width or WIDTH
     upto, before, top, top_upto, last = upto or {}, before or {}, top or {}, top_upto or {}, last or {}
-    binned = rows.withColumn("__bin", bin_of(pos, width))
+    # one key for a range: as fields of it nulls are equal, so that the join below needs no other partitioning than the windows
+    binned = rows.withColumn("__bin_of", F.struct(*by, bin_of(pos, width).alias("__bin")))
+    if tasks:
+        binned = binned.repartition(tasks, "__bin_of")
+    if summed is not None:
+        binned = binned.groupBy("__bin_of", pos).agg(*(F.sum(c).alias(c) for c in summed)).withColumns({c: F.col("__bin_of")[c] for c in by})
     sums, tops, lasts = sorted({*upto.values(), *before.values()}), sorted({*top.values(), *top_upto.values()}), sorted(set(last.values()))
     parts = [F.sum(c).alias(f"__sum_{c}") for c in sums] + [F.max(c).alias(f"__top_{c}") for c in tops] + [F.min(pos).alias("__first")]
     if lasts:
         parts.append(F.max(F.struct(F.col(pos).alias("__at"), *(F.col(c).alias(f"__last_{c}") for c in lasts))).alias("__end"))
-    ranges = binned.groupBy(*by, "__bin").agg(*parts)
-    order = W.partitionBy(*by).orderBy("__bin")
+    ranges = binned.groupBy("__bin_of").agg(*parts).withColumns({f"__by_{i}": F.col("__bin_of")[c] for i, c in enumerate(by)} | {"__bin": F.col("__bin_of")["__bin"]})
+    order = W.partitionBy(*(f"__by_{i}" for i in range(len(by)))).orderBy("__bin")
     ahead = order.rowsBetween(W.unboundedPreceding, -1)
     carried = [F.sum(f"__sum_{c}").over(ahead).alias(f"__sum_{c}") for c in sums] + [F.max(f"__top_{c}").over(ahead).alias(f"__top_{c}") for c in tops] + [F.lead("__first").over(order).alias("__next")]
     if lasts:
         carried.append(F.lag("__end").over(order).alias("__end"))
-    keys = [F.col(c).alias(f"__key_{i}") for i, c in enumerate([*by, "__bin"])]
-    ranges = ranges.select(*keys, *carried)
-    inside = W.partitionBy(*by, "__bin").orderBy(pos)
+    ranges = ranges.select(F.col("__bin_of").alias("__key"), *carried)
+    inside = W.partitionBy("__bin_of").orderBy(pos)
     past, here = inside.rowsBetween(W.unboundedPreceding, -1), inside.rowsBetween(W.unboundedPreceding, 0)
     new = {f"__upto_{k}": F.sum(c).over(here) for k, c in upto.items()} | {f"__before_{k}": F.sum(c).over(past) for k, c in before.items()}
     new |= {f"__top_{k}": F.max(c).over(past) for k, c in top.items()} | {f"__tops_{k}": F.max(c).over(here) for k, c in top_upto.items()}
     new |= {f"__lag_{k}": F.lag(c).over(inside) for k, c in last.items()} | ({"__follow": F.lead(pos).over(inside)} if following else {}) | ({"__row": F.row_number().over(inside)} if lasts else {})
     done = binned.select("*", *(c.alias(k) for k, c in new.items()))
-    on = [F.col(c).eqNullSafe(F.col(f"__key_{i}")) for i, c in enumerate([*by, "__bin"])]
-    joined = done.join(ranges, on)
+    joined = done.join(ranges, F.col("__bin_of") == F.col("__key"))
     nothing = lambda c: F.coalesce(c, F.lit(0))
     out = {k: nothing(F.col(f"__sum_{c}")) + F.col(f"__upto_{k}") for k, c in upto.items()} | {k: nothing(F.col(f"__sum_{c}")) + nothing(F.col(f"__before_{k}")) for k, c in before.items()}
     out |= {k: F.greatest(f"__top_{c}", f"__top_{k}") for k, c in top.items()} | {k: F.greatest(f"__top_{c}", f"__tops_{k}") for k, c in top_upto.items()}
     out |= {k: F.when(F.col("__row") == 1, F.col("__end")[f"__last_{c}"]).otherwise(F.col(f"__lag_{k}")) for k, c in last.items()}
     out |= {following: F.coalesce("__follow", "__next")} if following else {}
-    return joined.select(*(c for c in rows.columns if c not in out), *(c.alias(k) for k, c in out.items()))
+    kept = rows.columns if summed is None else [*by, pos, *summed]
+    return joined.select(*(c for c in kept if c not in out), *(c.alias(k) for k, c in out.items()))
 
 
 def splitters(values: DataFrame, value: str, ranges: int) -> list:

@@ -12,7 +12,7 @@ from spanloom.functions import overlap as geo
 from spanloom.functions import probability as prob
 from spanloom.functions import scale
 from spanloom.functions import sequence as seqf
-from spanloom.operators import breaks, chaining, contacts, graph, intervals, layout, scaffold, stats
+from spanloom.operators import breaks, chaining, contacts, graph, intervals, layout, ranges, scaffold, stats
 from spanloom.plans import adapters as ad
 from spanloom.session import table
 from spanloom.streaming import events as ev
@@ -145,7 +145,8 @@ SELECT * FROM s WHERE cov > 0"""
 )
 def step_sum(spark: SparkSession, d: str) -> DataFrame:
     one, two = (intervals.coverage(x) for x in _two(spark, d))
-    return intervals.step_sum(one, two, shift=F.lit(40), mirror=F.lit(25000)).where("cov > 0")
+    tasks = ranges.tasks_for(ad.alns(spark, d), 4)  # an alignment gives two steps at most
+    return intervals.step_sum(one, two, shift=F.lit(40), mirror=F.lit(25000), tasks=tasks).where("cov > 0")
 
 
 _GENE_QUERIES = ",\nq AS (SELECT DISTINCT seq, (seq * 37) % 9000 AS beg, (seq * 37) % 9000 + 5000 AS \"end\" FROM seqs)"
