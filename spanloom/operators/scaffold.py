@@ -6,7 +6,7 @@ import heapq
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,15 +41,43 @@ def recruited(ovls: DataFrame, members: DataFrame, sequences: DataFrame, share:
     return c.groupBy("seq").agg(F.max(F.struct("size", (-F.col("grp")).alias("g"), "rev")).alias("m")).select("seq", (-F.col("m.g")).alias("grp"), "m.size", "m.rev")
 
 
+def before_growth(e: DataFrame, nodes: DataFrame, least: int, margin: float) -> DataFrame:
+    """(seq, len, alone): whether a sequence comes, in its component, before the first from which a line grows. nodes: seq, len, component.
+
+    As long as no line has grown, what is in a line is what came before. So whether a sequence would be the first is told by its overlaps with
+    later ones alone. Sums may be off by their rounding, to the side of growth, which only leaves more to the tasks.
+    """
+    at = lambda c, x: nodes.select(F.col("seq").alias(c), F.col("len").alias(f"{x}len"))
+    both = e.join(at("aread", "a"), "aread").join(at("bread", "b"), "bread").where("aread <> bread")
+    ahead = (F.col("alen") > F.col("blen")) | ((F.col("alen") == F.col("blen")) & (F.col("aread") < F.col("bread")))
+    pick = lambda a, b: F.when(ahead, F.col(a)).otherwise(F.col(b))
+    x0, x1, xlen, y0, y1, ylen = pick("abpos", "bbpos"), pick("aepos", "bepos"), pick("alen", "blen"), pick("bbpos", "abpos"), pick("bepos", "aepos"), pick("blen", "alen")
+    on = F.when(F.col("rev"), y0).otherwise(ylen - y1) - (xlen - x1) >= least
+    back = F.when(F.col("rev"), ylen - y1).otherwise(y0) - x0 >= least
+    side = lambda c: [F.max(F.when(F.col(c), F.col("score"))).alias(f"top_{c}"), F.sum(F.when(F.col(c), F.col("score"))).alias(f"sum_{c}"), F.sum(F.when(F.col(c), F.abs("score"))).alias(f"abs_{c}")]
+    sums = both.select(pick("aread", "bread").alias("seq"), on.alias("on"), back.alias("back"), "score").groupBy("seq").agg(*side("on"), *side("back"))
+    grows = lambda c: F.coalesce(F.col(f"top_{c}") >= margin * F.col(f"sum_{c}") - 1e-9 * F.col(f"abs_{c}"), F.lit(False))
+    place = F.struct((-F.col("len")).alias("l"), "seq")
+    first = nodes.join(sums.where(grows("on") | grows("back")).select("seq"), "seq", "left_semi").groupBy("component").agg(F.min(place).alias("first"))
+    return graph.cut(nodes.join(first, "component", "left").select("seq", "len", F.coalesce(place < F.col("first"), F.lit(True)).alias("alone")))
+
+
 def backbones(ovls: DataFrame, sequences: DataFrame, least: int, margin: float = 0.7) -> DataFrame:
     """(grp, rank, seq, rev, beg): lines of sequences, one extending the next.
 
     From the longest sequence that is in no line, the line grows at either end by the sequence whose overlap extends it by `least` or more; of
     several, the best-scored one, if its share of the scores is `margin` or more. ovls: aread, bread, abpos, aepos, bbpos, bepos, rev,
-    score, type. Components are a task each.
+    score, type. In each component, the sequences before the first from which a line grows are lines of their own (`before_growth`); the rest, with
+    the overlaps among them, are a task for each component that is left.
     """
     e = ovls.where(F.col("type").bitwiseAND(F.lit(EXTENDS)) == EXTENDS).select("aread", "bread", "abpos", "aepos", "bbpos", "bepos", "rev", "score")
     comp = graph.components(e.select(F.col("aread").alias("a"), F.col("bread").alias("b")), sequences.select(F.col("seq").alias("node")))
+    first = before_growth(e, graph.cut(sequences.select("seq", "len").join(comp.withColumnRenamed("node", "seq"), "seq")), least, margin)
+    alone = first.where("alone").select(F.col("seq").cast("long").alias("grp"), zero().alias("rank"), F.col("seq").cast("long").alias("seq"), F.lit(False).alias("rev"), zero().alias("beg"))
+    sequences = first.where("not alone").select("seq", "len")
+    left = lambda c: sequences.select(F.col("seq").alias(c))
+    e = graph.cut(e.join(left("aread"), "aread", "left_semi").join(left("bread"), "bread", "left_semi"))
+    comp = graph.cut(graph.components(e.select(F.col("aread").alias("a"), F.col("bread").alias("b")), left("node")))
     n = sequences.join(comp.withColumnRenamed("node", "seq"), "seq")
     none = [F.lit(None).cast("long").alias(c) for c in ("bread", "abpos", "aepos", "bbpos", "bepos")]
     rows = n.select("component", F.col("seq").alias("aread"), F.col("len").alias("alen"), *none, F.lit(False).alias("rev"), F.lit(0.0).alias("score"))
@@ -104,18 +132,54 @@ def backbones(ovls: DataFrame, sequences: DataFrame, least: int, margin: float =
                 out.append((seed, rank, seq, way, pos - low))
         return pd.DataFrame(out, columns=["grp", "rank", "seq", "rev", "beg"])
 
-    return rows.unionByName(links).groupBy("component").applyInPandas(grow, "grp long, rank long, seq long, rev boolean, beg long")
+    return rows.unionByName(links).groupBy("component").applyInPandas(grow, "grp long, rank long, seq long, rev boolean, beg long").unionByName(alone)
+
+
+def mergeable(pairs: DataFrame, sizes: DataFrame, shape: tuple[float, float, float, float]) -> DataFrame:
+    """(grp, component): groups that no order of merging puts together have different components. pairs: a, b, shared, each pair once.
+
+    Where all that two sets of groups share is too little for the least group in them, no merged parts of them are ever merged. Sets that share
+    enough become one, and are looked at again, until none do.
+    """
+    lo, hi, first, last = shape
+    # size * factor is concave or rises between the shape's ends, and straight outside: from a size on, it is least there or at the shape's end
+    need = lambda n: log_linear(n, shape) * n
+    end = F.lit(10.0**hi)
+
+    def least_of(n: Column) -> Column:
+        n = F.greatest(n.cast("double"), F.lit(1.0))
+        return F.least(need(n), F.when(n < end, need(end))) if last >= 0 else F.lit(float("-inf"))
+
+    label = graph.cut(sizes.select("grp", F.col("grp").alias("component"), "size"))
+    left = pairs.select("a", "b", F.greatest("shared", F.lit(0)).alias("shared"))
+    while True:
+        small = label.groupBy("component").agg(F.min("size").alias("small"))
+        of = lambda c: small.select(F.col("component").alias(c), F.col("small").alias(f"small_{c}"))  # noqa: B023, E731
+        enough = left.join(of("a"), "a").join(of("b"), "b").where(F.col("shared") >= least_of(F.least("small_a", "small_b")) * (1 - 1e-9))
+        near = graph.cut(enough.select("a", "b"))
+        if near.isEmpty():
+            return label.select("grp", "component")
+        to = graph.cut(graph.components(near).withColumnRenamed("component", "to"))
+        label = graph.cut(label.join(to, F.col("component") == F.col("node"), "left").select("grp", F.coalesce("to", "component").alias("component"), "size"))
+        went = lambda c: to.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))  # noqa: B023, E731
+        moved = left.join(went("a"), "a", "left").join(went("b"), "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"), "shared")
+        left = graph.cut(moved.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("shared").alias("shared")))
 
 
 def merged_groups(pairs: DataFrame, sizes: DataFrame, shape: tuple[float, float, float, float] = COVERAGE_GAIN) -> DataFrame:
     """(grp, merged): groups put together while what two share is large enough for the smaller one.
 
     pairs: a, b, shared (length); sizes: grp, size. The pair of the largest shared^2 / size of the smaller goes first; shared lengths add up as
-    groups merge. Components are a task each.
+    groups merge. A task takes what may come together at all (`mergeable`), with the pairs inside; groups that can't are done without one.
     """
-    comp = graph.components(pairs.select("a", "b"), sizes.select(F.col("grp").alias("node")))
-    s = sizes.join(comp.withColumnRenamed("node", "grp"), "grp").select("component", F.col("grp").alias("a"), F.lit(None).cast("long").alias("b"), F.col("size").alias("n"))
-    p = pairs.join(comp.withColumnRenamed("node", "a"), "a").select("component", "a", "b", F.col("shared").alias("n"))
+    e = graph.cut(pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("shared").alias("shared")))
+    comp = graph.cut(mergeable(e, sizes, shape))
+    some = graph.cut(comp.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"))
+    inside = comp.join(some, "component", "left_semi")
+    end = lambda c: inside.select(F.col("grp").alias(c), F.col("component").alias(f"of_{c}"))
+    s = sizes.join(inside, "grp").select("component", F.col("grp").alias("a"), F.lit(None).cast("long").alias("b"), F.col("size").alias("n"))
+    p = e.join(end("a"), "a").join(end("b"), "b").where("of_a = of_b").select(F.col("of_a").alias("component"), "a", "b", F.col("shared").alias("n"))
+    alone = comp.join(some, "component", "left_anti").select(F.col("grp").cast("long").alias("grp"), F.col("grp").cast("long").alias("merged"))
 
     def merge(g: pd.DataFrame) -> pd.DataFrame:
         size = {int(r.a): int(r.n) for r in g[g["b"].isna()].itertuples()}
@@ -158,7 +222,7 @@ def merged_groups(pairs: DataFrame, sizes: DataFrame, shape: tuple[float, float,
 
         return pd.DataFrame([(x, top(x)) for x in sorted(root)], columns=["grp", "merged"])
 
-    return s.unionByName(p).groupBy("component").applyInPandas(merge, "grp long, merged long")
+    return s.unionByName(p).groupBy("component").applyInPandas(merge, "grp long, merged long").unionByName(alone)
 
 
 def variant_candidates(ovls: DataFrame, low: DataFrame, sequences: DataFrame, least: int = 100_000, share: float = 0.1, low_share: float = 0.7, near: int = 100_000) -> DataFrame:

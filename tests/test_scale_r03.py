@@ -64,3 +64,40 @@ def test_overlaps_call_nothing_for_each_pair_of_one_alignment(spark):
     alns = spark.createDataFrame(rows, "aread long, bread long, abpos long, aepos long, bbpos long, bepos long, rev boolean, mlen long")
     seqs = spark.createDataFrame([(i, 20_000) for i in range(50)], "seq long, len long")
     assert chaining.overlaps(alns, seqs).count() == len(rows)
+
+
+def test_groups_that_cannot_come_together_are_no_task_together(spark, monkeypatch):
+    from spanloom.operators import graph, scaffold
+
+    rng = random.Random(6)
+    n, shape = 60, (1.0, 3.0, 0.5, 0.1)
+    sizes = spark.createDataFrame([(i, rng.choice([10, 20, 100])) for i in range(n)], "grp long, size long")
+    pairs = spark.createDataFrame([(a, b, rng.choice([0, 1, 1, 2, 3, 6])) for a in range(n) for b in range(n) if a != b and rng.random() < 0.06], "a long, b long, shared long")
+    got = sorted(map(tuple, scaffold.merged_groups(pairs, sizes, shape).collect()))
+    sets = scaffold.mergeable(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("shared").alias("shared")), sizes, shape)
+    assert 1 < sets.select("component").distinct().count() < n < sets.count() + 1
+    whole = lambda e, s, shape: graph.components(e.select("a", "b"), s.select(F.col("grp").alias("node"))).withColumnRenamed("node", "grp")
+    monkeypatch.setattr(scaffold, "mergeable", whole)
+    assert got == sorted(map(tuple, scaffold.merged_groups(pairs, sizes, shape).collect()))
+    assert any(a != b for a, b in got)
+
+
+def test_lines_before_the_first_that_grows_are_no_task(spark, monkeypatch):
+    from spanloom.functions.overlap import EXTENDS
+    from spanloom.operators import scaffold
+
+    rng = random.Random(7)
+    n = 80
+    seqs = spark.createDataFrame([(i, 1000 + rng.choice([0, 0, 50])) for i in range(n)], "seq long, len long")
+    rows = [(a, b, x := rng.randint(0, 500), x + 400, y := rng.randint(0, 500), y + 400, rng.random() < 0.5, float(rng.randint(1, 99)), EXTENDS) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.95]
+    e = spark.createDataFrame(rows, "aread long, bread long, abpos long, aepos long, bbpos long, bepos long, rev boolean, score double, type int")
+    got = sorted(map(tuple, scaffold.backbones(e, seqs, 100).collect()))
+    kept, before = [], scaffold.before_growth
+
+    def none_alone(*args):
+        kept.append(before(*args))
+        return kept[-1].withColumn("alone", F.lit(False))
+
+    monkeypatch.setattr(scaffold, "before_growth", none_alone)
+    assert got == sorted(map(tuple, scaffold.backbones(e, seqs, 100).collect()))
+    assert 5 < kept[0].where("alone").count() < n and any(r[1] > 0 for r in got)
