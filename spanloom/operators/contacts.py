@@ -16,8 +16,9 @@ from spanloom.operators.ranges import bin_of, running
 ENDS = ("aseq", "apos", "bseq", "bpos")
 
 
-def pair_mates(reads: DataFrame, order: list[str], name: str = "name") -> DataFrame:
-    """Records of one read name, in order, paired two by two; an odd last one goes. reads: name, seq, pos, q. Returns name, k, aseq, apos, bseq, bpos, q (the lower)."""
+def pair_mates(reads: DataFrame, order: list[str], name: str = "name", tasks: int | None = None) -> DataFrame:
+    """Records of one read name, in order, paired two by two; an odd last one goes. reads: name, seq, pos, q. Returns name, k, aseq, apos, bseq, bpos, q (the lower). tasks: how many tasks the names are dealt to, if that is not Spark's to choose."""
+    reads = reads.repartition(tasks, name) if tasks else reads
     w = W.partitionBy(name).orderBy(*order)
     r = reads.withColumn("i", F.row_number().over(w) - 1)
     pair = r.groupBy(name, F.expr("i div 2").alias("k")).agg(F.min(F.struct("i", "seq", "pos")).alias("a"), F.max(F.struct("i", "seq", "pos")).alias("b"), F.min("q").alias("q"), F.count("*").alias("n"))
@@ -53,10 +54,11 @@ def of_kind(pairs: DataFrame, kind: str = "all", min_q: int = 0) -> DataFrame:
     return p if kind == "all" else p.where(F.col("aseq") == F.col("bseq") if kind == "intra" else F.col("aseq") != F.col("bseq"))
 
 
-def contact_matrix(pairs: DataFrame, width: int) -> DataFrame:
-    """(aseq, abin, bseq, bbin, n): canonical pairs counted by bins; counting starts before the shuffle."""
-    c = canonical(pairs.select(*ENDS))
-    return c.groupBy("aseq", F.expr(f"apos div {width}").alias("abin"), "bseq", F.expr(f"bpos div {width}").alias("bbin")).agg(F.count("*").alias("n"))
+def contact_matrix(pairs: DataFrame, width: int, tasks: int | None = None) -> DataFrame:
+    """(aseq, abin, bseq, bbin, n): canonical pairs counted by bins; counting starts before the shuffle, or, if it is told how many tasks the bins are dealt to, after it."""
+    c = canonical(pairs.select(*ENDS)).select("aseq", F.expr(f"apos div {width}").alias("abin"), "bseq", F.expr(f"bpos div {width}").alias("bbin"))
+    c = c.repartition(tasks, *c.columns) if tasks else c
+    return c.groupBy(*c.columns).agg(F.count("*").alias("n"))
 
 
 def symmetric(matrix: DataFrame, between_only: bool = True) -> DataFrame:
@@ -65,11 +67,12 @@ def symmetric(matrix: DataFrame, between_only: bool = True) -> DataFrame:
     return matrix.unionByName(other.select(F.col("bseq").alias("aseq"), F.col("bbin").alias("abin"), F.col("aseq").alias("bseq"), F.col("abin").alias("bbin"), "n"))
 
 
-def merged_counts(*matrices: DataFrame) -> DataFrame:
-    """Libraries as one, their counts added."""
+def merged_counts(*matrices: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Libraries as one, their counts added. tasks: how many tasks the bins are dealt to, if that is not Spark's to choose; no counts are added before that then."""
     m = matrices[0]
     for x in matrices[1:]:
         m = m.unionByName(x)
+    m = m.repartition(tasks, "aseq", "abin", "bseq", "bbin") if tasks else m
     return m.groupBy("aseq", "abin", "bseq", "bbin").agg(F.sum("n").alias("n"))
 
 

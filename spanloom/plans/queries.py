@@ -330,7 +330,10 @@ def contact_matrix_symmetric(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {ad.MATRIX} SELECT aseq, abin, bseq, bbin, 2 * n AS n FROM matrix")
 def merged_libraries(spark: SparkSession, d: str) -> DataFrame:
-    return contacts.merged_counts(_matrix(spark, d), _matrix(spark, d))
+    reads = ad.reads(spark, d)
+    tasks = ranges.tasks_for(reads)
+    one, two = (contacts.contact_matrix(contacts.pair_mates(reads, ["l_linenumber", "l_partkey", "l_suppkey"], tasks=tasks), 1000, tasks) for _ in range(2))
+    return contacts.merged_counts(one, two, tasks=tasks)
 
 
 @query(f"WITH {ad.MATRIX} SELECT bbin - abin AS dist, sum(n)::BIGINT AS n, (sum(sum(n)) OVER (ORDER BY bbin - abin))::BIGINT AS upto FROM matrix WHERE aseq = bseq GROUP BY 1")

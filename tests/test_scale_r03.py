@@ -101,3 +101,13 @@ def test_lines_before_the_first_that_grows_are_no_task(spark, monkeypatch):
     monkeypatch.setattr(scaffold, "before_growth", none_alone)
     assert got == sorted(map(tuple, scaffold.backbones(e, seqs, 100).collect()))
     assert 5 < kept[0].where("alone").count() < n and any(r[1] > 0 for r in got)
+
+
+def test_libraries_are_merged_in_as_many_tasks_as_there_are_rows_for(spark):
+    from spanloom.operators import contacts
+
+    rows = [(i % 3, i % 2, i % 5, i % 4, 1 + i % 2) for i in range(200)]
+    m = spark.createDataFrame(rows, "aseq long, abin long, bseq long, bbin long, n long")
+    got = contacts.merged_counts(m, m, tasks=3)
+    assert "RepartitionByExpression" in plan_of(got)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, contacts.merged_counts(m, m).collect()))
