@@ -111,3 +111,22 @@ def test_libraries_are_merged_in_as_many_tasks_as_there_are_rows_for(spark):
     got = contacts.merged_counts(m, m, tasks=3)
     assert "RepartitionByExpression" in plan_of(got)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, contacts.merged_counts(m, m).collect()))
+
+
+def test_labels_are_told_to_neighbours_once(spark, monkeypatch):
+    from spanloom.operators import graph
+
+    rng = random.Random(8)
+    edges = [(i, j, float(rng.randint(0, 9)), 1.0) for i in range(30) for j in range(i) if rng.random() < 0.3]
+    told, cut = [], graph.cut
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["other", "label"]:
+            told.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    df = spark.createDataFrame(edges, "a long, b long, overlap double, contact double")
+    got = graph.partition(df, spark.createDataFrame([(i, 10 + i) for i in range(30)], "node long, len long"), k=2)
+    assert got.count() == sum(told) == 30 and len(told) > 3
