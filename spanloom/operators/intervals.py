@@ -136,6 +136,52 @@ def overlap_join(a: DataFrame, b: DataFrame, a_on: tuple[str, str, str] = ("a_se
     return sides[0].join(sides[1], on & meet & first).drop(*(f"__{c}_{s}" for c in ("a", "b", "bin") for s in "ab"))
 
 
+#: Bits of the least bins in which points, or pairs, meet the slices that hold them.
+FLOOR = 12
+#: Bins that an interval may lie in on an average before those of its size get wider bins.
+BINS_EACH = 8
+
+
+def bin_widths(found: list[tuple[int, int, int]]) -> dict[int, int]:
+    """The bits of the bins for each level of size. found: level, number of intervals, sum of their sizes. A level takes the bins of the one below unless that makes too many of them."""
+    spare = BINS_EACH * sum(n for _, n, _ in found)
+    out: dict[int, int] = {}
+    own = None
+    for level, n, size in sorted(found):
+        need = (size >> own) + 2 * n if own is not None else 0
+        if own is None or need > spare:
+            own = max(level, FLOOR)
+        else:
+            spare -= need
+        out[level] = own
+    return out
+
+
+def point_join(points: DataFrame, ivals: DataFrame, at: tuple[str, str], on: tuple[str, str, str]) -> DataFrame:
+    """Rows of points and intervals (without common names) where the interval holds the point. at: the points' columns of sequence and position, on: the intervals' of sequence, begin and end.
+
+    The join is by sequence and bin. A point is dealt once for each width of bins, which the sizes of the intervals (ten levels at most, counted
+    on the driver) decide by `bin_widths`: mostly there is one, so that the points, which are many, are shuffled once.
+    """
+    seq, pos = at
+    of, beg, end = on
+    held = ivals.where(F.col(beg) < F.col(end)).withColumn("__level", level_of(F.col(end) - F.col(beg)))
+    found = held.groupBy("__level").agg(F.count("*").alias("n"), F.sum(F.col(end) - F.col(beg)).alias("size")).collect()
+    width = bin_widths([(r["__level"], r["n"], r["size"]) for r in found]) or {0: FLOOR}
+    kinds = sorted(set(width.values()))
+    shift = lambda c, by: F.call_function("shiftright", c, by)
+    wide = F.coalesce(*(F.when(F.col("__level") == k, F.lit(v)) for k, v in width.items()))
+    held = held.withColumn("__width", wide).drop("__level")
+    held = held.withColumn("__bin_b", F.explode(F.sequence(shift(F.col(beg), F.col("__width")), shift(F.col(end) - 1, F.col("__width")))))
+    meet = (F.col(seq) == F.col(of)) & (F.col("__bin_a") == F.col("__bin_b")) & (F.col(beg) <= F.col(pos)) & (F.col(pos) < F.col(end))
+    if len(kinds) == 1:
+        dealt = points.withColumn("__bin_a", shift(F.col(pos), F.lit(kinds[0])))
+    else:
+        dealt = points.withColumn("__width_a", F.explode(F.array(*map(F.lit, kinds)))).withColumn("__bin_a", shift(F.col(pos), F.col("__width_a")))
+        meet = meet & (F.col("__width_a") == F.col("__width"))
+    return dealt.join(held, meet).drop("__bin_a", "__bin_b", "__width", "__width_a")
+
+
 def band_join(a: DataFrame, b: DataFrame, bin_size: int | None = None) -> DataFrame:
     """Rows of a and b, as a_* and b_*, whose intervals overlap on a sequence; in bins of one size if it is given, else by `overlap_join`."""
     x = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns])

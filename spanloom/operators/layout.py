@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.scale import zero
-from spanloom.operators.intervals import overlap_join
+from spanloom.operators.intervals import FLOOR, point_join
 from spanloom.operators.ranges import running
 
 
@@ -24,10 +24,9 @@ def identity(sequences: DataFrame) -> DataFrame:
 
 
 def _in_slices(points: DataFrame, segments: DataFrame, seq: str, pos: str, within: str, start: str) -> DataFrame:
-    """points with the slice that holds each, found by `overlap_join`; within: the segments' column that names the sequence, start: where a slice begins on it."""
-    at = points.withColumns({"__seq": F.col(seq), "__p": F.col(pos), "__q": F.col(pos) + 1})
+    """points with the slice that holds each, found by `point_join`; within: the segments' column that names the sequence, start: where a slice begins on it."""
     s = segments.select(F.col(within).alias("__of"), F.col(start).alias("__lo"), (F.col(start) + F.col("y")).alias("__hi"), *(F.col(c).alias(f"__{c}") for c in ("object", "comp", "x", "y", "rev", "a", "b") if c in segments.columns))
-    return overlap_join(at, s, ("__seq", "__p", "__q"), ("__of", "__lo", "__hi")).drop("__seq", "__p", "__q", "__of", "__lo", "__hi")
+    return point_join(points, s, (seq, pos), ("__of", "__lo", "__hi")).drop("__of", "__lo", "__hi")
 
 
 _SLICE = ("__object", "__comp", "__x", "__y", "__rev", "__a", "__b")
@@ -106,36 +105,49 @@ def slices(breaks: DataFrame, sequences: DataFrame) -> DataFrame:
     return p.select("seq", "k", F.concat(F.col("seq").cast("string"), F.lit("_ec_"), F.col("k").cast("string")).alias("name"), F.col("pos").alias("beg"), F.coalesce("end", "len").alias("end"))
 
 
-def split_pairs(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
+def _piece_bins(pieces: DataFrame, levels: list[int]) -> DataFrame:
+    """(on, level, bin, held): for each level (bits) the pieces that reach into a bin or the next one, so that an interval no longer than a bin finds all of its own where it begins."""
+    level = pieces.where("beg < end").select(F.col("seq").alias("on"), "beg", "end", "name", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    at = lambda c: F.call_function("shiftright", c, F.col("level"))
+    bins = level.withColumn("bin", F.explode(F.sequence(F.greatest(at(F.col("beg")) - 1, zero()), at(F.col("end") - 1))))
+    return bins.groupBy("on", "level", "bin").agg(F.collect_list(F.struct("beg", "end", "name")).alias("held"))
+
+
+def split_pairs(pairs: DataFrame, pieces: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """Interval pairs cut wherever either side meets a piece's end.
 
-    pairs: id, aread, abpos, aepos, bread, bbpos, bepos, rev. A cut on one side is carried to the other by linear interpolation with whole
-    numbers. A fragment goes to the pieces that hold its midpoints, and is clipped to them. Returns id, apiece, abeg, aend, bpiece, bbeg,
-    bend, rev, in the sequences' coordinates.
+    pairs: aread, abpos, aepos, bread, bbpos, bepos, rev, and what to `keep`. A cut on one side is carried to the other by linear interpolation with
+    whole numbers. A fragment goes to the pieces that hold its midpoints, and is clipped to them. Returns what is kept, apiece, abeg, aend, bpiece,
+    bbeg, bend, rev, in the sequences' coordinates.
+
+    A pair meets the pieces near it, by sequence and bin, once for either side, and is cut within its row. Bins are of 4,096 positions, or of the
+    pair's length up to a power of 4 if it is longer, so a row holds the pieces of some such lengths.
     """
-    a = pieces.select(F.col("seq").alias("aread"), F.col("beg").alias("__cut")).where("__cut > 0")
-    b = pieces.select(F.col("seq").alias("bread"), F.col("beg").alias("__cut")).where("__cut > 0")
+    bits = lambda size: F.length(F.bin(F.greatest(size - 1, zero())))
+    even = lambda n: n + n % 2
+    last = pieces.agg(F.max("end")).first()[0] or 1
+    levels = list(range(FLOOR, max(FLOOR, (last - 1).bit_length()) + 2, 2))
+    table, f = _piece_bins(pieces, levels), pairs.select(*dict.fromkeys([*keep, "aread", "abpos", "aepos", "bread", "bbpos", "bepos", "rev"]))
+    for s in "ab":
+        level = F.least(F.lit(levels[-1]), even(F.greatest(F.lit(FLOOR), bits(F.col(f"{s}epos") - F.col(f"{s}bpos")))))
+        f = f.withColumn("__level", level).withColumn("__bin", F.call_function("shiftright", F.greatest(f"{s}bpos", zero()), F.col("__level")))
+        t = table.select(F.col("on").alias(f"{s}read"), F.col("level").alias("__level"), F.col("bin").alias("__bin"), F.col("held").alias(f"__{s}"))
+        f = f.join(t, [f"{s}read", "__level", "__bin"]).drop("__level", "__bin")
     alen, blen = F.col("aepos") - F.col("abpos"), F.col("bepos") - F.col("bbpos")
-    cuts = lambda c: c.withColumns({"__from": F.col("__cut"), "__to": F.col("__cut") + 1}).withColumnRenamed(c.columns[0], "__on")
-    near = lambda c, s: overlap_join(pairs, cuts(c), (f"{s}read", f"{s}bpos", f"{s}epos"), ("__on", "__from", "__to")).drop("__on", "__from", "__to")
-    by_a = near(a, "a").where("__cut > abpos and __cut < aepos").select("id", F.col("__cut").alias("at"))
-    along = F.when(F.col("rev"), F.col("bepos") - F.col("__cut")).otherwise(F.col("__cut") - F.col("bbpos"))
-    carried = F.col("abpos") + F.floor((along * alen) / F.greatest(blen, F.lit(1))).cast("long")
-    by_b = near(b, "b").where("__cut > bbpos and __cut < bepos").select("id", carried.alias("at"))
-    bounds = by_a.unionByName(by_b).unionByName(pairs.select("id", F.col("abpos").alias("at"))).distinct()
-    order = W.partitionBy("id").orderBy("at")
-    f = bounds.withColumn("to", F.lead("at").over(order)).join(pairs, "id").withColumn("to", F.coalesce("to", "aepos")).where("to > at")
+    cuts = lambda s: F.transform(F.filter(f"__{s}", lambda p: (p["beg"] > 0) & (p["beg"] > F.col(f"{s}bpos")) & (p["beg"] < F.col(f"{s}epos"))), lambda p: p["beg"])
+    along = lambda c: F.when(F.col("rev"), F.col("bepos") - c).otherwise(c - F.col("bbpos"))
+    carried = F.transform(cuts("b"), lambda c: F.col("abpos") + F.floor((along(c) * alen) / F.greatest(blen, F.lit(1))).cast("long"))
+    f = f.withColumn("__at", F.array_sort(F.array_distinct(F.concat(F.array("abpos"), cuts("a"), carried))))
+    f = f.withColumn("__f", F.explode(F.transform("__at", lambda x, i: F.struct(x.alias("at"), F.coalesce(F.get("__at", i + 1), F.col("aepos")).alias("to")))))
+    f = f.withColumns({"at": F.col("__f.at"), "to": F.col("__f.to")}).drop("__at", "__f").where("to > at")
     other = lambda x: F.floor(((x - F.col("abpos")) * blen) / alen).cast("long")
     lo, hi = other(F.col("at")), other(F.col("to"))
     f = f.withColumn("bbeg", F.when(F.col("rev"), F.col("bepos") - hi).otherwise(F.col("bbpos") + lo)).withColumn("bend", F.when(F.col("rev"), F.col("bepos") - lo).otherwise(F.col("bbpos") + hi))
     f = f.withColumn("amid", F.floor((F.col("at") + F.col("to")) / 2).cast("long")).withColumn("bmid", F.floor((F.col("bbeg") + F.col("bend")) / 2).cast("long"))
-    pa = pieces.select(F.col("seq").alias("aread"), F.col("name").alias("apiece"), F.col("beg").alias("__a0"), F.col("end").alias("__a1"))
-    pb = pieces.select(F.col("seq").alias("bread"), F.col("name").alias("bpiece"), F.col("beg").alias("__b0"), F.col("end").alias("__b1"))
-    for side, p in (("a", pa), ("b", pb)):
-        held = f.withColumns({"__from": F.col(f"{side}mid"), "__to": F.col(f"{side}mid") + 1})
-        f = overlap_join(held, p.withColumnRenamed(f"{side}read", "__on"), (f"{side}read", "__from", "__to"), ("__on", f"__{side}0", f"__{side}1")).drop("__on", "__from", "__to")
-    clip = lambda x, lo_, hi_: F.least(F.greatest(x, F.col(lo_)), F.col(hi_))
-    return f.select("id", "apiece", clip(F.col("at"), "__a0", "__a1").alias("abeg"), clip(F.col("to"), "__a0", "__a1").alias("aend"), "bpiece", clip(F.col("bbeg"), "__b0", "__b1").alias("bbeg"), clip(F.col("bend"), "__b0", "__b1").alias("bend"), "rev")
+    for s in "ab":
+        f = f.withColumn(f"__{s}", F.explode(F.filter(f"__{s}", lambda p: (p["beg"] <= F.col(f"{s}mid")) & (F.col(f"{s}mid") < p["end"]))))  # noqa: B023
+    clip = lambda x, s: F.least(F.greatest(F.col(x), F.col(f"__{s}.beg")), F.col(f"__{s}.end"))
+    return f.select(*keep, F.col("__a.name").alias("apiece"), clip("at", "a").alias("abeg"), clip("to", "a").alias("aend"), F.col("__b.name").alias("bpiece"), clip("bbeg", "b").alias("bbeg"), clip("bend", "b").alias("bend"), "rev")
 
 
 def agp(segments: DataFrame, gap: int = 100, gap_kind: str = "scaffold", evidence: str = "proximity_ligation") -> DataFrame:

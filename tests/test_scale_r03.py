@@ -130,3 +130,47 @@ def test_labels_are_told_to_neighbours_once(spark, monkeypatch):
     df = spark.createDataFrame(edges, "a long, b long, overlap double, contact double")
     got = graph.partition(df, spark.createDataFrame([(i, 10 + i) for i in range(30)], "node long, len long"), k=2)
     assert got.count() == sum(told) == 30 and len(told) > 3
+
+
+def test_points_meet_slices_of_all_sizes_by_one_width_of_bins(spark):
+    rng = random.Random(10)
+    assert intervals.bin_widths([(6, 10, 300), (12, 1000, 2_000_000), (18, 1000, 9_000_000)]) == {6: 12, 12: 12, 18: 12}
+    assert intervals.bin_widths([(6, 10, 300), (30, 10, 9_000_000_000)]) == {6: 12, 30: 30}
+    for far in (20_000, 1 << 27):
+        slices = [(s, *x) for s in range(3) for cuts in [sorted({0, far, *(rng.randint(0, 300) for _ in range(9)), *(rng.randint(0, far) for _ in range(9))})] for x in zip(cuts, cuts[1:])]
+        points = [(rng.randint(0, 3), rng.choice([rng.randint(-9, 400), rng.randint(0, far)])) for _ in range(400)]
+        df = spark.createDataFrame(points, "seq long, pos long")
+        got = intervals.point_join(df, spark.createDataFrame(slices, "of long, lo long, hi long"), ("seq", "pos"), ("of", "lo", "hi"))
+        assert sorted(map(tuple, got.collect())) == sorted((*p, *s) for p in points for s in slices if p[0] == s[0] and s[1] <= p[1] < s[2])
+        assert far > 20_000 or "explode(array" not in plan_of(got)
+
+
+def test_pairs_are_cut_within_their_rows(spark):
+    from spanloom.operators import layout
+
+    rng = random.Random(11)
+    ends = [sorted({0, 70_000, *(rng.randint(1, 69_999) for _ in range(rng.choice([0, 3, 40])))}) for _ in range(6)]
+    pieces = [(s, f"{s}_{i}", b, e) for s, c in enumerate(ends) for i, (b, e) in enumerate(zip(c, c[1:]))]
+    pairs = []
+    for i in range(300):
+        n, m = rng.choice([1, 50, 5_000, 60_000]), rng.choice([1, 70, 4_096, 40_000])
+        x, y = rng.randint(0, 70_000 - n), rng.randint(0, 70_000 - m)
+        pairs.append((i, rng.randrange(6), x, x + n, rng.randrange(6), y, y + m, rng.random() < 0.5))
+    got = layout.split_pairs(
+        spark.createDataFrame(pairs, "id long, aread long, abpos long, aepos long, bread long, bbpos long, bepos long, rev boolean"), spark.createDataFrame(pieces, "seq long, name string, beg long, end long")
+    )
+    assert "Window" not in plan_of(got) and plan_of(got).count("Join") == 2
+    want = []
+    for i, a, x0, x1, b, y0, y1, rev in pairs:
+        n, m = x1 - x0, y1 - y0
+        at = {x0, *(c for c in ends[a] if x0 < c < x1), *(x0 + (y1 - c if rev else c - y0) * n // m for c in ends[b] if y0 < c < y1)}
+        at = [*sorted(at), x1]
+        for lo, hi in zip(at, at[1:]):
+            p, q = (lo - x0) * m // n, (hi - x0) * m // n
+            c, d = (y1 - q, y1 - p) if rev else (y0 + p, y0 + q)
+            for s, name, b0, e0 in pieces:
+                if s == a and b0 <= (lo + hi) // 2 < e0:
+                    for t, name2, b1, e1 in pieces:
+                        if t == b and b1 <= (c + d) // 2 < e1:
+                            want.append((i, name, max(lo, b0), min(hi, e0), name2, min(max(c, b1), e1), max(min(d, e1), b1), rev))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 400
