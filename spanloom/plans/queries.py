@@ -498,10 +498,8 @@ FROM h JOIN pieces x ON x.seq = aread AND (pt + "to") // 2 >= x.beg AND (pt + "t
 )
 def split_at_breaks(spark: SparkSession, d: str) -> DataFrame:
     a = ad.alns(spark, d).drop("line").distinct()
-    key = F.struct("aread", "bread", "rev", "abpos", "aepos", "bbpos", "bepos", "mlen")
-    a = a.withColumn("id", key)
-    out = layout.split_pairs(a, _slices(spark, d))
-    return out.select(F.col("id.aread").alias("aread"), F.col("id.abpos").alias("abpos"), F.col("id.bbpos").alias("bbpos"), F.col("id.bread").alias("bread"), "rev", "apiece", "abeg", "aend", "bpiece", "bbeg", "bend")
+    out = layout.split_pairs(a, _slices(spark, d), ("aread", "abpos", "bbpos", "bread"))
+    return out.select("aread", "abpos", "bbpos", "bread", "rev", "apiece", "abeg", "aend", "bpiece", "bbeg", "bend")
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
