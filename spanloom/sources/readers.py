@@ -21,7 +21,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fields(df: DataFrame, sep: str = r"\s+") -> DataFrame:
-    return df.withColumn("f", F.split(F.trim("line") if sep == r"\s+" else F.col("line"), sep))
+    """With f, the fields of each line. A generator keeps them a column: else each condition on a field would split the line again."""
+    return df.withColumn("f", F.explode(F.array(F.split(F.trim("line") if sep == r"\s+" else F.col("line"), sep))))
 
 
 def number(i: int) -> Column:

@@ -174,3 +174,13 @@ def test_pairs_are_cut_within_their_rows(spark):
                         if t == b and b1 <= (c + d) // 2 < e1:
                             want.append((i, name, max(lo, b0), min(hi, e0), name2, min(max(c, b1), e1), max(min(d, e1), b1), rev))
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 400
+
+
+def test_lines_are_split_into_fields_once(spark, tmp_path):
+    from spanloom.sources import readers
+
+    (tmp_path / "a.paf").write_text("x\t9\t1\t5\t-\ty\t8\t0\t4\t3\t4\t60\nshort\t1\n")
+    names = spark.createDataFrame([("x", 9, 0), ("y", 8, 1)], "name string, len long, seq long")
+    got = readers.paf(spark, str(tmp_path / "a.paf"), names)
+    assert plan_of(got).count("split(") == 1
+    assert [tuple(r) for r in got.collect()] == [(0, 1, True, 1, 5, 0, 4, 3, 4, 60)]
