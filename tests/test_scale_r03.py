@@ -184,3 +184,63 @@ def test_lines_are_split_into_fields_once(spark, tmp_path):
     got = readers.paf(spark, str(tmp_path / "a.paf"), names)
     assert plan_of(got).count("split(") == 1
     assert [tuple(r) for r in got.collect()] == [(0, 1, True, 1, 5, 0, 4, 3, 4, 60)]
+
+
+def test_search_rounds_give_the_best_and_few_rows(spark, monkeypatch):
+    from spanloom.llm import search
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    docs = [(None if i == 77 else i % 600, " ".join(rng.choices(words, [1 / (j + 1) for j in range(300)], k=rng.randint(3, 60)))) for i in range(640)]
+    docs += [(1000 + i, "w0 w1 w250 w299") for i in range(160)]  # a group of copies
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(40)
+    made, inner = [], search.cut
+
+    def counted(x):
+        out = inner(x)
+        if out.columns == ["query_id", "doc_id", "points", "rank"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "cut", counted)
+    index = inner(search.build_index(df, shard_rows=16))
+    asked = df.where("doc_id % 50 = 0")
+    got = sorted(map(tuple, search.search(index, search.query_terms(asked), k=5, block=200).collect()))
+    monkeypatch.setattr(search, "strides", lambda n: [1])
+    assert index.count() > 32 and got == sorted(map(tuple, search.search(index, search.query_terms(asked), k=5, block=200).collect()))
+    assert len(made) == 2
+
+
+def test_search_of_many_queries_at_once_is_exact():
+    import numpy as np
+
+    from spanloom.llm import search
+
+    rng = np.random.default_rng(13)
+    n, t = 1000, 400
+    held = rng.random((t, n)) < np.linspace(0.002, 0.7, t)[:, None] ** 2
+    held[5] = False
+    held[5, 3] = True
+    terms, lengths = np.flatnonzero(held.any(axis=1)), rng.integers(5, 90, n).astype(np.int32)
+    which, doc = np.nonzero(held[terms])
+    tf = rng.integers(1, 5, len(doc)).astype(np.int32)
+    new, apart = np.append(True, which[1:] != which[:-1]), np.ones(len(doc), bool)
+    apart[1:] = new[1:] | (doc[1:] >> search.BLOCK != doc[:-1] >> search.BLOCK)
+    of = np.flatnonzero(apart)
+    arrays = {
+        "lengths": lengths, "terms": terms, "block_at": np.append(np.searchsorted(of, np.flatnonzero(new)), len(of)), "block": doc[of] >> search.BLOCK, "posting_at": np.append(of, len(doc)),
+        "most": np.maximum.reduceat(tf, of), "least": np.minimum.reduceat(lengths[doc], of), "posting_doc": doc, "posting_tf": tf,
+    }
+    shard = search.Shard(None, arrays, 40.0, terms, np.log(1 + n / held[terms].sum(axis=1)))
+    assert 0 < len(shard.rows) < len(terms)
+    points = np.zeros((len(terms), n))
+    points[which, doc] = shard.points
+    asks = [np.sort(rng.choice(len(terms), rng.integers(0, 60), replace=False)) for _ in range(60)] + [np.array([], int), np.flatnonzero(shard.row >= 0)[:9]]
+    truth = [points[a].sum(axis=0) for a in asks]
+    order, place, of = rng.permutation(n), np.concatenate(asks), np.repeat(np.arange(len(asks)), [len(a) for a in asks])
+    for share in (0, 0.5, 0.9):
+        worst = np.array([share * x.max() if i % 3 else 0.0 for i, x in enumerate(truth)])
+        for x, w, (d, s) in zip(truth, worst, shard.top_of(place, of, worst, 10, order), strict=True):
+            want = [i for i in np.lexsort((order, -x))[:10] if x[i] >= max(w, 1)]
+            assert d.tolist() == want and s.tolist() == x[want].tolist()
