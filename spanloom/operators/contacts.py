@@ -125,34 +125,44 @@ def linkages(matrix: DataFrame, sequences: DataFrame, overlaps: DataFrame, width
     contacts that either has with the other's overlapping sequences (binomial). p is the largest of the three; the Benjamini-Hochberg
     procedure keeps the significant pairs. Sequences with few covered bins or an outlying density stay out.
     """
+    from spanloom.operators.graph import cut
     from spanloom.operators.stats import mad_outliers, significant
 
-    e = end_counts(matrix, sequences, width, ends)
+    # what is looked at more than once is written: contacts, sequences' counts, overlapping pairs, contacts by ends, and the tested pairs
+    matrix = cut(matrix.where("aseq <> bseq"))
+    e = cut(end_counts(matrix, sequences, width, ends))
     total = e.agg(F.sum("links").cast("double").alias("s")).select((F.col("s") / 2).alias("all_links"))
-    good = mad_outliers(e.where((F.col("covered") >= min_bins) & (F.col("links") > 0)).withColumn("density", F.log2(F.col("links") / F.col("covered"))), "density").where("not outlier")
+    good = cut(mad_outliers(e.where((F.col("covered") >= min_bins) & (F.col("links") > 0)).withColumn("density", F.log2(F.col("links") / F.col("covered"))), "density").where("not outlier").select("seq", *(f"{s}_{x}" for s in ("head", "tail") for x in ("links", "bins"))))
     size = sequences.select("seq", F.expr(f"len div {width}").alias("bins"))
     side = lambda c, bins: F.filter(F.array(F.when(F.col(c) < F.least(F.col(bins), F.lit(ends)), F.lit("head")), F.when((F.col(c) >= F.greatest(F.col(bins) - ends, F.lit(0))) & (F.col(c) < F.col(bins)), F.lit("tail"))), lambda x: x.isNotNull())
-    both = symmetric(matrix).where("aseq <> bseq")
-    m = both.join(size.select(F.col("seq").alias("aseq"), F.col("bins").alias("abins")), "aseq").join(size.select(F.col("seq").alias("bseq"), F.col("bins").alias("bbins")), "bseq")
+    m = matrix.join(size.select(F.col("seq").alias("aseq"), F.col("bins").alias("abins")), "aseq").join(size.select(F.col("seq").alias("bseq"), F.col("bins").alias("bbins")), "bseq")
     m = m.withColumn("aend", F.explode(side("abin", "abins"))).withColumn("bend", F.explode(side("bbin", "bbins")))
-    ends_ = m.groupBy("aseq", "aend", "bseq", "bend").agg(F.sum("n").alias("n"))
+    x, y = F.struct(F.col("aseq").alias("seq"), F.col("aend").alias("end")), F.struct(F.col("bseq").alias("seq"), F.col("bend").alias("end"))
+    m = m.select(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi"), "n").select(F.col("lo.seq").alias("aseq"), F.col("lo.end").alias("aend"), F.col("hi.seq").alias("bseq"), F.col("hi.end").alias("bend"), "n")
+    once = cut(m.groupBy("aseq", "aend", "bseq", "bend").agg(F.sum("n").alias("n")))
+    ends_ = once.unionByName(once.select(F.col("bseq").alias("aseq"), F.col("bend").alias("aend"), F.col("aseq").alias("bseq"), F.col("aend").alias("bend"), "n"))
+    over = cut(overlaps.select("aread", "bread").distinct())
     # contacts of an end of a with the sequences that overlap b, b's own copies so to speak
-    copies = overlaps.select(F.col("aread").alias("b"), F.col("bread").alias("bseq")).distinct()
-    trans = ends_.join(copies, "bseq").where("b <> aseq").groupBy("aseq", "aend", "b").agg(F.sum("n").alias("trans"))
-    info = good.select("seq", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_links").alias("links"), F.col(f"{s}_bins").alias("bins")) for s in ("head", "tail")])).alias("x")).select("seq", "x.*")
-    side_a = info.select(F.col("seq").alias("aseq"), F.col("side").alias("aend"), F.col("links").alias("la"), F.col("bins").alias("wa"))
-    side_b = info.select(F.col("seq").alias("bseq"), F.col("side").alias("bend"), F.col("links").alias("lb"), F.col("bins").alias("wb"))
-    c = ends_.where("aseq < bseq").join(side_a, ["aseq", "aend"]).join(side_b, ["bseq", "bend"])
-    c = c.join(overlaps.select(F.col("aread").alias("aseq"), F.col("bread").alias("bseq")).distinct(), ["aseq", "bseq"], "left_anti")
-    c = c.where((F.col("n") >= least) & (F.col("wa") > 0) & (F.col("wb") > 0)).withColumn("density", link_density(F.col("n"), F.col("wa"), F.col("wb"))).withColumn("size", harmonic(F.col("wa").cast("double"), F.col("wb").cast("double")))
+    copies = over.select(F.col("aread").alias("b"), F.col("bread").alias("bseq"))
+    by_end = [F.sum(F.when(F.col("aend") == s, F.col("n")).otherwise(zero())).alias(s) for s in ("head", "tail")]
+    trans = cut(ends_.join(copies, "bseq").where("b <> aseq").groupBy("aseq", "b").agg(*by_end))
+    of_end = lambda s, head, tail: F.when(F.col(f"{s}end") == "head", F.col(head)).otherwise(F.col(tail))
+    c = once
+    for s in "ab":
+        c = c.join(good.select(F.col("seq").alias(f"{s}seq"), *(F.col(f"{k}_{x}").alias(f"{k}_{x}_{s}") for k in ("head", "tail") for x in ("links", "bins"))), f"{s}seq")
+        c = c.withColumns({f"l{s}": of_end(s, f"head_links_{s}", f"tail_links_{s}"), f"w{s}": of_end(s, f"head_bins_{s}", f"tail_bins_{s}")})
+    c = c.select("aseq", "bseq", "aend", "bend", "n", "la", "lb", "wa", "wb").where((F.col("n") >= least) & (F.col("wa") > 0) & (F.col("wb") > 0))
+    c = c.join(over.select(F.col("aread").alias("aseq"), F.col("bread").alias("bseq")), ["aseq", "bseq"], "left_anti")
+    c = c.withColumn("density", link_density(F.col("n"), F.col("wa"), F.col("wb"))).withColumn("size", harmonic(F.col("wa").cast("double"), F.col("wb").cast("double")))
     best = c.groupBy("aseq", "bseq").agg(F.max(F.struct("density", "n", "aend", "bend", "la", "lb", "wa", "wb", "size")).alias("m")).select("aseq", "bseq", "m.*")
-    best = best.join(trans.select("aseq", "aend", F.col("b").alias("bseq"), F.col("trans").alias("ta")), ["aseq", "aend", "bseq"], "left")
-    best = best.join(trans.select(F.col("aseq").alias("bseq"), F.col("aend").alias("bend"), F.col("b").alias("aseq"), F.col("trans").alias("tb")), ["bseq", "bend", "aseq"], "left").crossJoin(F.broadcast(total))
+    best = best.join(trans.select("aseq", F.col("b").alias("bseq"), F.col("head").alias("head_a"), F.col("tail").alias("tail_a")), ["aseq", "bseq"], "left")
+    best = best.join(trans.select(F.col("b").alias("aseq"), F.col("aseq").alias("bseq"), F.col("head").alias("head_b"), F.col("tail").alias("tail_b")), ["aseq", "bseq"], "left").crossJoin(F.broadcast(total))
+    best = best.withColumns({f"t{s}": of_end(s, f"head_{s}", f"tail_{s}") for s in "ab"})
     chance = poisson_upper_p(F.col("n"), F.col("la") * F.col("lb") / F.greatest("all_links", F.lit(1.0)))
     # where a pair has no more contacts than what stands against it, there is no excess to test for
     excess = lambda t: F.when(F.col("n") > F.col(t), binomial_upper_p(F.col("n"), F.col("n") + F.coalesce(F.col(t), zero()), F.lit(0.5))).otherwise(F.lit(1.0))
     against = lambda t: F.when(F.coalesce(F.col(t), zero()) > 0, excess(t)).otherwise(F.lit(0.0))
-    tested = best.withColumn("p", F.greatest(chance, against("ta"), against("tb")))
+    tested = cut(best.select("aseq", "bseq", "size", "density", F.greatest(chance, against("ta"), against("tb")).alias("p")))
     kept = significant(tested, "p", F.lit(alpha)).select(F.col("aseq").alias("a"), F.col("bseq").alias("b"), "size", "density", "p")
     return kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"), "size", "density", "p"))
 

@@ -301,7 +301,7 @@ def integer_helpers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return contacts.pair_mates(ad.reads(spark, d), ["l_linenumber", "l_partkey", "l_suppkey"])
+    return contacts.pair_mates(ad.reads(spark, d), ["l_linenumber", "l_partkey", "seq"])
 
 
 def _matrix(spark: SparkSession, d: str) -> DataFrame:

@@ -254,3 +254,35 @@ def test_communities_take_no_join_of_all_edges_for_a_score(spark, monkeypatch):
     monkeypatch.setattr(graph, "modularity", None)  # scores come from the degrees, and edges that are dealt once
     df = spark.createDataFrame(edges, "a long, b long, w double")
     assert {r.node: r.community for r in graph.communities(df).collect()} == {i: i // 10 * 10 for i in range(40)} | {50: 50}
+
+
+def counting(df):
+    """`df`, and a counter of its rows as they are worked out."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(through, df.schema), seen
+
+
+def test_linkages_work_out_contacts_once(spark):
+    from spanloom.operators import contacts
+
+    rng = random.Random(6)
+    rows = sorted({(a, rng.randrange(20), b, rng.randrange(20), rng.randrange(1, 9)) for a in range(12) for b in range(a, 12) for _ in range(9)})
+    matrix, seen = counting(spark.createDataFrame(rows, "aseq long, abin long, bseq long, bbin long, n long"))
+    seqs = spark.range(12).select(F.col("id").alias("seq"), F.lit(20_000).cast("long").alias("len"))
+    over = spark.createDataFrame([(0, 1), (1, 0), (2, 5), (5, 2)], "aread long, bread long")
+    got = contacts.linkages(matrix, seqs, over, 1000, 4, least=1, alpha=0.99).collect()
+    assert seen.value == len(rows)
+    ends = {}
+    for a, i, b, j, n in rows:
+        for x, p, y, q in ((a, i, b, j), (b, j, a, i)) if a != b else ():
+            if (p < 4 or p >= 16) and (q < 4 or q >= 16):
+                ends[x, p >= 16, y, q >= 16] = ends.get((x, p >= 16, y, q >= 16), 0) + n
+    pairs = {(r.a, r.b) for r in got}
+    assert pairs and pairs == {(b, a) for a, b in pairs} and not pairs & {(0, 1), (2, 5)}
+    assert all(any((a, s, b, t) in ends for s in (0, 1) for t in (0, 1)) for a, b in pairs)
