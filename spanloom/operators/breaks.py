@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -101,28 +102,61 @@ def valleys(x: np.ndarray, least: int, drop: float = 0.3, sound: float = 0.8) ->
 def call_breaks(spans: DataFrame, width: int, min_size: int, drop: float = 0.3, sound: float = 0.8, alpha: float = 0.01) -> DataFrame:
     """(seq, pos, before, at, after, p): breaks that survive the Benjamini-Hochberg procedure. spans: seq, bin, span on every bin.
 
-    Steps' median and deviation are over all sequences; the search is one sequence's bins at a time, a bound that a sequence's length sets.
+    Steps' median and deviation are over all sequences; the search is one sequence's bins at a time, a bound that a sequence's length sets. Spans and
+    calls are looked at several times, so they are written once.
     """
-    from spanloom.operators.ranges import median, running
+    from spanloom.operators.graph import cut
+    from spanloom.operators.ranges import median, running, tasks_for
     from spanloom.operators.stats import significant
 
     least = max(1, -(-min_size // width))
-    steps = running(spans.select("seq", "bin", "span"), ["seq"], "bin", last={"was": "span"}).select((F.col("span") - F.col("was")).cast("double").alias("step")).where("step is not null")
-    med = median(steps, "step", "rise")
-    mad = median(steps.crossJoin(F.broadcast(med)).select(F.abs(F.col("step") - F.col("rise")).alias("off")), "off", "mad")
-    both = spans.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(mad))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        x = without_spikes(pdf["span"].to_numpy(), float(pdf["rise"].iloc[0] or 0), float(pdf["mad"].iloc[0] or 0) * 3.5 / 0.6745, least)
-        rows = [(pdf["seq"].iloc[0], b * width, *rest) for b, *rest in valleys(x, least, drop, sound)]
-        return pd.DataFrame(rows, columns=["seq", "pos", "before", "at", "after", "p"])
-
+    spans = cut(spans.select("seq", "bin", "span"))
+    steps = cut(running(spans, ["seq"], "bin", last={"was": "span"}).select((F.col("span") - F.col("was")).cast("double").alias("step")).where("step is not null").groupBy("step").agg(F.count("*").alias("n")))
+    med = median(steps, "step", "rise", times="n")
+    mad = median(steps.crossJoin(F.broadcast(med)).select(F.abs(F.col("step") - F.col("rise")).alias("off"), "n"), "off", "mad", times="n")
+    found = med.crossJoin(mad).first()
+    rise, limit = float(found["rise"] or 0), float(found["mad"] or 0) * 3.5 / 0.6745
     kind = spans.schema["seq"].dataType.simpleString()
-    calls = both.groupBy("seq").applyInPandas(search, f"seq {kind}, pos long, before double, at double, after double, p double")
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for seq, x in _by_sequence(frames):
+            rows += [(seq, b * width, *rest) for b, *rest in valleys(without_spikes(x, rise, limit, least), least, drop, sound)]
+            if len(rows) >= BATCH:
+                yield pd.DataFrame(rows, columns=CALL)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=CALL)
+
+    # names as text, in which nulls stay what they are
+    lines = spans.repartition(tasks_for(spans), "seq").sortWithinPartitions("seq", "bin").select(F.col("seq").cast("string").alias("seq"), "span")
+    calls = cut(lines.mapInPandas(search, "seq string, pos long, before double, at double, after double, p double").withColumn("seq", F.col("seq").cast(kind)))
     return significant(calls, "p", F.lit(alpha))
 
 
+#: Rows given at once.
+BATCH = 10_000
+CALL = ["seq", "pos", "before", "at", "after", "p"]
+
+
+def _by_sequence(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[object, np.ndarray]]:
+    """Each sequence with its spans; its rows lie together, and may go on in the next frames."""
+    name, held = None, []
+    for f in frames:
+        if not len(f):
+            continue
+        seq, span = f["seq"].to_numpy(), f["span"].to_numpy()
+        bounds = [0, *(np.flatnonzero(seq[1:] != seq[:-1]) + 1).tolist(), len(seq)]
+        for b, e in zip(bounds, bounds[1:], strict=False):
+            if held and seq[b] != name:
+                yield name, np.concatenate(held)
+                held = []
+            name = seq[b]
+            held.append(span[b:e])
+    if held:
+        yield name, np.concatenate(held)
+
+
 def sessions(calls: DataFrame, gap: int, seq: str = "seq", pos: str = "pos") -> DataFrame:
     """calls with the number of their session: calls closer than `gap` to the one before them are in its session."""
     order = W.partitionBy(seq).orderBy(pos)

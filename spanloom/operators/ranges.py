@@ -115,9 +115,9 @@ def ranks(counts: DataFrame, value: str, sums: list[str], ranges: int = 256) ->
     return out.drop("__range")
 
 
-def counted(df: DataFrame, value: str, ranges: int = 256) -> DataFrame:
-    """(v, n, upto_n, all_n) of the distinct values."""
-    return ranks(df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")), "v", ["n"], ranges)
+def counted(df: DataFrame, value: str, ranges: int = 256, times: str | None = None) -> DataFrame:
+    """(v, n, upto_n, all_n) of the distinct values. times: the column that says how often a row counts, if not once."""
+    return ranks(df.groupBy(F.col(value).alias("v")).agg((F.sum(times) if times else F.count("*")).alias("n")), "v", ["n"], ranges)
 
 
 def element_at(ranked: DataFrame, places: dict[str, Column]) -> DataFrame:
@@ -125,10 +125,10 @@ def element_at(ranked: DataFrame, places: dict[str, Column]) -> DataFrame:
     return ranked.agg(*(F.min(F.when(F.col("upto_n") > place, F.col("v"))).alias(k) for k, place in places.items()))
 
 
-def median(df: DataFrame, value: str, name: str, share: float = 0.5) -> DataFrame:
-    """One row: the exact percentile of a column, between two values where it falls between them; null without values."""
+def median(df: DataFrame, value: str, name: str, share: float = 0.5, times: str | None = None) -> DataFrame:
+    """One row: the exact percentile of a column, between two values where it falls between them; null without values. times: as in `counted`."""
     at = (F.col("all_n") - 1) * F.lit(share)
-    two = counted(df, value).withColumns({"__lo": F.floor(at), "__hi": F.ceil(at), "__at": at})
+    two = counted(df, value, times=times).withColumns({"__lo": F.floor(at), "__hi": F.ceil(at), "__at": at})
     pick = lambda place: F.min(F.when(F.col("upto_n") > F.col(place), F.col("v"))).cast("double")
     q = two.agg(pick("__lo").alias("lo"), pick("__hi").alias("hi"), F.max("__at").alias("at"))
     between = F.when(F.ceil("at") == F.floor("at"), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi"))

@@ -286,3 +286,26 @@ def test_linkages_work_out_contacts_once(spark):
     pairs = {(r.a, r.b) for r in got}
     assert pairs and pairs == {(b, a) for a, b in pairs} and not pairs & {(0, 1), (2, 5)}
     assert all(any((a, s, b, t) in ends for s in (0, 1) for t in (0, 1)) for a, b in pairs)
+
+
+def test_break_calls_work_out_spans_once(spark):
+    import numpy as np
+
+    from spanloom.operators import breaks
+
+    rng = np.random.default_rng(3)
+    x = {s: rng.integers(40, 60, 400) for s in range(5)}
+    for s in (1, 3):
+        x[s][190:194] = 1
+    spans, seen = counting(spark.createDataFrame([(s, i, int(v)) for s, xs in x.items() for i, v in enumerate(xs)], "seq long, bin long, span long"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "150")  # a sequence's rows come in several frames
+    try:
+        got = breaks.call_breaks(spans, 1000, 3000, alpha=0.5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen.value == 2000
+    step = np.concatenate([np.diff(v) for v in x.values()]).astype(float)
+    rise = float(np.median(step))
+    limit = float(np.median(np.abs(step - rise))) * 3.5 / 0.6745
+    want = [(s, b * 1000, *rest) for s, v in x.items() for b, *rest in breaks.valleys(breaks.without_spikes(v, rise, limit, 3), 3)]
+    assert {w[0] for w in want} == {1, 3} and sorted(map(tuple, got)) == sorted(want)
