@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.operators.ranges import tasks_for
 from spanloom.session import table
 
 LENGTH = 20_000
@@ -45,8 +46,8 @@ def genes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    a = alns(spark, d).where("aread <> bread")
-    return a.groupBy(F.least("aread", "bread").alias("a"), F.greatest("aread", "bread").alias("b")).agg(F.sum("mlen").alias("w"))
+    a = alns(spark, d).where("aread <> bread").select(F.least("aread", "bread").alias("a"), F.greatest("aread", "bread").alias("b"), "mlen")
+    return a.repartition(tasks_for(table(spark, d, "lineitem")), "a", "b").groupBy("a", "b").agg(F.sum("mlen").alias("w"))
 
 
 def line_edges(spark: SparkSession, d: str, groups: int | None = None) -> DataFrame:

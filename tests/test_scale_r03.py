@@ -335,3 +335,14 @@ def test_forest_looks_at_light_edges_once(spark, monkeypatch):
     assert got == sorted(want, key=str)
     # the rounds look at a layer's edges again, and all the others are looked at once a layer
     assert len(looked) > 2 and sum(looked) < 2 * len(edges)
+
+
+def test_edges_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    from spanloom.plans import adapters as ad
+
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, ad.edges(spark, d).collect()))
+    monkeypatch.setattr(ranges, "TASK_ROWS", 500)
+    got = ad.edges(spark, d)
+    tasks = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 500)
+    assert got.rdd.getNumPartitions() == tasks > 4 and sorted(map(tuple, got.collect())) == want
