@@ -184,18 +184,35 @@ def point_join(points: DataFrame, ivals: DataFrame, at: tuple[str, str], on: tup
 
 def band_join(a: DataFrame, b: DataFrame, bin_size: int | None = None) -> DataFrame:
     """Rows of a and b, as a_* and b_*, whose intervals overlap on a sequence; in bins of one size if it is given, else by `overlap_join`."""
+    if bin_size is None:
+        return overlap_join(a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns]), b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]))
+    return binned_join(binned(a, bin_size), binned(b, bin_size), bin_size)
+
+
+def binned(x: DataFrame, bin_size: int) -> DataFrame:
+    """Intervals (seq, beg, end, ...) once for each `bin` that they lie in."""
+    return x.withColumn("bin", F.explode(F.sequence(F.expr(f"beg div {bin_size}"), F.expr(f"greatest(beg, end - 1) div {bin_size}"))))
+
+
+def binned_join(a: DataFrame, b: DataFrame, bin_size: int) -> DataFrame:
+    """`band_join` of what `binned` gives."""
     x = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns])
     y = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
-    if bin_size is None:
-        return overlap_join(x, y)
     on = (F.col("a_seq") == F.col("b_seq")) & (F.col("a_beg") < F.col("b_end")) & (F.col("b_beg") < F.col("a_end"))
-    last = lambda s: F.expr(f"greatest({s}_beg, {s}_end - 1) div {bin_size}")
-    x = x.withColumn("a_bin", F.explode(F.sequence(F.expr(f"a_beg div {bin_size}"), last("a"))))
-    y = y.withColumn("b_bin", F.explode(F.sequence(F.expr(f"b_beg div {bin_size}"), last("b"))))
     first = F.expr(f"greatest(a_beg, b_beg) div {bin_size}")
     return x.join(y, on & (F.col("a_bin") == F.col("b_bin"))).where(F.col("a_bin") == first).drop("a_bin", "b_bin")
 
 
+def longest_join(ivals: DataFrame, bin_size: int) -> DataFrame:
+    """`band_join` of each start's longest interval with all intervals (seq, beg, end).
+
+    The intervals are dealt once, by sequence and bin, for both sides: the longest one of a start lies in all bins that the others lie in, so it can be
+    told in each bin by itself.
+    """
+    t = binned(ivals.select("seq", "beg", "end"), bin_size).repartition("seq", "bin")
+    return binned_join(t.groupBy("seq", "bin", "beg").agg(F.max("end").alias("end")), t, bin_size)
+
+
 def overlap_bases() -> Column:
     """Length of the overlap of a `band_join` row."""
     return F.least("a_end", "b_end") - F.greatest("a_beg", "b_beg")

@@ -182,8 +182,7 @@ def coverage_norms(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_SHORT}, t AS (SELECT seq, beg, max("end") AS "end" FROM short GROUP BY seq, beg) SELECT a.seq, a.beg AS a_beg, a."end" AS a_end, b.beg AS b_beg, b."end" AS b_end FROM t a JOIN short b ON a.seq = b.seq AND a.beg < b."end" AND b.beg < a."end" """
 )
 def band_join(spark: SparkSession, d: str) -> DataFrame:
-    s = _short(spark, d)
-    return intervals.band_join(s.groupBy("seq", "beg").agg(F.max("end").alias("end")), s, bin_size=500).select(F.col("a_seq").alias("seq"), "a_beg", "a_end", "b_beg", "b_end")
+    return intervals.longest_join(_short(spark, d), bin_size=500).select(F.col("a_seq").alias("seq"), "a_beg", "a_end", "b_beg", "b_end")
 
 
 @query()

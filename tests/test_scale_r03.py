@@ -346,3 +346,19 @@ def test_edges_are_dealt_by_the_number_of_rows(spark, monkeypatch):
     got = ad.edges(spark, d)
     tasks = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 500)
     assert got.rdd.getNumPartitions() == tasks > 4 and sorted(map(tuple, got.collect())) == want
+
+
+def test_longest_join_deals_its_intervals_once(spark):
+    rng = random.Random(9)
+    rows = [(s, b, b + rng.randrange(0, 90)) for s in range(3) for b in (rng.randrange(200) for _ in range(80))]
+    got = intervals.longest_join(spark.createDataFrame(rows, "seq long, beg long, end long"), 25)
+    longest = {}
+    for s, b, e in rows:
+        longest[s, b] = max(e, longest.get((s, b), e))
+    want = sorted((s, b, e, t, x, y) for (s, b), e in longest.items() for t, x, y in rows if s == t and b < y and x < e)
+    assert sorted((r.a_seq, r.a_beg, r.a_end, r.b_seq, r.b_beg, r.b_end) for r in got.collect()) == want
+    from spanloom.plans.queries import QUERIES
+
+    # starts are put together where both sides were dealt to, not before
+    plan = plan_of(QUERIES["band_join"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("RepartitionByExpression") == 2 and plan.index("Aggregate") < plan.index("RepartitionByExpression") < plan.index("Generate")
