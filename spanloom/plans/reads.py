@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import contacts, intervals, layout, stats
-from spanloom.operators.graph import shared_folder
+from spanloom.operators.written import shared_folder
 from spanloom.plans import adapters as ad
 from spanloom.plans.queries import _MERGED, _SLICES, _pairs, _slices, query
 from spanloom.session import table

@@ -109,3 +109,32 @@ def test_pixels_by_ranges_are_those_of_one_pass(spark, most, merge_below):
         for r in contacts.pixels(s, 10, merge_below, span).collect():
             got.setdefault(r.seq, []).append(r.pixel)
         assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_moves_on_blocks_do_not_depend_on_the_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import moves
+
+    df = spark.range(-3, 4).select("id", *(F.xxhash64("id", F.lit(s), F.lit(42)).alias(f"h{s}") for s in (0, 7)), F.xxhash64("id").alias("h"))
+    h = df.toPandas()
+    assert all((moves.hashed(moves.hashed(h["h"].to_numpy(), s), 42) == h[f"h{s}"]).all() for s in (0, 7))
+    rng = random.Random(21)
+    edges = [(100 * g + i, 100 * g + j, float(rng.choice([0, 3, 8])), float(rng.choice([0, 5]))) for g, n in ((0, 40), (1, 3), (3, 25)) for i in range(n) for j in range(i) if rng.random() < 0.5]
+    nodes = [(100 * g + i, rng.randint(10, 30)) for g, n in ((0, 40), (1, 3), (2, 1), (3, 25)) for i in range(n)]
+    written, inner = [], moves.cut
+
+    def counted(df):
+        out = inner(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(moves, "cut", counted)
+    got = []
+    for few in (1 << 17, 200):
+        monkeypatch.setattr(moves, "FEW_EDGES", few)
+        written.clear()
+        got.append(labelled(spark, edges, nodes, k=2, method="phase", rounds=12))
+        # steps are a row a block; the first one lays out nodes and edges, the last one has the labels
+        assert len(set(written[1:-1])) == 1 and written[1] == (1 if few > 1000 else max(written[1:-1])) and (few > 1000 or written[1] > 2)
+    assert got[0] == got[1]
