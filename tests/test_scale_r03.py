@@ -362,3 +362,38 @@ def test_longest_join_deals_its_intervals_once(spark):
     # starts are put together where both sides were dealt to, not before
     plan = plan_of(QUERIES["band_join"](spark, "/root/testdata/sf0.001"))
     assert plan.count("RepartitionByExpression") == 2 and plan.index("Aggregate") < plan.index("RepartitionByExpression") < plan.index("Generate")
+
+
+def test_long_queries_are_added_up_whole_and_exact(monkeypatch):
+    import numpy as np
+
+    from spanloom.llm import search
+
+    rng = np.random.default_rng(17)
+    n, t = 700, 500
+    held = rng.random((t, n)) < np.linspace(0.01, 0.8, t)[:, None] ** 2
+    terms, lengths = np.flatnonzero(held.any(axis=1)), rng.integers(5, 90, n).astype(np.int32)
+    which, doc = np.nonzero(held[terms])
+    tf = rng.integers(1, 5, len(doc)).astype(np.int32)
+    apart = np.ones(len(doc), bool)
+    apart[1:] = (which[1:] != which[:-1]) | (doc[1:] >> search.BLOCK != doc[:-1] >> search.BLOCK)
+    of, new = np.flatnonzero(apart), np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+    arrays = {
+        "lengths": lengths, "terms": terms, "block_at": np.append(np.searchsorted(of, new), len(of)), "block": doc[of] >> search.BLOCK, "posting_at": np.append(of, len(doc)),
+        "most": np.maximum.reduceat(tf, of), "least": np.minimum.reduceat(lengths[doc], of), "posting_doc": doc, "posting_tf": tf,
+    }
+    shard = search.Shard(None, arrays, 40.0, terms, np.log(1 + n / held[terms].sum(axis=1)))
+    points = np.zeros((len(terms), n))
+    points[which, doc] = shard.points
+    asks = [np.sort(rng.choice(len(terms), 300, replace=False)) for _ in range(40)] + [np.arange(3)]
+    order, place, of = rng.permutation(n), np.concatenate(asks), np.repeat(np.arange(len(asks)), [len(a) for a in asks])
+    order[7], order[8] = order[8], order[7]
+    looked = []
+    monkeypatch.setattr(shard, "pruned", lambda place, of, worst, *a, f=shard.pruned: looked.append(len(worst)) or f(place, of, worst, *a))
+    for share in (0, 0.6, 1):
+        truth = [points[a].sum(axis=0) for a in asks]
+        worst = np.array([share * np.sort(x)[-10] for x in truth])
+        for x, w, (d, s) in zip(truth, worst, shard.top_of(place, of, worst, 10, order), strict=True):
+            want = [i for i in np.lexsort((order, -x))[:10] if x[i] >= max(w, 1)]
+            assert d.tolist() == want and s.tolist() == x[want].tolist()
+    assert looked == [1, 1, 1]  # bounds of blocks for the short one only
